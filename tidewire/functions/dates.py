@@ -7,10 +7,8 @@ on ``TIMESTAMP_NTZ`` so that no result depends on the session time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tidewire.functions.text import group1, let, markdown_text, squeeze, strip
+from tidewire.functions.sql import case, constant_map, let, lit, sql_function
+from tidewire.functions.text import group1, markdown_text, matches, replaced, squeeze, strip
 
 ZONE = "Asia/Shanghai"
 UNKNOWN_DATE = "日期未知"
@@ -45,30 +43,33 @@ _ISO = (
     r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
     r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?$"
 )
+# The RFC 822 date form.
+_RFC = (
+    r"(?i)^\s*(?:[a-z]+\s*,\s*|[a-z]+\s+)?(\d{1,2})[\s-]+([a-z]+)[\s-]+(\d{2}|\d{4})"
+    r"[\s,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]+))?"
+)
 
 
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
+def _int(c: str) -> str:
+    return f"try_cast({c} AS INT)"
 
 
-def _month_number(name: Column) -> Column:
+def _month_number(name: str) -> str:
     """Month of an English name or abbreviation; NULL for any other word."""
-    table = F.create_map(*[F.lit(x) for item in MONTHS.items() for x in item])
-    return F.try_element_at(table, F.lower(name))
+    return f"try_element_at({constant_map(MONTHS, 'string,int')}, lower({name}))"
 
 
-def month_length(year: Column, month: Column) -> Column:
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    return (
-        F.when(month.isin(4, 6, 9, 11), F.lit(30))
-        .when((month == 2) & leap, F.lit(29))
-        .when(month == 2, F.lit(28))
-        .when(month.between(1, 12), F.lit(31))
+def month_length(year: str, month: str) -> str:
+    leap = f"({year} % 4 = 0 AND {year} % 100 <> 0) OR {year} % 400 = 0"
+    return case(
+        (f"{month} IN (4, 6, 9, 11)", "30"),
+        (f"{month} = 2", f"if({leap}, 29, 28)"),
+        (f"{month} BETWEEN 1 AND 12", "31"),
     )
 
 
-def _two(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 2, "0")
+def _two(c: str) -> str:
+    return f"lpad(string({c}), 2, '0')"
 
 
 # --------------------------------------------------------------------------
@@ -76,81 +77,77 @@ def _two(c: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
-def page_date_parts(c: Column) -> Column:
-    """The first date in a Markdown text: ``struct<year, month, day, has_year>``.
+@sql_function
+def page_date_parts(c: str) -> str:
+    """The first date in a Markdown text: ``struct<year, month, day>``.
 
     All NULL when there is none.  The year is NULL when the text has none; it is
     then a matter of context, see :func:`page_date`.
     """
-    nothing = F.lit(None).cast("int")
 
-    def parts(y: Column, m: Column, d: Column) -> Column:
-        return F.struct(y.alias("year"), m.alias("month"), d.alias("day"))
+    def parts(y: str, m: str, d: str) -> str:
+        return f"named_struct('year', {y}, 'month', {m}, 'day', {d})"
 
-    def first(text: Column) -> Column:
-        return (
-            F.when(
-                F.rlike(text, F.lit(NUMERIC_DATE)),
-                parts(
-                    _int(group1(text, NUMERIC_DATE, 1)),
-                    _int(group1(text, NUMERIC_DATE, 2)),
-                    _int(group1(text, NUMERIC_DATE, 3)),
-                ),
-            )
-            .when(
-                F.rlike(text, F.lit(ENGLISH_DAY)),
+    nothing = "cast(NULL AS INT)"
+
+    def first(t: str) -> str:
+        return case(
+            (
+                matches(t, NUMERIC_DATE),
+                parts(*[_int(group1(t, NUMERIC_DATE, n)) for n in (1, 2, 3)]),
+            ),
+            (
+                matches(t, ENGLISH_DAY),
                 parts(
-                    _int(group1(text, ENGLISH_DAY, 3)),
-                    _month_number(group1(text, ENGLISH_DAY, 1)),
-                    _int(group1(text, ENGLISH_DAY, 2)),
+                    _int(group1(t, ENGLISH_DAY, 3)),
+                    _month_number(group1(t, ENGLISH_DAY, 1)),
+                    _int(group1(t, ENGLISH_DAY, 2)),
                 ),
-            )
-            .when(
-                F.rlike(text, F.lit(ENGLISH_MONTH)),
+            ),
+            (
+                matches(t, ENGLISH_MONTH),
                 parts(
-                    _int(group1(text, ENGLISH_MONTH, 2)),
-                    _month_number(group1(text, ENGLISH_MONTH, 1)),
+                    _int(group1(t, ENGLISH_MONTH, 2)),
+                    _month_number(group1(t, ENGLISH_MONTH, 1)),
                     nothing,
                 ),
-            )
-            .otherwise(parts(nothing, nothing, nothing))
+            ),
+            default=parts(nothing, nothing, nothing),
         )
 
     return let(markdown_text(c), first)
 
 
-def _exists(year: Column, month: Column, day: Column) -> Column:
-    return month.between(1, 12) & (day.isNull() | day.between(1, month_length(year, month)))
-
-
-def page_date(parts: Column, default_year: Column | None = None) -> Column:
+@sql_function
+def page_date(parts: str, default_year: str | None = None) -> str:
     """Date text at the precision of the page; ``''`` without year, NULL when invalid."""
 
-    def text(p: Column) -> Column:
-        year = p["year"] if default_year is None else F.coalesce(p["year"], default_year)
-        return (
-            F.when(p["month"].isNull() | year.isNull(), F.lit(""))
-            .when(~_exists(year, p["month"], p["day"]), F.lit(None).cast("string"))
-            .otherwise(
-                F.concat(
-                    F.lpad(year.cast("string"), 4, "0"),
-                    F.lit("-"),
-                    _two(p["month"]),
-                    F.when(p["day"].isNull(), F.lit("")).otherwise(
-                        F.concat(F.lit("-"), _two(p["day"]))
-                    ),
-                )
+    def text(p: str) -> str:
+        def dated(year: str) -> str:
+            exists = (
+                f"{p}.month BETWEEN 1 AND 12 AND"
+                f" ({p}.day IS NULL OR {p}.day BETWEEN 1 AND {month_length(year, p + '.month')})"
+            )
+            day = f"if({p}.day IS NULL, '', concat('-', {_two(p + '.day')}))"
+            return case(
+                (f"{p}.month IS NULL OR {year} IS NULL", "''"),
+                (f"NOT ({exists})", "NULL"),
+                default=f"concat(lpad(string({year}), 4, '0'), '-', {_two(p + '.month')}, {day})",
             )
+
+        return let(
+            f"{p}.year" if default_year is None else f"coalesce({p}.year, {default_year})", dated
         )
 
     return let(parts, text)
 
 
-def without_dates(c: Column, published: Column | None = None) -> Column:
+@sql_function
+def without_dates(c: str, published: str | None = None) -> str:
     """Cut date text (and the normalised date itself) out of a line."""
-    text = F.regexp_replace(F.regexp_replace(c, NUMERIC_TEXT, " "), ENGLISH_TEXT, " ")
+    text = replaced(replaced(c, NUMERIC_TEXT, " "), ENGLISH_TEXT, " ")
     if published is not None:
-        text = F.when(published == "", text).otherwise(F.replace(text, published, F.lit(" ")))
+        text = let(text, lambda t: f"if({published} = '', {t}, replace({t}, {published}, ' '))")
     return squeeze(text)
 
 
@@ -159,139 +156,142 @@ def without_dates(c: Column, published: Column | None = None) -> Column:
 # --------------------------------------------------------------------------
 
 
-def _local(utc: Column) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(ZONE), utc)
+def _local(utc: str) -> str:
+    return f"convert_timezone('UTC', {lit(ZONE)}, {utc})"
 
 
-def _shifted(ts: Column, seconds: Column) -> Column:
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+def _shifted(ts: str, seconds: str) -> str:
+    return f"{ts} - make_dt_interval(0, 0, 0, {seconds})"
 
 
-# The RFC 822 date form.
-_RFC = (
-    r"(?i)^\s*(?:[a-z]+\s*,\s*|[a-z]+\s+)?(\d{1,2})[\s-]+([a-z]+)[\s-]+(\d{2}|\d{4})"
-    r"[\s,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]+))?"
-)
+def _rfc_year(c: str) -> str:
+    return let(
+        group1(c, _RFC, 3),
+        lambda y: case(
+            (f"length({y}) = 4", _int(y)),
+            (f"{_int(y)} > 68", f"{_int(y)} + 1900"),
+            default=f"{_int(y)} + 2000",
+        ),
+    )
 
 
-def rfc822_utc(c: Column) -> Column:
+@sql_function
+def rfc822_utc(c: str) -> str:
     """UTC clock time of an RFC 822 date, NULL when it is none.
 
     The weekday is not checked and a missing or unknown zone means UTC.
     """
-    part = lambda n: _int(group1(c, _RFC, n))
-    raw_year = part(3)
-    year = (
-        F.when(F.length(group1(c, _RFC, 3)) == 4, raw_year)
-        .when(raw_year > 68, raw_year + F.lit(1900))
-        .otherwise(raw_year + F.lit(2000))
-    )
-    zone = F.upper(group1(c, _RFC, 7))
-    sign = F.when(F.startswith(zone, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
-    named = F.create_map(*[F.lit(x) for n, h in ZONE_HOURS.items() for x in (n, h * 3600)])
-    offset = F.when(
-        F.rlike(zone, F.lit(r"^[+-]\d{4}$")),
-        sign
-        * (
-            _int(F.substring(zone, 2, 2)) * F.lit(3600) + _int(F.substring(zone, 4, 2)) * F.lit(60)
-        ),
-    ).otherwise(F.coalesce(F.try_element_at(named, zone), F.lit(0)))
-    stamp = F.try_make_timestamp_ntz(
-        year, _month_number(group1(c, _RFC, 2)), part(1), part(4), part(5), F.coalesce(part(6), F.lit(0))
-    )
-    return _shifted(stamp, offset)
 
+    def parse(t: str) -> str:
+        def offset(zone: str) -> str:
+            sign = f"if(startswith({zone}, '-'), -1, 1)"
+            hours, minutes = _int(f"substring({zone}, 2, 2)"), _int(f"substring({zone}, 4, 2)")
+            named = constant_map({n: h * 3600 for n, h in ZONE_HOURS.items()}, "string,int")
+            return case(
+                (matches(zone, r"^[+-]\d{4}$"), f"{sign} * ({hours} * 3600 + {minutes} * 60)"),
+                default=f"coalesce(try_element_at({named}, {zone}), 0)",
+            )
+
+        part = lambda n: _int(group1(t, _RFC, n))
+        stamp = (
+            f"try_make_timestamp_ntz({_rfc_year(t)}, {_month_number(group1(t, _RFC, 2))}, {part(1)},"
+            f" {part(4)}, {part(5)}, coalesce({part(6)}, 0))"
+        )
+        return _shifted(stamp, let(f"upper({group1(t, _RFC, 7)})", offset))
 
-def beijing_iso(utc: Column) -> Column:
+    return let(c, parse)
+
+
+@sql_function
+def beijing_iso(utc: str) -> str:
     """``2026-08-10T12:30:00+08:00`` for a UTC clock time."""
-    local = _local(utc)
-    hours = F.hour(local) + F.lit(24) * F.datediff(local.cast("date"), utc.cast("date")) - F.hour(utc)
-    return F.concat(
-        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.lit("+"),
-        _two(hours),
-        F.lit(":00"),
-    )
+
+    def text(u: str) -> str:
+        def formatted(local: str) -> str:
+            hours = f"hour({local}) + 24 * datediff(date({local}), date({u})) - hour({u})"
+            return f"concat(date_format({local}, \"yyyy-MM-dd'T'HH:mm:ss\"), '+', {_two(hours)}, ':00')"
+
+        return let(_local(u), formatted)
+
+    return let(utc, text)
 
 
-def rfc822_to_beijing(c: Column) -> Column:
+@sql_function
+def rfc822_to_beijing(c: str) -> str:
     return beijing_iso(rfc822_utc(c))
 
 
-def reference_year(markdown: Column) -> Column:
+@sql_function
+def reference_year(markdown: str) -> str:
     """Year of the ``Published Time:`` header line of a page, NULL when unusable."""
-    line = strip(group1(markdown, r"(?dmU)^Published Time:\s*(.+)$"))
-    # The year as written, before any zone shift.
-    return F.when(rfc822_utc(line).isNotNull(), _full_year(line))
-
-
-def _full_year(c: Column) -> Column:
-    text = group1(c, _RFC, 3)
-    value = _int(text)
-    return (
-        F.when(F.length(text) == 4, value)
-        .when(value > 68, value + F.lit(1900))
-        .otherwise(value + F.lit(2000))
+    return let(
+        strip(group1(markdown, r"(?dmU)^Published Time:\s*(.+)$")),
+        # The year as written, before any zone shift.
+        lambda line: case((f"{rfc822_utc(line)} IS NOT NULL", _rfc_year(line))),
     )
 
 
-def iso_utc(c: Column) -> Column:
+@sql_function
+def iso_utc(c: str) -> str:
     """UTC clock time of an ISO 8601 time; no zone means UTC; NULL when invalid."""
-    part = lambda n: _int(group1(c, _ISO, n))
-    zone = group1(c, _ISO, 8)
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    seconds = (
-        _int(F.substring(digits, 1, 2)) * F.lit(3600)
-        + F.coalesce(_int(F.substring(digits, 3, 2)), F.lit(0)) * F.lit(60)
-        + F.coalesce(_int(F.substring(digits, 5, 2)), F.lit(0))
-    )
-    offset = F.when(F.startswith(zone, F.lit("+")), seconds).when(
-        F.startswith(zone, F.lit("-")), -seconds
-    ).otherwise(F.lit(0))
-    stamp = F.try_make_timestamp_ntz(
-        part(1),
-        part(2),
-        part(3),
-        part(4),
-        F.coalesce(part(5), F.lit(0)),
-        F.coalesce(part(6), F.lit(0)),
-    )
-    return F.when(F.rlike(c, F.lit(_ISO)) & (part(4) < 24), _shifted(stamp, offset))
+
+    def parse(t: str) -> str:
+        def offset(zone: str) -> str:
+            digits = replaced(zone, "[^0-9]", "")
+            piece = lambda n: f"coalesce({_int(f'substring({digits}, {n}, 2)')}, 0)"
+            seconds = f"({piece(1)} * 3600 + {piece(3)} * 60 + {piece(5)})"
+            return f"if(startswith({zone}, '-'), -{seconds}, {seconds})"
+
+        part = lambda n: _int(group1(t, _ISO, n))
+        stamp = (
+            f"try_make_timestamp_ntz({part(1)}, {part(2)}, {part(3)}, {part(4)},"
+            f" coalesce({part(5)}, 0), coalesce({part(6)}, 0))"
+        )
+        return case(
+            (f"{matches(t, _ISO)} AND {part(4)} < 24", _shifted(stamp, let(group1(t, _ISO, 8), offset)))
+        )
+
+    return let(c, parse)
 
 
-def display_time(c: Column) -> Column:
+@sql_function
+def display_time(c: str) -> str:
     """How a publication date is shown: its own precision, times in Beijing time."""
-    text = strip(c)
-    return (
-        F.when(text == "", F.lit(UNKNOWN_DATE))
-        .when(F.rlike(text, F.lit(_MONTH_ONLY)) | F.rlike(text, F.lit(_DAY_ONLY)), text)
-        .otherwise(F.coalesce(F.date_format(_local(iso_utc(text)), "yyyy-MM-dd HH:mm:ss"), text))
+    return let(
+        strip(c),
+        lambda t: case(
+            (f"{t} = ''", lit(UNKNOWN_DATE)),
+            (f"{matches(t, _MONTH_ONLY)} OR {matches(t, _DAY_ONLY)}", t),
+            default=f"coalesce(date_format({_local(iso_utc(t))}, 'yyyy-MM-dd HH:mm:ss'), {t})",
+        ),
     )
 
 
-def date_bound(c: Column) -> Column:
+@sql_function
+def date_bound(c: str) -> str:
     """Latest Beijing day an item can be from; NULL when the text is no date."""
-    text = strip(c)
-    year, month = _int(F.substring(text, 1, 4)), _int(F.substring(text, 6, 2))
-    return (
-        F.when(
-            F.rlike(text, F.lit(_MONTH_ONLY)),
-            F.try_to_date(
-                F.concat(text, F.lit("-"), month_length(year, month).cast("string")), "yyyy-MM-dd"
-            ),
+
+    def bound(t: str) -> str:
+        last = month_length(_int(f"substring({t}, 1, 4)"), _int(f"substring({t}, 6, 2)"))
+        return case(
+            (matches(t, _MONTH_ONLY), f"try_to_date(concat({t}, '-', string({last})), 'yyyy-MM-dd')"),
+            (matches(t, _DAY_ONLY), f"try_to_date({t}, 'yyyy-MM-dd')"),
+            default=f"date({_local(iso_utc(t))})",
         )
-        .when(F.rlike(text, F.lit(_DAY_ONLY)), F.try_to_date(text, "yyyy-MM-dd"))
-        .otherwise(_local(iso_utc(text)).cast("date"))
-    )
+
+    return let(strip(c), bound)
 
 
-def precision(c: Column) -> Column:
+@sql_function
+def precision(c: str) -> str:
     """``none``, ``month``, ``day``, ``second`` or ``text``."""
-    text = strip(c)
-    return (
-        F.when(text == "", F.lit("none"))
-        .when(F.rlike(text, F.lit(_MONTH_ONLY)), F.lit("month"))
-        .when(F.rlike(text, F.lit(_DAY_ONLY)), F.lit("day"))
-        .when(iso_utc(text).isNotNull(), F.lit("second"))
-        .otherwise(F.lit("text"))
+    return let(
+        strip(c),
+        lambda t: case(
+            (f"{t} = ''", "'none'"),
+            (matches(t, _MONTH_ONLY), "'month'"),
+            (matches(t, _DAY_ONLY), "'day'"),
+            (f"{iso_utc(t)} IS NOT NULL", "'second'"),
+            default="'text'",
+        ),
     )

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from tidewire.functions.sql import case, let, lit, sql_function
 from tidewire.functions.text import squeeze, strip
 from tidewire.functions.urls import canonical_url
 
@@ -15,63 +13,64 @@ SOURCE_KEY = "__source__"
 AGE_KEY = "__age__"
 
 
+def _joined_hash(*parts: str) -> str:
+    """SHA-256 over the parts separated by NUL characters."""
+    pieces = ", unhex('00'), ".join(f"encode({p}, 'UTF-8')" for p in parts)
+    return f"sha2(concat({pieces}), 256)"
 
-def _joined(*parts: Column) -> Column:
-    """Parts separated by NUL characters, as bytes to be hashed."""
-    nul = F.unhex(F.lit("00"))
-    pieces: list[Column] = []
-    for part in parts:
-        pieces += [nul, F.encode(part, "UTF-8")] if pieces else [F.encode(part, "UTF-8")]
-    return F.concat(*pieces)
-
-
-def sha256_hex(c: Column) -> Column:
-    return F.sha2(c, 256)
 
-
-def content_key(source: Column, published: Column, content: Column) -> Column:
+@sql_function
+def content_key(source: str, published: str, content: str) -> str:
     """Identity of a dated section on a rolling page: source, date and text."""
-    signature = sha256_hex(squeeze(content))
-    return F.concat(F.lit(CHANGELOG_PREFIX), sha256_hex(_joined(source, published, signature)))
+    signature = f"sha2({squeeze(content)}, 256)"
+    return f"concat({lit(CHANGELOG_PREFIX)}, {_joined_hash(source, published, signature)})"
 
 
-def dedupe_key(explicit: Column | None, url: Column) -> Column:
+@sql_function
+def dedupe_key(explicit: str, url: str) -> str:
     """The given key when there is one, else the canonical URL."""
-    if explicit is None:
-        return canonical_url(url)
-    key = strip(explicit)
-    return F.when(F.coalesce(key, F.lit("")) != "", key).otherwise(canonical_url(url))
+    return let(
+        f"coalesce({strip(explicit)}, '')",
+        lambda k: case((f"{k} <> ''", k), default=canonical_url(url)),
+    )
 
 
-def is_ordinary(key: Column, canonical: Column) -> Column:
+@sql_function
+def is_ordinary(key: str, url: str) -> str:
     """Items named by their URL also have the identities (source, id) and (source, URL)."""
-    return key == canonical
+    return f"({key} = {canonical_url(url)})"
 
 
-def issue_key(
-    source: Column, page_url: Column, title: Column, url: Column, index: Column
-) -> Column:
+@sql_function
+def issue_key(source: str, page_url: str, title: str, url: str, index: str) -> str:
     """Identity of a broken entry.
 
     Its canonical URL when that names an article, so that the same article keeps
     one identity through all stages; else a hash over source, page and title.
     ``lower`` stands in for full case folding.
     """
-    entry = F.when(F.coalesce(url, F.lit("")) == "", F.lit("")).otherwise(canonical_url(url))
-    page = canonical_url(page_url)
-    label = F.lower(squeeze(title))
-    label = F.when(
-        label == "",
-        F.concat(F.lit("index:"), F.when(F.coalesce(index, F.lit(0)) == 0, F.lit("?")).otherwise(index.cast("string"))),
-    ).otherwise(label)
-    return F.when((entry != "") & (entry != page), entry).otherwise(
-        F.concat(F.lit(COLLECTION_PREFIX), sha256_hex(_joined(source, page, label)))
-    )
+
+    def choose(page: str) -> str:
+        def key(entry: str) -> str:
+            number = f"if(coalesce({index}, 0) = 0, '?', string({index}))"
+            label = let(
+                f"lower({squeeze(title)})",
+                lambda t: case((f"{t} = ''", f"concat('index:', {number})"), default=t),
+            )
+            return case(
+                (f"{entry} <> '' AND {entry} <> {page}", entry),
+                default=f"concat({lit(COLLECTION_PREFIX)}, {_joined_hash(source, page, label)})",
+            )
+
+        return let(f"if(coalesce({url}, '') = '', '', {canonical_url(url)})", key)
+
+    return let(canonical_url(page_url), choose)
 
 
-def order_key(source_ord: Column, pos: Column) -> Column:
+@sql_function
+def order_key(source_ord: str, pos: str) -> str:
     """One BIGINT that sorts by source priority, then by position on the page.
 
     Positions are below 2**40; up to 2**23 sources.
     """
-    return F.shiftleft(source_ord.cast("long"), 40).bitwiseOR(pos.cast("long"))
+    return f"(shiftleft(bigint({source_ord}), 40) | bigint({pos}))"

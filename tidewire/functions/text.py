@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
 from functools import lru_cache
 from html.entities import html5
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tidewire.functions.sql import case, constant_map, each, keep, let, lit, sql_function
 
 # Every character that counts as white space for trimming and collapsing.  The
 # four separators U+001C..U+001F are not part of Java's Unicode white space.
@@ -17,39 +14,40 @@ _SPACES = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "    　"
 )
-SPACE_CLASS = r"[\s\x1c-\x1f]"
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a computed value to a name inside one expression.
+@sql_function
+def strip(c: str) -> str:
+    """Trim Unicode white space on both ends (SQL ``trim`` only knows U+0020)."""
+    return f"btrim({c}, {lit(_SPACES)})"
 
-    The value appears once in the plan and is computed once per row however
-    often ``body`` uses it.
-    """
-    return F.transform(F.array(value), body)[0]
 
+@sql_function
+def strip_chars(c: str, chars: str) -> str:
+    return f"btrim({c}, {lit(chars)})"
 
-def strip(c: Column) -> Column:
-    """Trim Unicode white space on both ends (SQL ``trim`` only knows U+0020)."""
-    return F.btrim(c, F.lit(_SPACES))
 
+def replaced(c: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({c}, {lit(pattern)}, {lit(by)})"
 
-def strip_chars(c: Column, chars: str) -> Column:
-    return F.btrim(c, F.lit(chars))
 
+def group1(c: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({c}, {lit(pattern)}, {group})"
 
-def squeeze(c: Column) -> Column:
-    """Collapse runs of Unicode white space to one blank and trim."""
-    return F.trim(F.regexp_replace(c, rf"(?U){SPACE_CLASS}+", " "))
+
+def matches(c: str, pattern: str) -> str:
+    return f"rlike({c}, {lit(pattern)})"
 
 
-def group1(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(c, pattern, group)
+def single_blanks(c: str) -> str:
+    return replaced(c, _SPACE_RUN, " ")
 
 
-def group1_of(c: Column, pattern: Column, group: int = 1) -> Column:
-    """``regexp_extract`` with a per-row pattern."""
-    return F.call_function("regexp_extract", c, pattern, F.lit(group))
+@sql_function
+def squeeze(c: str) -> str:
+    """Collapse runs of Unicode white space to one blank and trim."""
+    return f"trim({single_blanks(c)})"
 
 
 # --------------------------------------------------------------------------
@@ -64,10 +62,11 @@ _C1_REPLACEMENTS = {
     if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 }
 
+# The references seen in nearly all pages, tried before the
+# complete table.
+_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}
 
-@lru_cache(maxsize=1)
-def _named_json() -> str:
-    return json.dumps(html5)
+_REFERENCE = r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
 
 
 @lru_cache(maxsize=1)
@@ -77,90 +76,74 @@ def _legacy_pattern() -> str:
     return "^&(" + "|".join(names) + ")"
 
 
-def _named(token: Column) -> Column:
-    table = F.from_json(F.lit(_named_json()), "map<string,string>")
-    return let(
-        table,
-        lambda names: F.coalesce(
-            F.try_element_at(names, F.substr(token, F.lit(2))),
-            let(
-                group1(token, _legacy_pattern()),
-                lambda name: F.when(
-                    name != "",
-                    F.concat(
-                        F.try_element_at(names, name),
-                        F.substr(token, F.length(name) + F.lit(2)),
-                    ),
-                ),
+def _named(token: str) -> str:
+    def look_up(names: str) -> str:
+        legacy = let(
+            group1(token, _legacy_pattern()),
+            lambda n: case(
+                (f"{n} <> ''", f"concat(try_element_at({names}, {n}), substr({token}, length({n}) + 2))")
             ),
-            token,
-        ),
-    )
-
+        )
+        return f"coalesce(try_element_at({names}, substr({token}, 2)), {legacy}, {token})"
 
-def _code_point(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return let(constant_map(html5, "string,string"), look_up)
 
 
-def _character(code: Column) -> Column:
-    c1 = F.create_map(*[F.lit(x) for n, ch in _C1_REPLACEMENTS.items() for x in (n, ch)])
+def _character(code: str) -> str:
+    point = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
+    c1 = constant_map(_C1_REPLACEMENTS, "string,string")
     dropped = (
-        code.between(1, 8)
-        | code.between(0xE, 0x1F)
-        | (code == 0xB)
-        | (code == 0x7F)
-        | code.between(0xFDD0, 0xFDEF)
-        | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        f"{code} BETWEEN 1 AND 8 OR {code} BETWEEN 14 AND 31 OR {code} IN (11, 127)"
+        f" OR {code} BETWEEN 64976 AND 65007 OR ({code} & 65534) = 65534"
     )
-    return (
-        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
-        .when(code.between(0x80, 0x9F), F.coalesce(F.try_element_at(c1, code.cast("int")), _code_point(code)))
-        .when(dropped, F.lit(""))
-        .otherwise(_code_point(code))
+    return case(
+        (f"{code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111", lit("�")),
+        (f"{code} BETWEEN 128 AND 159", f"coalesce(try_element_at({c1}, string({code})), {point})"),
+        (dropped, "''"),
+        default=point,
     )
 
 
-def _numeric(token: Column) -> Column:
-    def value(digits: Column, base: int) -> Column:
-        significant = F.ltrim(digits, F.lit("0"))
-        return (
-            F.when(significant == "", F.lit(0).cast("long"))
-            .when(F.length(significant) > 7, F.lit(0x110000).cast("long"))
-            .otherwise(F.conv(significant, base, 10).cast("long"))
+def _numeric(token: str) -> str:
+    def value(digits: str, base: int) -> str:
+        return let(
+            f"ltrim('0', {digits})",
+            lambda d: case(
+                (f"{d} = ''", "0L"),
+                (f"length({d}) > 7", "1114112L"),
+                default=f"bigint(conv({d}, {base}, 10))",
+            ),
         )
 
     code = let(
         group1(token, r"^&#([xX][0-9a-fA-F]+|[0-9]+)"),
-        lambda d: F.when(F.rlike(d, F.lit("^[xX]")), value(F.substr(d, F.lit(2)), 16)).otherwise(
-            value(d, 10)
-        ),
+        lambda d: case((matches(d, "^[xX]"), value(f"substr({d}, 2)", 16)), default=value(d, 10)),
     )
     return let(code, _character)
 
 
-# The references seen in nearly all pages, tried before the
-# complete table.
-_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}
-
-
-def _reference(token: Column) -> Column:
-    out = F.when(~F.startswith(token, F.lit("&")) | (token == "&"), token)
-    for name, value in _COMMON.items():
-        out = out.when(token == name, F.lit(value))
-    return out.when(F.startswith(token, F.lit("&#")), _numeric(token)).otherwise(_named(token))
+def _reference(token: str) -> str:
+    return case(
+        (f"NOT startswith({token}, '&') OR {token} = '&'", token),
+        *[(f"{token} = {lit(name)}", lit(value)) for name, value in _COMMON.items()],
+        (f"startswith({token}, '&#')", _numeric(token)),
+        default=_named(token),
+    )
 
 
-def unescape(c: Column) -> Column:
+@sql_function
+def unescape(c: str) -> str:
     """Replace HTML character references (all named ones and numeric ones).
 
     Texts without an ampersand skip the work.  The text is cut into references
     and the runs between them, so that a replaced reference is never read twice.
     """
-    tokens = F.regexp_extract_all(
-        c, F.lit(r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"), F.lit(0)
-    )
-    return F.when(~F.contains(c, F.lit("&")), c).otherwise(
-        F.array_join(F.transform(tokens, _reference), "")
+    return let(
+        c,
+        lambda t: case(
+            (f"NOT contains({t}, '&')", t),
+            default=f"array_join({each(f'regexp_extract_all({t}, {lit(_REFERENCE)}, 0)', _reference)}, '')",
+        ),
     )
 
 
@@ -171,48 +154,53 @@ def unescape(c: Column) -> Column:
 _ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
 
 
-def html_markup_removed(c: Column) -> Column:
+def without_markup(c: str) -> str:
     """Drop comments, scripts and styles; put blanks where blocks start or end."""
-    text = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", "")
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
-    text = F.regexp_replace(text, rf"(?i)</?(?:p|div|li)\b{_ATTRS}>|<br\b{_ATTRS}>", " ")
-    return F.regexp_replace(text, rf"<[/!?]?[A-Za-z]{_ATTRS}>", "")
+    text = replaced(c, r"(?s)<!--.*?(?:-->|\z)", "")
+    text = replaced(text, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    text = replaced(text, rf"(?i)</?(?:p|div|li)\b{_ATTRS}>|<br\b{_ATTRS}>", " ")
+    return replaced(text, rf"<[/!?]?[A-Za-z]{_ATTRS}>", "")
 
 
-def clean_html(c: Column) -> Column:
+@sql_function
+def clean_html(c: str) -> str:
     """HTML to one line of text."""
-    # The rest only matters when there is markup or a reference at all.
-    return squeeze(
-        F.when(F.contains(c, F.lit("<")), unescape(html_markup_removed(c))).otherwise(unescape(c))
-    )
+    plain = let(c, lambda t: case((f"contains({t}, '<')", without_markup(t)), default=t))
+    return squeeze(unescape(plain))
 
 
 # Attribute syntax name="value" or name='value'.
-_ATTRIBUTE = r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+_ATTRIBUTE = r"(?U)([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
 
 
-def html_attributes(c: Column) -> Column:
+@sql_function
+def html_attributes(c: str) -> str:
     """``map<string,string>`` of quoted attributes; a repeated name keeps the last value."""
-    pairs = F.transform(
-        F.regexp_extract_all(c, F.lit(rf"(?U){_ATTRIBUTE}"), F.lit(0)),
-        lambda a: F.struct(
-            F.lower(group1(a, r"^([^\s=]+)")).alias("key"),
-            unescape(group1(a, r"(?s)=\s*([\"'])(.*)\1$", 2)).alias("value"),
-        ),
-    )
-    names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(
-        names,
-        F.transform(
-            names,
-            lambda n: F.element_at(F.filter(pairs, lambda p: p["key"] == n), -1)["value"],
-        ),
-    )
 
+    def pair(a: str) -> str:
+        name = f"lower({group1(a, r'^([^\s=]+)')})"
+        value = unescape(group1(a, r"(?s)=\s*([\"'])(.*)\1$", 2))
+        return f"named_struct('key', {name}, 'value', {value})"
+
+    def as_map(pairs: str) -> str:
+        return let(
+            f"array_distinct({each(pairs, lambda p: f'{p}.key')})",
+            lambda names: "map_from_arrays({0}, {1})".format(
+                names,
+                each(
+                    names,
+                    lambda n: f"element_at({keep(pairs, lambda p: f'{p}.key = {n}')}, -1).value",
+                ),
+            ),
+        )
 
-def attribute(c: Column, name: str) -> Column:
+    return let(each(f"regexp_extract_all({c}, {lit(_ATTRIBUTE)}, 0)", pair), as_map)
+
+
+@sql_function
+def attribute(c: str, name: str) -> str:
     """Value of one attribute, ``''`` when absent."""
-    return F.coalesce(F.try_element_at(html_attributes(c), F.lit(name)), F.lit(""))
+    return f"coalesce(try_element_at({html_attributes(c)}, {lit(name)}), '')"
 
 
 # --------------------------------------------------------------------------
@@ -224,43 +212,42 @@ IMAGE = r"!\[[^\]]*\]\([^\n)]*\)"
 LINK = r"\[([^\]]+)\]\([^\n)]*\)"
 
 
-def without_images(c: Column) -> Column:
-    return F.regexp_replace(c, IMAGE, " ")
+@sql_function
+def without_images(c: str) -> str:
+    return replaced(c, IMAGE, " ")
 
 
-def _unwrapped(c: Column) -> Column:
+def _unwrapped(c: str) -> str:
     """Link text instead of links, no emphasis marks."""
-    return F.regexp_replace(F.regexp_replace(c, LINK, "$1"), "[`*_~]", "")
+    return replaced(replaced(c, LINK, "$1"), "[`*_~]", "")
 
 
-def markdown_text(c: Column) -> Column:
+@sql_function
+def markdown_text(c: str) -> str:
     """Markdown to one line of text: images, link targets, marks and tags go."""
-    text = F.regexp_replace(_unwrapped(without_images(c)), "<[^>]+>", " ")
-    return strip(unescape(squeeze_inner(text)))
+    text = replaced(_unwrapped(without_images(c)), "<[^>]+>", " ")
+    return strip(unescape(single_blanks(text)))
 
 
-def markdown_body_text(c: Column) -> Column:
+@sql_function
+def markdown_body_text(c: str) -> str:
     """Same for the body of a card, where tags are cut before the Markdown."""
-    text = F.regexp_replace(c, r"(?i)<br\s*/?>", " ")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    return strip(unescape(squeeze_inner(_unwrapped(without_images(text)))))
-
-
-def squeeze_inner(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE_CLASS}+", " ")
+    text = replaced(replaced(c, r"(?i)<br\s*/?>", " "), "<[^>]+>", " ")
+    return strip(unescape(single_blanks(_unwrapped(without_images(text)))))
 
 
-def article_text(c: Column, retain_links: bool = False) -> Column:
+@sql_function
+def article_text(c: str, retain_links: bool = False) -> str:
     """Clean a fetched article: no images, no link targets, no bare URLs."""
-    text = F.regexp_replace(c, IMAGE, "")
-    text = F.regexp_replace(text, r"!\[[^\]]*\]\[[^\]]*\]", "")
-    text = F.regexp_replace(text, r"(?is)<img\b[^>]*>", "")
+    text = replaced(c, IMAGE, "")
+    text = replaced(text, r"!\[[^\]]*\]\[[^\]]*\]", "")
+    text = replaced(text, r"(?is)<img\b[^>]*>", "")
     if not retain_links:
-        text = F.regexp_replace(text, LINK, "$1")
-        text = F.regexp_replace(text, r"\[([^\]]+)\]\[[^\]]*\]", "$1")
-        text = F.regexp_replace(text, r"(?dmU)^[ \t]*\[[^\]]+\]:[ \t]*[^\s\x1c-\x1f]+.*$", "")
-        text = F.regexp_replace(text, r"<https?://[^>]+>", "")
-        text = F.regexp_replace(text, r"(?U)https?://[^\s\x1c-\x1f]+", "")
-    text = F.regexp_replace(text, r"(?dm)^[ \t]*URL Source:[ \t]*.*$", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+        text = replaced(text, LINK, "$1")
+        text = replaced(text, r"\[([^\]]+)\]\[[^\]]*\]", "$1")
+        text = replaced(text, r"(?dmU)^[ \t]*\[[^\]]+\]:[ \t]*[^\s\x1c-\x1f]+.*$", "")
+        text = replaced(text, r"<https?://[^>]+>", "")
+        text = replaced(text, r"(?U)https?://[^\s\x1c-\x1f]+", "")
+    text = replaced(text, r"(?dm)^[ \t]*URL Source:[ \t]*.*$", "")
+    text = replaced(text, r"[ \t]+", " ")
+    return strip(replaced(text, r"\n{3,}", "\n\n"))

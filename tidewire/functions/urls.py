@@ -1,14 +1,12 @@
-"""URL identity and allow-lists as Column expressions."""
+"""URL identity and allow-lists."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tidewire.functions.text import group1, let, strip, strip_chars, unescape
+from tidewire.functions.sql import case, each, fold, fresh, keep, let, lit, sql_function
+from tidewire.functions.text import group1, matches, replaced, strip, strip_chars, unescape
 
 # Query parameters that only track a visitor.  Any name that
 # starts with "utm_" is one as well.
@@ -24,81 +22,62 @@ HOST_NOT_ALLOWED = "link host is not allowed: "
 
 # The generic URI grammar of RFC 3986, appendix B.
 _URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_PORT = r"^(?:\[[^\]]*\]|[^:\[\]]*):(.*)$"
+_BRACKETED = r"^\[(?:[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(?:%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\](?::.*)?$"
 _CONTROL = "".join(chr(c) for c in range(0x21))
+_BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
 
 
 class Url:
-    """The parts of a parsed URL text; absent parts are ``''``."""
-
-    def __init__(self, parts: Column) -> None:
-        self.scheme = parts["scheme"]
-        self.authority = parts["authority"]  # with the leading slashes
-        self.path = parts["path"]
-        self.query = parts["query"]
-        self.fragment = parts["fragment"]
-        self.place = parts["place"]  # host[:port]
-        self.host = parts["host"]
-        self.port_text = parts["port_text"]
-
-    @property
-    def has_userinfo(self) -> Column:
-        return F.contains(self.authority, F.lit("@"))
-
-    @property
-    def port(self) -> Column:
-        """NULL when there is no port or it is no number."""
-        return F.when(
-            F.rlike(self.port_text, F.lit("^[0-9]+$")), self.port_text.try_cast("bigint")
-        )
+    """Names of the parts of a parsed URL; absent parts are ``''``."""
+
+    def __init__(self, p: str) -> None:
+        self.scheme = f"{p}.scheme"
+        self.authority = f"{p}.authority"  # with the leading slashes
+        self.path = f"{p}.path"
+        self.query = f"{p}.query"
+        self.fragment = f"{p}.fragment"
+        self.place = f"{p}.place"  # host[:port]
+        self.host = f"{p}.host"
+        self.port_text = f"{p}.port_text"
+        self.has_userinfo = f"contains({self.authority}, '@')"
+        #: NULL when there is no port or it is no number.
+        self.port = f"(CASE WHEN {matches(self.port_text, '^[0-9]+$')} THEN try_cast({self.port_text} AS BIGINT) END)"
+        self.port_ok = f"({self.port_text} = '' OR coalesce({self.port} <= 65535, false))"
+        #: An IPv6 literal is either absent or alone in its brackets.
+        self.brackets_ok = f"(NOT {matches(self.authority, r'[\[\]]')} OR {matches(self.place, _BRACKETED)})"
+
+
+def with_url(c: str, body: Callable[[Url], str]) -> str:
+    """Parse a URL text once and compute ``body`` from its parts."""
+    clean = f"translate(ltrim({lit(_CONTROL)}, {c}), {lit(chr(9) + chr(13) + chr(10))}, '')"
 
-    @property
-    def brackets_ok(self) -> Column:
-        """An IPv6 literal is either absent or alone in its brackets."""
-        return ~F.rlike(self.authority, F.lit(r"[\[\]]")) | F.rlike(
-            self.place,
-            F.lit(r"^\[(?:[0-9A-Fa-f]*:[0-9A-Fa-f:.]*(?:%[^\]]*)?|v[0-9A-Fa-f]+\.[^\]]+)\](?::.*)?$"),
+    def raw(t: str) -> str:
+        return (
+            f"named_struct('scheme', lower({group1(t, _URI, 1)}), 'authority', {group1(t, _URI, 2)},"
+            f" 'path', {group1(t, _URI, 3)}, 'query', {group1(t, _URI, 4)},"
+            f" 'fragment', {group1(t, _URI, 5)})"
         )
 
-    @property
-    def port_ok(self) -> Column:
-        return (self.port_text == "") | F.coalesce(self.port <= 65535, F.lit(False))
-
-
-def with_url(c: Column, body: Callable[[Url], Column]) -> Column:
-    """Parse a URL text once and compute ``body`` from its parts."""
-    clean = F.translate(F.ltrim(c, F.lit(_CONTROL)), "\t\r\n", "")
-
-    def raw(text: Column) -> Column:
-        authority = group1(text, _URI, 2)
-        return F.struct(
-            F.lower(group1(text, _URI, 1)).alias("scheme"),
-            authority.alias("authority"),
-            group1(text, _URI, 3).alias("path"),
-            group1(text, _URI, 4).alias("query"),
-            group1(text, _URI, 5).alias("fragment"),
-            F.substring_index(F.substr(authority, F.lit(3)), "@", -1).alias("place"),
-        )
+    def placed(p: str) -> str:
+        def hosted(place: str) -> str:
+            host = case(
+                (f"startswith({place}, '[')", group1(place, r"^\[([^\]]*)")),
+                default=f"substring_index({place}, ':', 1)",
+            )
+            return (
+                f"named_struct('scheme', {p}.scheme, 'authority', {p}.authority, 'path', {p}.path,"
+                f" 'query', {p}.query, 'fragment', {p}.fragment, 'place', {place},"
+                f" 'host', lower({host}), 'port_text', {group1(place, _PORT)})"
+            )
 
-    def placed(p: Column) -> Column:
-        host = F.when(
-            F.startswith(p["place"], F.lit("[")), group1(p["place"], r"^\[([^\]]*)")
-        ).otherwise(F.substring_index(p["place"], ":", 1))
-        return F.struct(
-            p["scheme"].alias("scheme"),
-            p["authority"].alias("authority"),
-            p["path"].alias("path"),
-            p["query"].alias("query"),
-            p["fragment"].alias("fragment"),
-            p["place"].alias("place"),
-            F.lower(host).alias("host"),
-            group1(p["place"], r"^(?:\[[^\]]*\]|[^:\[\]]*):(.*)$").alias("port_text"),
-        )
+        return let(f"substring_index(substr({p}.authority, 3), '@', -1)", hosted)
 
     return let(let(let(clean, raw), placed), lambda p: body(Url(p)))
 
 
-def before_fragment(c: Column) -> Column:
-    return F.substring_index(c, "#", 1)
+def before_fragment(c: str) -> str:
+    return f"substring_index({c}, '#', 1)"
 
 
 # --------------------------------------------------------------------------
@@ -106,80 +85,72 @@ def before_fragment(c: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
-def _decoded(c: Column) -> Column:
+def _decoded(c: str) -> str:
     """Percent-decoding where a malformed escape stays as it is."""
-    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"url_decode({replaced(c, _BAD_ESCAPE, '%25')})"
 
 
-def _encoded(c: Column) -> Column:
+def _encoded(c: str) -> str:
     """Form encoding with the unreserved set of RFC 3986 (Java keeps ``*``, not ``~``)."""
-    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return f"replace(replace(url_encode({c}), '*', '%2A'), '%7E', '~')"
 
 
-def canonical_query(query: Column) -> Column:
+def canonical_query(query: str) -> str:
     """Parameters without trackers, sorted by (name, value) and re-encoded."""
-    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
-    pairs = F.transform(
-        pieces,
-        lambda p: F.struct(
-            _decoded(F.substring_index(p, "=", 1)).alias("name"),
-            F.when(F.contains(p, F.lit("=")), _decoded(group1(p, r"(?s)^[^=]*=(.*)$")))
-            .otherwise(F.lit(""))
-            .alias("value"),
+    pairs = each(
+        keep(f"split({query}, '&')", lambda p: f"{p} <> ''"),
+        lambda p: "named_struct('name', {0}, 'value', {1})".format(
+            _decoded(f"substring_index({p}, '=', 1)"),
+            case((f"contains({p}, '=')", _decoded(group1(p, r"(?s)^[^=]*=(.*)$"))), default="''"),
         ),
     )
-    kept = F.filter(
-        pairs,
-        lambda p: ~(
-            F.startswith(F.lower(p["name"]), F.lit("utm_"))
-            | F.lower(p["name"]).isin(*TRACKING_PARAMETERS)
-        ),
+    trackers = ", ".join(lit(n) for n in TRACKING_PARAMETERS)
+    kept = keep(
+        pairs, lambda p: f"NOT (startswith(lower({p}.name), 'utm_') OR lower({p}.name) IN ({trackers}))"
     )
-    return F.array_join(
-        F.transform(
-            F.array_sort(kept), lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))
-        ),
-        "&",
+    encoded = each(
+        f"array_sort({kept})", lambda p: f"concat({_encoded(p + '.name')}, '=', {_encoded(p + '.value')})"
     )
+    return f"array_join({encoded}, '&')"
 
 
-def canonical_url(c: Column) -> Column:
+@sql_function
+def canonical_url(c: str) -> str:
     """The form of a URL by which the same article is recognised everywhere.
 
     Lower-case scheme and host, no user info, default port, tracking parameter
     or fragment, sorted query.  Path and percent-escapes in it are kept.  Text
     that is no absolute URL is only cut at the fragment.
     """
-    def absolute(url: Url) -> Column:
-        host = F.rtrim(url.host, F.lit("."))
-        host = F.when(
-            F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))
-        ).otherwise(host)
-        default_port = ((url.scheme == "http") & (url.port == 80)) | (
-            (url.scheme == "https") & (url.port == 443)
+
+    def absolute(u: Url) -> str:
+        host = let(
+            f"rtrim('.', {u.host})",
+            lambda h: case((f"contains({h}, ':')", f"concat('[', {h}, ']')"), default=h),
         )
-        port = F.when(url.port.isNull() | default_port, F.lit("")).otherwise(
-            F.concat(F.lit(":"), url.port.cast("string"))
+        default_port = (
+            f"({u.scheme} = 'http' AND {u.port} = 80) OR ({u.scheme} = 'https' AND {u.port} = 443)"
         )
-        path = F.when(url.path == "", F.lit("/")).otherwise(url.path)
-        query = F.when(url.query == "", F.lit("")).otherwise(
-            let(
-                canonical_query(url.query),
-                lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q)),
-            )
+        port = case(
+            (f"{u.port} IS NULL OR {default_port}", "''"), default=f"concat(':', string({u.port}))"
         )
-        return F.when(
-            (url.scheme != "") & (url.host != "") & url.brackets_ok & url.port_ok,
-            F.concat(url.scheme, F.lit("://"), host, port, path, query),
+        query = let(
+            canonical_query(u.query), lambda q: case((f"{q} = ''", "''"), default=f"concat('?', {q})")
+        )
+        return case(
+            (
+                f"{u.scheme} <> '' AND {u.host} <> '' AND {u.brackets_ok} AND {u.port_ok}",
+                f"concat({u.scheme}, '://', {host}, {port}, if({u.path} = '', '/', {u.path}),"
+                f" if({u.query} = '', '', {query}))",
+            )
         )
 
-    return let(
-        strip(c), lambda text: F.coalesce(with_url(text, absolute), before_fragment(text))
-    )
+    return let(strip(c), lambda t: f"coalesce({with_url(t, absolute)}, {before_fragment(t)})")
 
 
-def host_of(c: Column) -> Column:
-    return with_url(strip(c), lambda url: F.rtrim(url.host, F.lit(".")))
+@sql_function
+def host_of(c: str) -> str:
+    return with_url(strip(c), lambda u: f"rtrim('.', {u.host})")
 
 
 # --------------------------------------------------------------------------
@@ -187,75 +158,73 @@ def host_of(c: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
-def _merged_path(base_path: Column, path: Column) -> Column:
+def _merged_path(base_path: str, path: str) -> str:
     """Relative path against a base path, dot segments folded."""
-    base_dir = F.regexp_replace(base_path, "[^/]+$", "")
-    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(base_dir, path))
+    base_dir = replaced(base_path, "[^/]+$", "")
+    whole = f"if(startswith({path}, '/'), {path}, concat({base_dir}, {path}))"
 
-    def folded(segments: Column) -> Column:
-        last = F.size(segments) - F.lit(1)
-        inner = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == last))
-        kept = F.aggregate(
+    def folded(segments: str) -> str:
+        s, i = fresh(), fresh("i")
+        inner = (
+            f"filter({segments}, ({s}, {i}) -> {s} <> '' OR {i} = 0 OR {i} = size({segments}) - 1)"
+        )
+        kept = fold(
             inner,
-            F.array().cast("array<string>"),
-            lambda acc, s: F.when(
-                s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - F.lit(1), F.lit(0)))
-            )
-            .when(s == ".", acc)
-            .otherwise(F.concat(acc, F.array(s))),
+            "cast(array() AS array<string>)",
+            lambda acc, s: case(
+                (f"{s} = '..'", f"slice({acc}, 1, greatest(size({acc}) - 1, 0))"),
+                (f"{s} = '.'", acc),
+                default=f"concat({acc}, array({s}))",
+            ),
         )
-        ending = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-        return F.concat(F.array_join(kept, "/"), ending)
+        ending = f"if(element_at({segments}, -1) IN ('.', '..'), '/', '')"
+        return f"concat(array_join({kept}, '/'), {ending})"
 
     return let(
         whole,
         # Nothing to fold in the usual case.
-        lambda full: F.when(~F.rlike(full, F.lit(r"(?:^|/)\.{1,2}(?:/|$)|//|^[^/]")), full).otherwise(
-            let(
-                folded(F.split(full, "/")),
-                lambda p: F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)),
-            )
+        lambda full: case(
+            (f"NOT {matches(full, r'(?:^|/)\.{1,2}(?:/|$)|//|^[^/]')}", full),
+            default=let(
+                let(f"split({full}, '/')", folded),
+                lambda p: f"if(startswith({p}, '/'), {p}, concat('/', {p}))",
+            ),
         ),
     )
 
 
-def resolve(base: Column, target: Column) -> Column:
+@sql_function
+def resolve(base: str, target: str) -> str:
     """Join a link target with the page URL; NULL when either has broken brackets."""
-    def tail(query: Column, fragment: Column) -> Column:
-        return F.concat(
-            F.when(query == "", query).otherwise(F.concat(F.lit("?"), query)),
-            F.when(fragment == "", fragment).otherwise(F.concat(F.lit("#"), fragment)),
+
+    def tail(query: str, fragment: str) -> str:
+        return (
+            f"concat(if({query} = '', '', concat('?', {query})),"
+            f" if({fragment} = '', '', concat('#', {fragment})))"
         )
 
-    def joined(b: Url, t: Url) -> Column:
-        same_scheme = (t.scheme == "") | (t.scheme == b.scheme)
-        rest = (
-            F.when(~t.authority.isin("", "//"), F.concat(t.authority, t.path, tail(t.query, t.fragment)))
-            .when(
-                t.path == "",
-                F.concat(
-                    b.authority,
-                    b.path,
-                    tail(F.when(t.query == "", b.query).otherwise(t.query), t.fragment),
-                ),
-            )
-            .otherwise(
-                F.concat(b.authority, _merged_path(b.path, t.path), tail(t.query, t.fragment))
-            )
+    def joined(t: str, b: Url, u: Url) -> str:
+        own = f"concat({u.authority}, {u.path}, {tail(u.query, u.fragment)})"
+        same_page = (
+            f"concat({b.authority}, {b.path},"
+            f" {tail(f'if({u.query} = {lit('')}, {b.query}, {u.query})', u.fragment)})"
         )
-        return F.when(
-            b.brackets_ok & t.brackets_ok,
-            F.when(target == "", base)
-            .when(~same_scheme, target)
-            .otherwise(F.concat(b.scheme, F.lit(":"), rest)),
+        below = f"concat({b.authority}, {_merged_path(b.path, u.path)}, {tail(u.query, u.fragment)})"
+        rest = case((f"{u.authority} NOT IN ('', '//')", own), (f"{u.path} = ''", same_page), default=below)
+        return case(
+            (f"NOT ({b.brackets_ok} AND {u.brackets_ok})", "NULL"),
+            (f"{t} = ''", base),
+            (f"{u.scheme} <> '' AND {u.scheme} <> {b.scheme}", t),
+            default=f"concat({b.scheme}, ':', {rest})",
         )
 
-    return with_url(base, lambda b: with_url(target, lambda t: joined(b, t)))
+    return with_url(base, lambda b: let(target, lambda t: with_url(t, lambda u: joined(t, b, u))))
 
 
-def issue_url(base: Column, target: Column) -> Column:
+@sql_function
+def issue_url(base: str, target: str) -> str:
     """Where a bad entry pointed to; unresolvable text is kept, at most 2000 characters."""
-    return F.coalesce(resolve(base, target), F.substring(target, 1, 2000))
+    return f"coalesce({resolve(base, target)}, substring({target}, 1, 2000))"
 
 
 # --------------------------------------------------------------------------
@@ -263,58 +232,56 @@ def issue_url(base: Column, target: Column) -> Column:
 # --------------------------------------------------------------------------
 
 
-def host_allowed(host: Column, allowed: Column) -> Column:
+@sql_function
+def host_allowed(host: str, allowed: str) -> str:
     """The host itself or a subdomain of an allowed one."""
-    return F.exists(
-        allowed, lambda a: (host == a) | F.endswith(host, F.concat(F.lit("."), a))
-    )
+    a = fresh()
+    return f"exists({allowed}, {a} -> {host} = {a} OR endswith({host}, concat('.', {a})))"
 
 
-def item_link(target: Column, base: Column, allowed: Column) -> Column:
+@sql_function
+def item_link(target: str, base: str, allowed: str) -> str:
     """Check a link of a list page: ``struct<url, error>`` with one of them NULL."""
-    def checked(value: Column, url: Column, parts: Url) -> Column:
-        host = F.rtrim(parts.host, F.lit("."))
-        valid = (
-            url.isNotNull()
-            & parts.port_ok
-            & parts.scheme.isin("http", "https")
-            & (host != "")
-            & ~parts.has_userinfo
-            & ((parts.port_text == "") | (parts.port >= 1))
-        )
-        error = (
-            F.when((value == "") | F.startswith(value, F.lit("#")), F.lit(NOT_AN_ARTICLE))
-            .when(~F.coalesce(valid, F.lit(False)), F.lit(NOT_VALID))
-            .when(~host_allowed(host, allowed), F.concat(F.lit(HOST_NOT_ALLOWED), host))
-        )
+
+    def checked(value: str, url: str, u: Url) -> str:
+        def error(host: str) -> str:
+            valid = (
+                f"{url} IS NOT NULL AND {u.port_ok} AND {u.scheme} IN ('http', 'https') AND {host} <> ''"
+                f" AND NOT {u.has_userinfo} AND ({u.port_text} = '' OR {u.port} >= 1)"
+            )
+            return case(
+                (f"{value} = '' OR startswith({value}, '#')", lit(NOT_AN_ARTICLE)),
+                (f"NOT coalesce({valid}, false)", lit(NOT_VALID)),
+                (f"NOT {host_allowed(host, allowed)}", f"concat({lit(HOST_NOT_ALLOWED)}, {host})"),
+            )
+
         return let(
-            error,
-            lambda e: F.struct(F.when(e.isNull(), url).alias("url"), e.alias("error")),
+            let(f"rtrim('.', {u.host})", error),
+            lambda e: f"named_struct('url', if({e} IS NULL, {url}, NULL), 'error', {e})",
         )
 
     return let(
         strip_chars(unescape(strip(target)), "<>"),
         lambda value: let(
-            resolve(base, value),
-            lambda url: with_url(url, lambda parts: checked(value, url, parts)),
+            resolve(base, value), lambda url: with_url(url, lambda u: checked(value, url, u))
         ),
     )
 
 
-def article_link(c: Column, allowed: Column) -> Column:
+@sql_function
+def article_link(c: str, allowed: str) -> str:
     """Stricter check for fetching an article: HTTPS on an allowed host, no user info.
 
     Returns the URL without its fragment, NULL when it may not be fetched.
     """
     return with_url(
         c,
-        lambda url: F.when(
-            url.brackets_ok
-            & url.port_ok
-            & (url.scheme == "https")
-            & ~url.has_userinfo
-            & host_allowed(url.host, allowed),
-            before_fragment(c),
+        lambda u: case(
+            (
+                f"{u.brackets_ok} AND {u.port_ok} AND {u.scheme} = 'https' AND NOT {u.has_userinfo}"
+                f" AND {host_allowed(u.host, allowed)}",
+                before_fragment(c),
+            )
         ),
     )
 
