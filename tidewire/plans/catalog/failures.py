@@ -39,22 +39,20 @@ def failing_users(spark, folder):
 
 _KIND_SQL = "CASE event_type WHEN 'error' THEN 'f' WHEN 'purchase' THEN 'r' END"
 
-#: An article key for some users and a list-entry key for others.
+#: An article key for low values of the property, a list-entry key for others.
 _ITEM_KEY = (
-    "concat(if(user_id % 2 = 0, 'collection:', 'https://x.example.com/'), get_json_object(props, '$.k'))"
+    "concat(if(get_json_object(props, '$.k') >= '5', 'collection:', 'https://x.example.com/'),"
+    " substr(get_json_object(props, '$.k'), 1, 1))"
 )
 _ITEM_KEY_SQL = (
-    "CASE WHEN user_id % 2 = 0 THEN 'collection:' ELSE 'https://x.example.com/' END"
-    " || json_extract_string(props, '$.k')"
+    "CASE WHEN json_extract_string(props, '$.k') >= '5' THEN 'collection:' ELSE 'https://x.example.com/' END"
+    " || substr(json_extract_string(props, '$.k'), 1, 1)"
 )
 
 
 def _keyed(spark, folder):
     return table(spark, folder, "events").selectExpr(
-        "event_id",
-        "event_type",
-        "concat('user ', user_id % 7) AS source",
-        f"{_ITEM_KEY} AS item_key",
+        "event_id", "event_type", "value", "concat('user ', user_id) AS source", f"{_ITEM_KEY} AS item_key"
     )
 
 
@@ -72,7 +70,7 @@ def log_rows_with_run(rows, event):
 
 
 def _current(spark, folder):
-    return _keyed(spark, folder).where("event_type = 'view' AND event_id > 5000").select(
+    return _keyed(spark, folder).where("event_type = 'view' AND value > 30").select(
         "source", "item_key", F.lit("t").alias("title"), F.lit("parse").alias("stage"), F.col("event_id").alias("event_ord")
     )
 
@@ -89,7 +87,7 @@ def new_alerts(spark, folder):
 
 def recovered_entries(spark, folder):
     """Active entry failures that are gone from the sources collected now."""
-    collected = _keyed(spark, folder).where("event_type = 'signup' AND event_id < 50").select("source").distinct()
+    collected = _keyed(spark, folder).where("event_type = 'signup' AND value > 10").select("source").distinct()
     return vanished_issues(active_keys(spark, folder), _current(spark, folder), collected)
 
 
@@ -104,21 +102,21 @@ def recovered_articles(spark, folder):
 def cleared_keys(spark, folder):
     """Clearing by source, by prefix, and by a table of keys."""
     active = active_keys(spark, folder)
-    clicked = _keyed(spark, folder).where("event_type = 'click' AND event_id < 2000")
+    clicked = _keyed(spark, folder).where("event_type = 'click' AND value > 15")
     tag = lambda df, how: df.select(F.lit(how).alias("how"), "source", "item_key")
     return (
-        tag(cleared(active, source="user 3"), "source")
-        .unionByName(tag(cleared(active, source="user 4", prefix="collection:"), "prefix"))
+        tag(cleared(active, source="user 1"), "source")
+        .unionByName(tag(cleared(active, source="user 2", prefix="collection:"), "prefix"))
         .unionByName(tag(cleared(active, keys=clicked), "keys"))
     )
 
 
 _ACTIVE_SQL = f"""
-keyed AS (SELECT event_id, event_type, 'user ' || (user_id % 7) AS source, {_ITEM_KEY_SQL} AS item_key FROM events),
+keyed AS (SELECT event_id, event_type, value, 'user ' || user_id AS source, {_ITEM_KEY_SQL} AS item_key FROM events),
 active AS (SELECT source, item_key FROM keyed WHERE event_type IN ('error', 'purchase')
   GROUP BY source, item_key HAVING arg_max(event_type, event_id) = 'error'),
 now AS (SELECT source, item_key, min(event_id) AS event_ord FROM keyed
-  WHERE event_type = 'view' AND event_id > 5000 GROUP BY source, item_key)
+  WHERE event_type = 'view' AND value > 30 GROUP BY source, item_key)
 """
 
 
@@ -130,7 +128,7 @@ def first_stages(spark, folder):
         "concat('t ', item_key) AS title",
         "CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'summary' WHEN 'error' THEN 'content'"
         " WHEN 'signup' THEN 'send' ELSE 'cache' END AS stage",
-    ).where("stage <> 'cache' OR source = 'user 1'")
+    ).where("stage <> 'cache' OR source LIKE 'user 1%'")
     return failed
 
 
@@ -147,7 +145,7 @@ _STAGE_SQL = """
 staged AS (SELECT source, item_key, CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'summary'
     WHEN 'error' THEN 'content' WHEN 'signup' THEN 'send' ELSE 'cache' END AS stage FROM keyed),
 ranked AS (SELECT *, list_position(['cache', 'content', 'summary', 'message', 'send', 'record'], stage) AS o
-  FROM staged WHERE stage <> 'cache' OR source = 'user 1')
+  FROM staged WHERE stage <> 'cache' OR source LIKE 'user 1%')
 """
 
 
@@ -187,13 +185,13 @@ ORACLES = {
           AND NOT EXISTS (SELECT 1 FROM now n WHERE n.source = a.source AND n.item_key = a.item_key)""",
     "vanished_entries_j12": f"""
         WITH {_ACTIVE_SQL} SELECT source, item_key FROM active a WHERE starts_with(item_key, 'collection:')
-          AND source IN (SELECT source FROM keyed WHERE event_type = 'signup' AND event_id < 50)
+          AND source IN (SELECT source FROM keyed WHERE event_type = 'signup' AND value > 10)
           AND NOT EXISTS (SELECT 1 FROM now n WHERE n.source = a.source AND n.item_key = a.item_key)""",
     "cleared_failures_k4": f"""
-        WITH {_ACTIVE_SQL} SELECT 'source' AS how, source, item_key FROM active WHERE source = 'user 3'
-        UNION ALL SELECT 'prefix', source, item_key FROM active WHERE source = 'user 4' AND starts_with(item_key, 'collection:')
+        WITH {_ACTIVE_SQL} SELECT 'source' AS how, source, item_key FROM active WHERE source = 'user 1'
+        UNION ALL SELECT 'prefix', source, item_key FROM active WHERE source = 'user 2' AND starts_with(item_key, 'collection:')
         UNION ALL SELECT 'keys', source, item_key FROM active a WHERE EXISTS (SELECT 1 FROM keyed k
-          WHERE event_type = 'click' AND event_id < 2000 AND k.source = a.source AND k.item_key = a.item_key)""",
+          WHERE event_type = 'click' AND value > 15 AND k.source = a.source AND k.item_key = a.item_key)""",
     "first_failure_stage_a3": f"""
         WITH {_ACTIVE_SQL}, {_STAGE_SQL}
         SELECT source, item_key, 't ' || item_key AS title, arg_min(stage, o) AS stage FROM ranked GROUP BY source, item_key""",

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.dedup import first_in_source
+from tidewire.operators.dedup import first_by
 from tidewire.schemas import ISSUES, ITEMS, SOURCE_FAILURES
 from tidewire.sources.embedded_json import embedded_json_entries
 from tidewire.sources.index_links import index_link_entries
@@ -56,16 +56,19 @@ def entries(
     )
 
 
-def split_entries(rows: DataFrame) -> Collected:
-    """Entry rows as three tables; within a source the first entry of a key counts."""
-    items = rows.where(F.col("kind") == "item")
-    keeps = F.col("collector").isin(*KEEPS_REPEATS)
-    items = first_in_source(
-        items.withColumn("_repeat", F.when(keeps, F.col("pos")).otherwise(F.lit(0).cast("long"))),
-        also=("run_id", "_repeat"),
+def distinct_entries(rows: DataFrame) -> DataFrame:
+    """Within a page the first item of a key counts; issues and failures all stay."""
+    repeats = (F.col("kind") == "item") & ~F.col("collector").isin(*KEEPS_REPEATS)
+    group = F.when(repeats, F.concat(F.lit("k"), F.col("dedupe_key"))).otherwise(
+        F.concat(F.col("kind"), F.coalesce(F.col("pos"), F.lit(0)).cast("string"))
     )
+    return first_by(rows.withColumn("_group", group), ["run_id", "source", "_group"], ["pos"]).drop("_group")
+
+
+def split_entries(rows: DataFrame) -> Collected:
+    """Distinct entry rows as three tables."""
     return Collected(
-        items.select(*ITEMS.names),
+        rows.where(F.col("kind") == "item").select(*ITEMS.names),
         rows.where(F.col("kind") == "issue").select(
             "run_id", "source", "source_ord", "pos",
             F.lit("parse").alias("stage"),
@@ -83,7 +86,7 @@ def collect(
     collectors: Iterable[str] | None = None,
     max_bytes: int = MAX_RESPONSE_BYTES,
 ) -> DataFrame:
-    """Entry rows of all collectors.
+    """Distinct entry rows of all collectors.
 
     Land documents partitioned by ``collector`` so that each extractor reads only
     its own files, and write the result once before splitting it.
@@ -92,4 +95,4 @@ def collect(
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)
-    return result
+    return distinct_entries(result)
