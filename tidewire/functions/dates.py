@@ -13,13 +13,8 @@ from tidewire.functions.text import group1, markdown_text, matches, replaced, sq
 ZONE = "Asia/Shanghai"
 UNKNOWN_DATE = "日期未知"
 
-# English month names and their accepted abbreviations.
-MONTHS = {
-    "jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3,
-    "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7, "july": 7,
-    "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10,
-    "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12,
-}
+# English months by their first letters, and all accepted forms.
+_MONTH_ORDER = "jan feb mar apr may jun jul aug sep oct nov dec"
 _MONTH = (
     r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|"
     r"Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -56,7 +51,8 @@ def _int(c: str) -> str:
 
 def _month_number(name: str) -> str:
     """Month of an English name or abbreviation; NULL for any other word."""
-    return f"try_element_at({constant_map(MONTHS, 'string,int')}, lower({name}))"
+    at = f"instr({lit(_MONTH_ORDER)}, lower(substring({name}, 1, 3)))"
+    return case((matches(name, f"(?i)^(?:{_MONTH})$"), f"int(({at} + 3) / 4)"))
 
 
 def month_length(year: str, month: str) -> str:

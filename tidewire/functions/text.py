@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 from html.entities import html5
 
-from tidewire.functions.sql import case, constant_map, each, keep, let, lit, sql_function
+from tidewire.functions.sql import case, each, keep, let, lit, sql_function
 
 # Every character that counts as white space for trimming and collapsing.  The
 # four separators U+001C..U+001F are not part of Java's Unicode white space.
@@ -54,17 +54,9 @@ def squeeze(c: str) -> str:
 # Character references
 # --------------------------------------------------------------------------
 
-# The HTML standard maps these numeric references (C1 range) to
-# windows-1252 characters.
-_C1_REPLACEMENTS = {
-    n: bytes([n]).decode("cp1252")
-    for n in range(0x80, 0xA0)
-    if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)
-}
-
-# The references seen in nearly all pages, tried before the
-# complete table.
-_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}
+# The HTML standard reads the numeric references of the C1 range as windows-1252;
+# the five that it leaves undefined stay what they are.
+_C1 = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
 
 _REFERENCE = r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
 
@@ -76,29 +68,51 @@ def _legacy_pattern() -> str:
     return "^&(" + "|".join(names) + ")"
 
 
+# References seen in nearly all pages; they stand first in the table.
+_FREQUENT = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;", "mdash;", "ndash;", "hellip;")
+
+
+@lru_cache(maxsize=1)
+def _names_text() -> str:
+    """All named references as one text; much cheaper to ship with a plan than a map."""
+    names = [*_FREQUENT, *(n for n in html5 if n not in _FREQUENT)]
+    return "".join(f"\x01{name}\x02{html5[name]}" for name in names) + "\x01"
+
+
 def _named(token: str) -> str:
+    """The reference by its whole name, else by the longest name it begins with."""
+
+    def value(names: str, name: str) -> str:
+        mark = f"concat({lit(chr(1))}, {name}, {lit(chr(2))})"
+        return let(
+            f"instr({names}, {mark})",
+            lambda at: case(
+                (
+                    f"{at} > 0",
+                    f"substring_index(substr({names}, {at} + length({name}) + 2, 4), {lit(chr(1))}, 1)",
+                )
+            ),
+        )
+
     def look_up(names: str) -> str:
         legacy = let(
             group1(token, _legacy_pattern()),
-            lambda n: case(
-                (f"{n} <> ''", f"concat(try_element_at({names}, {n}), substr({token}, length({n}) + 2))")
-            ),
+            lambda n: f"concat({value(names, n)}, substr({token}, length({n}) + 2))",
         )
-        return f"coalesce(try_element_at({names}, substr({token}, 2)), {legacy}, {token})"
+        return f"coalesce({value(names, f'substr({token}, 2)')}, {legacy}, {token})"
 
-    return let(constant_map(html5, "string,string"), look_up)
+    return let(lit(_names_text()), look_up)
 
 
 def _character(code: str) -> str:
     point = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
-    c1 = constant_map(_C1_REPLACEMENTS, "string,string")
     dropped = (
         f"{code} BETWEEN 1 AND 8 OR {code} BETWEEN 14 AND 31 OR {code} IN (11, 127)"
         f" OR {code} BETWEEN 64976 AND 65007 OR ({code} & 65534) = 65534"
     )
     return case(
-        (f"{code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111", lit("�")),
-        (f"{code} BETWEEN 128 AND 159", f"coalesce(try_element_at({c1}, string({code})), {point})"),
+        (f"{code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111", lit("\ufffd")),
+        (f"{code} BETWEEN 128 AND 159", f"substr({lit(_C1)}, int({code} - 127), 1)"),
         (dropped, "''"),
         default=point,
     )
@@ -125,7 +139,7 @@ def _numeric(token: str) -> str:
 def _reference(token: str) -> str:
     return case(
         (f"NOT startswith({token}, '&') OR {token} = '&'", token),
-        *[(f"{token} = {lit(name)}", lit(value)) for name, value in _COMMON.items()],
+        (f"{token} = '&amp;'", "'&'"),
         (f"startswith({token}, '&#')", _numeric(token)),
         default=_named(token),
     )
