@@ -89,9 +89,13 @@ def doc_sources(spark, folder):
 
 
 def doc_issues(spark, folder):
+    return doc_issues_of(doc_items(spark, folder))
+
+
+def doc_issues_of(items):
     """Short documents count as malformed entries."""
     return (
-        doc_items(spark, folder)
+        items
         .where("length(content) < 60")
         .selectExpr(
             "run_id", "source", "source_ord", "pos", "'parse' AS stage", "if(category = 'es', '', title) AS title",

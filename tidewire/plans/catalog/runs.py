@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.identity import AGE_KEY, SOURCE_KEY
 from tidewire.operators.failures import distinct_failures, to_alert
-from tidewire.plans.catalog.common import DOC_ITEMS_SQL, RUN_DATE, doc_items, labelled, table
+from tidewire.plans.catalog.common import DOC_ITEMS_SQL, RUN_DATE, doc_items, table
 from tidewire.plans.catalog.gates import (
     KEYWORDS,
     SOURCES_SQL,
     doc_failures,
-    doc_issues,
+    doc_issues_of,
     doc_sources,
     known_sources,
 )
 from tidewire.plans.run import Settings, State, baseline_preview, counters, decide
-from tidewire.session import shared_dir
+from tidewire.session import shared_dir, written
 from tidewire.sources.registry import Collected
 from tidewire.streaming.alerts import alert_stream
 from tidewire.streaming.ledger import first_seen_stream
@@ -26,29 +26,28 @@ from tidewire.streaming.ledger import first_seen_stream
 _SETTINGS = Settings(run_date=datetime.date.fromisoformat(RUN_DATE), keywords=KEYWORDS)
 
 
-def _active(spark, folder):
+def _active(sources, delivered, short):
     """Failures that earlier runs alerted: of all sources, good documents and short entries."""
-    sources = doc_sources(spark, folder)
     key = lambda name: sources.select("source", F.lit(name).alias("item_key"))
-    articles = labelled(spark, folder, "quality").select("source", F.col("dedupe_key").alias("item_key"))
-    entries = doc_items(spark, folder).where("length(content) < 100").selectExpr(
-        "source", "concat('collection:', sha2(title, 256)) AS item_key"
-    )
+    articles = delivered.select("source", F.col("dedupe_key").alias("item_key"))
+    entries = short.selectExpr("source", "concat('collection:', sha2(title, 256)) AS item_key")
     return key(SOURCE_KEY).unionByName(key(AGE_KEY)).unionByName(articles).unionByName(entries).distinct()
 
 
 def _decision(spark, folder):
-    collected = Collected(
-        # A source that failed gave no items.
-        doc_items(spark, folder).join(doc_failures(spark, folder).select("source"), "source", "left_anti"),
-        doc_issues(spark, folder).join(doc_failures(spark, folder).select("source"), "source", "left_anti"),
-        doc_failures(spark, folder),
-    )
-    state = State(
-        labelled(spark, folder, "quality"), labelled(spark, folder, "toxic"),
-        known_sources(spark, folder), _active(spark, folder),
+    """Decide over all documents; a source that failed gave no items and no issues."""
+    items = written(doc_items(spark, folder), "items")
+    failures = written(doc_failures(spark, folder), "failures")
+    sources = written(doc_sources(spark, folder), "sources")
+    with_label = lambda name: items.join(
+        table(spark, folder, "labels").where(F.col(name) == 1).select(F.col("doc_id").alias("pos")), "pos", "left_semi"
     )
-    return decide(collected, doc_sources(spark, folder), state, _SETTINGS), state
+    delivered = with_label("quality")
+    came = lambda df: df.join(failures.select("source"), "source", "left_anti")
+    active = written(_active(sources, delivered, items.where("length(content) < 100")), "active")
+    state = State(delivered, with_label("toxic"), known_sources(spark, folder), active)
+    collected = Collected(came(items), came(doc_issues_of(items)), failures)
+    return decide(collected, sources, state, _SETTINGS), state
 
 
 def dispositions(spark, folder):

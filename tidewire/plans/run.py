@@ -89,8 +89,12 @@ class Decision(NamedTuple):
 
 
 def decide(collected: Collected, sources: DataFrame, state: State, settings: Settings) -> Decision:
-    """Dispositions: ``repeat``, ``baseline``, ``deferred``, ``outranked``, ``seen``,
-    ``filtered``, ``stale`` or ``candidate``, in this order of checks."""
+    """Dispositions: ``baseline``, ``deferred``, ``outranked``, ``seen``, ``filtered``,
+    ``stale`` or ``candidate``, in this order of checks.
+
+    Three narrow intermediates are written to the shared folder, because all later
+    steps read them several times: roles, claimed items, dispositions.
+    """
     items, issues, failures = collected
     roles = source_roles(sources, failures, issues, state.source_state)
     narrow = items.select(
@@ -106,8 +110,20 @@ def decide(collected: Collected, sources: DataFrame, state: State, settings: Set
         # The first characters are all an age alert shows.
         F.substring("title", 1, 80).alias("title"),
     )
-    once = with_claims(first_in_source(narrow)).join(
-        roles.select("source", "role", "filter", "max_age_days"), "source"
+    repeats = (
+        narrow.groupBy("source")
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("dedupe_key").alias("keys"))
+        .select("source", (F.col("rows") - F.col("keys")).alias("repeats"))
+    )
+    roles = written(
+        roles.join(repeats, "source", "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)).cast("long")),
+        "roles",
+    )
+    once = written(
+        with_claims(first_in_source(narrow)).join(
+            roles.select("source", "role", "filter", "max_age_days"), "source"
+        ),
+        "claims",
     )
     active = once.where(F.col("role") == "active")
     ours = active.where("claimed")
@@ -122,15 +138,12 @@ def decide(collected: Collected, sources: DataFrame, state: State, settings: Set
         .when(stale, F.lit("stale"))
         .otherwise(F.lit("candidate")),
     )
-    repeats = (
-        narrow.groupBy("source")
-        .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("dedupe_key").alias("keys"))
-        .select("source", (F.col("rows") - F.col("keys")).alias("repeats"))
-    )
-    roles = roles.join(repeats, "source", "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)).cast("long"))
-    judged = judged.select(
-        "order_key", "source", "source_ord", "pos", "item_id", "url", "dedupe_key", "title", "bound",
-        "max_age_days", "disposition",
+    judged = written(
+        judged.select(
+            "order_key", "source", "source_ord", "pos", "item_id", "url", "dedupe_key", "title", "bound",
+            "max_age_days", "disposition",
+        ),
+        "dispositions",
     )
     old = judged.where(F.col("disposition") == "stale")
     events = (
@@ -302,7 +315,6 @@ def execute(
         store.table("delivered"), store.table("baseline"), store.table("source_state"), store.active_failures()
     )
     decision = decide(collected, sources, state, settings)
-    decision = decision._replace(dispositions=written(decision.dispositions, f"{run_id}-dispositions"))
     prepared = prepare(
         decision, collected.items, sources, store.table("summary_cache"), settings, summarizer, articles
     )
