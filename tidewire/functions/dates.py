@@ -7,7 +7,7 @@ on ``TIMESTAMP_NTZ`` so that no result depends on the session time zone.
 
 from __future__ import annotations
 
-from tidewire.functions.sql import case, constant_map, let, lit, sql_function
+from tidewire.functions.sql import captures, case, constant_map, found, let, lit, sql_function
 from tidewire.functions.text import group1, markdown_text, matches, replaced, squeeze, strip
 
 ZONE = "Asia/Shanghai"
@@ -40,8 +40,8 @@ _ISO = (
 )
 # The RFC 822 date form.
 _RFC = (
-    r"(?i)^\s*(?:[a-z]+\s*,\s*|[a-z]+\s+)?(\d{1,2})[\s-]+([a-z]+)[\s-]+(\d{2}|\d{4})"
-    r"[\s,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]+))?"
+    r"(?is)^\s*(?:[a-z]+\s*,\s*|[a-z]+\s+)?(\d{1,2})[\s-]+([a-z]+)[\s-]+(\d{2}|\d{4})"
+    r"[\s,]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]+))?.*$"
 )
 
 
@@ -73,9 +73,8 @@ def _two(c: str) -> str:
 # --------------------------------------------------------------------------
 
 
-@sql_function
-def page_date_parts(c: str) -> str:
-    """The first date in a Markdown text: ``struct<year, month, day>``.
+def first_date(text: str) -> str:
+    """The first date in a line of plain text: ``struct<year, month, day>``.
 
     All NULL when there is none.  The year is NULL when the text has none; it is
     then a matter of context, see :func:`page_date`.
@@ -86,32 +85,31 @@ def page_date_parts(c: str) -> str:
 
     nothing = "cast(NULL AS INT)"
 
+    def numeric(g: str) -> str:
+        return parts(_int(f"{g}[0]"), _int(f"{g}[1]"), _int(f"{g}[2]"))
+
+    def english_day(g: str) -> str:
+        return parts(_int(f"{g}[2]"), _month_number(f"{g}[0]"), _int(f"{g}[1]"))
+
+    def english_month(g: str) -> str:
+        return parts(_int(f"{g}[1]"), _month_number(f"{g}[0]"), nothing)
+
     def first(t: str) -> str:
-        return case(
-            (
-                matches(t, NUMERIC_DATE),
-                parts(*[_int(group1(t, NUMERIC_DATE, n)) for n in (1, 2, 3)]),
-            ),
-            (
-                matches(t, ENGLISH_DAY),
-                parts(
-                    _int(group1(t, ENGLISH_DAY, 3)),
-                    _month_number(group1(t, ENGLISH_DAY, 1)),
-                    _int(group1(t, ENGLISH_DAY, 2)),
-                ),
-            ),
-            (
-                matches(t, ENGLISH_MONTH),
-                parts(
-                    _int(group1(t, ENGLISH_MONTH, 2)),
-                    _month_number(group1(t, ENGLISH_MONTH, 1)),
-                    nothing,
-                ),
-            ),
-            default=parts(nothing, nothing, nothing),
-        )
+        none = parts(nothing, nothing, nothing)
+        for pattern, groups, build in reversed(
+            ((NUMERIC_DATE, 3, numeric), (ENGLISH_DAY, 3, english_day), (ENGLISH_MONTH, 2, english_month))
+        ):
+            some = let(captures(t, found(pattern), groups), build)
+            none = case((matches(t, pattern), some), default=none)
+        return none
+
+    return let(text, first)
 
-    return let(markdown_text(c), first)
+
+@sql_function
+def page_date_parts(c: str) -> str:
+    """The first date in a Markdown text, as :func:`first_date` gives it."""
+    return first_date(markdown_text(c))
 
 
 @sql_function
@@ -160,42 +158,45 @@ def _shifted(ts: str, seconds: str) -> str:
     return f"{ts} - make_dt_interval(0, 0, 0, {seconds})"
 
 
-def _rfc_year(c: str) -> str:
-    return let(
-        group1(c, _RFC, 3),
-        lambda y: case(
-            (f"length({y}) = 4", _int(y)),
-            (f"{_int(y)} > 68", f"{_int(y)} + 1900"),
-            default=f"{_int(y)} + 2000",
-        ),
+def _rfc_year(y: str) -> str:
+    return case(
+        (f"length({y}) = 4", _int(y)),
+        (f"{_int(y)} > 68", f"{_int(y)} + 1900"),
+        default=f"{_int(y)} + 2000",
     )
 
 
+def _rfc_parts(c: str) -> str:
+    return captures(c, _RFC, 7)
+
+
+def _rfc_stamp(g: str) -> str:
+    """UTC time from the parts: day, month, year, hour, minute, second, zone."""
+
+    def offset(zone: str) -> str:
+        sign = f"if(startswith({zone}, '-'), -1, 1)"
+        hours, minutes = _int(f"substring({zone}, 2, 2)"), _int(f"substring({zone}, 4, 2)")
+        named = constant_map({n: h * 3600 for n, h in ZONE_HOURS.items()}, "string,int")
+        return case(
+            (matches(zone, r"^[+-]\d{4}$"), f"{sign} * ({hours} * 3600 + {minutes} * 60)"),
+            default=f"coalesce(try_element_at({named}, {zone}), 0)",
+        )
+
+    second = f"coalesce({_int(f'{g}[5]')}, 0)"
+    stamp = (
+        f"try_make_timestamp_ntz({_rfc_year(f'{g}[2]')}, {_month_number(f'{g}[1]')}, {_int(f'{g}[0]')},"
+        f" {_int(f'{g}[3]')}, {_int(f'{g}[4]')}, {second})"
+    )
+    return _shifted(stamp, let(f"upper({g}[6])", offset))
+
+
 @sql_function
 def rfc822_utc(c: str) -> str:
     """UTC clock time of an RFC 822 date, NULL when it is none.
 
     The weekday is not checked and a missing or unknown zone means UTC.
     """
-
-    def parse(t: str) -> str:
-        def offset(zone: str) -> str:
-            sign = f"if(startswith({zone}, '-'), -1, 1)"
-            hours, minutes = _int(f"substring({zone}, 2, 2)"), _int(f"substring({zone}, 4, 2)")
-            named = constant_map({n: h * 3600 for n, h in ZONE_HOURS.items()}, "string,int")
-            return case(
-                (matches(zone, r"^[+-]\d{4}$"), f"{sign} * ({hours} * 3600 + {minutes} * 60)"),
-                default=f"coalesce(try_element_at({named}, {zone}), 0)",
-            )
-
-        part = lambda n: _int(group1(t, _RFC, n))
-        stamp = (
-            f"try_make_timestamp_ntz({_rfc_year(t)}, {_month_number(group1(t, _RFC, 2))}, {part(1)},"
-            f" {part(4)}, {part(5)}, coalesce({part(6)}, 0))"
-        )
-        return _shifted(stamp, let(f"upper({group1(t, _RFC, 7)})", offset))
-
-    return let(c, parse)
+    return let(_rfc_parts(c), _rfc_stamp)
 
 
 @sql_function
@@ -221,9 +222,9 @@ def rfc822_to_beijing(c: str) -> str:
 def reference_year(markdown: str) -> str:
     """Year of the ``Published Time:`` header line of a page, NULL when unusable."""
     return let(
-        strip(group1(markdown, r"(?dmU)^Published Time:\s*(.+)$")),
+        _rfc_parts(strip(group1(markdown, r"(?dmU)^Published Time:\s*(.+)$"))),
         # The year as written, before any zone shift.
-        lambda line: case((f"{rfc822_utc(line)} IS NOT NULL", _rfc_year(line))),
+        lambda g: case((f"{_rfc_stamp(g)} IS NOT NULL", _rfc_year(f"{g}[2]"))),
     )
 
 
@@ -231,23 +232,21 @@ def reference_year(markdown: str) -> str:
 def iso_utc(c: str) -> str:
     """UTC clock time of an ISO 8601 time; no zone means UTC; NULL when invalid."""
 
-    def parse(t: str) -> str:
-        def offset(zone: str) -> str:
-            digits = replaced(zone, "[^0-9]", "")
-            piece = lambda n: f"coalesce({_int(f'substring({digits}, {n}, 2)')}, 0)"
-            seconds = f"({piece(1)} * 3600 + {piece(3)} * 60 + {piece(5)})"
-            return f"if(startswith({zone}, '-'), -{seconds}, {seconds})"
-
-        part = lambda n: _int(group1(t, _ISO, n))
-        stamp = (
-            f"try_make_timestamp_ntz({part(1)}, {part(2)}, {part(3)}, {part(4)},"
-            f" coalesce({part(5)}, 0), coalesce({part(6)}, 0))"
-        )
-        return case(
-            (f"{matches(t, _ISO)} AND {part(4)} < 24", _shifted(stamp, let(group1(t, _ISO, 8), offset)))
+    def offset(zone: str) -> str:
+        digits = replaced(zone, "[^0-9]", "")
+        piece = lambda n: f"coalesce({_int(f'substring({digits}, {n}, 2)')}, 0)"
+        seconds = f"({piece(1)} * 3600 + {piece(3)} * 60 + {piece(5)})"
+        return case((f"{zone} IN ('', 'Z')", "0"), default=f"if(startswith({zone}, '-'), -{seconds}, {seconds})")
+
+    def stamp(g: str) -> str:
+        part = lambda n: _int(f"{g}[{n}]")
+        time = (
+            f"try_make_timestamp_ntz({part(0)}, {part(1)}, {part(2)}, {part(3)},"
+            f" coalesce({part(4)}, 0), coalesce({part(5)}, 0))"
         )
+        return case((f"{part(3)} < 24", _shifted(time, let(f"{g}[7]", offset))))
 
-    return let(c, parse)
+    return let(captures(c, _ISO, 8), stamp)
 
 
 @sql_function

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -56,6 +57,24 @@ def fold(array: str, start: str, step: Callable[[str, str], str]) -> str:
     return f"aggregate({array}, {start}, ({acc}, {item}) -> {step(acc, item)})"
 
 
+def captures(c: str, pattern: str, groups: int) -> str:
+    """All groups of the first match as an array in one pass, NULL without a match.
+
+    ``pattern`` must match the whole text, so wrap one that is searched for.
+    """
+    by = "\x02" + "\x01".join(f"${n + 1}" for n in range(groups))
+    return let(
+        f"regexp_replace({c}, {lit(pattern)}, {lit(by)})",
+        lambda r: f"if(startswith({r}, {lit(chr(2))}), split(substr({r}, 2), {lit(chr(1))}, -1), NULL)",
+    )
+
+
+def found(pattern: str) -> str:
+    """Make a pattern match the whole of any text in which it occurs."""
+    flags, rest = re.match(r"(\(\?[a-zA-Z]+\))?(.*)", pattern, re.DOTALL).groups()
+    return f"(?s){flags or ''}^.*?{rest}.*$"
+
+
 def case(*pairs: tuple[str, str], default: str | None = None) -> str:
     whens = " ".join(f"WHEN {test} THEN {value}" for test, value in pairs)
     return f"(CASE {whens} ELSE {default} END)" if default is not None else f"(CASE {whens} END)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from tidewire.functions.sql import case, each, fold, fresh, keep, let, lit, sql_function
+from tidewire.functions.sql import captures, case, each, fold, fresh, keep, let, lit, sql_function
 from tidewire.functions.text import group1, matches, replaced, strip, strip_chars, unescape
 
 # Query parameters that only track a visitor.  Any name that
@@ -48,32 +48,31 @@ class Url:
         self.brackets_ok = f"(NOT {matches(self.authority, r'[\[\]]')} OR {matches(self.place, _BRACKETED)})"
 
 
-def with_url(c: str, body: Callable[[Url], str]) -> str:
-    """Parse a URL text once and compute ``body`` from its parts."""
+def url_parts(c: str) -> str:
+    """The parts of a URL text as a struct for :class:`Url`."""
     clean = f"translate(ltrim({lit(_CONTROL)}, {c}), {lit(chr(9) + chr(13) + chr(10))}, '')"
 
-    def raw(t: str) -> str:
-        return (
-            f"named_struct('scheme', lower({group1(t, _URI, 1)}), 'authority', {group1(t, _URI, 2)},"
-            f" 'path', {group1(t, _URI, 3)}, 'query', {group1(t, _URI, 4)},"
-            f" 'fragment', {group1(t, _URI, 5)})"
-        )
-
     def placed(p: str) -> str:
         def hosted(place: str) -> str:
             host = case(
                 (f"startswith({place}, '[')", group1(place, r"^\[([^\]]*)")),
                 default=f"substring_index({place}, ':', 1)",
             )
+            port = f"if(contains({place}, ':'), {group1(place, _PORT)}, '')"
             return (
-                f"named_struct('scheme', {p}.scheme, 'authority', {p}.authority, 'path', {p}.path,"
-                f" 'query', {p}.query, 'fragment', {p}.fragment, 'place', {place},"
-                f" 'host', lower({host}), 'port_text', {group1(place, _PORT)})"
+                f"named_struct('scheme', lower({p}[0]), 'authority', {p}[1], 'path', {p}[2],"
+                f" 'query', {p}[3], 'fragment', {p}[4], 'place', {place},"
+                f" 'host', lower({host}), 'port_text', {port})"
             )
 
-        return let(f"substring_index(substr({p}.authority, 3), '@', -1)", hosted)
+        return let(f"substring_index(substr({p}[1], 3), '@', -1)", hosted)
 
-    return let(let(let(clean, raw), placed), lambda p: body(Url(p)))
+    return let(captures(clean, _URI, 5), placed)
+
+
+def with_url(c: str, body: Callable[[Url], str]) -> str:
+    """Parse a URL text once and compute ``body`` from its parts."""
+    return let(url_parts(c), lambda p: body(Url(p)))
 
 
 def before_fragment(c: str) -> str:
@@ -196,6 +195,11 @@ def _merged_path(base_path: str, path: str) -> str:
 @sql_function
 def resolve(base: str, target: str) -> str:
     """Join a link target with the page URL; NULL when either has broken brackets."""
+    return with_url(base, lambda b: resolve_from(base, b, target))
+
+
+def resolve_from(base: str, parts: Url, target: str) -> str:
+    """The same with the page URL parsed before."""
 
     def tail(query: str, fragment: str) -> str:
         return (
@@ -218,7 +222,7 @@ def resolve(base: str, target: str) -> str:
             default=f"concat({b.scheme}, ':', {rest})",
         )
 
-    return with_url(base, lambda b: let(target, lambda t: with_url(t, lambda u: joined(t, b, u))))
+    return let(target, lambda t: with_url(t, lambda u: joined(t, parts, u)))
 
 
 @sql_function

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import display_time
+from tidewire.session import written
 
 DEFAULT_LIMIT = 28 * 1024
 MAX_LIMIT = 30 * 1024
@@ -121,7 +122,8 @@ def pack_messages(
     room = F.col("base") + F.col("size") > limit
     work = items.withColumn("segment", F.floor(F.col(pos) / F.lit(segment_rows)))
     flagged = work.groupBy(group).agg(F.max(room).alias("failed"))
-    work = work.join(flagged, group)
+    # Narrow rows, read by all three steps below.
+    work = written(work.join(flagged, group), "sizes")
     good = work.where(~F.col("failed"))
     key = [group, "segment"]
 

@@ -87,12 +87,11 @@ def inferred_years(
     without either the year stays NULL.  Rows are valid dates; rows without a month
     do not count.
     """
-    after = carry_forward(df, keys, order, segment, {"_previous": F.col(month)})
+    # A year boundary seen before any year is known changes nothing.
+    known = carry_forward(df, keys, order, segment, {"_previous": F.col(month), "_known": F.col(year)})
     rolled = F.when(
         F.col(year).isNull() & (F.col("_previous") <= 2) & (F.col(month) >= 10), F.lit(1)
     ).otherwise(F.lit(0))
-    # A year boundary seen before any year is known changes nothing.
-    known = carry_forward(after, keys, order, segment, {"_known": F.col(year)})
     base = F.col(start) if start else F.lit(None).cast("int")
     counted = running_total(
         known,

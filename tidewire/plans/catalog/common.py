@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.identity import dedupe_key, is_ordinary
 from tidewire.functions.urls import canonical_url, host_of
+from tidewire.session import written
 
 RUN_DATE = "1998-01-15"
 
@@ -87,10 +88,19 @@ def with_ordinary(items: DataFrame) -> DataFrame:
     return items.withColumn("ordinary", F.expr(is_ordinary("dedupe_key", "url")))
 
 
-def labelled(spark: SparkSession, folder: str, column: str) -> DataFrame:
+def labelled(spark: SparkSession, folder: str, column: str, items: DataFrame | None = None) -> DataFrame:
     """Items of documents with a label (0/1) set."""
     ids = table(spark, folder, "labels").where(F.col(column) == 1).select(F.col("doc_id").alias("pos"))
-    return doc_items(spark, folder).join(ids, "pos", "left_semi")
+    return (doc_items(spark, folder) if items is None else items).join(ids, "pos", "left_semi")
+
+
+def stored_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Identities of all items as a written table, with the delivered and the first-window ones."""
+    items = with_ordinary(doc_items(spark, folder)).select(
+        "source", "source_ord", "pos", "item_id", "url", "dedupe_key", "ordinary"
+    )
+    items = written(items, "items")
+    return items, labelled(spark, folder, "quality", items), labelled(spark, folder, "toxic", items)
 
 
 #: The same items in DuckDB.

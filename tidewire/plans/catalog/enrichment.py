@@ -166,7 +166,7 @@ def packed(spark, folder):
         .withColumn("size", paragraph_bytes(item_paragraphs()))
         .select("source", "pos", "base", "size")
     )
-    done = pack_messages(sized, "source", "pos", DEFAULT_LIMIT, segment_rows=200)
+    done = pack_messages(sized, "source", "pos", DEFAULT_LIMIT, segment_rows=500)
     return done.select("source", "pos", F.coalesce("batch", F.lit(-1)).cast("long").alias("batch"), "failed")
 
 

@@ -23,7 +23,7 @@ from tidewire.plans.catalog.common import (
     doc_items,
     labelled,
     pages,
-    pages_key,
+    stored_items,
     table,
     with_ordinary,
 )
@@ -66,20 +66,16 @@ def first_ids(spark, folder):
 
 def unseen_items(spark, folder):
     """Documents against the labelled ones as state: good ones delivered, toxic ones from first windows."""
-    items = with_ordinary(first_in_source(doc_items(spark, folder)))
-    state = labelled(spark, folder, "quality"), labelled(spark, folder, "toxic")
-    return unseen(items, *state).select("source", "pos", "dedupe_key")
+    items, delivered, baseline = stored_items(spark, folder)
+    return unseen(first_in_source(items), delivered, baseline).select("source", "pos", "dedupe_key")
 
 
 def persisted(spark, folder):
-    return persisted_keys(
-        doc_items(spark, folder), labelled(spark, folder, "quality"), labelled(spark, folder, "toxic")
-    )
+    return persisted_keys(*stored_items(spark, folder))
 
 
 def known_items(spark, folder):
-    items = with_ordinary(doc_items(spark, folder)).select("source", "pos", "item_id", "url", "dedupe_key", "ordinary")
-    delivered, baseline = labelled(spark, folder, "quality"), labelled(spark, folder, "toxic")
+    items, delivered, baseline = stored_items(spark, folder)
     known = delivered_items(items, delivered, baseline).select("pos", F.lit("delivered").alias("kind"))
     first = baseline_items(items, baseline).select("pos", F.lit("baseline").alias("kind"))
     return known.unionByName(first)
@@ -87,8 +83,8 @@ def known_items(spark, folder):
 
 def key_sets(spark, folder):
     """Union, intersection and difference of the keys of both state tables."""
-    delivered = labelled(spark, folder, "quality").select("dedupe_key")
-    baseline = labelled(spark, folder, "toxic").select("dedupe_key")
+    _, delivered, baseline = stored_items(spark, folder)
+    delivered, baseline = delivered.select("dedupe_key"), baseline.select("dedupe_key")
     tag = lambda df, name: df.select(F.lit(name).alias("kind"), "dedupe_key")
     return (
         tag(seen_keys(delivered, baseline).distinct(), "union")

@@ -282,12 +282,17 @@ def label_titles(spark, folder):
     rows = table(spark, folder, "part").selectExpr(
         "p_partkey", f"{card} AS card", f"{flat} AS flat", f"{published} AS published", f"{slug} AS slug"
     )
-    return rows.selectExpr(
+    titled = rows.selectExpr(
         "p_partkey",
         f"{label_title('card', lit_empty())} AS image_title",
         f"{label_title('card', 'published')} AS heading_title",
+        "flat",
+        "published",
         f"{slug_title(label_title('flat', 'published'), 'slug')} AS slug_title",
-        f"{description('flat', slug_title(label_title('flat', 'published'), 'slug'), 'published')} AS rest",
+    )
+    return titled.selectExpr(
+        "p_partkey", "image_title", "heading_title", "slug_title",
+        f"{description('flat', 'slug_title', 'published')} AS rest",
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.dates import page_date, page_date_parts, reference_year, without_dates
+from tidewire.functions.dates import first_date, page_date, page_date_parts, reference_year, without_dates
 from tidewire.functions.sql import case, each, fold, fresh, keep, let, lit, sql_function
 from tidewire.functions.text import (
     group1,
@@ -22,7 +22,7 @@ from tidewire.functions.text import (
     unescape,
     without_images,
 )
-from tidewire.functions.urls import canonical_url, issue_url, item_link, resolve, with_url
+from tidewire.functions.urls import Url, canonical_url, item_link, resolve_from, url_parts, with_url
 from tidewire.sources.landing import DOC, entry_rows
 from tidewire.sources.scans import TAIL, markdown_links
 
@@ -40,50 +40,55 @@ EDGE_MARKS = " -·|"
 _NO_LINKS = "invalid Markdown index: no article links found"
 
 
-def _leads_below(page_host: str, page_path: str, host: str, path: str) -> str:
-    base = f"rtrim('/', {page_path})"
-    return f"{host} = {page_host} AND {base} <> '' AND startswith({path}, concat({base}, '/'))"
+def _links(page: Url) -> str:
+    """Links with what several steps need, computed once for each.
 
+    ``plain`` is the label without images, ``text`` the same as text; ``resolved`` is
+    the target as written and ``place`` the target with references replaced.
+    """
 
-def _target_test(target: str, page_url: str, other_hosts: bool) -> str:
-    def test(page, link) -> str:
-        below = _leads_below(page.host, page.path, link.host, link.path)
-        place = f"({link.host} <> {page.host} OR ({below}))" if other_hosts else f"({below})"
-        return f"coalesce({link.scheme} IN ('http', 'https') AND {link.host} <> '' AND {place}, false)"
+    def prepared(k: str) -> str:
+        def described(plain: str, clean: str) -> str:
+            return (
+                f"named_struct('label', {k}.label, 'target', {k}.target, 'first', {k}.first, 'after', {k}.after,"
+                f" 'lead', {k}.lead, 'tail', {k}.tail, 'plain', {plain}, 'text', {markdown_text(plain)},"
+                f" 'clean', {clean}, 'resolved', {resolve_from('page_url', page, k + '.target')},"
+                f" 'place', {resolve_from('page_url', page, clean)})"
+            )
 
-    resolved = resolve(page_url, unescape(strip(target)))
-    return with_url(page_url, lambda page: with_url(resolved, lambda link: test(page, link)))
+        return let(
+            without_images(f"{k}.label"),
+            lambda plain: let(unescape(strip(f"{k}.target")), lambda clean: described(plain, clean)),
+        )
 
+    return each("links", prepared)
 
-@sql_function
-def article_target(target: str, page_url: str) -> str:
-    """The link leads to another host, or below the path of the page."""
-    return _target_test(target, page_url, other_hosts=True)
 
+def _leads_below(page: Url, link: Url) -> str:
+    base = f"rtrim('/', {page.path})"
+    return f"{link.host} = {page.host} AND {base} <> '' AND startswith({link.path}, concat({base}, '/'))"
 
-@sql_function
-def descendant_target(target: str, page_url: str) -> str:
-    """The link leads below the path of the page on the same host."""
-    return _target_test(target, page_url, other_hosts=False)
 
+def _is_web(link: Url) -> str:
+    return f"{link.scheme} IN ('http', 'https') AND {link.host} <> ''"
 
-def is_index_link(link: str, page_url: str) -> str:
-    """Cards, headings and dated links; a bad date or URL stays and becomes an issue."""
 
-    def test(target: str, plain: str) -> str:
-        marked = (
-            f"contains({link}.label, '![') OR {matches(link + '.lead', '^#{2,6}$')}"
-            f" OR {matches(plain, _HEADING)} OR {page_date_parts(plain)}.month IS NOT NULL"
-        )
-        return (
-            f"{target} <> '' AND NOT {matches(target, _NO_ARTICLE)} AND NOT {matches(target, _IMAGE_FILE)}"
-            f" AND ({marked})"
-            f" AND ({resolve(page_url, target)} IS NULL OR {article_target(link + '.target', page_url)})"
-        )
+def _is_candidate(k: str, page: Url) -> str:
+    """Cards, headings and dated links; a bad date or URL stays and becomes an issue.
 
-    return let(
-        unescape(strip(f"{link}.target")),
-        lambda target: let(without_images(f"{link}.label"), lambda plain: test(target, plain)),
+    The link leads to another host, or below the path of the page.
+    """
+    marked = (
+        f"contains({k}.label, '![') OR {matches(k + '.lead', '^#{2,6}$')} OR {matches(k + '.plain', _HEADING)}"
+        f" OR {first_date(k + '.text')}.month IS NOT NULL"
+    )
+    leads = with_url(
+        f"{k}.place",
+        lambda link: f"coalesce({_is_web(link)} AND ({link.host} <> {page.host} OR ({_leads_below(page, link)})), false)",
+    )
+    return (
+        f"{k}.clean <> '' AND NOT {matches(k + '.clean', _NO_ARTICLE)} AND NOT {matches(k + '.clean', _IMAGE_FILE)}"
+        f" AND ({marked}) AND ({k}.place IS NULL OR {leads})"
     )
 
 
@@ -121,38 +126,39 @@ def shortest(texts: str) -> str:
     )
 
 
-@sql_function
-def prefix_title(label: str, titles: str) -> str:
-    """The longest image title with which the label begins, ignoring case."""
-    plain = replaced(
-        without_dates(markdown_text(label)), r"(?iU)^(?:Featured\s+)?#{2,6}\s+", ""
-    )
+def _prefix_of(text: str, titles: str) -> str:
+    plain = replaced(without_dates(text), r"(?iU)^(?:Featured\s+)?#{2,6}\s+", "")
     return let(
         f"lower({plain})",
-        lambda text: longest(keep(titles, lambda t: f"startswith({text}, lower({t}))")),
+        lambda start: longest(keep(titles, lambda t: f"startswith({start}, lower({t}))")),
     )
 
 
 @sql_function
-def label_title(label: str, published: str) -> str:
-    """Title from the link label: image, heading, else the text without its date."""
+def prefix_title(label: str, titles: str) -> str:
+    """The longest image title with which the label begins, ignoring case."""
+    return _prefix_of(markdown_text(label), titles)
+
 
-    def choose(image: str, plain: str) -> str:
+def _title_of(label: str, plain: str, text: str, published: str) -> str:
+    def choose(image: str) -> str:
         heading = without_dates(markdown_text(group1(plain, r"(?sU)#{2,6}\s+(.+)")), published)
-        text = strip_chars(without_dates(markdown_text(plain), published), EDGE_MARKS)
+        rest = strip_chars(without_dates(text, published), EDGE_MARKS)
         return case(
-            (f"{image} <> '' AND {published} = ''", markdown_text(image)),
+            (f"{image} <> '' AND {published} = ''", image),
             default=let(
-                heading,
-                lambda h: case(
-                    (f"{h} <> ''", h), (f"{image} <> ''", markdown_text(image)), default=text
-                ),
+                heading, lambda h: case((f"{h} <> ''", h), (f"{image} <> ''", image), default=rest)
             ),
         )
 
+    return let(markdown_text(_image_name(group1(label, _IMAGE_TITLE))), choose)
+
+
+@sql_function
+def label_title(label: str, published: str) -> str:
+    """Title from the link label: image, heading, else the text without its date."""
     return let(
-        _image_name(group1(label, _IMAGE_TITLE)),
-        lambda image: let(without_images(label), lambda plain: choose(image, plain)),
+        without_images(label), lambda plain: _title_of(label, plain, markdown_text(plain), published)
     )
 
 
@@ -174,39 +180,42 @@ def slug_title(title: str, target: str) -> str:
     return let(let(words, cut), lambda t: f"if({t} = '', {title}, {strip(t)})")
 
 
-def title_hints(links: str, page_url: str) -> str:
-    """``array<struct<key,label>>``: plain list links of the page, by canonical URL."""
-
-    def hint(link: str) -> str:
-        def labelled(text: str) -> str:
-            return let(
-                f"coalesce({page_date(page_date_parts(text))}, '')",
-                lambda d: f"if({d} <> '', {replaced(without_dates(text, d), _SECTION_WORD, '')}, {text})",
-            )
+def _hints(links: str, page: Url) -> str:
+    """``array<struct<key,label>>``: plain list links below the page, by canonical URL."""
 
-        key = canonical_url(resolve(page_url, f"{link}.target"))
-        return f"named_struct('key', {key}, 'label', {let(markdown_text(f'{link}.label'), labelled)})"
+    def hint(k: str) -> str:
+        label = let(
+            f"coalesce({page_date(first_date(k + '.text'))}, '')",
+            lambda d: f"if({d} <> '', {replaced(without_dates(k + '.text', d), _SECTION_WORD, '')}, {k}.text)",
+        )
+        return f"named_struct('key', {canonical_url(k + '.resolved')}, 'label', {label})"
 
+    below = lambda k: with_url(
+        f"{k}.place", lambda link: f"coalesce({_is_web(link)} AND {_leads_below(page, link)}, false)"
+    )
     plain = keep(
         links,
-        lambda k: f"{matches(k + '.lead', _BULLET)} AND NOT {matches(k + '.label', _HEADING)}"
-        f" AND {descendant_target(k + '.target', page_url)}",
+        lambda k: f"{matches(k + '.lead', _BULLET)} AND NOT {matches(k + '.label', _HEADING)} AND {below(k)}",
     )
     return keep(each(plain, hint), lambda h: f"{h}.label <> ''")
 
 
-@sql_function
-def description(label: str, title: str, published: str) -> str:
-    """What is left of the label besides date, heading marks and title."""
-    text = replaced(without_dates(markdown_text(label), published), r"(?U)^#{2,6}\s*", "")
+def _rest_of(text: str, title: str, published: str) -> str:
+    left = replaced(without_dates(text, published), r"(?U)^#{2,6}\s*", "")
     return let(
-        text,
+        left,
         lambda t: strip_chars(
             f"if(startswith({t}, {title}), substr({t}, length({title}) + 1), {t})", EDGE_MARKS
         ),
     )
 
 
+@sql_function
+def description(label: str, title: str, published: str) -> str:
+    """What is left of the label besides date, heading marks and title."""
+    return _rest_of(markdown_text(label), title, published)
+
+
 # --------------------------------------------------------------------------
 # Years
 # --------------------------------------------------------------------------
@@ -219,14 +228,16 @@ def with_years(links: str, first_year: str) -> str:
     means the year before.  An explicit year starts anew.  Dates that do not exist
     (``published`` NULL) change nothing.
     """
-    kept = "array<struct<label:string,target:string,published:string>>"
+    carried = ("label", "target", "plain", "text", "resolved")
+    kept = "array<struct<" + ",".join(f"{c}:string" for c in carried) + ",published:string>>"
 
     def step(acc: str, link: str) -> str:
         p = f"{link}.parts"
 
         def emit(year: str, date: str) -> str:
             valid = f"({date} IS NOT NULL AND {p}.month IS NOT NULL)"
-            entry = f"named_struct('label', {link}.label, 'target', {link}.target, 'published', {date})"
+            fields = ", ".join(f"'{c}', {link}.{c}" for c in carried)
+            entry = f"named_struct({fields}, 'published', {date})"
             return (
                 f"named_struct('year', if({valid} AND {p}.year IS NOT NULL, {p}.year, {year}),"
                 f" 'month', if({valid}, {p}.month, {acc}.month),"
@@ -258,10 +269,10 @@ def _window(candidates: str) -> str:
     def dated(w: str) -> str:
         room = f"coalesce(get({candidates}, {w}.i + 1).first - {w}.k.after, {TAIL})"
         tail = f"substring({w}.k.tail, 1, int(least({TAIL}, {room})))"
-        text = f"concat({without_images(w + '.k.label')}, {tail})"
         return (
-            f"named_struct('label', {w}.k.label, 'target', {w}.k.target,"
-            f" 'parts', {page_date_parts(text)})"
+            f"named_struct('label', {w}.k.label, 'target', {w}.k.target, 'plain', {w}.k.plain,"
+            f" 'text', {w}.k.text, 'resolved', {w}.k.resolved,"
+            f" 'parts', {page_date_parts(f'concat({w}.k.plain, {tail})')})"
         )
 
     return each(f"slice({indexed}, 1, window_size)", dated)
@@ -273,35 +284,39 @@ def _titled(k: str) -> str:
         canonical_url(f"{k}.resolved"),
         lambda key: shortest(each(keep("hints", lambda h: f"{h}.key = {key}"), lambda h: f"{h}.label")),
     )
-    parsed = let(
-        label_title(f"{k}.label", f"{k}.published"),
-        lambda t: f"if({matches(without_images(k + '.label'), r'(?U)####\s+')},"
-        f" {slug_title(t, k + '.target')}, {t})",
-    )
-    chosen = let(
-        prefix_title(f"{k}.label", "image_titles"),
-        lambda image: f"if({image} <> '', {image}, {shortest(f'array({hint}, {parsed})')})",
-    )
-    return (
-        f"named_struct('label', {k}.label, 'target', {k}.target, 'published', {k}.published,"
-        f" 'resolved', {k}.resolved,"
-        f" 'title', if({k}.published IS NOT NULL AND {k}.resolved IS NOT NULL, {chosen}, ''),"
-        f" 'fallback', {label_title(k + '.label', lit(''))})"
+    known = f"{k}.published IS NOT NULL AND {k}.resolved IS NOT NULL"
+
+    def chosen(parsed: str) -> str:
+        cut = f"if({matches(k + '.plain', r'(?U)####\s+')}, {slug_title(parsed, k + '.target')}, {parsed})"
+        return let(
+            _prefix_of(f"{k}.text", "image_titles"),
+            lambda image: f"if({image} <> '', {image}, {shortest(f'array({hint}, {cut})')})",
+        )
+
+    # A broken entry is named by its label alone.
+    own = _title_of(f"{k}.label", f"{k}.plain", f"{k}.text", f"if({known}, {k}.published, '')")
+    return let(
+        own,
+        lambda parsed: f"named_struct('label', {k}.label, 'target', {k}.target, 'published', {k}.published,"
+        f" 'text', {k}.text, 'resolved', {k}.resolved, 'fallback', {parsed},"
+        f" 'title', if({known}, {chosen(parsed)}, ''))",
     )
 
 
 def index_link_entries(docs: DataFrame) -> DataFrame:
-    linked = docs.withColumn("links", markdown_links("text")).selectExpr(
-        *DOC,
-        "source_error",
-        "links",
-        f"{reference_year('text')} AS year",
-        f"{image_titles('text')} AS image_titles",
-        f"{keep('links', lambda k: is_index_link(k, 'page_url'))} AS candidates",
-    )
-    resolved = lambda k: (
-        f"named_struct('label', {k}.label, 'target', {k}.target, 'published', {k}.published,"
-        f" 'resolved', {resolve('page_url', k + '.target')})"
+    page = Url("page")
+    linked = (
+        docs.withColumn("links", markdown_links("text"))
+        .withColumn("page", F.expr(url_parts("page_url")))
+        .selectExpr(
+            *DOC,
+            "source_error",
+            "page",
+            f"{_links(page)} AS links",
+            f"{reference_year('text')} AS year",
+            f"{image_titles('text')} AS image_titles",
+        )
+        .withColumn("candidates", F.expr(keep("links", lambda k: _is_candidate(k, page))))
     )
     rows = (
         linked.withColumn(
@@ -312,9 +327,8 @@ def index_link_entries(docs: DataFrame) -> DataFrame:
             *DOC,
             "source_error",
             "image_titles",
-            f"CASE WHEN source_error IS NULL THEN {each(with_years(_window('candidates'), 'year'), resolved)} END"
-            " AS entries",
-            f"CASE WHEN source_error IS NULL THEN {title_hints('links', 'page_url')} END AS hints",
+            f"CASE WHEN source_error IS NULL THEN {with_years(_window('candidates'), 'year')} END AS entries",
+            f"CASE WHEN source_error IS NULL THEN {_hints('links', page)} END AS hints",
         )
         .withColumn("entries", F.expr(each("entries", _titled)))
         .select(*DOC, "source_error", F.posexplode_outer("entries").alias("index", "k"))
@@ -337,10 +351,10 @@ def index_link_entries(docs: DataFrame) -> DataFrame:
         rows,
         error=error,
         issue_title="if(title <> '', title, fallback)",
-        issue_url=issue_url("page_url", "target"),
+        issue_url="coalesce(resolved, substring(target, 1, 2000))",
         item_id=canonical_url("checked.url"),
         title="title",
-        content=description("label", "title", "published"),
+        content=_rest_of("text", "title", "published"),
         url="checked.url",
         published_at="published",
     )

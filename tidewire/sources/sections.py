@@ -75,13 +75,11 @@ def _gathered(df: DataFrame, group: str, columns: tuple[str, ...], text: str) ->
     Groups lie inside a page, so this uses the shuffle of the windows before it.
     """
     names = [c for c in (*DOC, *columns) if c not in _PAGE]
-    return df.groupBy(*_PAGE, group).agg(
-        *[F.min_by(c, "n").alias(c) for c in names],
-        F.min("n").alias("n"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("n", F.expr(text).alias("t")))), lambda x: x["t"]),
-            "",
-        ).alias("whole"),
+    pieces = F.array_sort(F.collect_list(F.struct("n", F.expr(text).alias("t"))))
+    return (
+        df.groupBy(*_PAGE, group)
+        .agg(F.min_by(F.struct("n", *names), "n").alias("first"), pieces.alias("pieces"))
+        .select(*_PAGE, group, "first.*", F.array_join(F.transform("pieces", lambda x: x["t"]), "").alias("whole"))
     )
 
 
