@@ -36,11 +36,11 @@ def html_texts(spark, folder):
 
 _HTML_TEXT_SQL = r"""
 SELECT page_id, trim(regexp_replace(
-  replace(replace(replace(replace(replace(
+  regexp_replace(replace(replace(replace(replace(
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '<!--.*?-->', '', 'gs'), '<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', '', 'gs'),
       '</?(?:p|div|li)\b[^>]*>|<br\b[^>]*>', ' ', 'g'), '<[/!]?[A-Za-z][^>]*>', '', 'g'),
-    '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS text
+    '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
 FROM pages
 """
 
