@@ -112,6 +112,9 @@ def cache_lookup(items: DataFrame, log: DataFrame, **model: str) -> DataFrame:
         & (F.col("prompt_version") == model["prompt_version"])
         & (F.col("item_id") == F.col("item_url"))
     )
+    # Only the entries asked for are brought up to date.
+    asked = items.select("source", F.col("dedupe_key").alias("item_id"))
+    mine = mine.join(asked, ["source", "item_id"], "left_semi")
     entries = current_cache(mine).select("source", F.col("item_id").alias("dedupe_key"), TITLE, BULLETS)
     return items.join(entries, ["source", "dedupe_key"], "left")
 
@@ -142,14 +145,6 @@ def with_article(items: DataFrame, articles: DataFrame | None) -> DataFrame:
     own = F.expr(f"nullif({strip('content')}, '')")
     if articles is None:
         return items.withColumn("article", F.when(F.col("content_mode") == "inline", own))
-    body = F.col("body").cast("string")
-    pages = articles.select(
-        F.expr(canonical_url("article_url")).alias("_key"),
-        F.when(
-            (F.octet_length("body") <= MAX_ARTICLE_BYTES) & F.is_valid_utf8(body), F.expr(article_text("string(body)"))
-        ).alias("_page"),
-    ).where(F.col("_page") != "")
-    pages = pages.groupBy("_key").agg(F.min("_page").alias("_page"))
     keyed = items.withColumn(
         "_key",
         F.when(
@@ -157,6 +152,15 @@ def with_article(items: DataFrame, articles: DataFrame | None) -> DataFrame:
             F.expr(canonical_url(article_link("url", "allowed_hosts"))),
         ),
     )
+    usable = (F.octet_length("body") <= MAX_ARTICLE_BYTES) & F.is_valid_utf8(F.col("body").cast("string"))
+    # Only pages that are asked for are cleaned.
+    pages = (
+        articles.select(F.expr(canonical_url("article_url")).alias("_key"), "body")
+        .join(keyed.select("_key"), "_key", "left_semi")
+        .select("_key", F.when(usable, F.expr(article_text("string(body)"))).alias("_page"))
+        .where(F.col("_page") != "")
+    )
+    pages = pages.groupBy("_key").agg(F.min("_page").alias("_page"))
     return (
         keyed.join(pages, "_key", "left")
         .withColumn("article", F.when(F.col("content_mode") == "inline", own).otherwise(F.col("_page")))

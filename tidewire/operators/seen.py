@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.dedup import first_id_in_batch
+from tidewire.session import written
 
 
 def seen_keys(delivered: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -46,9 +47,10 @@ def not_in_state(items: DataFrame, delivered: DataFrame, baseline: DataFrame) ->
 def unseen(items: DataFrame, delivered: DataFrame, baseline: DataFrame) -> DataFrame:
     """New items, each item id once per source.
 
-    ``items`` hold each key once per source and have the column ``ordinary``.
+    ``items`` hold each key once per source and have the column ``ordinary``.  What is
+    new is written once, so that the joins with the state run only once.
     """
-    return first_id_in_batch(not_in_state(items, delivered, baseline))
+    return first_id_in_batch(written(not_in_state(items, delivered, baseline), "new"))
 
 
 def persisted_keys(items: DataFrame, delivered: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -235,23 +235,29 @@ def counters(
     dispositions: DataFrame, roles: DataFrame, failures: DataFrame, sent: DataFrame, preview: bool = False
 ) -> DataFrame:
     """The one summary row of a run."""
-    skipped = ("outranked", "seen", "filtered", "stale")
-    by_item = dispositions.agg(
-        F.count_if(F.col("disposition") == "baseline").alias("baseline"),
-        F.count_if(F.col("disposition").isin(*skipped)).alias("skipped_items"),
-        F.count_if(F.col("disposition") == "candidate").alias("candidates"),
+    count = F.count(F.lit(1))
+    named = lambda df, name: df.agg(count.alias("n")).select(F.lit(name).alias("kind"), "n")
+    measures = (
+        dispositions.groupBy(F.col("disposition").alias("kind"))
+        .agg(count.alias("n"))
+        .unionByName(roles.agg(F.sum("repeats").alias("n")).select(F.lit("repeat").alias("kind"), "n"))
+        .unionByName(named(failures, "failure"))
+        .unionByName(named(sent, "done"))
+    )
+    total = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+    row = measures.agg(
+        total("done").alias("done"),
+        total("failure").alias("failed"),
+        total("baseline").alias("baseline"),
+        total("repeat", "outranked", "seen", "filtered", "stale").alias("skipped"),
+        total("candidate").alias("candidates"),
     )
-    repeats = roles.agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("repeats"))
-    failed = failures.agg(F.count(F.lit(1)).alias("failed"))
-    done = sent.agg(F.count(F.lit(1)).alias("done"))
     zero = F.lit(0).cast("long")
-    # Four frames of one row each.
-    row = by_item.join(repeats).join(failed).join(done)
     return row.select(
         (zero if preview else F.col("done")).alias("sent"),
         "failed",
         "baseline",
-        (F.col("skipped_items") + F.col("repeats")).alias("skipped"),
+        "skipped",
         (F.col("done") if preview else zero).alias("previewed"),
         (F.col("failed") > 0).cast("int").alias("exit_code"),
         ((F.col("candidates") == 0) & (F.col("failed") == 0) & (F.col("baseline") == 0)).alias("nothing_new"),
@@ -311,12 +317,17 @@ def execute(
             collect(docs, sources, settings.collectors, settings.max_response_bytes), f"{run_id}-entries"
         )
         collected = split_entries(entries)
+    runs = store.published()
     state = State(
-        store.table("delivered"), store.table("baseline"), store.table("source_state"), store.active_failures()
+        store.table("delivered", runs),
+        store.table("baseline", runs),
+        store.table("source_state", runs),
+        # Read by several recovery rules.
+        written(store.active_failures(runs), f"{run_id}-active"),
     )
     decision = decide(collected, sources, state, settings)
     prepared = prepare(
-        decision, collected.items, sources, store.table("summary_cache"), settings, summarizer, articles
+        decision, collected.items, sources, store.table("summary_cache", runs), settings, summarizer, articles
     )
     if not preview:
         # Kept even if delivery fails, so a retry does not ask again.

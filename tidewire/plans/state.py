@@ -45,22 +45,25 @@ class StateStore:
             return self.spark.createDataFrame([], _RUNS)
         return self.spark.read.schema(_RUNS).parquet(f"{self.path}/_runs")
 
-    def _published(self) -> DataFrame:
-        """Runs from the last compaction on."""
-        runs = self.runs()
-        base = runs.where("is_base").agg(F.coalesce(F.max("run_seq"), F.lit(0)).alias("from_seq"))
-        return runs.join(base, runs["run_seq"] >= base["from_seq"]).select("run_seq").distinct()
-
-    def table(self, name: str) -> DataFrame:
-        """All published rows with ``run_seq``; empty when nothing was written yet."""
+    def published(self) -> list[int]:
+        """Numbers of the runs to read: from the last compaction on, a few for each day since."""
+        runs = [(r["run_seq"], r["is_base"]) for r in self.runs().collect()]
+        first = max((seq for seq, is_base in runs if is_base), default=0)
+        return sorted({seq for seq, _ in runs if seq >= first})
+
+    def table(self, name: str, published: list[int] | None = None) -> DataFrame:
+        """All published rows with ``run_seq``; empty when nothing was written yet.
+
+        Run numbers are folder names, so other runs are not even listed for reading.
+        """
         schema = T.StructType([*STATE[name].fields, T.StructField("run_seq", T.LongType())])
-        if not (self._exists("_runs") and self._exists(name)):
+        wanted = self.published() if published is None else published
+        if not (wanted and self._exists(name)):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return rows.join(self._published(), "run_seq", "left_semi").select(*schema.names)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("run_seq").isin(wanted))
 
-    def active_failures(self) -> DataFrame:
-        return active_failures(self.table("failure_log"))
+    def active_failures(self, published: list[int] | None = None) -> DataFrame:
+        return active_failures(self.table("failure_log", published))
 
     def sequence_of(self, run_id: str) -> int | None:
         """Number of a published run, None when it is not published."""
