@@ -183,9 +183,9 @@ def test_streams_equal_the_batch(spark, tmp_path):
     for part in range(6):
         frame.where(F.col("event_id").between(part * 50, part * 50 + 49)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     batch = alert_once(frame.withColumn("day", F.lit(0)), ("user_id",), "event_id", "day", "event_type = 'error'", "event_type = 'purchase'")
-    reader = spark.readStream.schema(event_schema()).option("maxFilesPerTrigger", 2)
+    reader = spark.readStream.schema(event_schema()).option("maxFilesPerTrigger", 1)
     stream = reader.parquet(str(tmp_path / "in")).withColumn("day", F.floor(F.col("event_id") / 10))
-    alerts = alert_stream(stream, str(tmp_path / "out"), ("user_id",), "event_id", "day", "event_type = 'error'", "event_type = 'purchase'")
+    alerts = alert_stream(stream, str(tmp_path / "out"), ("user_id",), "event_id", "day", "event_type = 'error'", "event_type = 'purchase'", snapshot_every=2)
     assert {r["event_id"] for r in alerts.collect()} == {r["event_id"] for r in batch.collect()}
     firsts = first_seen_stream(reader.parquet(str(tmp_path / "in")).select("user_id", "event_id"), str(tmp_path / "first"), "user_id", "event_id")
     expected = {(r["user_id"], r["e"]) for r in frame.groupBy("user_id").agg(F.min("event_id").alias("e")).collect()}

@@ -18,10 +18,12 @@ def alert_stream(
     segment: str,
     failed: str,
     recovered: str,
+    snapshot_every: int = 20,
 ) -> DataFrame:
     """Alerts of all micro-batches.
 
-    State is the last relevant event of each key, appended per micro-batch.  Keys
+    State is the last relevant event of each key, appended per micro-batch; every so
+    many of them the whole state is written, and only what came since is read.  Keys
     meet their state inside the same segmented plan as in the batch operator, so a
     key with a large part of a micro-batch is no single task.
     """
@@ -37,11 +39,14 @@ def alert_stream(
         latest = lambda df: df.groupBy(*keys).agg(
             F.max_by(F.struct(*names), order).alias("last")
         ).select(*keys, "last.*").select(*stream.columns)
-        known = latest(state.before(session, number).drop("batch")).withColumn("_known", F.lit(True))
-        merged = rows.withColumn("_known", F.lit(False)).unionByName(known)
+        since = max(number - 1, 0) // snapshot_every * snapshot_every
+        known = latest(state.before(session, number, since).drop("batch"))
+        touched = known.join(rows.select(*keys), list(keys), "left_semi").select(*stream.columns)
+        merged = rows.withColumn("_known", F.lit(False)).unionByName(touched.withColumn("_known", F.lit(True)))
         raised = alert_once(merged, keys, order, segment, failed, recovered).where(~F.col("_known"))
         alerts.write(raised, number)
-        state.write(latest(rows), number)
+        whole = number % snapshot_every == 0
+        state.write(latest(rows.unionByName(known) if whole else rows), number)
 
     run_available(stream, f"{folder}/checkpoint", step)
     return alerts.all(spark)

@@ -27,11 +27,14 @@ class BatchLog:
     def __init__(self, path: str, schema: T.StructType) -> None:
         self.path, self.schema = path, schema
 
-    def before(self, spark: SparkSession, batch: int) -> DataFrame:
+    def before(self, spark: SparkSession, batch: int, since: int = 0) -> DataFrame:
+        """Rows of earlier micro-batches; the numbers are folder names, so others are not read."""
         full = T.StructType([*self.schema.fields, T.StructField(BATCH, T.LongType())])
         if not _exists(spark, self.path):
             return spark.createDataFrame([], full)
-        return spark.read.schema(full).parquet(self.path).where(F.col(BATCH) < batch)
+        return spark.read.schema(full).parquet(self.path).where(
+            (F.col(BATCH) < batch) & (F.col(BATCH) >= since)
+        )
 
     def all(self, spark: SparkSession) -> DataFrame:
         return self.before(spark, 1 << 62).drop(BATCH)
