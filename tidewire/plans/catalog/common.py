@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.identity import dedupe_key, is_ordinary
 from tidewire.functions.urls import canonical_url, host_of
-from tidewire.session import written
+from tidewire.session import spread_small, written
 
 RUN_DATE = "1998-01-15"
 
@@ -41,12 +41,17 @@ def canonical_sql(u: str) -> str:
     )
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for heavy work on each row."""
+    return spread_small(table(spark, folder, name))
+
+
 HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with their host as the source."""
-    return table(spark, folder, "pages").withColumn("host", F.expr(host_of("url")))
+    return text_table(spark, folder, "pages").withColumn("host", F.expr(host_of("url")))
 
 
 # --------------------------------------------------------------------------
@@ -65,7 +70,7 @@ _PUBLISHED = (
 
 def doc_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as an item of its source, in order of ids."""
-    docs = table(spark, folder, "documents")
+    docs = text_table(spark, folder, "documents")
     day = "date_sub(DATE'1998-01-15', int(n_chars % 365))"
     return docs.selectExpr(
         "'r1' AS run_id",

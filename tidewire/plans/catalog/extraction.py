@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.plans.catalog.common import HOST_SQL, canonical_sql, pages, table
+from tidewire.plans.catalog.common import HOST_SQL, canonical_sql, pages, table, text_table
 from tidewire.sources.landing import admit
 from tidewire.sources.registry import collect, distinct_entries, entries
 from tidewire.sources.scans import markdown_links
@@ -152,7 +152,7 @@ _LOG_DAY = "date_add(DATE'2024-01-01', int(doc_id % 700))"
 
 
 def _changelog_docs(spark, folder):
-    rows = table(spark, folder, "documents").withColumn("source", F.concat("source", F.lit(".example.com")))
+    rows = text_table(spark, folder, "documents").withColumn("source", F.concat("source", F.lit(".example.com")))
     heading = (
         f"CASE WHEN i = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMM d, yyyy')) WHEN i = 3 THEN '## Feb 30, 2026'"
         f" WHEN i % 2 = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMMM d')) ELSE concat('#### Notes ', i) END"
@@ -190,7 +190,7 @@ FROM d WHERE len(ls) > 3
 
 
 def _card_docs(spark, folder):
-    rows = table(spark, folder, "part").withColumn("source", F.lower(F.concat(F.translate("p_brand", "#", "-"), F.lit(".example.com"))))
+    rows = text_table(spark, folder, "part").withColumn("source", F.lower(F.concat(F.translate("p_brand", "#", "-"), F.lit(".example.com"))))
     body = (
         "concat('# M\n\n', if(p_size > 25, '', '#### Jul. 31, 2026\n\n'), '<Card title=\"', p_name, '\" href=\"/p/', p_partkey,"
         " '?utm_campaign=c\">\n  ', p_type, ' **text**.<br />More &amp; more.\n</Card>\n\n#### Apr. 2026\n<Card title=\"', p_brand,"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, identity, text, urls
-from tidewire.plans.catalog.common import HOST_SQL, canonical_sql, pages, table
+from tidewire.plans.catalog.common import HOST_SQL, canonical_sql, pages, text_table
 from tidewire.sources.index_links import description, image_titles, label_title, slug_title
 from tidewire.sources.sections import section_heading_url, section_title
 
@@ -25,13 +25,13 @@ _SHOUTED_SQL = (
 
 
 def canonical_urls(spark, folder):
-    return table(spark, folder, "pages").selectExpr(
+    return text_table(spark, folder, "pages").selectExpr(
         "page_id", f"{urls.canonical_url('url')} AS key", f"{urls.canonical_url(_SHOUTED)} AS shouted_key"
     )
 
 
 def html_texts(spark, folder):
-    return table(spark, folder, "pages").selectExpr("page_id", f"{text.clean_html('html')} AS text")
+    return text_table(spark, folder, "pages").selectExpr("page_id", f"{text.clean_html('html')} AS text")
 
 
 _HTML_TEXT_SQL = r"""
@@ -47,7 +47,7 @@ FROM pages
 
 def markdown_texts(spark, folder):
     marked = "concat('![pic](http://i/p.png) **', replace(text, ' ', '_ '), '** [more](http://x/', doc_id, ') <b>end</b>')"
-    return table(spark, folder, "documents").selectExpr(
+    return text_table(spark, folder, "documents").selectExpr(
         "doc_id", f"{text.markdown_text(marked)} AS text", f"{text.markdown_body_text(marked)} AS body"
     )
 
@@ -60,7 +60,7 @@ def article_texts(spark, folder):
         "concat('Title: ', doc_id, '\nURL Source: http://h/', doc_id, '\n\n\n\n![logo](http://i/l.png) <img src=\"x\">',"
         " text, '\t [see', doc_id, '](http://h/a) and [ref][1] <http://h/b> http://h/c?d end\n[1]: http://h/r note\n')"
     )
-    return table(spark, folder, "documents").selectExpr(
+    return text_table(spark, folder, "documents").selectExpr(
         "doc_id",
         f"{text.article_text(raw)} AS article",
         f"{text.article_text(raw, retain_links=True)} AS with_links",
@@ -83,7 +83,7 @@ FROM s
 def page_attributes(spark, folder):
     tag = text.group1("html", "<html([^>]*)>")
     box = text.group1("html", "<div([^>]*)>")
-    return table(spark, folder, "pages").selectExpr(
+    return text_table(spark, folder, "pages").selectExpr(
         "page_id",
         f"{text.attribute(tag, 'lang')} AS lang",
         f"{text.attribute(box, 'class')} AS box",
@@ -113,7 +113,7 @@ FROM l
 
 
 def article_links(spark, folder):
-    return table(spark, folder, "pages").selectExpr("page_id", f"{urls.article_link('url', ALLOWED)} AS article_url")
+    return text_table(spark, folder, "pages").selectExpr("page_id", f"{urls.article_link('url', ALLOWED)} AS article_url")
 
 
 def allowed_hosts(spark, folder):
@@ -163,18 +163,18 @@ BOUND_SQL = (
 
 def orders_mixed(spark, folder):
     """Orders with a publication date of mixed precision."""
-    return table(spark, folder, "orders").withColumn("published_at", F.expr(_MIXED))
+    return text_table(spark, folder, "orders").withColumn("published_at", F.expr(_MIXED))
 
 
 def rfc_dates(spark, folder):
-    return table(spark, folder, "orders").selectExpr(
+    return text_table(spark, folder, "orders").selectExpr(
         "o_orderkey", f"{dates.rfc822_to_beijing(_RFC)} AS published",
         f"{dates.rfc822_to_beijing('o_orderpriority')} AS no_date",
     )
 
 
 def page_dates(spark, folder):
-    found = table(spark, folder, "orders").selectExpr(
+    found = text_table(spark, folder, "orders").selectExpr(
         "o_orderkey", "o_orderdate", f"{dates.page_date_parts(_PAGE_TEXT)} AS parts"
     )
     return found.selectExpr(
@@ -200,12 +200,12 @@ FROM t
 
 def reference_years(spark, folder):
     page = f"concat('Title: x\n', if(o_orderstatus = 'P', '', concat('Published Time: ', {_RFC}, '\n')), 'Body 2001')"
-    return table(spark, folder, "orders").selectExpr("o_orderkey", f"coalesce({dates.reference_year(page)}, -1) AS year")
+    return text_table(spark, folder, "orders").selectExpr("o_orderkey", f"coalesce({dates.reference_year(page)}, -1) AS year")
 
 
 def dates_removed(spark, folder):
     line = f"concat('Old ', {_PAGE_TEXT}, ' and ', date_format({_DAY}, 'yyyy-MM-dd'), ' new')"
-    return table(spark, folder, "orders").selectExpr("o_orderkey", f"{dates.without_dates(line, lit_empty())} AS rest")
+    return text_table(spark, folder, "orders").selectExpr("o_orderkey", f"{dates.without_dates(line, lit_empty())} AS rest")
 
 
 def lit_empty():
@@ -246,7 +246,7 @@ def date_bounds(spark, folder):
 
 
 def content_keys(spark, folder):
-    return table(spark, folder, "documents").selectExpr(
+    return text_table(spark, folder, "documents").selectExpr(
         "doc_id", f"{identity.content_key('source', 'lang', 'text')} AS key"
     )
 
@@ -279,7 +279,7 @@ def label_titles(spark, folder):
     card = f"concat('![Image ', p_partkey, ': ', p_brand, '](http://i/x.png) ### ', initcap(p_name), ' ', {day})"
     flat = f"concat('#### ', initcap(p_name), ' ', p_type, ' sort of ', p_brand, ' ', {day})"
     slug = "concat('https://x.example.com/a/', replace(p_name, ' ', '-'), '/?q=1')"
-    rows = table(spark, folder, "part").selectExpr(
+    rows = text_table(spark, folder, "part").selectExpr(
         "p_partkey", f"{card} AS card", f"{flat} AS flat", f"{published} AS published", f"{slug} AS slug"
     )
     titled = rows.selectExpr(
@@ -307,7 +307,7 @@ def section_titles(spark, folder):
         "array(named_struct('target', CASE WHEN p_size % 3 = 0 THEN concat('#part-', p_partkey)"
         " WHEN p_size % 3 = 1 THEN 'https://X.example.com/log?utm_source=a#own' ELSE '/elsewhere' END))"
     )
-    return table(spark, folder, "part").selectExpr(
+    return text_table(spark, folder, "part").selectExpr(
         "p_partkey",
         f"{section_title(body, 'p_brand', day)} AS title",
         f"{section_heading_url(anchor, lit_page(), day)} AS url",
@@ -331,7 +331,7 @@ FROM p
 def page_image_titles(spark, folder):
     """Distinct image titles of a Markdown text made of the lines of a document."""
     marked = "array_join(transform(split(text, '\n'), (l, i) -> concat('![Image ', i, ': ', substr(l, 1, 12), '](x.png)')), ' ')"
-    return table(spark, folder, "documents").selectExpr(
+    return text_table(spark, folder, "documents").selectExpr(
         "doc_id", f"explode({image_titles(marked)}) AS title"
     )
 
