@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import mixing, packing, quality_rules, secrets
+from tidewire.llm import ann, chat, html_text, mixing, ngram_join, packing, quality_rules, secrets
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -23,6 +23,10 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bound")
 
 
+def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     spans = F.col("secret_spans")
@@ -47,10 +51,26 @@ def systematic_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def line_block_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages"))
+
+
+def prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, folder, "documents"))
+
+
+def role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repaired(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
+    "op2_cross_polytope": cross_polytope,
     "op3_secret_scans": secret_scans,
     "op4_distribution_rules": distribution_rules,
     "op5_systematic_mixing": systematic_mixing,
+    "op6_line_block_text": line_block_text,
+    "op8_prefix_tree_join": prefix_tree_join,
+    "op10_role_repair": role_repair,
 }
 ORACLES: dict[str, str] = {}

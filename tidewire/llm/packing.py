@@ -37,7 +37,7 @@ GROUP_ROWS = 4096
 CACHED_WORDS = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
-_PLACED = f"{PIECES}, _bin long, _fill long, _offset long, _bins long, _bound long"
+_PLACED = f"{PIECES.replace('doc_id long', 'doc_id string')}, _bin long, _fill long, _offset long, _bins long, _bound long"
 
 
 class WordIds(dict):
@@ -114,12 +114,12 @@ def token_pieces(
                     values = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), row)
                     rows.append((*values, np.frombuffer(part, "<u4").astype("i4")) if keep_ids else values)
                     row += 1
-            out = pd.DataFrame(rows, columns=_names(keep_ids))
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=_names(keep_ids))
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInPandas(cut, PIECES + (", ids array<int>" if keep_ids else ""))
+    # Ids pass through Python as text: as numbers, nulls would turn them into floats.
+    chosen = docs.select(F.col(id_column).cast("string").alias("doc_id"), F.col(text_column).alias("text"))
+    cut_up = chosen.mapInPandas(cut, PIECES.replace("doc_id long", "doc_id string") + (", ids array<int>" if keep_ids else ""))
+    return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _names(keep_ids: bool) -> list[str]:
@@ -195,11 +195,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     for turn in range(16):
         groups = max(1, -(-rows // group_rows))
         dealt = pending.withColumn("_group", F.expr(f"pmod(xxhash64(_row, {turn}), {groups})"))
+        dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
         placed = dealt.groupBy("_group").applyInPandas(
             lambda key, group: place(group).assign(_group=key[0]), f"{fields}, _group long"
         )
-        placed = written(placed, f"packed{turn}").withColumn(
-            "sequence_id", F.expr(f"shiftleft({turn}L, 56) + shiftleft(_group, 16) + _bin")
+        placed = written(placed, f"packed{turn}").withColumns(
+            {
+                "doc_id": F.col("doc_id").cast("long"),
+                "sequence_id": F.expr(f"shiftleft({turn}L, 56) + shiftleft(_group, 16) + _bin"),
+            }
         )
         filled = F.col("_fill") == capacity
         seen = placed.agg(
