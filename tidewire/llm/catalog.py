@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, html_text, mixing, ngram_join, packing, quality_rules, secrets
+from tidewire.llm import ann, chat, html_text, mixing, ngram_join, packing, quality_rules, secret_scan
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -30,13 +30,13 @@ def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     spans = F.col("secret_spans")
-    base = F.filter(spans, lambda s: s["rank"] < len(secrets.BASE))
+    base = F.filter(spans, lambda s: s["rank"] < len(secret_scan.BASE))
     counts = (
         F.size(F.filter(spans, lambda s, kind=rule.kind: s["kind"] == kind)).cast("long").alias(f"n_{rule.kind}")
-        for rule in secrets.BASE
+        for rule in secret_scan.BASE
     )
-    return secrets.scan(docs).select(
-        "doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(spans).alias("spans")
+    return secret_scan.scan(docs).select(
+        "doc_id", *counts, F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans")
     )
 
 

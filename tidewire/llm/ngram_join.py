@@ -388,10 +388,9 @@ def _large(members: DataFrame, texts: DataFrame, ranks) -> DataFrame:
         targets, (F.col("_c") == F.col("coarse")) & (F.col("_near") == F.floor(F.col("_target") / (1 << 32)))
     )
     probes = pairs.select("coarse", "_target", "_deal", F.col("_own").alias("block"), *key, "label")
-    asked = probes.select("coarse", "_target", "_deal").distinct()
-    filled = labels.join(asked, (asked["coarse"] == labels["coarse"]) & (asked["_target"] == labels["block"])).select(
-        labels["coarse"], "_target", "_deal", "block", *key, "label"
-    )
+    asked = probes.select(F.col("coarse").alias("_c"), F.col("_target").alias("_t"), "_deal").distinct()
+    filled = labels.join(asked, (F.col("_c") == F.col("coarse")) & (F.col("_t") == F.col("block")))
+    filled = filled.select("coarse", F.col("_t").alias("_target"), "_deal", "block", *key, "label")
     both = probes.unionAll(filled).join(texts, key)
     last = _joined(both, ["coarse", "_target", "_deal"], ranks)
     again = last.join(labels.select(*key, F.col("label").alias("a")), key).select("a", F.col("label").alias("b"))

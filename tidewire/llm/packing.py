@@ -16,6 +16,7 @@ Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,61 +34,92 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs, on average.
 GROUP_ROWS = 4096
-#: Words whose ids a task keeps at hand.
-CACHED_WORDS = 300_000
+#: Words and runs whose ids a worker keeps at hand, and characters that it handles at once.
+CACHED_WORDS, CACHED_RUNS, BATCH_CHARS = 800_000, 1_000_000, 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
 _PLACED = f"{PIECES.replace('doc_id long', 'doc_id string')}, _bin long, _fill long, _offset long, _bins long, _bound long"
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes.
+class WordIds:
+    """Ids of texts, as little-endian unsigned 32-bit bytes, from ids of words kept at hand.
 
     The tokenizer treats white space only as a boundary and lower-cases character by character, so
     the ids of a text are those of its words in turn, and those of a Latin word are those of its
-    letter, digit and symbol runs.  Other words go to the tokenizer whole.
+    letter, digit and symbol runs.  Other words go to the tokenizer whole.  New runs go to the
+    tokenizer many at a time; the last id of each run is one that ends a word.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self._tokenizer = Tokenizer.from_file(path)
-        self._runs = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self._of_run: dict[str, bytes] = {}
+        self._of_word: dict[str, bytes] = {"": b""}
 
     def _encoded(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        found = self._of_run.get(run)
-        if found is None:
-            found = self._encoded(run)
-            if len(self._of_run) >= CACHED_WORDS:
-                self._of_run.clear()
-            self._of_run[run] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if len(word) > 64:
-            return self._encoded(word)
-        if "<|" in word or max(word) >= "ɐ":
-            ids = self._encoded(word)
-        else:
-            ids = b"".join(map(self._run, self._runs(word.lower())))
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SEPARATORS.sub(" ", text).split(" ")))
+    def _learn_runs(self, runs: list[str]) -> None:
+        lines = [" ".join(runs[i : i + 500]) for i in range(0, len(runs), 500)]
+        at = 0
+        for line in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(line.ids, dtype="<u4")
+            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            for run, start, stop in zip(runs[at : at + 500], [0, *stops], stops, strict=False):
+                self._of_run[run] = raw[start:stop]
+            at += 500
+
+    def _learn(self, words: set[str]) -> None:
+        whole = [w for w in words if len(w) > 256 or not (w.isascii() or max(w) < "\u0250") or "<|" in w]
+        for word in whole:
+            self._of_word[word] = self._encoded(word)
+        latin = words.difference(whole) if whole else words
+        low = [(w, w.lower()) for w in latin]
+        single, lowered = [w for w, x in low if x.isalpha()], [x for _, x in low if x.isalpha()]
+        mixed = [w for w, x in low if not x.isalpha()]
+        parts = [self._split(x) for _, x in low if not x.isalpha()]
+        runs = set(lowered).union(*parts)
+        fresh = list(runs.difference(self._of_run))
+        if len(self._of_run) + len(fresh) > CACHED_RUNS:
+            self._of_run.clear()
+            fresh = list(runs)
+        self._learn_runs(fresh)
+        known = self._of_run.__getitem__
+        self._of_word.update(zip(single, map(known, lowered), strict=True))
+        self._of_word.update(zip(mixed, (b"".join(map(known, found)) for found in parts), strict=True))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        split = [_SEPARATORS.sub(" ", text).split(" ") if text else [] for text in texts]
+        words: set[str] = set()
+        for found in split:
+            words.update(found)
+        missing = words.difference(self._of_word)
+        if missing:
+            if len(self._of_word) + len(missing) > CACHED_WORDS:
+                self._of_word = {"": b""}
+                missing = words
+            self._learn(missing.difference([""]))
+        known = self._of_word.__getitem__
+        return [b"".join(map(known, found)) for found in split]
 
 
 _SEPARATORS = re.compile(r"[\n\t\r]")
+#: Tokenizer file -> what this worker has learnt; workers are used for many tasks.
+_LEARNT: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    if path not in _LEARNT:
+        _LEARNT[path] = WordIds(path)
+    return _LEARNT[path]
 
 
 def token_pieces(
@@ -103,12 +135,12 @@ def token_pieces(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_word = WordIds(tokenizer)
+        known = _word_ids(tokenizer)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in _bounded(whole)):
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = of_word.ids(text or "") + end
+            for doc, raw in zip(batch["doc_id"], known.ids(batch["text"].tolist()), strict=True):
+                ids = raw + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     values = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), row)
@@ -122,6 +154,14 @@ def token_pieces(
     return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _bounded(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Slices of a batch with about ``BATCH_CHARS`` characters of text, one document at least."""
+    if len(batch):
+        slices = batch["text"].str.len().fillna(0).cumsum().to_numpy() // BATCH_CHARS
+        for start, stop in zip(starts := np.flatnonzero(np.diff(slices, prepend=-1)), [*starts[1:], len(batch)], strict=True):
+            yield batch.iloc[start:stop]
+
+
 def _names(keep_ids: bool) -> list[str]:
     return [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids
 
