@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, html_text, mixing, ngram_join, packing, quality_rules, secret_scan
+from tidewire.llm import ann, chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -59,6 +59,11 @@ def prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"))
 
 
+def rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_classifier.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def role_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repaired(read(spark, folder, "conversations"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_systematic_mixing": systematic_mixing,
     "op6_line_block_text": line_block_text,
     "op8_prefix_tree_join": prefix_tree_join,
+    "op9_rule_ensemble": rule_ensemble,
     "op10_role_repair": role_repair,
 }
 ORACLES: dict[str, str] = {}
