@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan
+from tidewire.llm import ann, chat, html_text, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -55,6 +55,10 @@ def line_block_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(read(spark, folder, "pages"))
 
 
+def context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.scored(read(spark, folder, "documents"))
+
+
 def prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_distribution_rules": distribution_rules,
     "op5_systematic_mixing": systematic_mixing,
     "op6_line_block_text": line_block_text,
+    "op7_context_mixing": context_mixing,
     "op8_prefix_tree_join": prefix_tree_join,
     "op9_rule_ensemble": rule_ensemble,
     "op10_role_repair": role_repair,
