@@ -5,10 +5,13 @@ The set of a document holds the distinct five-word shingles of its words (ASCII
 similarity of ``SIMILARITY`` percent or more, and components of links are returned.
 
 1. Signatures (128 bits of the whole set) collapse documents with equal sets.  A sketch of fixed size counts
-   shingles over all documents; it orders them globally, rare ones first, then by hash.
-2. Two sets that link share one of their first ``n - least overlap + 1`` shingles in that order.  These
-   shingles are grouped: each batch of a task sends one representative per shingle, and sets that share a shingle
-   are joined to the least of them.  The components of these joins hold all links; most sets are alone.
+   shingles over all documents; it orders them globally, rare ones first, then by hash.  Shingles whose hash is in
+   the lowest ``SAMPLED`` part are also counted exactly; a Bloom filter of fixed size holds those that repeat, and
+   shingles known not to repeat come first of all.
+2. Two sets that link share one of their first ``n - least overlap + 1`` shingles in that order.  A set whose first
+   shingles are all known not to repeat is alone, which settles most sets without reading them again.  The other sets
+   are grouped by their first shingles: each batch of a task sends one representative per shingle, and sets that share
+   a shingle are joined to the least of them.  The components of these joins hold all links.
 3. The sets of a component are joined in blocks of bounded size, by a prefix tree: sets are paths of shingles
    in the global order; walking a path keeps the partial overlaps with all sets met so far, paths with a common
    start share them, and a set is dropped as soon as what remains of both cannot reach the overlap needed.
@@ -42,6 +45,8 @@ WORDS = 5
 SIMILARITY = 80
 #: Counters of the sketch (one byte each): its size does not depend on the input.
 SKETCH_BITS = 22
+#: Part of all hashes whose shingles are counted exactly, and bits of the filter that holds those that repeat.
+SAMPLED, FILTER_BITS = 0.3, 26
 #: Shingles that one block holds, about.
 BLOCK_SHINGLES = 1_500_000
 #: Sets that meet at once when results of blocks are compared.
@@ -97,8 +102,16 @@ def _prefix(n: int) -> int:
 # Signatures and the global order
 # --------------------------------------------------------------------------
 
-_ROW = "doc_id string, hash long, n long, sig long, sig2 long, part int, counts binary"
+_ROW = "doc_id string, hash long, n long, sig long, sig2 long, items array<long>, part int, counts binary"
 _PARTS = 32
+_LOW = np.uint64(SAMPLED * 2**64)
+#: Bits of a hash below the filter's place: sampled hashes are spread over the whole filter.
+_FILTER_SHIFT = np.uint64(64 - FILTER_BITS)
+
+
+def _places(items: np.ndarray) -> np.ndarray:
+    """Places of sampled items in the filter."""
+    return (_mixed(items * _FACTOR) >> _FILTER_SHIFT).astype(np.int64)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -113,12 +126,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 items = shingle_set(text, hashes)
                 slots = (items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counts[slots] += counts[slots] < 255
-                rows.append((len(items), *_signature(items)))
-            out = pd.DataFrame(rows, columns=["n", "sig", "sig2"])
+                low = items[: np.searchsorted(items, _LOW)]
+                rows.append((len(items), *_signature(items), low.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "sig", "sig2", "items"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             out.insert(1, "hash", batch["hash"].to_numpy())
             yield out.assign(part=-1, counts=None)
-        blank = {"doc_id": None, **dict.fromkeys(("hash", "n", "sig", "sig2"), 0)}
+        blank = {"doc_id": None, "items": None, **dict.fromkeys(("hash", "n", "sig", "sig2"), 0)}
         for part, piece in enumerate(np.split(counts, _PARTS)):
             yield pd.DataFrame([{**blank, "part": part, "counts": piece.tobytes()}])
 
@@ -152,9 +166,51 @@ def _ranks(sketches: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts / usual, 0.5)) + 1).astype(np.uint8)
 
 
-def _ordered(items: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Items in the global order: class, then hash (``items`` is sorted by hash)."""
-    return items[np.argsort(ranks[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
+def _repeating(rows: DataFrame) -> np.ndarray:
+    """Filter of the sampled items that occur twice or more, as packed bits."""
+    again = rows.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1").select("item")
+    pieces = 256
+    width = (1 << FILTER_BITS) // pieces
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[_places(batch["item"].to_numpy().view(np.uint64))] = True
+        for piece in range(pieces):
+            held = bits[piece * width : (piece + 1) * width]
+            if held.any():
+                yield pd.DataFrame({"piece": [piece], "bits": [np.packbits(held).tobytes()]})
+
+    def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, raw in zip(batch["piece"], batch["bits"], strict=True):
+                values = np.frombuffer(raw, np.uint8)
+                sums[piece] = sums[piece] | values if piece in sums else values
+        for piece, values in sums.items():
+            yield pd.DataFrame({"piece": [piece], "bits": [values.tobytes()]})
+
+    fields = "piece int, bits binary"
+    parts = again.mapInPandas(place, fields).withColumn("_salt", F.spark_partition_id() % 64)
+    near = parts.repartition(F.col("piece"), F.col("_salt")).select("piece", "bits").mapInPandas(union, fields)
+    out = np.zeros((pieces, width // 8), dtype=np.uint8)
+    for row in near.repartition(F.col("piece")).mapInPandas(union, fields).collect():  # fixed size
+        out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _alone(items: np.ndarray, repeating: np.ndarray) -> np.ndarray:
+    """Whether sampled items are known not to repeat."""
+    place = _places(items)
+    return (repeating[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 0
+
+
+def _ordered(items: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Items (sorted by hash) in the global order without those known not to repeat, which come first and match nothing."""
+    ranks, repeating = order
+    low = int(np.searchsorted(items, _LOW))
+    kept = np.concatenate([items[:low][~_alone(items[:low], repeating)], items[low:]])
+    return kept[np.argsort(ranks[(kept >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
 
 
 # --------------------------------------------------------------------------
@@ -162,7 +218,7 @@ def _ordered(items: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------
 
 
-def _shared_prefixes(docs: DataFrame, ranks) -> DataFrame:
+def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
     """(item, node): for each prefix item one node per batch; nodes that share an item within a batch meet under a key of their own."""
 
     def emit(items: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
@@ -184,7 +240,7 @@ def _shared_prefixes(docs: DataFrame, ranks) -> DataFrame:
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, order = _WordHash(), ranks.value
+        hashes, known = _WordHash(), order.value
         items: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
@@ -192,7 +248,8 @@ def _shared_prefixes(docs: DataFrame, ranks) -> DataFrame:
                 full = shingle_set(text, hashes)
                 node = _signature(full)[0]
                 if len(full) and node not in items:
-                    items[node] = _ordered(full, order)[: _prefix(len(full))]
+                    rest = _ordered(full, known)
+                    items[node] = rest[: max(0, _prefix(len(full)) - (len(full) - len(rest)))]
                     held += len(items[node])
                 if held >= 1_000_000:
                     yield emit(list(items.values()), list(items))
@@ -200,7 +257,25 @@ def _shared_prefixes(docs: DataFrame, ranks) -> DataFrame:
         if items:
             yield emit(list(items.values()), list(items))
 
-    return docs.select("text").mapInPandas(run, "item long, node long")
+    return texts.select("text").mapInPandas(run, "item long, node long")
+
+
+def _suspects(rows: DataFrame, order) -> DataFrame:
+    """One document (doc_id, hash) for every set whose first items are not all known to be its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repeating = order.value[1]
+        for batch in batches:
+            lengths = batch["items"].map(len).to_numpy()
+            items = np.concatenate([np.empty(0, dtype=np.int64), *batch["items"]]).view(np.uint64)
+            doc = np.repeat(np.arange(len(batch)), lengths)
+            own = np.bincount(doc, _alone(items, repeating), len(batch))
+            yield batch.loc[own < batch["n"].map(_prefix).to_numpy(), names]
+
+    names = ["doc_id", "hash", "n", "sig", "sig2"]
+    found = rows.mapInPandas(run, "doc_id string, hash long, n long, sig long, sig2 long")
+    one = F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "hash")).alias("_one")
+    return found.groupBy("sig", "sig2", "n").agg(one)
 
 
 def _candidate_edges(docs: DataFrame, ranks) -> DataFrame:
@@ -298,7 +373,7 @@ def _joined(members: DataFrame, keys: list[str], ranks) -> DataFrame:
     """Join each group of ``members`` (with ``text``) by ``keys``; (coarse, block, sig, sig2, label), label a row's ``label`` or less."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, order = _WordHash(), ranks.value
+        hashes, order = _WordHash(), ranks.value[0]
         group = group.drop_duplicates(["sig", "sig2", "block"])
         sets = [shingle_set(text, hashes) for text in group["text"]]
         right = np.array([_signature(x) for x in sets]) == group[["sig", "sig2"]].to_numpy()
@@ -408,24 +483,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Ids pass through Python as text: as numbers, nulls would turn them into floats.
     named = chosen.withColumn("doc_id", F.col("doc_id").cast("string"))
     signed = written(_signatures(named).withColumn("_task", F.spark_partition_id()), "signatures")
-    ranks = spark.sparkContext.broadcast(_ranks(signed.where("part >= 0")))  # fixed size
-    rows = signed.where("part < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "hash", "n", "sig", "sig2")
-    coarse = components(_candidate_edges(chosen, ranks))
-    # One document for every set that is not alone.
-    sets = rows.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min(F.struct("doc_id", "hash")).alias("_one"))
-    members = sets.join(coarse, F.col("sig") == F.col("node")).select(
-        F.col("component").alias("coarse"),
-        "sig",
-        "sig2",
-        "n",
-        F.col("sig").alias("label"),
-        F.col("_one.doc_id").alias("_id"),
-        F.col("_one.hash").alias("_hash"),
-    )
+    sets = signed.where("part < 0 AND n > 0")
+    known = (_ranks(signed.where("part >= 0")), _repeating(sets))
+    ranks = spark.sparkContext.broadcast(known)  # fixed size
+    rows = signed.where("part < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "sig", "sig2")
+    # The texts of sets that may link, one document for each.
+    suspects = written(_suspects(sets.drop("part", "counts", "_task"), ranks), "suspects")
+    one = suspects.select("sig", "sig2", "n", F.col("_one.doc_id").alias("_id"), F.col("_one.hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("hash").eqNullSafe(F.col("_hash"))
+    texts = chosen.join(one.hint("shuffle_hash"), same).select("sig", "sig2", "n", "text")
+    texts = written(texts.dropDuplicates(["sig", "sig2"]), "texts")
+    coarse = components(_candidate_edges(texts, ranks))
+    members = texts.select("sig", "sig2", "n").join(coarse, F.col("sig") == F.col("node"))
+    members = members.select(F.col("component").alias("coarse"), "sig", "sig2", "n", F.col("sig").alias("label"))
     members = written(_blocks(members), "members")
-    one = members.select("sig", "sig2", "_id", "_hash").hint("shuffle_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    texts = written(chosen.join(one, same).select("sig", "sig2", "text").dropDuplicates(["sig", "sig2"]), "texts")
+    texts = texts.drop("n")
     columns = ["coarse", "block", "sig", "sig2", "label"]
     small = _joined(members.where("NOT large").select(columns).join(texts, ["sig", "sig2"]), ["coarse"], ranks)
     labels = small.select("sig", "sig2", "label")
