@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.components import components
+from tidewire.llm.tables import BLANKS
 from tidewire.session import written
 
 WORDS = 5
@@ -472,8 +473,8 @@ def _large(members: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     return _merged(labels.select("sig", "sig2", "label"), again.distinct())
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document."""
+def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, hash, n_shingles, root, component_id) for every document: ``hash`` of its text, ``root`` of its component."""
     spark = docs.sparkSession
     chosen = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
@@ -486,7 +487,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = signed.where("part < 0 AND n > 0")
     known = (_ranks(signed.where("part >= 0")), _repeating(sets))
     ranks = spark.sparkContext.broadcast(known)  # fixed size
-    rows = signed.where("part < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "sig", "sig2")
+    rows = signed.where("part < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "hash", "n", "sig", "sig2")
     # The texts of sets that may link, one document for each.
     suspects = written(_suspects(sets.drop("part", "counts", "_task"), ranks), "suspects")
     one = suspects.select("sig", "sig2", "n", F.col("_one.doc_id").alias("_id"), F.col("_one.hash").alias("_hash"))
@@ -511,11 +512,35 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     known = known.join(labels, equal, "left").drop("_sig", "_sig2")
     together = known.where("label IS NOT NULL").groupBy(F.col("label").alias("_label")).agg(F.min("_least").alias("_all"))
     known = known.join(together, F.col("label") == F.col("_label"), "left").select(
-        F.col("sig").alias("_sig"), F.col("sig2").alias("_sig2"), F.coalesce("_all", "_least").alias("component_id")
+        F.col("sig").alias("_sig"),
+        F.col("sig2").alias("_sig2"),
+        F.coalesce(F.col("label").cast("string"), F.concat_ws(":", "sig", "sig2")).alias("root"),
+        F.coalesce("_all", "_least").alias("component_id"),
     )
     found = rows.join(known, equal & (F.col("n") > 0), "left")
-    return found.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "hash", F.col("n").alias("n_shingles"), "root", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every document."""
+    return linked(docs, id_column, text_column).select("doc_id", "n_shingles", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the least id; documents with an empty set all stay."""
+    found = written(linked(docs, id_column, text_column), "linked")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    one = found.where("n_shingles > 0").groupBy("root").agg(F.min(place).alias("_one"))
+    one = one.select(F.col("_one.doc_id").alias("_id"), F.col("_one.hash").alias("_hash"))
+    rows = found.groupBy(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).agg(F.count("*").alias("_copies"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_hash").eqNullSafe(F.col("_h"))
+    one = written(one.join(rows, same).select("_id", "_hash", "_copies"), "kept")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_column)))
+    wanted = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
+    kept = hashed.join(one, wanted)
+    # Repeated rows are rare: only they are compared again.
+    single = kept.where("_copies = 1").select(docs.columns)
+    repeated = kept.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    empty = F.btrim(F.coalesce(F.col(text_column), F.lit("")), F.lit(BLANKS)) == ""
+    return single.unionAll(repeated).unionAll(docs.where(empty))

@@ -21,6 +21,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ END_ID = 1
 #: Pieces that one group packs, on average.
 GROUP_ROWS = 4096
 #: Words and runs whose ids a worker keeps at hand, and characters that it handles at once.
-CACHED_WORDS, CACHED_RUNS, BATCH_CHARS = 800_000, 1_000_000, 4_000_000
+CACHED_WORDS, CACHED_RUNS, BATCH_CHARS = 1_000_000, 1_600_000, 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
 _PLACED = f"{PIECES.replace('doc_id long', 'doc_id string')}, _bin long, _fill long, _offset long, _bins long, _bound long"
@@ -81,20 +83,23 @@ class WordIds:
         whole = [w for w in words if len(w) > 256 or not (w.isascii() or max(w) < "\u0250") or "<|" in w]
         for word in whole:
             self._of_word[word] = self._encoded(word)
-        latin = words.difference(whole) if whole else words
-        low = [(w, w.lower()) for w in latin]
-        single, lowered = [w for w, x in low if x.isalpha()], [x for _, x in low if x.isalpha()]
-        mixed = [w for w, x in low if not x.isalpha()]
-        parts = [self._split(x) for _, x in low if not x.isalpha()]
-        runs = set(lowered).union(*parts)
+        latin = list(words.difference(whole) if whole else words)
+        low = list(map(str.lower, latin))
+        plain = list(map(str.isalpha, low))
+        other = list(map(not_, plain))
+        single = list(compress(low, plain))
+        parts = list(map(self._split, compress(low, other)))
+        runs = set(single)
+        runs.update(chain.from_iterable(parts))
         fresh = list(runs.difference(self._of_run))
         if len(self._of_run) + len(fresh) > CACHED_RUNS:
             self._of_run.clear()
             fresh = list(runs)
         self._learn_runs(fresh)
         known = self._of_run.__getitem__
-        self._of_word.update(zip(single, map(known, lowered), strict=True))
-        self._of_word.update(zip(mixed, (b"".join(map(known, found)) for found in parts), strict=True))
+        self._of_word.update(zip(compress(latin, plain), map(known, single), strict=True))
+        joined = (b"".join(map(known, found)) for found in parts)
+        self._of_word.update(zip(compress(latin, other), joined, strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [_SEPARATORS.sub(" ", text).split(" ") if text else [] for text in texts]
