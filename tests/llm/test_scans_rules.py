@@ -87,7 +87,7 @@ def plain(text):
     return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), failed
 
 
-PROSE = " ".join(f"{a} {b} of the {b}{a}" for a in "alpha beta gamma delta rho".split() for b in "stone river cloud meadow light".split())
+PROSE = " ".join(f"{a}{b} of the {b}{a} and" for a in "alpha beta gamma delta rho".split() for b in "stone river cloud meadow light".split())
 
 
 def test_rules(spark):
