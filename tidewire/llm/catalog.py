@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import ann, chat, html_text, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan
@@ -31,10 +31,11 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["rank"] < len(secret_scan.BASE))
-    counts = (
-        F.size(F.filter(spans, lambda s, kind=rule.kind: s["kind"] == kind)).cast("long").alias(f"n_{rule.kind}")
-        for rule in secret_scan.BASE
-    )
+
+    def found(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = (found(rule.kind) for rule in secret_scan.BASE)
     return secret_scan.scan(docs).select(
         "doc_id", *counts, F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans")
     )
