@@ -1,5 +1,7 @@
 """Small documents and tables for the tests."""
 
+import itertools
+
 from tidewire import schemas
 
 
@@ -16,11 +18,13 @@ def source_table(spark, *rows):
     return schemas.source_table(spark, rows)
 
 
-def raw_docs(spark, *pairs, run="r1"):
-    return spark.createDataFrame(
-        [(run, name, body if isinstance(body, (bytes, bytearray)) else body.encode()) for name, body in pairs],
-        schemas.RAW_DOCS,
-    )
+def raw_docs(spark, *pairs, run="r1", times=()):
+    """Pages as (source, body); ``times`` are their fetch times, None for the rest."""
+    rows = [
+        (run, name, None, at, body if isinstance(body, (bytes, bytearray)) else body.encode())
+        for (name, body), at in itertools.zip_longest(pairs, times)
+    ]
+    return spark.createDataFrame(rows, schemas.RAW_DOCS)
 
 
 def entry_list(spark, settings, body, max_bytes=5 * 1024 * 1024):

@@ -60,7 +60,7 @@ def test_resolve_like_rfc(spark):
     targets = ["c", "../c", "/d", "?x=1", "#z", "//h/p", "", "./", "..", "../../..", "a//b", "/x/./y/../z", "http://o/p?", "mailto:x", "g;x=1/../y"]
     assert apply(spark, lambda x: urls.resolve(f"'{base}'", x), targets) == [urljoin(base, t) for t in targets]
     assert apply(spark, lambda x: urls.resolve(f"'{base}'", x), ["http://["]) == [None]
-    assert apply(spark, lambda x: urls.issue_url(f"'{base}'", x), ["http://[" + "x" * 3000])[0] == ("http://[" + "x" * 3000)[:2000]
+    assert apply(spark, lambda x: urls.issue_url(f"'{base}'", x), ["http://[" + "x" * 3000])[0] == ("http://[" + "x" * 3000)
 
 
 def test_item_link(spark):

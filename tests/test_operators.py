@@ -20,11 +20,11 @@ def plan(df):
 
 def test_first_wins_cuts_rows_before_the_shuffle(spark):
     rows = spark.range(1000).selectExpr("id AS pos", "string(id % 2) AS source", "1 AS source_ord", "string(id % 3) AS dedupe_key", "int(2) AS window_size")
-    for frame in (first_in_source(rows), first_window(rows, 5), first_window_by_setting(rows, 5), first_by(rows, ["dedupe_key"], ["pos"])):
+    for frame in (first_in_source(rows), first_window(rows, 5), first_window_by_setting(rows), first_by(rows, ["dedupe_key"], ["pos"])):
         text = plan(frame)
         assert "WindowGroupLimit" in text, text
         assert text.index("Final") < text.index("Exchange") < text.index("Partial")
-    assert first_window_by_setting(rows, 5).count() == 4
+    assert first_window_by_setting(rows).count() == 4
     claimed = with_claims(rows)
     assert claimed.where("claimed").count() == 3 and claimed.count() == 1000
 

@@ -69,8 +69,10 @@ def issue_key(source: str, page_url: str, title: str, url: str, index: str) -> s
 
 @sql_function
 def order_key(source_ord: str, pos: str) -> str:
-    """One BIGINT that sorts by source priority, then by position on the page.
+    """One BIGINT that sorts by source priority, then by position in the source.
 
-    Positions are below 2**40; up to 2**23 sources.
+    Positions are below 2**40 and sources below 2**23; others are an error, never another row's key.
     """
-    return f"(shiftleft(bigint({source_ord}), 40) | bigint({pos}))"
+    fits = f"bigint({pos}) >= 0 AND bigint({pos}) < {1 << 40} AND {source_ord} >= 0 AND {source_ord} < {1 << 23}"
+    key = f"shiftleft(bigint({source_ord}), 40) | bigint({pos})"
+    return f"if(coalesce({fits}, true), {key}, raise_error('position or source out of range'))"

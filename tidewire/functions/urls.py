@@ -227,8 +227,8 @@ def resolve_from(base: str, parts: Url, target: str) -> str:
 
 @sql_function
 def issue_url(base: str, target: str) -> str:
-    """Where a bad entry pointed to; unresolvable text is kept, at most 2000 characters."""
-    return f"coalesce({resolve(base, target)}, substring({target}, 1, 2000))"
+    """Where a bad entry pointed to; unresolvable text is kept whole, so that two of them stay apart."""
+    return f"coalesce({resolve(base, target)}, {target})"
 
 
 # --------------------------------------------------------------------------

@@ -30,20 +30,11 @@ def first_window(
 
 
 def first_window_by_setting(
-    df: DataFrame, largest: int, keys: Sequence[str] = ("source",), order: Sequence[str] = ("pos",)
+    df: DataFrame, keys: Sequence[str] = ("source",), order: Sequence[str] = ("pos",)
 ) -> DataFrame:
-    """Per-source limit from the column ``window_size``.
-
-    The literal ``largest`` (the maximum over the small source table) is what the
-    optimizer can use to cut every task's rows before the shuffle.
-    """
+    """Per-source limit from the column ``window_size``; no other bound applies."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (
-        df.withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.lit(largest))
-        .where(F.col("_rank") <= F.col("window_size"))
-        .drop("_rank")
-    )
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= F.col("window_size")).drop("_rank")
 
 
 def first_in_source(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:

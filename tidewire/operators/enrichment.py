@@ -13,7 +13,9 @@ from tidewire.functions.sql import case, each, let, lit, sql_function
 from tidewire.functions.text import article_text, matches, strip
 from tidewire.functions.urls import article_link, canonical_url
 
+#: Size of an article that is still read, unless a run sets another limit.
 MAX_ARTICLE_BYTES = 1024 * 1024
+TOO_LARGE, NOT_UTF8, NO_TEXT = "article is too large", "article is not valid UTF-8", "article has no text"
 
 # Fields of a summary, limits and messages.
 TITLE, BULLETS = "title_zh", "bullets_zh"
@@ -136,15 +138,19 @@ def cache_rows(items: DataFrame, **model: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def with_article(items: DataFrame, articles: DataFrame | None) -> DataFrame:
-    """Add ``article``: the item's own text, or the landed page by canonical URL.
+def with_article(
+    items: DataFrame, articles: DataFrame | None, max_bytes: int = MAX_ARTICLE_BYTES
+) -> DataFrame:
+    """Add ``article``, the item's own text or the newest landed page of its canonical URL, and ``article_error``.
 
-    ``items`` carry ``content_mode`` and ``allowed_hosts``.  NULL means that there is
-    no usable text.
+    ``items`` carry ``content_mode`` and ``allowed_hosts``.  Without usable text ``article`` is NULL and
+    ``article_error`` says why.  Landed pages may have a ``fetched_at``; of equally new ones the larger body counts.
     """
     own = F.expr(f"nullif({strip('content')}, '')")
+    reason = F.when(F.col("article").isNull(), F.coalesce("_reason", F.lit(NO_TEXT)))
     if articles is None:
-        return items.withColumn("article", F.when(F.col("content_mode") == "inline", own))
+        bare = items.withColumn("article", F.when(F.col("content_mode") == "inline", own))
+        return bare.withColumn("_reason", F.lit(None).cast("string")).withColumn("article_error", reason).drop("_reason")
     keyed = items.withColumn(
         "_key",
         F.when(
@@ -152,19 +158,26 @@ def with_article(items: DataFrame, articles: DataFrame | None) -> DataFrame:
             F.expr(canonical_url(article_link("url", "allowed_hosts"))),
         ),
     )
-    usable = (F.octet_length("body") <= MAX_ARTICLE_BYTES) & F.is_valid_utf8(F.col("body").cast("string"))
-    # Only pages that are asked for are cleaned.
-    pages = (
-        articles.select(F.expr(canonical_url("article_url")).alias("_key"), "body")
+    fetched = F.col("fetched_at") if "fetched_at" in articles.columns else F.lit(None).cast("timestamp")
+    # Only pages that are asked for are kept, and only the newest of each is cleaned.
+    newest = (
+        articles.select(F.expr(canonical_url("article_url")).alias("_key"), fetched.alias("_at"), "body")
         .join(keyed.select("_key"), "_key", "left_semi")
-        .select("_key", F.when(usable, F.expr(article_text("string(body)"))).alias("_page"))
-        .where(F.col("_page") != "")
+        .groupBy("_key")
+        .agg(F.max(F.struct("_at", "body")).alias("_newest"))
+        .select("_key", F.col("_newest.body").alias("body"))
+    )
+    bad = F.when(F.octet_length("body") > max_bytes, F.lit(TOO_LARGE)).when(
+        ~F.is_valid_utf8(F.col("body").cast("string")), F.lit(NOT_UTF8)
+    )
+    pages = newest.select("_key", "body", bad.alias("_reason")).select(
+        "_key", "_reason", F.when(F.col("_reason").isNull(), F.expr(f"nullif({article_text('string(body)')}, '')")).alias("_page")
     )
-    pages = pages.groupBy("_key").agg(F.min("_page").alias("_page"))
     return (
         keyed.join(pages, "_key", "left")
         .withColumn("article", F.when(F.col("content_mode") == "inline", own).otherwise(F.col("_page")))
-        .drop("_key", "_page")
+        .withColumn("article_error", reason)
+        .drop("_key", "_page", "_reason")
     )
 
 
@@ -190,21 +203,32 @@ def ask(items: DataFrame, factory: Callable[[], Summarizer], concurrency: int =
         except Exception as problem:  # noqa: BLE001 - one article must not stop the others
             return row["order_key"], None, f"{type(problem).__name__}: {problem}"
 
+    def broken(problem: Exception) -> Summarizer:
+        def fail(row: dict, article: str) -> str:
+            raise RuntimeError(f"{type(problem).__name__}: {problem}")
+
+        return fail
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = None
-        with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                if one is None:
-                    try:
-                        one = factory()
-                    except Exception as problem:  # noqa: BLE001
-                        text = f"{type(problem).__name__}: {problem}"
-                        one = lambda row, article, text=text: (_ for _ in ()).throw(RuntimeError(text))
-                rows = batch.to_dict("records")
-                results = list(pool.map(lambda r: answer(one, r), rows))
-                yield pd.DataFrame(results, columns=["order_key", "answer", "failure"])
+        try:
+            with ThreadPoolExecutor(concurrency) as pool:
+                for batch in batches:
+                    if batch.empty:
+                        continue
+                    if one is None:
+                        try:
+                            one = factory()
+                        except Exception as problem:  # noqa: BLE001
+                            one = broken(problem)
+                    rows = batch.to_dict("records")
+                    results = list(pool.map(lambda r: answer(one, r), rows))
+                    yield pd.DataFrame(results, columns=["order_key", "answer", "failure"])
+        finally:
+            # A client that can be closed is closed with its task.
+            close = getattr(one, "close", None)
+            if callable(close):
+                close()
 
     asked = items.select("order_key", "source", "title", "url", "published_at", "article")
     return (

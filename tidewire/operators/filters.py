@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import date_bound
+from tidewire.functions.text import strip
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
@@ -41,7 +42,7 @@ def first_missing(**required: str) -> Column:
     """``missing <name>`` for the first blank required column, NULL when all are there."""
     reason: Column | None = None
     for name, column in required.items():
-        blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+        blank = F.expr(f"coalesce({strip(f'`{column}`')}, '') = ''")
         text = F.lit(f"missing {name}")
         reason = F.when(blank, text) if reason is None else reason.when(blank, text)
     return reason

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.identity import dedupe_key, is_ordinary
 from tidewire.functions.urls import canonical_url, host_of
-from tidewire.session import spread_small, written
+from tidewire.session import written
 
 RUN_DATE = "1998-01-15"
 
@@ -42,8 +42,8 @@ def canonical_sql(u: str) -> str:
 
 
 def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table for heavy work on each row."""
-    return spread_small(table(spark, folder, name))
+    """A table of texts; Spark splits its files by ``spark.sql.files.maxPartitionBytes``."""
+    return table(spark, folder, name)
 
 
 HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"

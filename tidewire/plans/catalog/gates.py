@@ -60,8 +60,8 @@ judged AS (SELECT *, coalesce(bound < DATE '{RUN_DATE}' - cast(days AS INTEGER),
 def missing_fields(spark, folder):
     rows = table(spark, folder, "documents").selectExpr(
         "doc_id",
-        "substr(text, 1, 20) AS title",
-        "if(lang = 'fr', ' ', concat('https://x/', doc_id)) AS link",
+        "if(n_chars % 5 = 0, '\\n\\u00a0', text) AS title",
+        "if(lang = 'fr', ' \\t\\n', concat('https://x/', doc_id)) AS link",
         "if(lang = 'de', NULL, '2026-01-01') AS day",
     )
     return rows.select("doc_id", first_missing(title="title", link="link", pubDate="day").alias("reason"))
@@ -189,7 +189,7 @@ QUERIES = {
 ORACLES = {
     "keyword_filter_f1": f"SELECT doc_id, source FROM documents WHERE {_HIT_SQL}",
     "required_fields_f4": """
-        SELECT doc_id, CASE WHEN trim(substr(text, 1, 20)) = '' THEN 'missing title'
+        SELECT doc_id, CASE WHEN n_chars % 5 = 0 OR regexp_full_match(text, '\\s*') THEN 'missing title'
           WHEN lang = 'fr' THEN 'missing link' WHEN lang = 'de' THEN 'missing pubDate' END AS reason FROM documents""",
     "age_gate_f5_r3": f"WITH {_AGED_SQL} SELECT pos, coalesce(strftime(bound, '%Y-%m-%d'), '') AS bound, stale FROM judged",
     "stale_labels_a2_p24": f"""

@@ -37,10 +37,10 @@ def first_pages(spark, folder):
 
 
 def windows_by_setting(spark, folder):
-    """As many entries as each source allows; the bound is the largest setting."""
+    """As many entries as each source allows, up to 100."""
     rows = doc_items(spark, folder).select("source", "source_ord", "pos")
     return first_window_by_setting(
-        rows.withColumn("window_size", 5 + F.col("source_ord")), largest=24
+        rows.withColumn("window_size", 5 + 5 * F.col("source_ord"))
     ).select("source", "pos")
 
 
@@ -256,7 +256,7 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) <= 3""",
     "first_window_by_setting_w1": """
         SELECT source, doc_id AS pos FROM documents
-        QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5 + cast(substr(source, 4) AS INTEGER)""",
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5 + 5 * cast(substr(source, 4) AS INTEGER)""",
     "first_in_source_w2": f"WITH {DOC_ITEMS_SQL}, {_FIRST_SQL} SELECT source, pos, dedupe_key FROM first_rows",
     "priority_claims_w3": f"""
         WITH {DOC_ITEMS_SQL} SELECT dedupe_key, source, pos FROM doc_items

@@ -19,6 +19,7 @@ from tidewire.functions.identity import AGE_KEY, SOURCE_KEY, is_ordinary
 from tidewire.operators.dedup import first_in_source, with_claims
 from tidewire.operators.enrichment import (
     BULLETS,
+    MAX_ARTICLE_BYTES,
     TITLE,
     Summarizer,
     ask,
@@ -63,6 +64,7 @@ class Settings:
     alert_label: str = "告警"
     max_payload_bytes: int = DEFAULT_LIMIT
     max_response_bytes: int = MAX_RESPONSE_BYTES
+    max_article_bytes: int = MAX_ARTICLE_BYTES
     collectors: Sequence[str] | None = None
     model: dict = field(
         default_factory=lambda: {"model": "", "protocol": "", "base_url": "", "prompt_version": "1"}
@@ -107,8 +109,7 @@ def decide(collected: Collected, sources: DataFrame, state: State, settings: Set
         F.expr(is_ordinary("dedupe_key", "url")).alias("ordinary"),
         keyword_hit(settings.keywords, settings.fields).alias("hit"),
         F.expr(date_bound("published_at")).alias("bound"),
-        # The first characters are all an age alert shows.
-        F.substring("title", 1, 80).alias("title"),
+        "title",
     )
     repeats = (
         narrow.groupBy("source")
@@ -207,11 +208,11 @@ def prepare(
     looked_up = cache_lookup(candidates, cache, **settings.model)
     # Written once: the costly part below works on the misses only.
     looked_up = written(looked_up, "candidates")
-    misses = with_article(looked_up.where(F.col(TITLE).isNull()).drop(TITLE, BULLETS), articles)
+    misses = with_article(looked_up.where(F.col(TITLE).isNull()).drop(TITLE, BULLETS), articles, settings.max_article_bytes)
     answers = written(
         ask(misses.where(F.col("article").isNotNull()), summarizer, settings.concurrency), "answers"
     )
-    asked = misses.drop("article").join(answers, "order_key", "left").withColumn(
+    asked = misses.drop("article", "article_error").join(answers, "order_key", "left").withColumn(
         "failed_stage",
         F.when(F.col("error").isNotNull(), F.lit("summary")).when(F.col(TITLE).isNull(), F.lit("content")),
     )

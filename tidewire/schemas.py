@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidewire.functions.urls import checked_hosts
+
 
 def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in pairs])
@@ -25,10 +27,14 @@ SOURCES = _fields(
 )
 
 #: One fetched list page.
-RAW_DOCS = _fields(("run_id", STRING), ("source", STRING), ("body", T.BinaryType()))
+#: A batch may hold several pages of a source: they are told apart by ``doc_id`` and stand in order of ``fetched_at``.
+#: Without ``doc_id`` a page is named by a hash of its bytes.
+RAW_DOCS = _fields(
+    ("run_id", STRING), ("source", STRING), ("doc_id", STRING), ("fetched_at", T.TimestampType()), ("body", T.BinaryType())
+)
 
 #: One fetched article.
-RAW_ARTICLES = _fields(("article_url", STRING), ("body", T.BinaryType()))
+RAW_ARTICLES = _fields(("article_url", STRING), ("fetched_at", T.TimestampType()), ("body", T.BinaryType()))
 
 ITEM_TEXT = ("item_id", "title", "content", "url", "published_at", "author", "category", "guid", "dedupe_key")
 ITEMS = _fields(
@@ -83,6 +89,7 @@ def source_table(spark: SparkSession, sources: Iterable[Mapping]) -> DataFrame:
     if len(set(names)) != len(names):
         raise ValueError("source names must differ by more than case")
     for row in rows:
+        row["allowed_hosts"] = checked_hosts(row["allowed_hosts"])
         if not 1 <= row["window_size"] or (row["max_age_days"] or 1) < 1:
             raise ValueError(f"limits of source {row['source']!r} must be positive")
         if row["content_mode"] not in ("article", "inline"):

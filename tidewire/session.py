@@ -59,19 +59,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidewire-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Inputs above this size are never reshuffled to gain parallelism.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before heavy per-row work.
-
-    A table in one small file would be read and parsed by one task.  Large inputs
-    have tasks enough and stay as they are.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

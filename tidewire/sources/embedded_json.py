@@ -18,7 +18,7 @@ _EMPTY_JSON = ('""', "0", "0.0", "-0", "-0.0", "false", "null", "[]", "{}")
 
 def _scripts(text: str) -> str:
     """Only script elements go to the Python worker, and only of pages that name a place for lists."""
-    page = replaced(text, r"(?s)<!--(?:(?!<script).)*?-->", "")
+    page = replaced(text, r"<!--(?:[^-<]++|-(?!->)|<(?!script))*+-->", "")
     found = f"array_join(regexp_extract_all({page}, {lit(_SCRIPT)}, 0), '')"
     return case((f"contains({text}, {lit(DATA_SCRIPT)}) OR contains({text}, {lit(PUSH_CALL)})", found))
 
@@ -59,11 +59,15 @@ def _as_text(name: str) -> str:
 def embedded_json_entries(docs: DataFrame) -> DataFrame:
     found = docs.selectExpr(
         *DOC, "source_error", f"CASE WHEN source_error IS NULL THEN {_scripts('text')} END AS scripts"
-    ).withColumn("found", embedded_entries("scripts"))
+    ).withColumn("scanned", embedded_entries("scripts"))
+    found = found.withColumn("found", F.col("scanned.entries"))
+    deep = "invalid Next.js index: the data is nested too deep"
     missing = "invalid Next.js index: articleList.items was not found"
     rows = (
         found.withColumn(
-            "source_error", F.expr(f"coalesce(source_error, if(found IS NOT NULL, NULL, {lit(missing)}))")
+            "source_error", F.expr(
+                f"coalesce(source_error, CASE WHEN scanned.too_deep THEN {lit(deep)} WHEN found IS NULL THEN {lit(missing)} END)"
+            )
         )
         .select(
             *DOC,

@@ -351,7 +351,7 @@ def index_link_entries(docs: DataFrame) -> DataFrame:
         rows,
         error=error,
         issue_title="if(title <> '', title, fallback)",
-        issue_url="coalesce(resolved, substring(target, 1, 2000))",
+        issue_url="coalesce(resolved, target)",
         item_id=canonical_url("checked.url"),
         title="title",
         content=_rest_of("text", "title", "published"),

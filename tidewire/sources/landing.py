@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.identity import dedupe_key, issue_key
@@ -19,7 +19,33 @@ RESPONSE_NAMES = {
 MAX_RESPONSE_BYTES = 5 * 1024 * 1024
 
 #: Columns that travel with every entry of a document.
-DOC = ("run_id", "source", "source_ord", "page_url", "allowed_hosts", "window_size")
+DOC = ("run_id", "source", "source_ord", "page_no", "page_url", "allowed_hosts", "window_size")
+
+#: Positions of a page's entries lie in a range of their own; an entry has some bytes, so a page within
+#: the size gate has fewer.
+PAGE_POSITIONS = 1 << 22
+
+
+def with_page(docs: DataFrame) -> DataFrame:
+    """Number the pages of each source, from 0: by fetch time, then run and id.
+
+    Only names of pages are sorted; a page that landed twice has one number.
+    """
+    name = F.sha2("body", 256)
+    named = docs.withColumns(
+        {
+            "doc_id": F.coalesce("doc_id", name) if "doc_id" in docs.columns else name,
+            "fetched_at": F.col("fetched_at") if "fetched_at" in docs.columns else F.lit(None).cast("timestamp"),
+        }
+    )
+    order = Window.partitionBy("source").orderBy(F.col("fetched_at").asc_nulls_first(), "run_id", "doc_id")
+    keys = ("source", "run_id", "doc_id", "fetched_at")
+    pages = named.select(*keys).distinct().withColumn("page_no", F.row_number().over(order) - 1)
+    pages = pages.select(*(F.col(k).alias(f"_{k}") for k in keys), "page_no")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return named.join(pages, same).drop(*(f"_{k}" for k in keys))
 
 
 def admit(
@@ -35,18 +61,24 @@ def admit(
     )
     if "collector" in docs.columns:  # landing folder partitioned by collector
         docs = docs.where(F.col("collector") == collector)
-    joined = docs.select("run_id", "source", "body").join(settings, "source")
+    joined = with_page(docs).select("run_id", "source", "page_no", "body").join(settings, "source")
     name = RESPONSE_NAMES[collector]
     raw = F.col("body").cast("string")
     too_big = F.octet_length("body") > max_bytes
     if collector == "rss":
-        # The XML declaration names the encoding.
-        latin = F.rlike(
-            F.decode(F.substring("body", 1, 100), "ISO-8859-1"),
-            F.lit(r"(?i)^<\?xml[^>]*encoding\s*=\s*[\"'](?:iso-8859-1|latin-?1|us-ascii)[\"']"),
+        # A byte order mark or the XML declaration, however long, names the encoding.
+        mark = F.hex(F.substring("body", 1, 2))
+        wide = mark.isin("FEFF", "FFFE")
+        start = F.substring_index(F.decode(F.col("body"), "ISO-8859-1"), "?>", 1)
+        named = F.lower(F.regexp_extract(start, r"(?is)^(?:\xEF\xBB\xBF)?<\?xml\s[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", 1))
+        latin = ~wide & named.isin("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii", "l1", "iso_8859-1", "windows-1252")
+        text = (
+            F.when(wide, F.regexp_replace(F.decode(F.col("body"), "UTF-16"), "^\ufeff", ""))
+            .when(latin, F.decode(F.col("body"), "ISO-8859-1"))
+            .otherwise(F.regexp_replace(raw, "^\ufeff", ""))
         )
-        text = F.when(latin, F.decode(F.col("body"), "ISO-8859-1")).otherwise(raw)
-        bad_text, message = ~latin & ~F.is_valid_utf8(raw), "invalid RSS XML: not well-formed"
+        known = wide | latin | named.isin("", "utf-8", "utf8")
+        bad_text, message = ~known | (~latin & ~wide & ~F.is_valid_utf8(raw)), "invalid RSS XML: not well-formed"
     else:
         text, bad_text, message = raw, ~F.is_valid_utf8(raw), f"{name} response is not valid UTF-8"
     error = F.when(
@@ -69,7 +101,8 @@ def entry_rows(
     values = {name: "''" for name in ITEM_TEXT} | fields
     shaped = df.selectExpr(
         *DOC,
-        "bigint(pos) AS pos",
+        f"bigint(page_no) * {PAGE_POSITIONS} + bigint(pos) AS pos",
+        "bigint(pos) AS entry",
         "source_error",
         f"{error} AS error",
         f"{issue_title} AS issue_title",
@@ -80,13 +113,14 @@ def entry_rows(
         "run_id",
         "source",
         "source_ord",
+        "page_no",
         "pos",
         "CASE WHEN source_error IS NOT NULL THEN 'failure' WHEN error IS NOT NULL THEN 'issue'"
         " ELSE 'item' END AS kind",
         "coalesce(source_error, error) AS message",
         "issue_title",
         "issue_url",
-        f"CASE WHEN error IS NOT NULL THEN {issue_key('source', 'page_url', 'issue_title', 'issue_url', 'pos')}"
+        f"CASE WHEN error IS NOT NULL THEN {issue_key('source', 'page_url', 'issue_title', 'issue_url', 'entry')}"
         " END AS item_key",
         *[name for name in ITEM_TEXT if name != "dedupe_key"],
         f"CASE WHEN source_error IS NULL AND error IS NULL THEN {dedupe_key('dedupe_key', 'url')} END"

@@ -62,7 +62,7 @@ def distinct_entries(rows: DataFrame) -> DataFrame:
     group = F.when(repeats, F.concat(F.lit("k"), F.col("dedupe_key"))).otherwise(
         F.concat(F.col("kind"), F.coalesce(F.col("pos"), F.lit(0)).cast("string"))
     )
-    return first_by(rows.withColumn("_group", group), ["run_id", "source", "_group"], ["pos"]).drop("_group")
+    return first_by(rows.withColumn("_group", group), ["source", "page_no", "_group"], ["pos"]).drop("_group")
 
 
 def split_entries(rows: DataFrame) -> Collected:

@@ -12,7 +12,7 @@ from tidewire.functions.urls import canonical_url, item_link
 from tidewire.sources.landing import DOC, entry_rows
 
 _ITEM = r"(?s)<(?:[\w.-]+:)?item(?:\s[^>]*?)?(?:/>|>.*?</(?:[\w.-]+:)?item\s*>)"
-_CDATA_OR_MARKUP = r"(?s)<!\[CDATA\[.*?\]\]>|(?:(?!<!\[CDATA\[).)+"
+_CDATA_OR_MARKUP = r"(?s)<!\[CDATA\[.*?\]\]>|<?+[^<]++|<"
 _PREFIX = r"<(/?)[A-Za-z_][\w.\-]*:"
 _CHILDREN = ("title", "link", "pubDate", "guid", "description", "encoded", "creator", "author", "category")
 _ENTRY = ", ".join(f"`{name}` array<string>" for name in _CHILDREN)

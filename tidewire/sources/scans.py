@@ -130,99 +130,101 @@ _STRING_OR_ROUND = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[()\"']",
 _LIST_IN_TEXT = re.compile(rf"[\"']{LIST_NAME}[\"']\s*:\s*")
 
 
-def _json(text: str):
-    try:
-        return [json.loads(text)]
-    except (ValueError, RecursionError):
-        return []
-
-
-def _pushed(code: str):
-    """Arguments of the push calls of one script."""
-    at = code.find(PUSH_CALL)
-    while at >= 0:
-        begin, depth, end = at + len(PUSH_CALL), 1, None
-        for token in _STRING_OR_ROUND.finditer(code, begin):
-            mark = token.group()
-            if mark in ("'", '"'):  # a string that never ends
-                break
-            depth += {"(": 1, ")": -1}.get(mark, 0)
-            if depth == 0:
-                end = token.start()
-                break
-        if end is None:
-            return
-        yield code[begin:end]
-        at = code.find(PUSH_CALL, end + 1)
-
-
-def _entries(value) -> list | None:
-    if isinstance(value, dict):
-        value = value.get("items")
-    return value if isinstance(value, list) else None
+#: Deeper values are no article list that a page would hold; reading them must not exhaust a stack.
+MAX_DEPTH = 200
 
 
-def _lists(value):
-    """Article lists at any depth of a JSON value, outer ones first."""
-    if isinstance(value, dict):
-        for key, child in value.items():
-            if key == LIST_NAME and _entries(child) is not None:
-                yield _entries(child)
-            yield from _lists(child)
-    elif isinstance(value, list):
-        for child in value:
-            yield from _lists(child)
+class TooDeep(ValueError):
+    """A JSON value is nested deeper than ``MAX_DEPTH``."""
 
 
-def _texts(value):
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, (list, dict)):
-        for child in value if isinstance(value, list) else value.values():
-            yield from _texts(child)
+def _arguments(code: str) -> list[str]:
+    """Arguments of the push calls of a script, up to the first call that does not end."""
+    found: list[str] = []
+    for call in code.split(PUSH_CALL)[1:]:
+        depth = 1
+        for token in _STRING_OR_ROUND.finditer(call):
+            depth += {"(": 1, ")": -1, "'": 1 << 30, '"': 1 << 30}.get(token.group(), 0)
+            if depth == 0:
+                found.append(call[: token.start()])
+                break
+        else:
+            return found
+        if depth:
+            return found
+    return found
 
 
-def _lists_in_text(text: str):
-    decoder = json.JSONDecoder()
-    for match in _LIST_IN_TEXT.finditer(text):
-        try:
-            value, _ = decoder.raw_decode(text, match.end())
-        except (ValueError, RecursionError):
-            continue
-        if _entries(value) is not None:
-            yield _entries(value)
+def _walk(value) -> tuple[list[list], list[str]]:
+    """Article lists and strings of a JSON value in order of place, outer ones first."""
+    lists: list[list] = []
+    strings: list[str] = []
+    todo = [(None, value, 0)]
+    while todo:
+        name, value, depth = todo.pop()
+        if depth > MAX_DEPTH:
+            raise TooDeep
+        if isinstance(value, str):
+            strings.append(value)
+        elif isinstance(value, dict):
+            if name == LIST_NAME and isinstance(value.get("items"), list):
+                lists.append(value["items"])
+            todo += [(k, v, depth + 1) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            if name == LIST_NAME:
+                lists.append(value)
+            todo += [(None, v, depth + 1) for v in reversed(value)]
+    return lists, strings
+
+
+def _decoded(text: str, start: int | None = None):
+    """JSON at a place of a text, or the whole text; nothing if it is not JSON."""
+    try:
+        return [json.loads(text) if start is None else json.JSONDecoder().raw_decode(text, start)[0]]
+    except RecursionError as problem:
+        raise TooDeep from problem
+    except ValueError:
+        return []
 
 
-def article_lists(scripts: str) -> list[list]:
-    """Article lists in the script elements of a page."""
-    values, pieces = [], []
+def entries_of_page(scripts: str) -> list[str] | None:
+    """Entries of all article lists in the scripts of a page as canonical JSON; None without a list."""
+    data: list[str] = []
+    pushed: list[str] = []
     for attributes, code in _SCRIPT.findall(scripts):
         if _IS_DATA.search(attributes):
-            values += _json(code)
-        for argument in _pushed(code):
-            for value in _json(argument):
-                values.append(value)
-                pieces += _texts(value)
-    found = [entries for value in values for entries in _lists(value)]
+            data.append(code)
+        pushed += _arguments(code)
+    walks = [_walk(v) for text in data for v in _decoded(text)]
+    calls = [_walk(v) for text in pushed for v in _decoded(text)]
+    lists = [found for walk in walks + calls for found in walk[0]]
     # A list can be inside one pushed string or go on over several of them.
+    pieces = [text for walk in calls for text in walk[1]]
     for text in [*pieces, "".join(pieces)]:
-        found += _lists_in_text(text)
-    return found
+        for place in _LIST_IN_TEXT.finditer(text):
+            for value in _decoded(text, place.end()):
+                lists += _walk({LIST_NAME: value})[0][:1] if isinstance(value, (dict, list)) else []
+    if not lists:
+        return None
+    texts = (json.dumps(entry, sort_keys=True, ensure_ascii=False) for found in lists for entry in found)
+    return [text.encode("utf-8", "replace").decode("utf-8") for text in texts]
 
 
-def _marker(entry) -> str:
-    text = json.dumps(entry, sort_keys=True, ensure_ascii=False)
-    return text.encode("utf-8", "replace").decode("utf-8")
+_FOUND = pa.struct([("entries", pa.list_(pa.string())), ("too_deep", pa.bool_())])
 
 
-@arrow_udf(T.ArrayType(T.StringType()))
+@arrow_udf(
+    T.StructType([T.StructField("entries", T.ArrayType(T.StringType())), T.StructField("too_deep", T.BooleanType())])
+)
 def embedded_entries(scripts: pa.Array) -> pa.Array:
-    """Entries of all lists as canonical JSON; NULL when there was no list at all."""
+    """Entries of all lists as canonical JSON, NULL when there was no list; a page that nests too deep is marked."""
     rows = []
     for page in scripts.to_pylist():
-        lists = article_lists(page or "")
-        rows.append([_marker(e) for x in lists for e in x] if lists else None)
-    return pa.array(rows, pa.list_(pa.string()))
+        try:
+            rows.append({"entries": entries_of_page(page or ""), "too_deep": False})
+        except TooDeep:
+            rows.append({"entries": None, "too_deep": True})
+    return pa.array(rows, _FOUND)
 
 
 embedded_entries = embedded_entries.asNondeterministic()

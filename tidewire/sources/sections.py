@@ -38,7 +38,7 @@ _CARD_HEADING = r"(?dmU)\A#{2,6}\s+(.+?)\s*$"
 _CARD_OPEN = r"(?i)^<Card\b([^>\r\n]*)>"
 _BODY_EDGE = " \n*-"
 
-_PAGE = ("run_id", "source")
+_PAGE = ("source", "page_no")
 
 
 _ZERO_WIDTH = "\u200b"
