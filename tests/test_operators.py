@@ -191,3 +191,30 @@ def test_streams_equal_the_batch(spark, tmp_path):
     expected = {(r["user_id"], r["e"]) for r in frame.groupBy("user_id").agg(F.min("event_id").alias("e")).collect()}
     assert {(r["user_id"], r["event_id"]) for r in firsts.collect()} == expected
     assert isinstance(firsts.schema, T.StructType)
+
+
+def test_newest_article_and_reasons(spark):
+    import datetime
+
+    from tidewire.operators.enrichment import NO_TEXT, NOT_UTF8, TOO_LARGE, with_article
+
+    at = lambda day: datetime.datetime(2026, 1, day)
+    url = "https://a.example.com/{}".format
+    pages = [
+        (url(1), at(1), b"zz old"), (url(1), at(2), b"new text"), (url(2), at(3), b"x" * 50), (url(3), None, b"\xff\xfe"),
+    ]
+    articles = spark.createDataFrame(pages, "article_url string, fetched_at timestamp, body binary")
+    items = spark.createDataFrame(
+        [(i, url(i), "", "article", ["a.example.com"]) for i in (1, 2, 3, 4)],
+        "order_key long, url string, content string, content_mode string, allowed_hosts array<string>",
+    )
+    found = {r.order_key: (r.article, r.article_error) for r in with_article(items, articles, 20).collect()}
+    assert found == {1: ("new text", None), 2: (None, TOO_LARGE), 3: (None, NOT_UTF8), 4: (None, NO_TEXT)}
+
+
+def test_blank_fields_are_missing(spark):
+    from tidewire.operators.filters import first_missing
+
+    rows = spark.createDataFrame([("\n\u00a0", "b"), ("a", "\t"), ("a", None), ("a", "b")], "title string, link string")
+    found = [r[0] for r in rows.select(first_missing(title="title", link="link")).collect()]
+    assert found == ["missing title", "missing link", "missing link", None]

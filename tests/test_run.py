@@ -212,3 +212,39 @@ def test_source_table_checks(spark):
         source_table(spark, source("A", "u", "rss"), source("a", "u", "rss"))
     with pytest.raises(ValueError, match="positive"):
         source_table(spark, source("A", "u", "rss", window=0))
+
+
+def test_a_crashed_attempt_is_never_read(spark, tmp_path):
+    from tidewire.plans.state import StateStore
+
+    store = StateStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("s", "k", "i", "u")], "source string, dedupe_key string, item_id string, url string")
+
+    class Crash(Exception):
+        pass
+
+    def crashing():
+        yield "baseline", rows
+        raise Crash
+
+    class Tables(dict):
+        def items(self):
+            return crashing()
+
+    with pytest.raises(Crash):
+        store.commit("one", Tables(baseline=rows))
+    store.commit("two", {"source_state": rows.select("source")})
+    assert store.table("baseline").count() == 0 and store.table("source_state").count() == 1
+    store.commit("one", {"baseline": rows})
+    assert store.table("baseline").count() == 1
+
+
+def test_state_is_compacted_by_itself(spark, tmp_path, monkeypatch):
+    from tidewire.plans import state
+
+    monkeypatch.setattr(state, "COMPACT_AFTER", 2)
+    store = state.StateStore(spark, str(tmp_path))
+    for i in range(4):
+        rows = spark.createDataFrame([(f"s{i}",)], "source string")
+        store.commit(f"run{i}", {"source_state": rows})
+    assert len(store.published()) <= 3 and store.table("source_state").count() == 4

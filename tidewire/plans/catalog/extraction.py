@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.plans.catalog.common import HOST_SQL, canonical_sql, pages, table, text_table
-from tidewire.sources.landing import admit
+from tidewire.sources.landing import PAGE_POSITIONS, admit, with_page
 from tidewire.sources.registry import collect, distinct_entries, entries
 from tidewire.sources.scans import markdown_links
 
@@ -58,7 +58,7 @@ def _entry_frame(docs, sources, collector):
     text = lambda name: f"if({item}, {name}, '') AS {name}"
     return distinct_entries(entries(docs, sources, collector)).selectExpr(
         "run_id",
-        "coalesce(pos, 0L) AS pos",
+        f"coalesce(pos % {PAGE_POSITIONS}, 0L) AS pos",
         "kind",
         text("item_id"),
         "CASE kind WHEN 'item' THEN title WHEN 'issue' THEN issue_title ELSE '' END AS title",
@@ -87,13 +87,13 @@ def feeds(spark, folder):
         "concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><rss xmlns:dc=\"d\"><channel><title>t</title>',"
         f" array_join(transform(words, (w, i) -> {item}), '\n'), '</channel></rss>')"
     )
-    return _entry_frame(_docs(rows, "page_id", body), _settings(rows, "rss", 4), "rss")
+    return _entry_frame(_docs(rows, "page_id", body), _settings(rows, "rss", 20), "rss")
 
 
 _FEED_SQL = f"""
 WITH {_NAV_SQL},
 e AS (SELECT cast(page_id AS VARCHAR) AS run_id, cast(i + 1 AS BIGINT) AS pos, w, i, origin || '/' || w || '#x' AS url,
-        {canonical_sql("(origin || '/' || w)")} AS key FROM word WHERE i < 4),
+        {canonical_sql("(origin || '/' || w)")} AS key FROM word WHERE i < 20),
 ok AS (SELECT * FROM e WHERE i <> 1 QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY pos) = 1)
 SELECT run_id, pos, 'item' AS kind, CASE WHEN i % 2 = 0 THEN 'g-' || i ELSE key END AS item_id, w || ' & co' AS title,
   'Go ' || w AS content, url, '2026-08-0' || (i + 1) || 'T' || lpad(cast(i + 8 AS VARCHAR), 2, '0') || ':00:00+08:00' AS published_at,
@@ -115,8 +115,8 @@ def indexes(spark, folder):
         " ELSE concat('- [Short ', words[0], '](', {f}, ')\n') END"
     ).format(l=link.format(w="w"), f=link.format(w="words[0]"))
     body = (
-        "concat('Title: x\nPublished Time: Fri, 14 Aug 2026 04:45:23 GMT\n\n',"
-        f" array_join(transform(words, (w, i) -> {part}), ''), '### [Never Feb 30, 2026](http://[)\n')"
+        "concat('Title: x\nPublished Time: Mon, 09 Mar 2026 08:00:00 GMT\n\n',"
+        f" array_join(transform(words, (w, i) -> {part}), ''), '### [Never Apr 31, 2026](http://[)\n')"
     )
     return _entry_frame(
         _docs(rows, "page_id", body), _settings(rows, "markdown_index", 20, path="/news"), "markdown_index"
@@ -154,7 +154,7 @@ _LOG_DAY = "date_add(DATE'2024-01-01', int(doc_id % 700))"
 def _changelog_docs(spark, folder):
     rows = text_table(spark, folder, "documents").withColumn("source", F.concat("source", F.lit(".example.com")))
     heading = (
-        f"CASE WHEN i = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMM d, yyyy')) WHEN i = 3 THEN '## Feb 30, 2026'"
+        f"CASE WHEN i = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMM d, yyyy')) WHEN i = 3 THEN '## Apr 31, 2026'"
         f" WHEN i % 2 = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMMM d')) ELSE concat('#### Notes ', i) END"
     )
     body = (
@@ -179,9 +179,9 @@ k AS (SELECT *, 'changelog:' || sha256(source || chr(0) || day || chr(0)
 SELECT run_id, cast(pos AS BIGINT) AS pos, 'item' AS kind, key AS item_id, title, content,
   'https://' || source || '/list#' || day AS url, day AS published_at, 'Changelog' AS category, '' AS message, key AS item_key FROM k
 UNION ALL
-SELECT run_id, 3, 'issue', '', 'Feb 30, 2026', '', 'https://' || source || '/list', '', '',
-  'invalid changelog date heading: Feb 30, 2026',
-  'collection:' || sha256(source || chr(0) || 'https://' || source || '/list' || chr(0) || 'feb 30, 2026')
+SELECT run_id, 3, 'issue', '', 'Apr 31, 2026', '', 'https://' || source || '/list', '', '',
+  'invalid changelog date heading: Apr 31, 2026',
+  'collection:' || sha256(source || chr(0) || 'https://' || source || '/list' || chr(0) || 'apr 31, 2026')
 FROM d WHERE len(ls) > 3
 """
 
@@ -192,8 +192,8 @@ FROM d WHERE len(ls) > 3
 def _card_docs(spark, folder):
     rows = text_table(spark, folder, "part").withColumn("source", F.lower(F.concat(F.translate("p_brand", "#", "-"), F.lit(".example.com"))))
     body = (
-        "concat('# M\n\n', if(p_size > 25, '', '#### Jul. 31, 2026\n\n'), '<Card title=\"', p_name, '\" href=\"/p/', p_partkey,"
-        " '?utm_campaign=c\">\n  ', p_type, ' **text**.<br />More &amp; more.\n</Card>\n\n#### Apr. 2026\n<Card title=\"', p_brand,"
+        "concat('# M\n\n', if(p_size > 25, '', '#### Nov. 6, 2026\n\n'), '<Card title=\"', p_name, '\" href=\"/p/', p_partkey,"
+        " '?utm_campaign=c\">\n  ', p_type, ' **text**.<br />More &amp; more.\n</Card>\n\n#### Sep. 2026\n<Card title=\"', p_brand,"
         " '\" href=\"https://other.example/x\">Bad.</Card>\n<Card title=\"Open\" href=\"/o\">never\n',"
         " '<card title=''Last &amp; best'' href=''/last''>ok</card >')"
     )
@@ -210,14 +210,14 @@ WITH p AS (SELECT *, cast(p_partkey AS VARCHAR) AS run_id,
 SELECT run_id, cast(1 AS BIGINT) AS pos, CASE WHEN p_size > 25 THEN 'issue' ELSE 'item' END AS kind,
   CASE WHEN p_size > 25 THEN '' ELSE origin || '/p/' || p_partkey END AS item_id, p_name AS title,
   CASE WHEN p_size > 25 THEN '' ELSE p_type || ' text. More & more.' END AS content,
-  origin || '/p/' || p_partkey || '?utm_campaign=c' AS url, CASE WHEN p_size > 25 THEN '' ELSE '2026-07-31' END AS published_at,
+  origin || '/p/' || p_partkey || '?utm_campaign=c' AS url, CASE WHEN p_size > 25 THEN '' ELSE '2026-11-06' END AS published_at,
   CASE WHEN p_size > 25 THEN '' ELSE 'Model release' END AS category,
   CASE WHEN p_size > 25 THEN 'Card has no preceding date heading' ELSE '' END AS message,
   origin || '/p/' || p_partkey AS item_key FROM p
 UNION ALL SELECT run_id, 2, 'issue', '', p_brand, '', 'https://other.example/x', '', '',
   'link host is not allowed: other.example', 'https://other.example/x' FROM p
 UNION ALL SELECT run_id, 3, 'issue', '', 'Open', '', origin || '/o', '', '', 'Card is missing a closing tag', origin || '/o' FROM p
-UNION ALL SELECT run_id, 4, 'item', origin || '/last', 'Last & best', 'ok', origin || '/last', '2026-04', 'Model release', '', origin || '/last' FROM p
+UNION ALL SELECT run_id, 4, 'item', origin || '/last', 'Last & best', 'ok', origin || '/last', '2026-09', 'Model release', '', origin || '/last' FROM p
 """
 
 
@@ -226,9 +226,9 @@ UNION ALL SELECT run_id, 4, 'item', origin || '/last', 'Last & best', 'ok', orig
 
 def embedded(spark, folder):
     rows = _nav_rows(spark, folder)
-    first = "to_json(named_struct('id', concat('id-', words[0]), 'title', concat(words[0], ' &amp; co'), 'href', concat('/a/', words[0]), 'date', '2026/07/16', 'description', '<b>D</b>'))"
+    first = "to_json(named_struct('id', concat('id-', words[0]), 'title', concat(words[0], ' &amp; co'), 'href', concat('/a/', words[0]), 'date', '2026/09/02', 'description', '<b>D</b>'))"
     bad = "to_json(named_struct('title', 'Bad', 'url', concat(origin, '/bad'), 'date', 'not-a-date'))"
-    pushed = "replace(to_json(named_struct('title', concat('P (', words[1], ')'), 'link', concat('/p/', words[1]), 'publishedAt', '2026-05-02')), '\"', '\\\\\"')"
+    pushed = "replace(to_json(named_struct('title', concat('P (', words[1], ')'), 'link', concat('/p/', words[1]), 'publishedAt', '2026-10-11')), '\"', '\\\\\"')"
     body = (
         "concat('<html><script id=\"__NEXT_DATA__\" type=\"application/json\">{\"a\":{\"articleList\":{\"items\":[',"
         f" {first}, ',null,', {first}, ',', {bad}, ']}}}}}}</script><p>x</p>',"
@@ -241,12 +241,12 @@ def embedded(spark, folder):
 _EMBEDDED_SQL = f"""
 WITH {_NAV_SQL}, n AS (SELECT *, cast(page_id AS VARCHAR) AS run_id, 'https://' || host AS page FROM nav)
 SELECT run_id, cast(1 AS BIGINT) AS pos, 'item' AS kind, 'id-' || words[1] AS item_id, words[1] || ' & co' AS title, 'D' AS content,
-  page || '/a/' || words[1] AS url, '2026-07-16' AS published_at, 'Research' AS category, '' AS message,
+  page || '/a/' || words[1] AS url, '2026-09-02' AS published_at, 'Research' AS category, '' AS message,
   page || '/a/' || words[1] AS item_key FROM n
 UNION ALL SELECT run_id, 2, 'issue', '', '', '', '', '', '', 'articleList item must be an object',
   'collection:' || sha256(host || chr(0) || page || '/list' || chr(0) || 'index:2') FROM n
 UNION ALL SELECT run_id, 3, 'issue', '', 'Bad', '', origin || '/bad', '', '', 'articleList item has an invalid date', origin || '/bad' FROM n
-UNION ALL SELECT run_id, 4, 'item', page || '/p/' || words[2], 'P (' || words[2] || ')', '', page || '/p/' || words[2], '2026-05-02',
+UNION ALL SELECT run_id, 4, 'item', page || '/p/' || words[2], 'P (' || words[2] || ')', '', page || '/p/' || words[2], '2026-10-11',
   'Research', '', page || '/p/' || words[2] FROM n
 """
 
@@ -286,6 +286,15 @@ def gates(spark, folder):
     return kept.selectExpr("run_id", "source", "coalesce(source_error, '') AS error", "coalesce(length(text), -1) AS chars")
 
 
+def source_pages(spark, folder):
+    """Documents as pages of their source, all landed in one batch, newest day last."""
+    day = "timestamp_seconds(86400 * (n_chars % 50))"
+    rows = table(spark, folder, "documents").selectExpr(
+        "'r' AS run_id", "source", "string(doc_id) AS doc_id", f"{day} AS fetched_at", "cast(text AS BINARY) AS body"
+    )
+    return with_page(rows).selectExpr("source", "doc_id", "bigint(page_no) AS page_no")
+
+
 def registry_counts(spark, folder):
     """Two kinds of sources collected in one frame."""
     logs, log_sources = _changelog_docs(spark, folder)
@@ -308,6 +317,7 @@ SELECT * FROM r
 
 QUERIES = {
     "landing_gates_s1_s2": gates,
+    "source_pages_s1_r1": source_pages,
     "rss_items_s3": feeds,
     "index_links_s4_s4b": indexes,
     "link_scan_s4a": link_scan,
@@ -324,6 +334,9 @@ ORACLES = {
           CASE WHEN bytes > 2000 THEN 'Markdown index response exceeds 2000 byte limit'
                WHEN lang = 'es' THEN 'Markdown index response is not valid UTF-8' ELSE '' END AS error,
           cast(CASE WHEN bytes > 2000 OR lang = 'es' THEN -1 ELSE length(text) END AS INTEGER) AS chars FROM d""",
+    "source_pages_s1_r1": """
+        SELECT source, cast(doc_id AS VARCHAR) AS doc_id,
+          row_number() OVER (PARTITION BY source ORDER BY n_chars % 50, cast(doc_id AS VARCHAR)) - 1 AS page_no FROM documents""",
     "rss_items_s3": _FEED_SQL,
     "index_links_s4_s4b": _INDEX_SQL,
     "link_scan_s4a": _SCAN_SQL,

@@ -1,13 +1,17 @@
 """Persisted state as append-only Parquet logs.
 
-Every run writes its rows under ``<table>/run_seq=N`` and is published by one row in
-``_runs``, written last.  Readers only see published runs, so a run appears as a
-whole or not at all, and a repeated attempt overwrites its own files.
+Every attempt of a run writes its rows to folders of its own, ``<table>/attempt=N-<unique>``,
+and is published by one row in ``_runs``, written last, that names the attempt and its tables.
+Readers open the folders of published attempts by path, so a run appears as a whole or not at
+all, files of a crashed attempt are never read, and other folders are not listed.  After
+``COMPACT_AFTER`` runs the state is rewritten as one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +26,21 @@ _RUNS = T.StructType(
         T.StructField("run_seq", T.LongType()),
         T.StructField("run_id", T.StringType()),
         T.StructField("is_base", T.BooleanType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("tables", T.ArrayType(T.StringType())),
     ]
 )
 
+#: Published runs that are read one by one before they are rewritten as one.
+COMPACT_AFTER = 64
+
+
+class Attempt(NamedTuple):
+    """A published attempt and the tables it wrote."""
+
+    name: str
+    tables: frozenset[str]
+
 
 class StateStore:
     """State tables below one folder that all executors can reach."""
@@ -45,24 +61,24 @@ class StateStore:
             return self.spark.createDataFrame([], _RUNS)
         return self.spark.read.schema(_RUNS).parquet(f"{self.path}/_runs")
 
-    def published(self) -> list[int]:
-        """Numbers of the runs to read: from the last compaction on, a few for each day since."""
-        runs = [(r["run_seq"], r["is_base"]) for r in self.runs().collect()]
-        first = max((seq for seq, is_base in runs if is_base), default=0)
-        return sorted({seq for seq, _ in runs if seq >= first})
-
-    def table(self, name: str, published: list[int] | None = None) -> DataFrame:
-        """All published rows with ``run_seq``; empty when nothing was written yet.
+    def published(self) -> list[Attempt]:
+        """Attempts to read: those from the last compaction on, of which there are few."""
+        runs = self.runs()
+        first = runs.where("is_base").agg(F.max("run_seq")).first()[0] or 0
+        rows = runs.where(F.col("run_seq") >= first).select("attempt", "tables").distinct().collect()
+        return sorted(Attempt(r["attempt"], frozenset(r["tables"])) for r in rows)
 
-        Run numbers are folder names, so other runs are not even listed for reading.
-        """
-        schema = T.StructType([*STATE[name].fields, T.StructField("run_seq", T.LongType())])
+    def table(self, name: str, published: list[Attempt] | None = None) -> DataFrame:
+        """All published rows with ``run_seq``; empty when nothing was written yet."""
         wanted = self.published() if published is None else published
-        if not (wanted and self._exists(name)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("run_seq").isin(wanted))
-
-    def active_failures(self, published: list[int] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{name}/attempt={a.name}" for a in wanted if name in a.tables]
+        if not folders:
+            return self.spark.createDataFrame([], T.StructType([*STATE[name].fields, T.StructField("run_seq", T.LongType())]))
+        schema = T.StructType([*STATE[name].fields, T.StructField("attempt", T.StringType())])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*folders)
+        return rows.withColumn("run_seq", F.substring_index("attempt", "-", 1).cast("long")).drop("attempt")
+
+    def active_failures(self, published: list[Attempt] | None = None) -> DataFrame:
         return active_failures(self.table("failure_log", published))
 
     def sequence_of(self, run_id: str) -> int | None:
@@ -82,10 +98,14 @@ class StateStore:
         if done is not None:
             return done
         seq = self.next_sequence()
+        # Unique, so that nothing of an attempt that crashed, or of another writer, can be taken for this one.
+        attempt = f"{seq:010d}-{uuid.uuid4().hex}"
         for name, rows in tables.items():
-            rows.select(*STATE[name].names).write.mode("overwrite").parquet(f"{self.path}/{name}/run_seq={seq}")
-        marker = self.spark.createDataFrame([(seq, run_id, is_base)], _RUNS)
+            rows.select(*STATE[name].names).write.parquet(f"{self.path}/{name}/attempt={attempt}")
+        marker = self.spark.createDataFrame([(seq, run_id, is_base, attempt, sorted(tables))], _RUNS)
         marker.coalesce(1).write.mode("append").parquet(f"{self.path}/_runs")
+        if not is_base and len(self.published()) > COMPACT_AFTER:
+            self.compact(f"{run_id}/compacted")
         return seq
 
     def compact(self, run_id: str) -> int:
