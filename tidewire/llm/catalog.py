@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, html_text, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan
+from tidewire.llm import ann, chat, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -85,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rule_ensemble": rule_ensemble,
     "op10_role_repair": role_repair,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secret_scans": oracles.SECRETS,
+    "op5_systematic_mixing": oracles.MIXING,
+}

@@ -182,7 +182,7 @@ _STAGES = (
     " flatten(transform(e.blocks, (x, b) -> transform(x, (y, j) -> aggregate(slice(e.sums, 1, b), 0L, (n, z) -> n + z)"
     " + aggregate(slice(x, 1, j + 1), 0L, (n, z) -> n + z)))) AS ends))",
     "sort_array(flatten(transform(_hits, e -> filter(zip_with(e.ends, sequence(0, size(e.ends) - 1), (x, i) ->"
-    " if(e.kept[i], struct(x - e.lengths[i] AS start, x AS `end`, e.rank AS rank, e.kind AS kind), null)),"
+    " if(e.kept[i], struct(x - e.lengths[i] AS start, e.rank AS rank, x AS `end`, e.kind AS kind), null)),"
     " x -> x IS NOT NULL))))",
 )
 
@@ -193,7 +193,7 @@ def scan(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``secret_spans``: array of (start, end, rank, kind) by start, then in the order of the rules."""
+    """``docs`` with ``secret_spans``: array of (start, rank, end, kind) by start, then in the order of the rules."""
     marked = _marked(docs, rules, id_column, text_column).withColumn("_text", text_of(text_column))
     hits = F.filter(
         F.array(*(_matches(rule, "_text") for rule in rules)), lambda e: e.isNotNull() & (F.size(e["found"]) > 0)
