@@ -9,9 +9,10 @@ similarity of ``SIMILARITY`` percent or more, and components of links are return
    the lowest ``SAMPLED`` part are also counted exactly; a Bloom filter of fixed size holds those that repeat, and
    shingles known not to repeat come first of all.
 2. Two sets that link share one of their first ``n - least overlap + 1`` shingles in that order.  A set whose first
-   shingles are all known not to repeat is alone, which settles most sets without reading them again.  The other sets
-   are grouped by their first shingles: each batch of a task sends one representative per shingle, and sets that share
-   a shingle are joined to the least of them.  The components of these joins hold all links.
+   shingles are all known not to repeat is alone, which settles most sets without reading them again.  Among the
+   other sets all shingles are counted, in the same way, so a set is settled too unless most of it repeats.  What
+   remains is grouped by first shingles: each batch of a task sends one representative per shingle, and sets that
+   share a shingle are joined to the least of them.  The components of these joins hold all links.
 3. The sets of a component are joined in blocks of bounded size, by a prefix tree: sets are paths of shingles
    in the global order; walking a path keeps the partial overlaps with all sets met so far, paths with a common
    start share them, and a set is dropped as soon as what remains of both cannot reach the overlap needed.
@@ -209,8 +210,7 @@ def _alone(items: np.ndarray, repeating: np.ndarray) -> np.ndarray:
 def _ordered(items: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Items (sorted by hash) in the global order without those known not to repeat, which come first and match nothing."""
     ranks, repeating = order
-    low = int(np.searchsorted(items, _LOW))
-    kept = np.concatenate([items[:low][~_alone(items[:low], repeating)], items[low:]])
+    kept = items[~_alone(items, repeating)]
     return kept[np.argsort(ranks[(kept >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
 
 
@@ -219,6 +219,17 @@ def _ordered(items: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndar
 # --------------------------------------------------------------------------
 
 
+def _all_items(texts: DataFrame) -> DataFrame:
+    """``items`` of every text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHash()
+        for batch in batches:
+            yield pd.DataFrame({"items": [shingle_set(text, hashes).view(np.int64) for text in batch["text"]]})
+
+    return texts.select("text").mapInPandas(run, "items array<long>")
+
+
 def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
     """(item, node): for each prefix item one node per batch; nodes that share an item within a batch meet under a key of their own."""
 
@@ -494,7 +505,9 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("hash").eqNullSafe(F.col("_hash"))
     texts = chosen.join(one.hint("shuffle_hash"), same).select("sig", "sig2", "n", "text")
     texts = written(texts.dropDuplicates(["sig", "sig2"]), "texts")
-    coarse = components(_candidate_edges(texts, ranks))
+    # Among these texts, all items are counted.
+    order = spark.sparkContext.broadcast((known[0], _repeating(_all_items(texts))))
+    coarse = components(_candidate_edges(texts, order))
     members = texts.select("sig", "sig2", "n").join(coarse, F.col("sig") == F.col("node"))
     members = members.select(F.col("component").alias("coarse"), "sig", "sig2", "n", F.col("sig").alias("label"))
     members = written(_blocks(members), "members")
