@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidewire.operators.enrichment import (
     BULLETS,
+    NOT_JSON,
     TITLE,
+    ask,
     cache_lookup,
     cache_rows,
     checked_summary,
@@ -131,6 +135,38 @@ FROM (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
 """
 
 
+class _Client:
+    """Stands for a user's model client: answers users, fails for system turns, and is closed with its task."""
+
+    def __call__(self, row: dict, article: str) -> str:
+        if row["source"] == "system":
+            raise ValueError("no answer")
+        if row["source"] != "user":
+            return article
+        return json.dumps({"title_zh": f"标题{len(article)}", "bullets_zh": ["一", "二", "三"]})
+
+    def close(self) -> None:
+        pass
+
+
+def asked(spark, folder):
+    """Every turn of a conversation, given to a client built once per task."""
+    rows = table(spark, folder, "conversations").selectExpr(
+        "conv_id * 1000 + turn AS order_key", "role AS source", "'' AS title", "'' AS url", "'' AS published_at", "text AS article"
+    )
+    return ask(rows, _Client).selectExpr(
+        "order_key", "coalesce(title_zh, '') AS title", "cast(coalesce(size(bullets_zh), 0) AS BIGINT) AS bullets",
+        "coalesce(error, '') AS error",
+    )
+
+
+_ASKED_SQL = f"""
+SELECT conv_id * 1000 + turn AS order_key, CASE WHEN role = 'user' THEN '标题' || length(text) ELSE '' END AS title,
+  cast(CASE WHEN role = 'user' THEN 3 ELSE 0 END AS BIGINT) AS bullets,
+  CASE role WHEN 'system' THEN 'ValueError: no answer' WHEN 'user' THEN '' ELSE '{NOT_JSON}' END AS error FROM conversations
+"""
+
+
 # --------------------------------------------------------------------------
 # Messages
 # --------------------------------------------------------------------------
@@ -205,6 +241,7 @@ QUERIES = {
     "cache_lookup_j8_k3": cached,
     "cache_entries_k3": cache_entries,
     "article_source_s9": articles,
+    "asked_summaries_x3": asked,
     "message_bytes_p21_p22_g1": messages,
     "message_packing_g2": packed,
     "failure_message_p23": failure_messages,
@@ -224,6 +261,7 @@ ORACLES = {
         FROM v LEFT JOIN good g ON g.source = v.source AND g.dedupe_key = v.dedupe_key AND g.model = 'm'""",
     "cache_entries_k3": f"WITH {_CACHE_SQL} SELECT source, model, count(*) AS entries FROM good GROUP BY source, model",
     "article_source_s9": _ARTICLES_SQL,
+    "asked_summaries_x3": _ASKED_SQL,
     "message_bytes_p21_p22_g1": f"""
         WITH {DOC_ITEMS_SQL}, m AS (SELECT pos, {_ENVELOPE_SQL} || {_PARAGRAPHS_SQL} || ']}}}}}}' AS payload FROM doc_items)
         SELECT pos, payload, cast(strlen(payload) AS INTEGER) AS bytes, strlen(payload) <= 4096 AS fits FROM m""",
