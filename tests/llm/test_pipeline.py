@@ -87,7 +87,9 @@ def test_packed_pieces(stages):
     fill = Counter()
     for r in rows:
         fill[r.sequence_id] += r.length
-    assert len(fill) == -(-sum(fill.values()) // 4096)
+    # Best-fit decreasing need not reach the bound by volume: these few documents leave 30 tokens too much.
+    least = -(-sum(fill.values()) // 4096)
+    assert max(fill.values()) <= 4096 and least <= len(fill) <= least + 1
 
 
 def test_run_gives_the_last_stage(spark, stages):
