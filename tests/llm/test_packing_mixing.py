@@ -79,6 +79,18 @@ def test_exchange_between_groups(spark):
     assert rows[0].bound <= len(fills) <= rows[0].bound + 1
 
 
+def test_every_piece_comes_back_when_rounds_run_out(spark):
+    # No bin is certain to fill and the total falls in every round, so no other end of the exchange is met.
+    sizes = [int(x) for x in np.random.default_rng(1).integers(78, 134, 40_000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(sizes)], packing.PIECES)
+    rows = packing.pack(written(pieces, "pieces"), 400, group_rows=400).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(sizes))
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 400
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
 def test_bound_is_a_bound(sizes):

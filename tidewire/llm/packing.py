@@ -6,7 +6,8 @@ number of bins from dual-feasible functions.  Groups keep their filled bins.  Gr
 release the documents of their unfilled bins, which are exchanged: dealt to new groups, packed
 and bounded again.  Rounds end when the total meets the lower bound of the whole input (taken
 from its histogram of lengths, which has ``capacity`` rows at most), when one group held all that
-was released, or when a round saved nothing.
+was released, when a round saved nothing (then the round before it stands), or after ``ROUNDS``.
+The last round that stands keeps its unfilled bins too, so every piece is placed.
 
 Defined results: a null text is the empty text; an empty text is one piece that holds only the
 end id; repeated rows are packed once each; a null id is carried through; an empty table gives
@@ -36,6 +37,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs, on average.
 GROUP_ROWS = 4096
+#: Rounds of exchange at most; later ones would only save bins.
+ROUNDS = 16
 #: Words and runs whose ids a worker keeps at hand, and characters that it handles at once.
 CACHED_WORDS, CACHED_RUNS, BATCH_CHARS = 1_000_000, 1_600_000, 4_000_000
 
@@ -236,8 +239,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
             [x.split()[0] for x in fields.split(", ")]
         ]
 
-    kept, pending, rows, total_before = [], pieces, int(histogram.sum()), None
-    for turn in range(16):
+    # Filled bins of the rounds before the one that stands, which is ``last``.
+    kept, done, last, total_before = [], 0, None, None
+    pending, rows = pieces, int(histogram.sum())
+    for turn in range(ROUNDS):
         groups = max(1, -(-rows // group_rows))
         dealt = pending.withColumn("_group", F.expr(f"pmod(xxhash64(_row, {turn}), {groups})"))
         dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -256,15 +261,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
             F.sum(F.when(~filled & (F.col("_offset") == 0), 1).otherwise(0)).alias("open"),
             F.sum(F.when(~filled, 1).otherwise(0)).alias("released"),
         ).first()
-        done = sum(n for n, _ in kept) + (seen["full"] or 0)
-        total = done + (seen["open"] or 0)
-        if total == bound or groups == 1 or total_before == total:
-            kept.append((0, placed))
+        full, total = seen["full"] or 0, done + (seen["full"] or 0) + (seen["open"] or 0)
+        if total_before is not None and total >= total_before:
             break
-        kept.append((seen["full"] or 0, placed.where(filled)))
-        pending, rows, total_before = placed.where(~filled).select(pieces.columns), seen["released"], total
+        if last is not None:
+            kept.append(last.where(filled))
+        last, total_before = placed, total
+        if total == bound or groups == 1:
+            break
+        done, pending, rows = done + full, placed.where(~filled).select(pieces.columns), seen["released"]
     columns = [c for c in pieces.columns if c != "_row"]
-    parts = [df.select(*columns, "sequence_id", F.col("_offset").alias("offset")) for _, df in kept]
+    parts = [df.select(*columns, "sequence_id", F.col("_offset").alias("offset")) for df in [*kept, last]]
     return reduce(DataFrame.unionAll, parts).withColumn("bound", F.lit(bound).cast("long"))
 
 
