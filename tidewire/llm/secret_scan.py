@@ -69,14 +69,23 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 18, (("akia",),)),
     Rule("hex", "[0-9a-f]+", 0, 16),
 )
+_GAP, _BASE64 = r"[\x09-\x0D\x20\\]", "[A-Za-z0-9+/=]"
+#: A header with all up to its END line; without one (a key that was cut), with the lines of base64 that follow.  Loops
+#: without bounds are over single characters, so that long texts do not recurse; five dashes are never passed over.
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]*){{0,2}}{_GAP}*{_BASE64}{{24}}{_BASE64}*"
+    rf"(?:[A-Za-z0-9+/=\x09-\x0D\x20\\]*{_BASE64}{{16}})?(?:{_GAP}+{_BASE64}*\z)?)?"
+)
 #: Rules that add spans of other kinds.
 ADDED = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", literals=(("-----begin ", "private key-----"),)),
+    Rule("private_key", _PRIVATE_KEY, literals=(("-----begin ", "private key-----"),)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", literals=(("eyj", ".eyj"),)),
     Rule("hub_token", "gh[pousr]_[A-Za-z0-9]{36,}", literals=tuple((f"gh{c}_",) for c in "pousr")),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", literals=tuple((f"xox{c}-",) for c in "abprs")),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{20,}", literals=(("bearer",),)),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@", literals=(("://",),)),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@", literals=(("://",),)),
 )
 RULES = BASE + ADDED
 
@@ -217,9 +226,12 @@ def redacted(
     text_column: str = "text",
     mask: str = "[REDACTED]",
 ) -> DataFrame:
-    """``docs`` with every kept match of every rule replaced by ``mask``, one rule after the other."""
+    """``docs`` with every kept match of every rule replaced by ``mask``, one rule after the other.
+
+    Private keys come first, so that no other mask breaks their header.
+    """
     staged = _marked(docs, rules, id_column, text_column).withColumn("_text", F.col(text_column))
-    for rule in rules:
+    for rule in sorted(rules, key=lambda rule: rule.kind != "private_key"):
         staged = staged.withColumn("_hit", _matches(rule, "_text"))
         # One gap more than matches: the text after the last match.
         shown = F.transform(
