@@ -56,6 +56,20 @@ def test_odd_pages():
     assert html_text.main_text(many).count("w") == 20_000
 
 
+def test_linked_lines_between_surge_and_dive_stay():
+    link, advert = "<p><a href='/r'>Full report</a></p>", "<div class=ad><p>x</p><p>y</p><p>z</p></div>"
+    page = f"<div><p>{LONG}</p>{link}<p>{LONG}</p></div>"
+    assert html_text.main_text(page) == f"{LONG}\n\nFull report\n\n{LONG}"
+    # Furniture separates nothing, so a short paragraph between adverts belongs to the text around them.
+    page = f"<div><p>{LONG * 20}</p>{advert}<p>Short.</p>{advert}<p>{LONG}</p></div>"
+    assert html_text.main_text(page) == f"{LONG * 20}\n\nShort.\n\n{LONG}"
+
+
+def test_weight_is_text_outside_of_links():
+    page = "<p>five <a href='/a'>" + "&amp;\n  " * 20 + "</a> six</p><p><a>only <b>a link</b></a> <a>and</a></p>"
+    assert [size for _, size, _, _ in html_text.lines(page)] == [len("five six"), 0]
+
+
 def test_extract(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "t"), (None, None, None, "t"), (1, "u", f"<article><p>{LONG}</p></article>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
