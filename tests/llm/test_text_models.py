@@ -150,6 +150,15 @@ def test_lm_probabilities_sum_to_one():
     assert -1e-5 < match < 1
 
 
+def test_lm_fits_on_all_training_tokens(spark):
+    text = F.repeat(F.lit("alpha beta gamma "), 4000)
+    docs = spark.range(30).select(F.col("id").cast("string").alias("doc_id"), F.lit(False).alias("held"), text.alias("text"))
+    tables = spark.sparkContext.broadcast(lm_scoring._tables({}))
+    blocks = docs.coalesce(1).mapInPandas(lm_scoring._coded, lm_scoring._BLOCK)
+    rows = blocks.mapInPandas(lambda batches: lm_scoring._fitted(batches, tables), "place int, total double").collect()
+    assert max(rows, key=lambda r: r.place).total == 30 * 12_001  # more than 250,000
+
+
 def test_lm_of_nothing(spark):
     assert lm_scoring.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
