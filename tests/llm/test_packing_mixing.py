@@ -158,6 +158,13 @@ def test_targets_and_copies(docs):
     assert all(abs(taken[s] - float(goal[s])) <= largest[s] for s in sizes)
 
 
+def test_positions_are_whole_divisions(spark):
+    cases = [(1, 10**12 - 1, 0), (1, 10**12, 0), (3, 999_999_999_999, 2), (10**17 + 7, 2_999_999_999_999, 5), (10**17 + 1, 3 * 10**12 - 1, 10**12 - 1)]
+    rows = spark.createDataFrame(cases, "rank long, _rate long, _offset long")
+    got = [r[0] for r in rows.select(mixing._crossed(F.col("rank"))).collect()]
+    assert got == [(rank * rate + offset) // mixing.UNIT for rank, rate, offset in cases]
+
+
 def test_small_source_stops_at_its_limit(spark):
     rows = [(i, "w " * 10, "big") for i in range(30)] + [(100, "w", "c"), (101, "w w", "c")]
     mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
