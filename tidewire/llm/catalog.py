@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan
+from tidewire.llm import ann, chat, decontamination, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -73,6 +73,15 @@ def role_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repaired(read(spark, folder, "conversations"))
 
 
+def wu_manber(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_cross_polytope": cross_polytope,
@@ -84,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_tree_join": prefix_tree_join,
     "op9_rule_ensemble": rule_ensemble,
     "op10_role_repair": role_repair,
+    "op12_wu_manber": wu_manber,
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scans": oracles.SECRETS,
     "op5_systematic_mixing": oracles.MIXING,
+    "op12_wu_manber": oracles.CONTAMINATION,
 }

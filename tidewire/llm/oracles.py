@@ -60,3 +60,33 @@ SELECT t.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{rule.kind}') AS n_
   sha256({_DIGEST.format(f" FILTER (WHERE rank < {len(BASE)})")}) AS base_sha256, {_DIGEST.format("")} AS spans
 FROM t LEFT JOIN p ON p.rid = t.rid GROUP BY t.rid, t.doc_id
 """
+
+CONTAMINATION = """
+WITH d AS (
+    SELECT doc_id, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+    FROM documents
+), b AS (
+    SELECT item_id, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+    FROM benchmark
+), tests AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS string
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM tests
+), found AS (
+    SELECT r, i, size, item_id
+    FROM (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS string
+          FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)) JOIN tests USING (size, string)
+), hits AS (
+    SELECT r, count(DISTINCT p) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM found) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+    FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
