@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, decontamination, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan
+from tidewire.llm import ann, chat, decontamination, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan, whitening
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -82,6 +82,11 @@ def wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mixed_precision_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whitened(read(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_cross_polytope": cross_polytope,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rule_ensemble": rule_ensemble,
     "op10_role_repair": role_repair,
     "op12_wu_manber": wu_manber,
+    "op13_mixed_precision_whitening": mixed_precision_whitening,
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scans": oracles.SECRETS,
