@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, decontamination, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan, whitening
+from tidewire.llm import ann, chat, collocations, decontamination, html_text, lm_scoring, mixing, ngram_join, oracles, packing, quality_classifier, quality_rules, secret_scan, whitening
 from tidewire.llm.tables import read, text_of, word_count
 from tidewire.session import written
 
@@ -73,6 +73,10 @@ def role_repair(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repaired(read(spark, folder, "conversations"))
 
 
+def tiled_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
 def wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
@@ -98,11 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_tree_join": prefix_tree_join,
     "op9_rule_ensemble": rule_ensemble,
     "op10_role_repair": role_repair,
+    "op11_tiled_collocations": tiled_collocations,
     "op12_wu_manber": wu_manber,
     "op13_mixed_precision_whitening": mixed_precision_whitening,
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scans": oracles.SECRETS,
     "op5_systematic_mixing": oracles.MIXING,
+    "op11_tiled_collocations": oracles.COLLOCATIONS,
     "op12_wu_manber": oracles.CONTAMINATION,
 }
