@@ -33,7 +33,7 @@ from tidewire.session import written
 #: Occurrences and words of a phrase; share of its occurrences in a longer one that drops it; phrases per language.
 MIN_COUNT, MAX_WORDS, INSIDE_PERCENT, TOP = 10, 3, 50, 2000
 #: Words in a block; pairs with their counts in a merge.
-BLOCK_WORDS, MERGE_ENTRIES = 4_000_000, 4_000_000
+BLOCK_WORDS, MERGE_ENTRIES = 2_000_000, 2_000_000
 #: Ranks on a side of a tile, and on the sides of the square of tiles that are keys of their own.
 TILE_BITS, HEAD_BITS = 10, 13
 #: A tile is dense if it holds a pair for so many of its cells.
@@ -191,15 +191,16 @@ def dense(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None = None)
 
 def tiled(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None, bits: int) -> Iterator[tuple[int, np.ndarray, ...]]:
     """Tile, distinct pairs and the sums of their counts."""
-    tile = tile_of(left, right, bits)
-    head = tile < 0
-    held = np.bincount(~tile[head], minlength=1 << 2 * (HEAD_BITS - TILE_BITS))
+    across = HEAD_BITS - TILE_BITS
+    near = np.flatnonzero((left < 1 << HEAD_BITS) & (right < 1 << HEAD_BITS))
+    tile = ((left[near] >> TILE_BITS) << across) | (right[near] >> TILE_BITS)
+    held = np.bincount(tile, minlength=1 << 2 * across)
+    rest = np.ones(len(left), bool)
     for t in np.flatnonzero(held >= (1 << 2 * TILE_BITS) // _DENSE_CELLS):
-        mine = tile == ~t
+        mine = near[tile == t]
         yield int(~t), *dense(left[mine], right[mine], None if counts is None else counts[mine])
-        head &= ~mine
-        tile[mine] = 1 << 62
-    rest = tile < 1 << 62
+        rest[mine] = False
+    del near, tile
     a, b, c = summed(left[rest], right[rest], None if counts is None else counts[rest])
     of = tile_of(a, b, bits)
     order = np.argsort(of, kind="stable")
