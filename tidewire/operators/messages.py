@@ -13,7 +13,6 @@ from tidewire.functions.dates import display_time
 from tidewire.session import written
 
 DEFAULT_LIMIT = 28 * 1024
-MAX_LIMIT = 30 * 1024
 
 # Texts of a message.
 NO_SUMMARY = "（无摘要）"
@@ -204,25 +203,28 @@ def pack_messages(
 
 def deliver_order(messages: DataFrame) -> DataFrame:
     """Configuration order, then page order."""
-    return messages.orderBy("source_ord", "pos")
+    return messages.orderBy(*ORDER)
 
 
-def numbered(df: DataFrame, size: int = 1_000_000) -> DataFrame:
-    """Global number of each row by (source_ord, pos) without a single-task window.
+#: Order of messages: sources as configured, items as on the page.
+ORDER = ("source_ord", "pos")
 
-    Rows are numbered inside blocks of positions of one source; block offsets come
-    from one small row per block.
+
+def numbered(df: DataFrame, order: Sequence[str] = ORDER, name: str = "cand_index") -> DataFrame:
+    """Number of each row in the order of columns, from 0.
+
+    Rows are dealt by ranges of the order, so a source with most of the rows lies in many tasks; only one small row
+    for each range passes through one task.
     """
-    block = F.floor(F.col("pos") / F.lit(size))
-    blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy("source_ord", "_block").orderBy("pos")
-    counts = blocked.groupBy("source_ord", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per block of a million positions.
-    across = Window.orderBy("source_ord", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_ord", "_block", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    rows = written(rows, "ordered")
+    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    # As many rows as ranges, which are at most as many as shuffle partitions.
     return (
-        blocked.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, ["source_ord", "_block"])
-        .withColumn("cand_index", F.col("_offset") + F.col("_rank") - 1)
-        .drop("_block", "_rank", "_offset")
+        rows.join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_offset") + F.col("_place"))
+        .drop("_range", "_place", "_offset")
     )

@@ -99,7 +99,7 @@ def ledger_rows(spark, folder):
 
 
 def candidate_index(spark, folder):
-    rows = numbered(doc_items(spark, folder).select("source", "source_ord", "pos"), size=100)
+    rows = numbered(doc_items(spark, folder).select("source", "source_ord", "pos"))
     return rows.select("source", "pos", F.col("cand_index").cast("long").alias("cand_index"))
 
 

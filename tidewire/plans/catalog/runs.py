@@ -17,7 +17,7 @@ from tidewire.plans.catalog.gates import (
     doc_sources,
     known_sources,
 )
-from tidewire.plans.run import Settings, State, baseline_preview, counters, decide
+from tidewire.plans.run import Settings, State, baseline_preview, counters, decide, summary_row
 from tidewire.session import shared_dir, written
 from tidewire.sources.registry import Collected
 from tidewire.streaming.alerts import alert_stream
@@ -58,9 +58,9 @@ def dispositions(spark, folder):
 def run_summary(spark, folder):
     """The counters of a preview of the run."""
     decision, _ = _decision(spark, folder)
-    candidates = decision.dispositions.where(F.col("disposition") == "candidate")
-    row = counters(decision.dispositions, decision.roles, distinct_failures(decision.events), candidates, preview=True)
-    return row.select("sent", "failed", "baseline", "skipped", "previewed", "exit_code", "nothing_new")
+    failed = distinct_failures(decision.events).count()
+    row = counters(decision.counts, failed, decision.counts["candidate"], preview=True)
+    return summary_row(spark, "run", row).drop("run_id")
 
 
 def run_alerts(spark, folder):

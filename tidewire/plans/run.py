@@ -1,17 +1,19 @@
 """One run: what to record as history, what is news, what failed.
 
 The whole decision is one plan over narrow identity rows of all sources; item texts
-are joined only to the few rows that remain.
+are joined only to the few rows that remain.  Counters are observed while tables are
+written that are needed anyway.
 """
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import date_bound
@@ -47,8 +49,10 @@ from tidewire.operators.messages import (
     with_message,
 )
 from tidewire.operators.seen import persisted_keys, unseen
-from tidewire.plans.state import StateStore, log_rows, new_baseline, new_deliveries
-from tidewire.session import written
+from tidewire.plans.outbox import Outbox
+from tidewire.plans.state import Attempt, StateStore, log_rows, new_baseline, new_deliveries
+from tidewire.schemas import STATE
+from tidewire.session import counted, written
 from tidewire.sources.landing import MAX_RESPONSE_BYTES
 from tidewire.sources.registry import Collected, collect, split_entries
 
@@ -70,6 +74,8 @@ class Settings:
         default_factory=lambda: {"model": "", "protocol": "", "base_url": "", "prompt_version": "1"}
     )
     concurrency: int = 8
+    #: Articles that are summarised and kept together; a part that fails does not cost the others.
+    summary_rows: int = 10_000
 
 
 class State(NamedTuple):
@@ -88,6 +94,12 @@ class Decision(NamedTuple):
     events: DataFrame
     #: Active failures that have recovered.
     recovered: DataFrame
+    #: Items by disposition, and repeats within sources (``repeat``).
+    counts: Mapping[str, int]
+
+
+#: What can become of an item.
+DISPOSITIONS = ("baseline", "deferred", "outranked", "seen", "filtered", "stale", "candidate")
 
 
 def decide(collected: Collected, sources: DataFrame, state: State, settings: Settings) -> Decision:
@@ -116,10 +128,10 @@ def decide(collected: Collected, sources: DataFrame, state: State, settings: Set
         .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("dedupe_key").alias("keys"))
         .select("source", (F.col("rows") - F.col("keys")).alias("repeats"))
     )
-    roles = written(
+    roles, repeated = counted(
         roles.join(repeats, "source", "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)).cast("long")),
-        "roles",
-    )
+        "roles", repeat=F.sum("repeats"),
+    )
     once = written(
         with_claims(first_in_source(narrow)).join(
             roles.select("source", "role", "filter", "max_age_days"), "source"
@@ -139,18 +151,19 @@ def decide(collected: Collected, sources: DataFrame, state: State, settings: Set
         .when(stale, F.lit("stale"))
         .otherwise(F.lit("candidate")),
     )
-    judged = written(
+    judged, counts = counted(
         judged.select(
             "order_key", "source", "source_ord", "pos", "item_id", "url", "dedupe_key", "title", "bound",
             "max_age_days", "disposition",
         ),
         "dispositions",
+        **{kind: F.count(F.when(F.col("disposition") == kind, 1)) for kind in DISPOSITIONS},
     )
     old = judged.where(F.col("disposition") == "stale")
     events = (
         source_events(failures).unionByName(issue_events(issues)).unionByName(age_events(old))
     )
-    return Decision(judged, roles, events, _recovered(judged, roles, events, state))
+    return Decision(judged, roles, events, _recovered(judged, roles, events, state), counts | repeated)
 
 
 def _recovered(judged: DataFrame, roles: DataFrame, events: DataFrame, state: State) -> DataFrame:
@@ -189,6 +202,10 @@ class Prepared(NamedTuple):
     answers: DataFrame
 
 
+#: Parts of the summaries of a run at most; each is a commit.
+_MOST_PARTS = 32
+
+
 def prepare(
     decision: Decision,
     items: DataFrame,
@@ -197,8 +214,13 @@ def prepare(
     settings: Settings,
     summarizer: Callable[[], Summarizer],
     articles: DataFrame | None = None,
+    keep: Callable[[DataFrame], object] = lambda rows: None,
 ) -> Prepared:
-    """Summaries and messages of the candidates; every failure stays in its row."""
+    """Summaries and messages of the candidates; every failure stays in its row.
+
+    Missing summaries are asked for in parts.  ``keep`` gets the new cache rows of a part as soon as it is done; a
+    part whose job fails is left out, the others go on, and its problem is raised in the end.
+    """
     chosen = decision.dispositions.where(F.col("disposition") == "candidate").select(
         "order_key", "source", "pos"
     )
@@ -207,12 +229,28 @@ def prepare(
     )
     looked_up = cache_lookup(candidates, cache, **settings.model)
     # Written once: the costly part below works on the misses only.
-    looked_up = written(looked_up, "candidates")
+    looked_up, counts = counted(looked_up, "candidates", missing=F.count(F.when(F.col(TITLE).isNull(), 1)))
+    parts = max(1, min(_MOST_PARTS, -(-counts["missing"] // settings.summary_rows)))
     misses = with_article(looked_up.where(F.col(TITLE).isNull()).drop(TITLE, BULLETS), articles, settings.max_article_bytes)
-    answers = written(
-        ask(misses.where(F.col("article").isNotNull()), summarizer, settings.concurrency), "answers"
+    misses = written(
+        misses.withColumn("_part", F.pmod(F.xxhash64("source", "dedupe_key"), F.lit(parts)).cast("int")), "misses", ("_part",)
     )
-    asked = misses.drop("article", "article_error").join(answers, "order_key", "left").withColumn(
+    keys = looked_up.select("order_key", "source", "dedupe_key")
+    answers, new, problems = None, None, []
+    for part in range(parts):
+        asked = misses.where((F.col("_part") == part) & F.col("article").isNotNull())
+        try:
+            one = written(ask(asked, summarizer, settings.concurrency), "answers")
+        except Exception as problem:  # noqa: BLE001 - raised below, after the other parts
+            problems.append(problem)
+            continue
+        rows = cache_rows(keys.join(one.where(F.col("error").isNull()), "order_key"), **settings.model)
+        keep(rows)
+        answers = one if answers is None else answers.unionByName(one)
+        new = rows if new is None else new.unionByName(rows)
+    if problems:
+        raise problems[0]
+    asked = misses.drop("article", "article_error", "_part").join(answers, "order_key", "left").withColumn(
         "failed_stage",
         F.when(F.col("error").isNotNull(), F.lit("summary")).when(F.col(TITLE).isNull(), F.lit("content")),
     )
@@ -226,43 +264,25 @@ def prepare(
         "failed_stage",
         F.coalesce("failed_stage", F.when(~F.col("fits"), F.lit("message"))),
     )
-    summaries = looked_up.select("order_key", "source", "dedupe_key").join(
-        answers.where(F.col("error").isNull()), "order_key"
-    )
-    return Prepared(messages, cache_rows(summaries, **settings.model))
-
-
-def counters(
-    dispositions: DataFrame, roles: DataFrame, failures: DataFrame, sent: DataFrame, preview: bool = False
-) -> DataFrame:
-    """The one summary row of a run."""
-    count = F.count(F.lit(1))
-    named = lambda df, name: df.agg(count.alias("n")).select(F.lit(name).alias("kind"), "n")
-    measures = (
-        dispositions.groupBy(F.col("disposition").alias("kind"))
-        .agg(count.alias("n"))
-        .unionByName(roles.agg(F.sum("repeats").alias("n")).select(F.lit("repeat").alias("kind"), "n"))
-        .unionByName(named(failures, "failure"))
-        .unionByName(named(sent, "done"))
-    )
-    total = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
-    row = measures.agg(
-        total("done").alias("done"),
-        total("failure").alias("failed"),
-        total("baseline").alias("baseline"),
-        total("repeat", "outranked", "seen", "filtered", "stale").alias("skipped"),
-        total("candidate").alias("candidates"),
-    )
-    zero = F.lit(0).cast("long")
-    return row.select(
-        (zero if preview else F.col("done")).alias("sent"),
-        "failed",
-        "baseline",
-        "skipped",
-        (F.col("done") if preview else zero).alias("previewed"),
-        (F.col("failed") > 0).cast("int").alias("exit_code"),
-        ((F.col("candidates") == 0) & (F.col("failed") == 0) & (F.col("baseline") == 0)).alias("nothing_new"),
-    )
+    return Prepared(messages, new)
+
+
+def counters(counts: Mapping[str, int], failed: int, done: int, preview: bool = False) -> dict[str, int | bool]:
+    """The one summary row of a run, from what was observed while its tables were written."""
+    nothing = not (counts["candidate"] or counts["baseline"] or failed)
+    return {
+        "sent": 0 if preview else done,
+        "failed": failed,
+        "baseline": counts["baseline"],
+        "skipped": sum(counts[kind] for kind in ("repeat", "outranked", "seen", "filtered", "stale")),
+        "previewed": done if preview else 0,
+        "exit_code": int(failed > 0),
+        "nothing_new": nothing,
+    }
+
+
+def summary_row(spark: SparkSession, run_id: str, summary: Mapping[str, int | bool]) -> DataFrame:
+    return spark.createDataFrame([(run_id, *summary.values())], STATE["run_summary"])
 
 
 def baseline_preview(decision: Decision) -> DataFrame:
@@ -308,10 +328,13 @@ def execute(
 ) -> Result:
     """Run once.  With ``preview`` nothing is written to the state.
 
-    ``send`` gets the deliverable messages and returns the rows that were accepted
+    ``send`` gets the deliverable messages in order and returns the rows that were accepted
     (``order_key``); ``send_alerts`` does the same for alerts (``source``, ``item_key``).
-    Messages are sent before they are recorded, so a lost run is sent again.
+    Messages are kept in the outbox of the store, sent, and then recorded, so a lost run is sent again:
+    ``Outbox.sender`` sends only what was not acknowledged.  Runs at the same time share the store; what they
+    record is made from the state as it is then.
     """
+    spark = sources.sparkSession
     if collected is None:
         # A document may feed thousands of rows: extract once, then read the result.
         entries = written(
@@ -327,16 +350,25 @@ def execute(
         written(store.active_failures(runs), f"{run_id}-active"),
     )
     decision = decide(collected, sources, state, settings)
+
+    def keep(rows: DataFrame) -> None:
+        # Kept even if another part or the delivery fails, so a retry does not ask again.
+        store.commit(f"{run_id}/summaries/{uuid.uuid4().hex}", {"summary_cache": rows})
+
     prepared = prepare(
-        decision, collected.items, sources, store.table("summary_cache", runs), settings, summarizer, articles
-    )
-    if not preview:
-        # Kept even if delivery fails, so a retry does not ask again.
-        store.commit(f"{run_id}/summaries", {"summary_cache": prepared.answers})
+        decision, collected.items, sources, store.table("summary_cache", runs), settings, summarizer, articles,
+        *(() if preview else (keep,)),
+    )
     messages = written(prepared.messages, f"{run_id}-messages")
-    good = deliver_order(messages.where(F.col("failed_stage").isNull()))
-    sent = good if preview else written(send(good).select("order_key"), f"{run_id}-sent")
-    not_sent = messages.where(F.col("failed_stage").isNull()).join(sent, "order_key", "left_anti")
+    ready = messages.where(F.col("failed_stage").isNull())
+    if preview:
+        sent = ready.select("order_key")
+    else:
+        outbox = Outbox(spark, f"{store.path}/outbox")
+        ready = outbox.put(run_id, ready)
+        sent = outbox.acknowledge(run_id, send(deliver_order(ready)))
+    sent, done = counted(sent, f"{run_id}-sent", done=F.count(F.lit(1)))
+    not_sent = ready.join(sent, "order_key", "left_anti")
     failed_items = (
         messages.where(F.col("failed_stage").isNotNull())
         .select("source", "dedupe_key", F.col("original_title").alias("title"), F.col("failed_stage").alias("stage"))
@@ -344,8 +376,8 @@ def execute(
             not_sent.select("source", "dedupe_key", F.col("original_title").alias("title"), F.lit("send").alias("stage"))
         )
     )
-    failures = written(
-        distinct_failures(decision.events.unionByName(item_events(failed_items))), f"{run_id}-failures"
+    failures, failed = counted(
+        distinct_failures(decision.events.unionByName(item_events(failed_items))), f"{run_id}-failures", failed=F.count(F.lit(1))
     )
     recovered = decision.recovered
     alerts = to_alert(failures, state.active).withColumn(
@@ -355,26 +387,27 @@ def execute(
             F.col("source"), F.col("title"), F.col("stage"),
         ),
     ).withColumn("fits", F.octet_length("payload") <= settings.max_payload_bytes)
-    summary = counters(decision.dispositions, decision.roles, failures, sent, preview)
+    summary = summary_row(spark, run_id, counters(decision.counts, failed["failed"], done["done"], preview))
     if preview:
         return Result(run_id, summary, messages, failures, alerts, decision)
     # An alert that was not accepted is not recorded and is tried again next time.
     alerted = written(send_alerts(alerts.where("fits")).select("source", "item_key"), f"{run_id}-alerted")
-    delivered = messages.join(sent, "order_key", "left_semi")
-    base_rows, marks = new_baseline(collected.items, decision.roles, state.source_state)
+    delivered = ready.join(sent, "order_key", "left_semi")
     log = (
         log_rows(recovered, "cleared", 0)
         .unionByName(log_rows(alerted, "alerted", 1))
         .unionByName(log_rows(delivered.select("source", F.col("dedupe_key").alias("item_key")), "cleared", 2))
     )
-    summary = written(summary, f"{run_id}-summary")
-    store.commit(
-        run_id,
-        {
-            "delivered": new_deliveries(delivered, state.delivered),
+
+    def tables(now: list[Attempt]) -> dict[str, DataFrame]:
+        base_rows, marks = new_baseline(collected.items, decision.roles, store.table("source_state", now))
+        return {
+            "delivered": new_deliveries(delivered, store.table("delivered", now)),
             "baseline": base_rows,
             "source_state": marks,
             "failure_log": log,
-        },
-    )
+            "run_summary": summary,
+        }
+
+    store.commit(run_id, tables)
     return Result(run_id, summary, messages, failures, alerts, decision)

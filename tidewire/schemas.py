@@ -68,6 +68,10 @@ STATE = {
         ("title_zh", STRING), ("bullets_zh", STRINGS),
     ),
     "failure_log": _fields(("source", STRING), ("item_key", STRING), ("event", STRING), ("seq", INT)),
+    "run_summary": _fields(
+        ("run_id", STRING), ("sent", LONG), ("failed", LONG), ("baseline", LONG), ("skipped", LONG),
+        ("previewed", LONG), ("exit_code", INT), ("nothing_new", T.BooleanType()),
+    ),
 }
 
 

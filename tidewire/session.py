@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Settings the library is tuned for.  All of them only pick a physical plan;
 #: results do not depend on them.
@@ -49,13 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has no lineage and survives lost executors, because every
-    later reader starts from the files.
+    later reader starts from the files.  Columns of ``by`` become folders.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewire-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, with aggregates that are observed while the rows are written."""
+    seen = Observation(name)
+    out = written(df.observe(seen, *(measure.alias(key) for key, measure in measures.items())), name)
+    return out, {key: int(seen.get.get(key) or 0) for key in measures}
