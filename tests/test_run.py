@@ -248,3 +248,40 @@ def test_state_is_compacted_by_itself(spark, tmp_path, monkeypatch):
         rows = spark.createDataFrame([(f"s{i}",)], "source string")
         store.commit(f"run{i}", {"source_state": rows})
     assert len(store.published()) <= 3 and store.table("source_state").count() == 4
+
+
+def test_summaries_are_kept_part_by_part(spark, tmp_path):
+    w = World(spark, tmp_path / "s", *two(), summary_rows=1)
+    w.run([])
+    rows = [item("A", i, f"https://x.com/{i}", content=f"text {i}") for i in range(1, 7)]
+    folder = str(tmp_path)
+
+    def client(deadly):
+        def one(row, article):
+            if article == deadly:
+                raise SystemExit("killed")
+            with open(f"{folder}/asked", "a") as log:
+                log.write(article + "\n")
+            return good_summary()(row, article)
+
+        return lambda: one
+
+    def run(make):
+        collected = Collected(
+            spark.createDataFrame(
+                [("r", i["source"], 0, i["pos"], i["item_id"], i["title"], i["content"], i["url"], i["published_at"], "", "", "", i["key"])
+                 for i in rows], schemas.ITEMS),
+            spark.createDataFrame([], schemas.ISSUES), spark.createDataFrame([], schemas.SOURCE_FAILURES),
+        )
+        return execute(w.store, "second", None, w.sources, w.settings, make, collected=collected)
+
+    with pytest.raises(Exception, match="killed|terminat|crash|exit"):
+        run(client("text 3"))
+    asked = open(f"{folder}/asked").read().split("\n")[:-1]
+    kept = w.store.table("summary_cache").count()
+    assert w.store.sequence_of("second") is None and 1 <= kept <= 5
+    result = run(client(None))
+    again = open(f"{folder}/asked").read().split("\n")[:-1][len(asked) :]
+    assert len(again) == 6 - kept and "text 3" in again
+    assert counts(result) == (6, 0, 0, 0, 0)
+    assert w.store.table("run_summary").where("run_id = 'second'").first()["sent"] == 6
