@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ from tidewire.plans.catalog.gates import (
     doc_sources,
     known_sources,
 )
-from tidewire.plans.run import Settings, State, baseline_preview, counters, decide, summary_row
+from tidewire.plans.outbox import Outbox
+from tidewire.plans.run import Settings, State, baseline_preview, counters, decide, execute, summary_row
+from tidewire.plans.state import StateStore
+from tidewire.schemas import ISSUES, SOURCE_FAILURES
 from tidewire.session import shared_dir, written
 from tidewire.sources.registry import Collected
 from tidewire.streaming.alerts import alert_stream
@@ -124,6 +128,79 @@ WHERE (a.source, a.item_key) IN (SELECT source, item_key FROM named)
 """
 
 
+# -- two runs over a store ----------------------------------------------------
+
+
+def _summary_client():
+    """A model with one answer."""
+    return lambda item, article: json.dumps({"title_zh": "标题", "bullets_zh": ["一", "二", "三"]})
+
+
+def _message_client():
+    """A client that takes every well-formed message."""
+
+    def send(payload: str) -> None:
+        json.loads(payload)["content"]["zh_cn"]["title"].index(RUN_DATE)
+
+    return send
+
+
+def two_runs(spark, folder):
+    """A run over the labelled documents, then one over all of them: state, messages in order, and summaries."""
+    store = StateStore(spark, _fresh_folder(spark, "store"))
+    items = written(doc_items(spark, folder), "items")
+    sources = items.groupBy("source", "source_ord").agg(F.first("category").alias("_")).select(
+        "source_ord", "source", F.lit("https://docs.example.com/").alias("url"), F.array(F.lit("docs.example.com")).alias("allowed_hosts"),
+        F.lit(20).alias("window_size"), F.lit("rss").alias("collector"), F.lit("inline").alias("content_mode"),
+        F.lit(False).alias("filter"), F.lit(None).cast("int").alias("max_age_days"),
+    )
+    sources = written(sources, "sources")
+    labelled_ids = table(spark, folder, "labels").select(F.col("doc_id").alias("pos"))
+    empty = [spark.createDataFrame([], schema) for schema in (ISSUES, SOURCE_FAILURES)]
+    settings = Settings(run_date=datetime.date.fromisoformat(RUN_DATE), max_payload_bytes=1 << 20)
+    for run_id, part in (("first", items.join(labelled_ids, "pos", "left_semi")), ("second", items)):
+        outbox = Outbox(spark, f"{store.path}/outbox")
+        execute(store, run_id, None, sources, settings, _summary_client, collected=Collected(part, *empty),
+                send=outbox.sender(run_id, _message_client))
+    rows = lambda df, kind, place: df.select(
+        F.lit(kind).alias("kind"), place.cast("long").alias("place"), "source", "dedupe_key"
+    )
+    summary = store.table("run_summary").select(
+        "run_seq", F.col("run_id").alias("source"),
+        F.concat_ws(",", "sent", "failed", "baseline", "skipped", "previewed", "exit_code", "nothing_new").alias("dedupe_key"),
+    )
+    none = F.lit(None)
+    return (
+        rows(store.table("baseline"), "baseline", none)
+        .unionByName(rows(store.table("delivered"), "delivered", none))
+        .unionByName(rows(outbox.messages("second"), "message", F.col("number")))
+        .unionByName(rows(summary, "summary", none))
+    )
+
+
+_TWO_RUNS_SQL = f"""
+WITH {DOC_ITEMS_SQL},
+one AS (SELECT * FROM doc_items WHERE pos IN (SELECT doc_id FROM labels)),
+base AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY source, dedupe_key ORDER BY pos) = 1),
+once AS (SELECT * FROM doc_items QUALIFY row_number() OVER (PARTITION BY source, dedupe_key ORDER BY pos) = 1),
+claimed AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY source_ord, pos) = 1),
+fresh AS (SELECT * FROM claimed f WHERE dedupe_key NOT IN (SELECT dedupe_key FROM base)
+    AND NOT (ordinary AND EXISTS (SELECT 1 FROM base b WHERE b.source = f.source AND b.item_id = f.item_id))
+    AND NOT (ordinary AND EXISTS (SELECT 1 FROM base b WHERE b.source = f.source AND b.url = f.url))),
+cand AS (SELECT * FROM fresh QUALIFY NOT ordinary OR row_number() OVER (PARTITION BY source, item_id, ordinary ORDER BY pos) = 1),
+sent AS (SELECT * FROM cand WHERE regexp_matches(content, '\\S'))
+SELECT 'baseline' AS kind, NULL::BIGINT AS place, source, dedupe_key FROM base
+UNION ALL SELECT 'delivered', NULL, source, dedupe_key FROM sent
+UNION ALL SELECT 'message', row_number() OVER (ORDER BY source_ord, pos) - 1, source, dedupe_key FROM sent
+UNION ALL SELECT 'summary', NULL, 'first', '0,0,' || (SELECT count(*) FROM base) || ',' || ((SELECT count(*) FROM one) - (SELECT count(*) FROM base))
+  || ',0,0,false'
+UNION ALL SELECT 'summary', NULL, 'second', (SELECT count(*) FROM sent) || ',' || ((SELECT count(*) FROM cand) - (SELECT count(*) FROM sent))
+  || ',0,' || ((SELECT count(*) FROM doc_items) - (SELECT count(*) FROM cand)) || ',0,'
+  || CASE WHEN (SELECT count(*) FROM cand) > (SELECT count(*) FROM sent) THEN 1 ELSE 0 END || ','
+  || CASE WHEN (SELECT count(*) FROM cand) = 0 THEN 'true' ELSE 'false' END
+"""
+
+
 # -- streams ---------------------------------------------------------------
 
 
@@ -159,6 +236,7 @@ QUERIES = {
     "run_alerts_r5_j10": run_alerts,
     "run_recoveries_j11_j12": run_recoveries,
     "run_preview_k6": run_preview,
+    "two_runs_k1_k2_k5_k7_r6_x4": two_runs,
     "alert_stream_r5_r7": streamed_alerts,
     "first_seen_stream_r2": streamed_first_texts,
 }
@@ -182,6 +260,7 @@ ORACLES = {
         WITH {_RUN_SQL} SELECT r.source, r.role, (SELECT count(*) FROM once o WHERE o.source = r.source) AS items,
           CASE WHEN role = 'failed' THEN 0 ELSE issues END AS issues
         FROM roles r WHERE role IN ('baseline', 'deferred')""",
+    "two_runs_k1_k2_k5_k7_r6_x4": _TWO_RUNS_SQL,
     "alert_stream_r5_r7": """
         WITH k AS (SELECT event_id, user_id, event_type AS kind FROM events WHERE event_type IN ('error', 'purchase'))
         SELECT event_id, user_id FROM k
