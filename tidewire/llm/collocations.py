@@ -436,13 +436,10 @@ def collocations(
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
         .select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
     )
-    place = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+    placed = ranked(lowest.withColumn("count", F.col("score")).withColumn("_a", -F.col("a")), "_a", "phrase")
+    lowest = placed.withColumn("rank", F.col("id") + 1)
     if top is not None:
-        lowest = lowest.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
-    else:
-        lowest = ranked(
-            lowest.withColumn("count", F.col("score")).withColumn("_a", -F.col("a")), "_a", "phrase"
-        ).withColumn("rank", F.col("id") + 1)
+        lowest = lowest.where(F.col("rank") <= top)
     return lowest.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
