@@ -187,3 +187,24 @@ def test_link_scan_is_exact():
     (link,) = find_links('  - [a](<b c> "t")tail')
     assert (link["target"], link["lead"], link["tail"]) == ("b c", "-", "tail")
     assert find_links("[a](b 'title')")[0]["target"] == "b"
+
+
+@pytest.mark.parametrize(
+    "page,clean",
+    [
+        ("[[a](b)][c]", "a"),
+        ("[x][y](z)", "[x]y"),
+        ("![[i](j)](k) t", "](k) t"),
+        ("![p](q)![r](s)[t][u]", "t"),
+        ("a <IMG\nsrc='x'> b", "a b"),
+        ("![p][q](r)", "(r)"),
+        (" [id]: http://x y z\nkept", "kept"),
+        ("see <https://a.b/c d> or http://e.f/g) end", "see or end"),
+        ("URL Source: http://x\nText", "Text"),
+        ("[http://in.label/x](y)", ""),
+        ("a\n \n\n\n\nb", "a\n \n\nb"),
+        ("[]( x ) [a]()", "[]( x ) a"),
+    ],
+)
+def test_article_cleanup_step_by_step(spark, page, clean):
+    assert apply(spark, text.article_text, [page]) == [clean]

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 
@@ -209,11 +210,51 @@ def test_embedded_json(spark):
     ]
 
 
+def test_embedded_lists_anywhere(spark):
+    settings = source("Site", "https://www.example.com/news/", "next_data_index")
+
+    def entry(name):
+        return json.dumps({"title": name, "href": f"/{name}", "date": "2026-02-03"})
+
+    def listed(page):
+        return [r["title"] or r["message"] for r in entry_list(spark, settings, page)]
+
+    def data(body):
+        return f"<script id='__NEXT_DATA__'>{body}</script>"
+
+    def push(*parts):
+        return "<script>" + ";".join(f"self.__next_f.push({p})" for p in parts) + "</script>"
+
+    def text(body):
+        return json.dumps([1, body])
+
+    a, b, c, d = (entry(n) for n in "abcd")
+    listing = '{"articleList":[%s]}'
+    # Scripts count in their order; lists in strings come behind.
+    assert listed(push(text(f'x:{listing % c}'), listing % b) + data(listing % a) + push(listing % d)) == ["b", "a", "d", "c"]
+    # A list in a list, items of an object, deep values, names in other values.
+    inner = '{"articleList":{"items":[%s],"more":{"articleList":[%s]}},"note":"articleList"}' % (a, b)
+    assert listed(data('{"x":' * 400 + inner + "}" * 400)) == ["a", "b"]
+    assert listed(data('{"articleList":[%s,{"articleList":[%s]}]}' % (a, b))) == ["a", "articleList item title must be a string", "b"]
+    # Strings of one call, over calls, with quotes and parentheses; calls that are not JSON are passed over.
+    cut = len(f"y:{listing % a}") // 2
+    whole = f"y:{listing % a} ) ("
+    assert listed(push(text(whole[:cut]), "undefined", "f(1)", text(whole[cut:]))) == ["a"]
+    assert listed(push('{"k\\"":["z",{"s":%s}]}' % json.dumps(f"'articleList' : [{b}] tail"))) == ["b"]
+    assert listed(push(text("z" * 300_000 + '\\"' * 50_000 + listing % c))) == ["c"]
+    # Data that is not JSON as a whole has no lists, an empty list has no entries.
+    nothing = ["invalid Next.js index: articleList.items was not found"]
+    for broken in (listing % a + " x", listing % a + "]", listing % a + ",1", "", "{}", '{"articleList":3}'):
+        assert listed(data(broken)) == nothing
+    assert listed(data('{"articleList":[]}')) == []
+    assert listed("<!-- " + data(listing % a) + " -->" + data(listing % b)) == ["b"]
+
+
 def test_no_page_stops_a_job(spark):
     deep = '{"articleList":' + "[" * 5000 + "]" * 5000 + "}"
     page = f'<script id="__NEXT_DATA__">{deep}</script>'
     (row,) = entry_list(spark, source("Site", "https://www.example.com/n", "next_data_index"), page)
-    assert row["kind"] == "failure" and "nested too deep" in row["message"]
+    assert row["kind"] == "failure" and "was not found" in row["message"]
     for tag in ("<p " + "a" * 1_000_000, "<p " + "a" * 1_000_000 + ">", "<p " + "x='>' " * 200_000 + ">", "<!--" + "-<" * 400_000 + "-->"):
         frame = spark.createDataFrame([(f"{tag}<br>tail",)], "t string")
         assert frame.selectExpr(f"{clean_html('t')} AS c").first()["c"].endswith("tail")

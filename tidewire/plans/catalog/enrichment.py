@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.enrichment import (
     BULLETS,
+    NO_TEXT,
     NOT_JSON,
     TITLE,
     ask,
@@ -110,9 +111,10 @@ good AS (SELECT * FROM latest WHERE len(lines) BETWEEN 3 AND 5)
 
 
 def articles(spark, folder):
-    """Text of each page link: its own title, or the landed page behind the canonical URL."""
+    """Text of each page link: its own title, or the landed page behind the canonical URL, as Markdown of its words."""
     rows = pages(spark, folder)
-    landed = rows.selectExpr("concat(url, if(contains(url, '#'), '', '#x')) AS article_url", "cast(html AS BINARY) AS body")
+    words = "concat('# Page\n\n\n\n![i](x.png)', regexp_replace(html, '[^A-Za-z0-9.,]+', ' '), '[end](https://x.y/z)')"
+    landed = rows.selectExpr("concat(url, if(contains(url, '#'), '', '#x')) AS article_url", f"cast({words} AS BINARY) AS body")
     landed = landed.where("NOT contains(article_url, '.html')")
     items = rows.selectExpr(
         "page_id", "replace(url, 'http://', 'https://') AS url",
@@ -121,17 +123,16 @@ def articles(spark, folder):
         f"{ALLOWED} AS allowed_hosts",
     )
     found = with_article(items, landed)
-    return found.selectExpr("page_id", "coalesce(length(article) > 0, false) AS has_text",
-                            "if(content_mode = 'inline', article, '') AS own")
+    return found.selectExpr("page_id", "sha2(coalesce(article, ''), 256) AS article_sha256", "coalesce(article_error, '') AS error")
 
 
 _ARTICLES_SQL = f"""
-SELECT page_id,
-  CASE WHEN starts_with(url, 'https') THEN NOT contains(url, '.html') AND {ALLOWED_SQL.format(h='host')}
-       ELSE trim(content) <> '' END AS has_text,
-  CASE WHEN starts_with(url, 'https') THEN '' WHEN trim(content) <> '' THEN trim(content, e' \\n') END AS own
-FROM (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
-        regexp_extract(html, '<title>([^<]*)', 1) AS content FROM pages)
+WITH p AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
+        trim(regexp_extract(html, '<title>([^<]*)', 1), e' \\n') AS content,
+        e'# Page\\n\\n' || regexp_replace(html, '[^A-Za-z0-9.,]+', ' ', 'g') || 'end' AS page FROM pages),
+a AS (SELECT page_id, CASE WHEN NOT starts_with(url, 'https') THEN content
+        WHEN NOT contains(url, '.html') AND {ALLOWED_SQL.format(h='host')} THEN page ELSE '' END AS article FROM p)
+SELECT page_id, sha256(article) AS article_sha256, CASE WHEN article = '' THEN '{NO_TEXT}' ELSE '' END AS error FROM a
 """
 
 

@@ -13,6 +13,8 @@ from tidewire.sources.landing import PAGE_POSITIONS, admit, with_page
 from tidewire.sources.registry import collect, distinct_entries, entries
 from tidewire.sources.scans import markdown_links
 
+#: More entries than any of the documents has.
+_WHOLE = 1_000_000
 _NAV = "<a href=\"([^\"]*)\""
 
 
@@ -74,7 +76,7 @@ def _entry_frame(docs, sources, collector):
 # -- feeds -----------------------------------------------------------------
 
 
-def feeds(spark, folder):
+def _feed_docs(spark, folder):
     rows = _nav_rows(spark, folder)
     item = (
         "concat('<item><title> ', w, ' &amp; co </title><link>', origin, '/', w, '#x</link>',"
@@ -87,7 +89,11 @@ def feeds(spark, folder):
         "concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><rss xmlns:dc=\"d\"><channel><title>t</title>',"
         f" array_join(transform(words, (w, i) -> {item}), '\n'), '</channel></rss>')"
     )
-    return _entry_frame(_docs(rows, "page_id", body), _settings(rows, "rss", 20), "rss")
+    return _docs(rows, "page_id", body), _settings(rows, "rss", 20)
+
+
+def feeds(spark, folder):
+    return _entry_frame(*_feed_docs(spark, folder), "rss")
 
 
 _FEED_SQL = f"""
@@ -106,7 +112,7 @@ SELECT run_id, pos, 'issue', '', w || ' & co', '', url, '', '', 'invalid publica
 # -- link indexes ----------------------------------------------------------
 
 
-def indexes(spark, folder):
+def _index_docs(spark, folder):
     rows = _nav_rows(spark, folder)
     link = "concat(origin, '/news/', {w})"
     part = (
@@ -118,9 +124,11 @@ def indexes(spark, folder):
         "concat('Title: x\nPublished Time: Mon, 09 Mar 2026 08:00:00 GMT\n\n',"
         f" array_join(transform(words, (w, i) -> {part}), ''), '### [Never Apr 31, 2026](http://[)\n')"
     )
-    return _entry_frame(
-        _docs(rows, "page_id", body), _settings(rows, "markdown_index", 20, path="/news"), "markdown_index"
-    )
+    return _docs(rows, "page_id", body), _settings(rows, "markdown_index", 20, path="/news")
+
+
+def indexes(spark, folder):
+    return _entry_frame(*_index_docs(spark, folder), "markdown_index")
 
 
 # Links 0, 1, 3, 4 (and 6, 7 ...) are candidates; January to December goes back one year.
@@ -154,13 +162,13 @@ _LOG_DAY = "date_add(DATE'2024-01-01', int(doc_id % 700))"
 def _changelog_docs(spark, folder):
     rows = text_table(spark, folder, "documents").withColumn("source", F.concat("source", F.lit(".example.com")))
     heading = (
-        f"CASE WHEN i = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMM d, yyyy')) WHEN i = 3 THEN '## Apr 31, 2026'"
+        f"CASE WHEN i = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMM d, yyyy')) WHEN i = 3 THEN concat('## Apr 31, ', year({_LOG_DAY}))"
         f" WHEN i % 2 = 0 THEN concat('### ', date_format({_LOG_DAY}, 'MMMM d')) ELSE concat('#### Notes ', i) END"
     )
     body = (
         f"concat('# Log\n\n', array_join(transform(split(text, '\n'), (l, i) -> concat({heading}, '\n\n', {_LINE}, '\n\n')), ''))"
     )
-    return _docs(rows, "doc_id", body), _settings(rows, "markdown_changelog", 3)
+    return _docs(rows, "doc_id", body), _settings(rows, "markdown_changelog", _WHOLE)
 
 
 def changelogs(spark, folder):
@@ -171,17 +179,18 @@ _CHANGELOG_SQL = r"""
 WITH d AS (SELECT cast(doc_id AS VARCHAR) AS run_id, source || '.example.com' AS source,
     strftime(DATE '2024-01-01' + cast(doc_id % 700 AS INTEGER), '%Y-%m-%d') AS day,
     list_transform(string_split(text, e'\n'), lambda l: 'Line ' || trim(regexp_replace(l, '[^\p{L} ]', '', 'g')) || '.') AS ls FROM documents),
-s AS (SELECT run_id, source, day, 1 AS pos, ls[1] || CASE WHEN len(ls) > 1 THEN e'\n\n#### Notes 1\n\n' || ls[2] ELSE '' END AS content,
-        CASE WHEN len(ls) > 1 THEN 'Notes 1' ELSE source || ' · ' || day END AS title FROM d
-      UNION ALL SELECT run_id, source, day, 2, ls[3], source || ' · ' || day FROM d WHERE len(ls) > 2),
+s AS (SELECT run_id, source, day, i // 2 + 1 + CASE WHEN i > 3 THEN 1 ELSE 0 END AS pos,
+        ls[i + 1] || CASE WHEN len(ls) > i + 1 AND i <> 2 THEN e'\n\n#### Notes ' || (i + 1) || e'\n\n' || ls[i + 2] ELSE '' END AS content,
+        CASE WHEN len(ls) > i + 1 AND i <> 2 THEN 'Notes ' || (i + 1) ELSE source || ' · ' || day END AS title
+      FROM (SELECT *, unnest(range(0, len(ls), 2)) AS i FROM d)),
 k AS (SELECT *, 'changelog:' || sha256(source || chr(0) || day || chr(0)
         || sha256(trim(regexp_replace(content, '\s+', ' ', 'g')))) AS key FROM s)
 SELECT run_id, cast(pos AS BIGINT) AS pos, 'item' AS kind, key AS item_id, title, content,
   'https://' || source || '/list#' || day AS url, day AS published_at, 'Changelog' AS category, '' AS message, key AS item_key FROM k
 UNION ALL
-SELECT run_id, 3, 'issue', '', 'Apr 31, 2026', '', 'https://' || source || '/list', '', '',
-  'invalid changelog date heading: Apr 31, 2026',
-  'collection:' || sha256(source || chr(0) || 'https://' || source || '/list' || chr(0) || 'apr 31, 2026')
+SELECT run_id, 3, 'issue', '', 'Apr 31, ' || year(CAST(day AS DATE)), '', 'https://' || source || '/list', '', '',
+  'invalid changelog date heading: Apr 31, ' || year(CAST(day AS DATE)),
+  'collection:' || sha256(source || chr(0) || 'https://' || source || '/list' || chr(0) || 'apr 31, ' || year(CAST(day AS DATE)))
 FROM d WHERE len(ls) > 3
 """
 
@@ -224,30 +233,40 @@ UNION ALL SELECT run_id, 4, 'item', origin || '/last', 'Last & best', 'ok', orig
 # -- embedded lists --------------------------------------------------------
 
 
-def embedded(spark, folder):
+def _embedded_docs(spark, folder):
+    """Lists of all words: as JSON in a call, in the data script behind it, and in strings of two calls."""
     rows = _nav_rows(spark, folder)
-    first = "to_json(named_struct('id', concat('id-', words[0]), 'title', concat(words[0], ' &amp; co'), 'href', concat('/a/', words[0]), 'date', '2026/09/02', 'description', '<b>D</b>'))"
-    bad = "to_json(named_struct('title', 'Bad', 'url', concat(origin, '/bad'), 'date', 'not-a-date'))"
-    pushed = "replace(to_json(named_struct('title', concat('P (', words[1], ')'), 'link', concat('/p/', words[1]), 'publishedAt', '2026-10-11')), '\"', '\\\\\"')"
+    entry = "to_json(named_struct('id', concat({id}, i, '-', w), 'title', concat(w, ' &amp; co'), {href}, {date}, 'description', '<b>D</b>'))"
+    listed = lambda one: f"array_join(transform(words, (w, i) -> {one}), ',')"
+    direct = listed(entry.format(id="'j-'", href="'href', concat('/j/', i, w)", date="'date', '2026/09/02'"))
+    data = listed(entry.format(id="'d-'", href="'url', concat('/d/', i, w)", date="'publishedAt', if(i = 1, 'not-a-date', '2026-10-11')"))
+    string = listed(entry.format(id="'s-'", href="'link', concat('/s/', i, '(', w)", date="'published_at', 'Nov 3, 2026'"))
+    string = f"replace(replace({string}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"')"
     body = (
-        "concat('<html><script id=\"__NEXT_DATA__\" type=\"application/json\">{\"a\":{\"articleList\":{\"items\":[',"
-        f" {first}, ',null,', {first}, ',', {bad}, ']}}}}}}</script><p>x</p>',"
-        f" '<script>self.__next_f.push([1,\"a:{{\\\\\"articleList\\\\\":[', {pushed}, '\"])</script>',"
+        f"concat('<html><script>self.__next_f.push([0,{{\"articleList\":[', {direct}, ']}}])</script>',"
+        f" '<script id=\"__NEXT_DATA__\" type=\"application/json\">{{\"a\":{{\"articleList\":{{\"items\":[', {data}, ',null,', {data}, ']}}}}}}</script>',"
+        f" '<p>x</p><script>self.__next_f.push([1,\"a:{{\\\\\"articleList\\\\\":[', {string}, '\"])</script>',"
         " '<script>self.__next_f.push([1,\"]}\"])</script></html>')"
     )
-    return _entry_frame(_docs(rows, "page_id", body), _settings(rows, "next_data_index", 20), "next_data_index")
+    return _docs(rows, "page_id", body), _settings(rows, "next_data_index", _WHOLE)
+
+
+def embedded(spark, folder):
+    return _entry_frame(*_embedded_docs(spark, folder), "next_data_index")
 
 
 _EMBEDDED_SQL = f"""
-WITH {_NAV_SQL}, n AS (SELECT *, cast(page_id AS VARCHAR) AS run_id, 'https://' || host AS page FROM nav)
-SELECT run_id, cast(1 AS BIGINT) AS pos, 'item' AS kind, 'id-' || words[1] AS item_id, words[1] || ' & co' AS title, 'D' AS content,
-  page || '/a/' || words[1] AS url, '2026-09-02' AS published_at, 'Research' AS category, '' AS message,
-  page || '/a/' || words[1] AS item_key FROM n
-UNION ALL SELECT run_id, 2, 'issue', '', '', '', '', '', '', 'articleList item must be an object',
-  'collection:' || sha256(host || chr(0) || page || '/list' || chr(0) || 'index:2') FROM n
-UNION ALL SELECT run_id, 3, 'issue', '', 'Bad', '', origin || '/bad', '', '', 'articleList item has an invalid date', origin || '/bad' FROM n
-UNION ALL SELECT run_id, 4, 'item', page || '/p/' || words[2], 'P (' || words[2] || ')', '', page || '/p/' || words[2], '2026-10-11',
-  'Research', '', page || '/p/' || words[2] FROM n
+WITH {_NAV_SQL}, n AS (SELECT *, cast(page_id AS VARCHAR) AS run_id, 'https://' || host AS page, cast(len(words) AS BIGINT) AS k FROM nav),
+e AS (SELECT run_id, page, host, k, i, w, 0 AS part, i + 1 AS pos, 'j-' || i || '-' || w AS id, page || '/j/' || i || w AS url, '2026-09-02' AS day FROM word JOIN n USING (page_id, host, origin, words)
+  UNION ALL SELECT run_id, page, host, k, i, w, 1, k + i + 1, 'd-' || i || '-' || w, page || '/d/' || i || w, CASE WHEN i = 1 THEN NULL ELSE '2026-10-11' END FROM word JOIN n USING (page_id, host, origin, words)
+  UNION ALL SELECT run_id, page, host, k, i, w, 2, 2 * k + 1 + i + 1, 's-' || i || '-' || w, page || '/s/' || i || '(' || w, '2026-11-03' FROM word JOIN n USING (page_id, host, origin, words)),
+u AS (SELECT *, {canonical_sql("url")} AS key FROM e)
+SELECT run_id, cast(pos AS BIGINT) AS pos, CASE WHEN day IS NULL THEN 'issue' ELSE 'item' END AS kind, CASE WHEN day IS NULL THEN '' ELSE id END AS item_id,
+  w || ' & co' AS title, CASE WHEN day IS NULL THEN '' ELSE 'D' END AS content, url, coalesce(day, '') AS published_at,
+  CASE WHEN day IS NULL THEN '' ELSE 'Research' END AS category, CASE WHEN day IS NULL THEN 'articleList item has an invalid date' ELSE '' END AS message,
+  key AS item_key FROM u
+UNION ALL SELECT run_id, 2 * k + 1, 'issue', '', '', '', '', '', '', 'articleList item must be an object',
+  'collection:' || sha256(host || chr(0) || page || '/list' || chr(0) || 'index:' || (2 * k + 1)) FROM n
 """
 
 
@@ -295,25 +314,35 @@ def source_pages(spark, folder):
     return with_page(rows).selectExpr("source", "doc_id", "bigint(page_no) AS page_no")
 
 
+_BUILDERS = {
+    "rss": (_feed_docs, _FEED_SQL),
+    "markdown_index": (_index_docs, _INDEX_SQL),
+    "markdown_changelog": (_changelog_docs, _CHANGELOG_SQL),
+    "markdown_cards": (_card_docs, _CARD_SQL),
+    "next_data_index": (_embedded_docs, _EMBEDDED_SQL),
+}
+
+
 def registry_counts(spark, folder):
-    """Two kinds of sources collected in one frame."""
-    logs, log_sources = _changelog_docs(spark, folder)
-    card_docs, card_sources = _card_docs(spark, folder)
-    rows = collect(
-        logs.unionByName(card_docs), log_sources.unionByName(card_sources), ["markdown_changelog", "markdown_cards"]
+    """Sources of all five kinds collected in one frame, from a landing folder with the kind of each page."""
+    docs = sources = None
+    for collector, (build, _) in _BUILDERS.items():
+        landed, settings = build(spark, folder)
+        landed = landed.withColumn("collector", F.lit(collector))
+        docs = landed if docs is None else docs.unionByName(landed)
+        sources = settings if sources is None else sources.unionByName(settings)
+    rows = collect(docs, sources)
+    text = F.when(F.col("kind") == "item", F.concat_ws("|", "title", "content", "url")).otherwise(F.col("issue_title"))
+    return rows.groupBy("collector", "kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).cast("long").alias("chars")
     )
-    return rows.groupBy("source", "collector", "kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_REGISTRY_SQL = """
-WITH d AS (SELECT source || '.example.com' AS source, len(string_split(text, e'\\n')) AS n FROM documents),
-p AS (SELECT lower(replace(p_brand, '#', '-')) || '.example.com' AS source, p_size FROM part),
-r AS (SELECT source, 'markdown_changelog' AS collector, 'item' AS kind, cast(sum(CASE WHEN n > 2 THEN 2 ELSE 1 END) AS BIGINT) AS rows FROM d GROUP BY source
-  UNION ALL SELECT source, 'markdown_changelog', 'issue', count(*) FROM d WHERE n > 3 GROUP BY source
-  UNION ALL SELECT source, 'markdown_cards', 'item', cast(sum(CASE WHEN p_size > 25 THEN 1 ELSE 2 END) AS BIGINT) FROM p GROUP BY source
-  UNION ALL SELECT source, 'markdown_cards', 'issue', cast(sum(CASE WHEN p_size > 25 THEN 3 ELSE 2 END) AS BIGINT) FROM p GROUP BY source)
-SELECT * FROM r
-"""
+_REGISTRY_SQL = " UNION ALL ".join(
+    f"""SELECT '{collector}' AS collector, kind, count(*) AS rows, cast(sum(length(
+      CASE WHEN kind = 'item' THEN title || '|' || content || '|' || url ELSE title END)) AS BIGINT) AS chars FROM ({sql}) GROUP BY kind"""
+    for collector, (_, sql) in _BUILDERS.items()
+)
 
 QUERIES = {
     "landing_gates_s1_s2": gates,

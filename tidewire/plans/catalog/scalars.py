@@ -330,7 +330,7 @@ FROM p
 
 def page_image_titles(spark, folder):
     """Distinct image titles of a Markdown text made of the lines of a document."""
-    marked = "array_join(transform(split(text, '\n'), (l, i) -> concat('![Image ', i, ': ', substr(l, 1, 12), '](x.png)')), ' ')"
+    marked = "array_join(transform(split(text, '\n'), (l, i) -> concat('![Image ', i, ': ', translate(l, '[]()!', ''), '](x.png)')), ' ')"
     return text_table(spark, folder, "documents").selectExpr(
         "doc_id", f"explode({image_titles(marked)}) AS title"
     )
@@ -338,7 +338,7 @@ def page_image_titles(spark, folder):
 
 _IMAGE_TITLES_SQL = r"""
 SELECT DISTINCT doc_id, title FROM (
-  SELECT doc_id, trim(regexp_replace(regexp_replace(trim(substr(l, 1, 12)), '[`*_~]', '', 'g'), '\s+', ' ', 'g')) AS title
+  SELECT doc_id, trim(regexp_replace(regexp_replace(trim(translate(l, '[]()!', '')), '[`*_~]', '', 'g'), '\s+', ' ', 'g')) AS title
   FROM (SELECT doc_id, unnest(string_split(text, e'\n')) AS l FROM documents)) WHERE title <> ''
 """
 

@@ -1,12 +1,11 @@
-"""The two text scans SQL functions cannot express, as Arrow-batched helpers.
+"""The text scan SQL functions cannot express, as an Arrow-batched helper.
 
-Both work on one document at a time and only return what was found; all further
+It works on one document at a time and only returns what was found; all further
 work on the results is done with Column expressions.
 """
 
 from __future__ import annotations
 
-import json
 import re
 
 import pyarrow as pa
@@ -110,121 +109,6 @@ def markdown_links(texts: pa.Array) -> pa.Array:
     )
 
 
-# Marked so that the optimizer keeps each scan in one place of the plan and never
+# Marked so that the optimizer keeps the scan in one place of the plan and never
 # runs it once per use of its result.
 markdown_links = markdown_links.asNondeterministic()
-
-
-# --------------------------------------------------------------------------
-# Article lists in page scripts
-# --------------------------------------------------------------------------
-
-# Where pages keep their article lists.
-LIST_NAME = "articleList"
-DATA_SCRIPT = "__NEXT_DATA__"
-PUSH_CALL = "self.__next_f.push("
-
-_SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)(?:</script\s*>|\Z)", re.DOTALL | re.IGNORECASE)
-_IS_DATA = re.compile(rf"(?:^|\s)id\s*=\s*([\"']?){DATA_SCRIPT}\1(?:\s|/|$)", re.IGNORECASE)
-_STRING_OR_ROUND = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[()\"']", re.DOTALL)
-_LIST_IN_TEXT = re.compile(rf"[\"']{LIST_NAME}[\"']\s*:\s*")
-
-
-#: Deeper values are no article list that a page would hold; reading them must not exhaust a stack.
-MAX_DEPTH = 200
-
-
-class TooDeep(ValueError):
-    """A JSON value is nested deeper than ``MAX_DEPTH``."""
-
-
-def _arguments(code: str) -> list[str]:
-    """Arguments of the push calls of a script, up to the first call that does not end."""
-    found: list[str] = []
-    for call in code.split(PUSH_CALL)[1:]:
-        depth = 1
-        for token in _STRING_OR_ROUND.finditer(call):
-            depth += {"(": 1, ")": -1, "'": 1 << 30, '"': 1 << 30}.get(token.group(), 0)
-            if depth == 0:
-                found.append(call[: token.start()])
-                break
-        else:
-            return found
-        if depth:
-            return found
-    return found
-
-
-def _walk(value) -> tuple[list[list], list[str]]:
-    """Article lists and strings of a JSON value in order of place, outer ones first."""
-    lists: list[list] = []
-    strings: list[str] = []
-    todo = [(None, value, 0)]
-    while todo:
-        name, value, depth = todo.pop()
-        if depth > MAX_DEPTH:
-            raise TooDeep
-        if isinstance(value, str):
-            strings.append(value)
-        elif isinstance(value, dict):
-            if name == LIST_NAME and isinstance(value.get("items"), list):
-                lists.append(value["items"])
-            todo += [(k, v, depth + 1) for k, v in reversed(value.items())]
-        elif isinstance(value, list):
-            if name == LIST_NAME:
-                lists.append(value)
-            todo += [(None, v, depth + 1) for v in reversed(value)]
-    return lists, strings
-
-
-def _decoded(text: str, start: int | None = None):
-    """JSON at a place of a text, or the whole text; nothing if it is not JSON."""
-    try:
-        return [json.loads(text) if start is None else json.JSONDecoder().raw_decode(text, start)[0]]
-    except RecursionError as problem:
-        raise TooDeep from problem
-    except ValueError:
-        return []
-
-
-def entries_of_page(scripts: str) -> list[str] | None:
-    """Entries of all article lists in the scripts of a page as canonical JSON; None without a list."""
-    data: list[str] = []
-    pushed: list[str] = []
-    for attributes, code in _SCRIPT.findall(scripts):
-        if _IS_DATA.search(attributes):
-            data.append(code)
-        pushed += _arguments(code)
-    walks = [_walk(v) for text in data for v in _decoded(text)]
-    calls = [_walk(v) for text in pushed for v in _decoded(text)]
-    lists = [found for walk in walks + calls for found in walk[0]]
-    # A list can be inside one pushed string or go on over several of them.
-    pieces = [text for walk in calls for text in walk[1]]
-    for text in [*pieces, "".join(pieces)]:
-        for place in _LIST_IN_TEXT.finditer(text):
-            for value in _decoded(text, place.end()):
-                lists += _walk({LIST_NAME: value})[0][:1] if isinstance(value, (dict, list)) else []
-    if not lists:
-        return None
-    texts = (json.dumps(entry, sort_keys=True, ensure_ascii=False) for found in lists for entry in found)
-    return [text.encode("utf-8", "replace").decode("utf-8") for text in texts]
-
-
-_FOUND = pa.struct([("entries", pa.list_(pa.string())), ("too_deep", pa.bool_())])
-
-
-@arrow_udf(
-    T.StructType([T.StructField("entries", T.ArrayType(T.StringType())), T.StructField("too_deep", T.BooleanType())])
-)
-def embedded_entries(scripts: pa.Array) -> pa.Array:
-    """Entries of all lists as canonical JSON, NULL when there was no list; a page that nests too deep is marked."""
-    rows = []
-    for page in scripts.to_pylist():
-        try:
-            rows.append({"entries": entries_of_page(page or ""), "too_deep": False})
-        except TooDeep:
-            rows.append({"entries": None, "too_deep": True})
-    return pa.array(rows, _FOUND)
-
-
-embedded_entries = embedded_entries.asNondeterministic()
