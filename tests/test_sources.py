@@ -194,6 +194,23 @@ def test_cards(spark):
     ]
 
 
+def test_feeds_in_declared_encodings(spark):
+    def feed(encoding, title, tail=b""):
+        item = f"<item><title>{title}</title><link>https://docs.example.com/x</link><pubDate>5 Mar 2026 16:30:59 UT</pubDate>"
+        head = f'<?xml version="1.0" encoding="{encoding}"?><rss><channel>{item}'
+        return head.encode(encoding) + tail + "</item></channel></rss>".encode(encoding)
+
+    cases = {"windows-1252": "“q” – €", "CP1252": "œuvre", "iso-8859-15": "€ Š", "ISO-8859-1": "ä", "koi8-r": "Новость",
+             "windows-1251": "Весть", "iso-8859-7": "νέα", "utf-16": "日本", "utf-8": "日本"}
+    pages = [(f"S{i}", feed(name, title)) for i, (name, title) in enumerate(cases.items())]
+    pages.append(("gap", feed("windows-1252", "x", b"<a>\x81</a>")))
+    pages.append(("odd", feed("utf-8", "x").replace(b"utf-8", b"x-no-such")))
+    sources = source_table(spark, *(source(name, "https://docs.example.com/rss", "rss", hosts=("docs.example.com",)) for name, _ in pages))
+    rows = {r["source"]: r for r in entries(raw_docs(spark, *pages), sources, "rss").collect()}
+    assert [rows[f"S{i}"]["title"] for i in range(len(cases))] == list(cases.values())
+    assert rows["gap"]["kind"] == rows["odd"]["kind"] == "failure"
+
+
 def test_embedded_json(spark):
     settings = source("Site", "https://www.example.com/news/", "next_data_index", hosts=("example.com", "news.example.org"))
     rows = entry_list(spark, settings, PAGE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.identity import dedupe_key, issue_key
@@ -48,6 +48,37 @@ def with_page(docs: DataFrame) -> DataFrame:
     return named.join(pages, same).drop(*(f"_{k}" for k in keys))
 
 
+#: Encodings of one byte a character in which feeds may be written, besides Latin-1; their tables are Python's.
+EIGHT_BITS = (
+    *(f"iso-8859-{n}" for n in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16)),
+    *(f"windows-125{n}" for n in range(9)),
+    "koi8-r", "koi8-u",
+)
+_LATIN_1 = ("iso-8859-1", "iso_8859-1", "latin1", "latin-1", "l1", "us-ascii", "ascii")
+
+
+def xml_text(body: str) -> tuple[Column, Column]:
+    """Text of an XML document by its byte order mark or declared encoding, and whether it cannot be read so."""
+    raw = F.col(body).cast("string")
+    wide = F.hex(F.substring(body, 1, 2)).isin("FEFF", "FFFE")
+    # As Latin-1 every byte is the character of its number.
+    bytewise = F.decode(F.col(body), "ISO-8859-1")
+    start = F.substring_index(bytewise, "?>", 1)
+    named = F.lower(F.regexp_extract(start, r"(?is)^(?:\xEF\xBB\xBF)?<\?xml\s[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", 1))
+    named = F.regexp_replace(F.regexp_replace(named, "^cp(125[0-8])$", "windows-$1"), "^iso_?8859-", "iso-8859-")
+    latin = named.isin(*_LATIN_1)
+    text = F.when(wide, F.regexp_replace(F.decode(F.col(body), "UTF-16"), "^\ufeff", "")).when(latin, bytewise)
+    bad = F.when(wide | latin, F.lit(False))
+    for name in EIGHT_BITS:
+        table = [bytes([b]).decode(name, "replace") for b in range(256)]
+        other = [b for b in range(256) if table[b] not in (chr(b), "\ufffd")]
+        gaps = "".join(chr(b) for b in range(256) if table[b] == "\ufffd")
+        text = text.when(named == name, F.translate(bytewise, "".join(map(chr, other)), "".join(table[b] for b in other)))
+        bad = bad.when(named == name, F.translate(bytewise, gaps, "") != bytewise if gaps else F.lit(False))
+    text = text.otherwise(F.regexp_replace(raw, "^\ufeff", ""))
+    return text, bad.otherwise(~named.isin("", "utf-8", "utf8") | ~F.is_valid_utf8(raw))
+
+
 def admit(
     docs: DataFrame, sources: DataFrame, collector: str, max_bytes: int = MAX_RESPONSE_BYTES
 ) -> DataFrame:
@@ -66,19 +97,8 @@ def admit(
     raw = F.col("body").cast("string")
     too_big = F.octet_length("body") > max_bytes
     if collector == "rss":
-        # A byte order mark or the XML declaration, however long, names the encoding.
-        mark = F.hex(F.substring("body", 1, 2))
-        wide = mark.isin("FEFF", "FFFE")
-        start = F.substring_index(F.decode(F.col("body"), "ISO-8859-1"), "?>", 1)
-        named = F.lower(F.regexp_extract(start, r"(?is)^(?:\xEF\xBB\xBF)?<\?xml\s[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", 1))
-        latin = ~wide & named.isin("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii", "l1", "iso_8859-1", "windows-1252")
-        text = (
-            F.when(wide, F.regexp_replace(F.decode(F.col("body"), "UTF-16"), "^\ufeff", ""))
-            .when(latin, F.decode(F.col("body"), "ISO-8859-1"))
-            .otherwise(F.regexp_replace(raw, "^\ufeff", ""))
-        )
-        known = wide | latin | named.isin("", "utf-8", "utf8")
-        bad_text, message = ~known | (~latin & ~wide & ~F.is_valid_utf8(raw)), "invalid RSS XML: not well-formed"
+        text, bad_text = xml_text("body")
+        message = "invalid RSS XML: not well-formed"
     else:
         text, bad_text, message = raw, ~F.is_valid_utf8(raw), f"{name} response is not valid UTF-8"
     error = F.when(
