@@ -32,6 +32,7 @@ from tidewire.operators.messages import (
 )
 from tidewire.plans.catalog.common import DOC_ITEMS_SQL, RUN_DATE, canonical_sql, doc_items, pages, table
 from tidewire.plans.catalog.scalars import ALLOWED, ALLOWED_SQL
+from tidewire.sources.articles import NOT_ALLOWED, read_articles
 
 # Conversation turns as answers of a model, some of them bad in one way each.
 _LINES = "filter(transform(split(text, '\n'), l -> concat('要点 ', trim(l), ' ')), l -> length(l) > 4)"
@@ -136,6 +137,32 @@ SELECT page_id, sha256(article) AS article_sha256, CASE WHEN article = '' THEN '
 """
 
 
+class _Reader:
+    """Stands for a user's reader: pages that say their address, and none that end in html."""
+
+    def __call__(self, url: str) -> bytes:
+        if url.endswith(".html"):
+            raise FileNotFoundError(url)
+        return f"# Page of {url}".encode()
+
+
+def read_pages(spark, folder):
+    items = pages(spark, folder).selectExpr("url", f"{ALLOWED} AS allowed_hosts", "'article' AS content_mode")
+    return read_articles(items, _Reader).selectExpr(
+        "article_url", "string(body) AS body", "coalesce(error, '') AS error", "fetched_at IS NOT NULL AS asked"
+    )
+
+
+_READ_SQL = f"""
+WITH p AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+l AS (SELECT url, CASE WHEN starts_with(url, 'https://') AND {ALLOWED_SQL.format(h='host')} THEN regexp_replace(url, '#.*$', '') END AS link FROM p),
+k AS (SELECT min(link) AS link FROM l WHERE link IS NOT NULL GROUP BY {canonical_sql('link')})
+SELECT link AS article_url, CASE WHEN NOT ends_with(link, '.html') THEN '# Page of ' || link END AS body,
+  CASE WHEN ends_with(link, '.html') THEN 'FileNotFoundError: ' || link ELSE '' END AS error, true AS asked FROM k
+UNION ALL SELECT DISTINCT url, NULL, '{NOT_ALLOWED}', false FROM l WHERE link IS NULL
+"""
+
+
 class _Client:
     """Stands for a user's model client: answers users, fails for system turns, and is closed with its task."""
 
@@ -237,6 +264,7 @@ _FAILURE_SQL = (
 )
 
 QUERIES = {
+    "read_articles_x2": read_pages,
     "checked_summary_p19": answers,
     "applied_summary_p20": applied,
     "cache_lookup_j8_k3": cached,
@@ -249,6 +277,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "read_articles_x2": _READ_SQL,
     "checked_summary_p19": f"""
         WITH {_ANSWER_SQL} SELECT conv_id, turn, CASE WHEN error IS NULL THEN title END AS title,
           CASE WHEN error IS NULL THEN array_to_string(list_transform(lines, lambda l: '• ' || trim(l)), e'\\n') END AS content,

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.plans.catalog.common import HOST_SQL, canonical_sql, pages, table, text_table
-from tidewire.sources.landing import PAGE_POSITIONS, admit, with_page
-from tidewire.sources.registry import collect, distinct_entries, entries
+from tidewire.sources.landing import PAGE_POSITIONS, admit, entry_rows, with_page
+from tidewire.sources.registry import REGISTRY, collect, distinct_entries, entries, register
 from tidewire.sources.scans import markdown_links
 
 #: More entries than any of the documents has.
@@ -344,7 +344,33 @@ _REGISTRY_SQL = " UNION ALL ".join(
     for collector, (_, sql) in _BUILDERS.items()
 )
 
+def _text_entries(docs):
+    """An extractor of a user's own: a page is one entry."""
+    rows = docs.withColumn("pos", F.lit(1))
+    return entry_rows(
+        rows, error="if(source_error IS NULL AND trim(text) = '', 'empty page', NULL)", issue_title="''", issue_url="page_url",
+        item_id="sha2(text, 256)", title="substring(text, 1, 80)", content="text", url="page_url", dedupe_key="sha2(text, 256)",
+    )
+
+
+def own_extractor(spark, folder):
+    """Documents as pages of a kind that is registered here."""
+    rows = table(spark, folder, "documents")
+    register("whole_text", _text_entries, "Text")
+    try:
+        found = collect(_docs(rows, "doc_id", "text"), _settings(rows, "whole_text", 1), ["whole_text"], max_bytes=20_000)
+    finally:
+        REGISTRY.pop("whole_text")
+    return found.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("content").alias("texts"))
+
+
+_OWN_SQL = """
+SELECT source, CASE WHEN strlen(text) > 20000 THEN 'failure' WHEN trim(text, ' ') = '' THEN 'issue' ELSE 'item' END AS kind,
+  count(*) AS rows, count(DISTINCT CASE WHEN strlen(text) <= 20000 THEN text END) AS texts FROM documents GROUP BY ALL
+"""
+
 QUERIES = {
+    "own_extractor_x1": own_extractor,
     "landing_gates_s1_s2": gates,
     "source_pages_s1_r1": source_pages,
     "rss_items_s3": feeds,
@@ -357,6 +383,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "own_extractor_x1": _OWN_SQL,
     "landing_gates_s1_s2": """
         WITH d AS (SELECT *, strlen(text) + CASE WHEN lang = 'es' THEN 1 ELSE 0 END AS bytes FROM documents)
         SELECT cast(doc_id AS VARCHAR) AS run_id, source,

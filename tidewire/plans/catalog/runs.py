@@ -201,6 +201,17 @@ UNION ALL SELECT 'summary', NULL, 'second', (SELECT count(*) FROM sent) || ',' |
 """
 
 
+def run_day(spark, folder):
+    """A run at the time of the newest event: its day in Beijing, and the events of that day."""
+    events = table(spark, folder, "events")
+    newest = events.agg(F.max("ts")).first()[0]
+    settings = Settings.now(lambda: newest.replace(tzinfo=datetime.UTC))
+    of_day = F.to_date(F.expr("ts + INTERVAL 8 HOURS")) == F.lit(settings.run_date)
+    return events.where(of_day).groupBy("event_type").agg(F.count(F.lit(1)).alias("events")).select(
+        F.lit(settings.run_date.isoformat()).alias("run_date"), "event_type", "events"
+    )
+
+
 # -- streams ---------------------------------------------------------------
 
 
@@ -231,6 +242,7 @@ def streamed_first_texts(spark, folder):
 
 
 QUERIES = {
+    "run_date_p25_x5": run_day,
     "run_dispositions_r1": dispositions,
     "run_summary_a1_k7": run_summary,
     "run_alerts_r5_j10": run_alerts,
@@ -242,6 +254,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "run_date_p25_x5": """
+        WITH e AS (SELECT *, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM events)
+        SELECT strftime(day, '%Y-%m-%d') AS run_date, event_type, count(*) AS events FROM e
+        WHERE day = (SELECT CAST(max(ts) + INTERVAL 8 HOUR AS DATE) FROM events) GROUP BY ALL""",
     "run_dispositions_r1": f"WITH {_RUN_SQL} SELECT source, pos, dedupe_key, disposition FROM judged",
     "run_summary_a1_k7": f"""
         WITH {_RUN_SQL} SELECT 0::BIGINT AS sent, (SELECT count(*) FROM first_events) AS failed,

@@ -53,6 +53,7 @@ from tidewire.plans.outbox import Outbox
 from tidewire.plans.state import Attempt, StateStore, log_rows, new_baseline, new_deliveries
 from tidewire.schemas import STATE
 from tidewire.session import counted, written
+from tidewire.sources.articles import Reader, read_articles
 from tidewire.sources.landing import MAX_RESPONSE_BYTES
 from tidewire.sources.registry import Collected, collect, split_entries
 
@@ -77,6 +78,15 @@ class Settings:
     #: Articles that are summarised and kept together; a part that fails does not cost the others.
     summary_rows: int = 10_000
 
+    @classmethod
+    def now(cls, clock: Callable[[], datetime.datetime] = lambda: datetime.datetime.now(datetime.UTC), **settings) -> Settings:
+        """Settings of a run of today, in Beijing; the clock is read once."""
+        at = clock()
+        zone = datetime.timezone(datetime.timedelta(hours=8))
+        if at.tzinfo is None:
+            raise ValueError("the clock must know its time zone")
+        return cls(run_date=at.astimezone(zone).date(), **settings)
+
 
 class State(NamedTuple):
     delivered: DataFrame
@@ -215,10 +225,11 @@ def prepare(
     summarizer: Callable[[], Summarizer],
     articles: DataFrame | None = None,
     keep: Callable[[DataFrame], object] = lambda rows: None,
+    reader: Callable[[], Reader] | None = None,
 ) -> Prepared:
     """Summaries and messages of the candidates; every failure stays in its row.
 
-    Missing summaries are asked for in parts.  ``keep`` gets the new cache rows of a part as soon as it is done; a
+    Articles are landed rows, or read now with a ``reader``.  Missing summaries are asked for in parts.  ``keep`` gets the new cache rows of a part as soon as it is done; a
     part whose job fails is left out, the others go on, and its problem is raised in the end.
     """
     chosen = decision.dispositions.where(F.col("disposition") == "candidate").select(
@@ -231,7 +242,12 @@ def prepare(
     # Written once: the costly part below works on the misses only.
     looked_up, counts = counted(looked_up, "candidates", missing=F.count(F.when(F.col(TITLE).isNull(), 1)))
     parts = max(1, min(_MOST_PARTS, -(-counts["missing"] // settings.summary_rows)))
-    misses = with_article(looked_up.where(F.col(TITLE).isNull()).drop(TITLE, BULLETS), articles, settings.max_article_bytes)
+    missing = looked_up.where(F.col(TITLE).isNull()).drop(TITLE, BULLETS)
+    if reader is not None:
+        read = written(read_articles(missing, reader, max_bytes=settings.max_article_bytes), "articles")
+        read = read.where(F.col("body").isNotNull()).drop("error")
+        articles = read if articles is None else read.unionByName(articles, allowMissingColumns=True)
+    misses = with_article(missing, articles, settings.max_article_bytes)
     misses = written(
         misses.withColumn("_part", F.pmod(F.xxhash64("source", "dedupe_key"), F.lit(parts)).cast("int")), "misses", ("_part",)
     )
@@ -321,6 +337,7 @@ def execute(
     summarizer: Callable[[], Summarizer],
     *,
     articles: DataFrame | None = None,
+    reader: Callable[[], Reader] | None = None,
     collected: Collected | None = None,
     send: Sink = send_all,
     send_alerts: Sink = send_all,
@@ -357,7 +374,7 @@ def execute(
 
     prepared = prepare(
         decision, collected.items, sources, store.table("summary_cache", runs), settings, summarizer, articles,
-        *(() if preview else (keep,)),
+        **({} if preview else {"keep": keep}), reader=reader,
     )
     messages = written(prepared.messages, f"{run_id}-messages")
     ready = messages.where(F.col("failed_stage").isNull())
