@@ -32,9 +32,15 @@ def first_window(
 def first_window_by_setting(
     df: DataFrame, keys: Sequence[str] = ("source",), order: Sequence[str] = ("pos",)
 ) -> DataFrame:
-    """Per-source limit from the column ``window_size``; no other bound applies."""
+    """Per-source limit from the column ``window_size``.
+
+    The largest limit is a bound for all groups, by which Spark drops rows before the shuffle; so a source with most
+    of the rows is not sorted as a whole.
+    """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= F.col("window_size")).drop("_rank")
+    most = df.agg(F.max("window_size")).first()[0] or 0
+    ranked = df.withColumn("_rank", rank).where(F.col("_rank") <= F.lit(most))
+    return ranked.where(F.col("_rank") <= F.col("window_size")).drop("_rank")
 
 
 def first_in_source(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:

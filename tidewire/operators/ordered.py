@@ -87,31 +87,50 @@ def inferred_years(
     without either the year stays NULL.  Rows are valid dates; rows without a month
     do not count.
     """
-    # A year boundary seen before any year is known changes nothing.
-    known = carry_forward(df, keys, order, segment, {"_previous": F.col(month), "_known": F.col(year)})
-    rolled = F.when(
-        F.col(year).isNull() & (F.col("_previous") <= 2) & (F.col(month) >= 10), F.lit(1)
-    ).otherwise(F.lit(0))
-    base = F.col(start) if start else F.lit(None).cast("int")
-    counted = running_total(
-        known,
-        keys,
-        order,
-        segment,
-        "_passed",
-        F.when(F.col("_known").isNotNull() | base.isNotNull(), rolled).otherwise(F.lit(0)),
+    # Rows meet inside their segment once; what a segment does to the years behind it is one small row: how many
+    # years pass in it, its last month, its last known year, and whether its first month may be a boundary.
+    inside = Window.partitionBy(*keys, segment).orderBy(order)
+    above, so_far = inside.rowsBetween(*BEFORE), inside.rowsBetween(*UP_TO)
+    falls = F.col(year).isNull() & (F.col(month) >= 10)
+    rows = (
+        df.withColumn("_above", F.last(month, ignorenulls=True).over(above))
+        .withColumn("_fresh", F.col("_above").isNull() & F.col(month).isNotNull())
+        .withColumn("_passed", F.sum((falls & (F.col("_above") <= 2)).cast("int")).over(so_far))
+        # From the first month of the segment on, a boundary between the segments counts as well.
+        .withColumn("_begun", F.max(F.col("_fresh").cast("int")).over(so_far))
+        .withColumn("_state", F.struct(F.col(year).alias("y"), F.coalesce("_passed", F.lit(0)).alias("p"), F.col("_begun").alias("b")))
+        .withColumn("_anchor", F.last(F.when(F.col(year).isNotNull(), F.col("_state")), ignorenulls=True).over(so_far))
     )
-    anchored = carry_forward(
-        counted,
-        keys,
-        order,
-        segment,
-        {"_anchor": F.when(F.col(year).isNotNull(), F.struct(F.col(year).alias("y"), F.col("_passed").alias("p")))},
-        include_row=True,
+    across = Window.partitionBy(*keys).orderBy(segment).rowsBetween(*BEFORE)
+    carried = (
+        rows.groupBy(*keys, segment)
+        .agg(
+            F.coalesce(F.max("_passed"), F.lit(0)).alias("_years"),
+            F.max_by(month, F.when(F.col(month).isNotNull(), F.col(order))).alias("_month"),
+            F.max_by("_anchor", order).alias("_known"),
+            F.bool_or(F.col("_fresh") & falls).alias("_open"),
+        )
+        .withColumn("_edge", (F.col("_open") & (F.last("_month", ignorenulls=True).over(across) <= 2)).cast("int"))
+        .withColumn("_edge", F.coalesce("_edge", F.lit(0)))
+        .withColumn("_before", F.coalesce(F.sum(F.col("_years") + F.col("_edge")).over(across), F.lit(0)))
+        .withColumn(
+            "_since",
+            F.last(
+                F.when(
+                    F.col("_known").isNotNull(),
+                    F.struct(F.col("_known.y").alias("y"), (F.col("_before") + F.col("_known.p") + F.col("_known.b") * F.col("_edge")).alias("p")),
+                ),
+                ignorenulls=True,
+            ).over(across),
+        )
+        .select(*keys, segment, "_edge", "_before", "_since")
     )
-    inferred = F.when(
-        F.col("_anchor").isNotNull(), F.col("_anchor.y") - (F.col("_passed") - F.col("_anchor.p"))
-    ).otherwise(base - F.col("_passed"))
-    return anchored.withColumn("inferred_year", inferred.cast("int")).drop(
-        "_previous", "_known", "_passed", "_anchor"
+    base = F.col(start) if start else F.lit(None).cast("int")
+    passed = F.col("_state.p") + F.col("_begun") * F.col("_edge")
+    inferred = F.coalesce(
+        F.col("_anchor.y") - (passed - F.col("_anchor.p") - F.col("_anchor.b") * F.col("_edge")),
+        F.col("_since.y") - (F.col("_before") + passed - F.col("_since.p")),
+        base - F.col("_before") - passed,
     )
+    # Rows stay where they are; only the small side is dealt to them.
+    return rows.join(carried, [*keys, segment], "left").select(*df.columns, inferred.cast("int").alias("inferred_year"))

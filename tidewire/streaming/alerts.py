@@ -40,13 +40,15 @@ def alert_stream(
             F.max_by(F.struct(*names), order).alias("last")
         ).select(*keys, "last.*").select(*stream.columns)
         since = max(number - 1, 0) // snapshot_every * snapshot_every
-        known = latest(state.before(session, number, since).drop("batch"))
-        touched = known.join(rows.select(*keys), list(keys), "left_semi").select(*stream.columns)
+        past = state.before(session, number, since).drop("batch")
+        # Only the keys of this micro-batch are brought up to date.
+        asked = rows.select(*keys).distinct()
+        touched = latest(past.join(asked, list(keys), "left_semi").select(*stream.columns))
         merged = rows.withColumn("_known", F.lit(False)).unionByName(touched.withColumn("_known", F.lit(True)))
         raised = alert_once(merged, keys, order, segment, failed, recovered).where(~F.col("_known"))
         alerts.write(raised, number)
         whole = number % snapshot_every == 0
-        state.write(latest(rows.unionByName(known) if whole else rows), number)
+        state.write(latest(rows.unionByName(past) if whole else rows), number)
 
     run_available(stream, f"{folder}/checkpoint", step)
     return alerts.all(spark)
