@@ -43,7 +43,7 @@ def _lower() -> np.ndarray:
 LOWER = _lower()
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows (from, to) with their bytes and the bytes' bounds by row; a null is an empty text."""
     if not len(texts):
         return
@@ -53,15 +53,15 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     begin = 0
     while begin < len(array):
-        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + SLICE_BYTES, "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + size, "right")) - 1)
         end = min(end, len(array))
         yield begin, end, data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin]
         begin = end
 
 
-def words(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Words:
+def words(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray, lower_case: bool = True) -> Words:
     """Words of the texts of a slice in order, in lower case for A to Z; ``inside`` flags the bytes of words."""
-    lower = LOWER[data]
+    lower = LOWER[data] if lower_case else data
     word = inside[lower]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[bounds] = True

@@ -18,7 +18,6 @@ Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -27,10 +26,13 @@ from operator import not_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm import byte_words
 from tidewire.session import written
 
 CAPACITY = 4096
@@ -39,8 +41,8 @@ END_ID = 1
 GROUP_ROWS = 4096
 #: Rounds of exchange at most; later ones would only save bins.
 ROUNDS = 16
-#: Words and runs whose ids a worker keeps at hand, and characters that it handles at once.
-CACHED_WORDS, CACHED_RUNS, BATCH_CHARS = 1_000_000, 1_600_000, 4_000_000
+#: Words and runs whose ids a worker keeps at hand.
+CACHED_WORDS, CACHED_RUNS = 4_000_000, 1_600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
 _PLACED = f"{PIECES.replace('doc_id long', 'doc_id string')}, _bin long, _fill long, _offset long, _bins long, _bound long"
@@ -66,7 +68,9 @@ class WordIds:
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self._of_run: dict[str, bytes] = {}
-        self._of_word: dict[str, bytes] = {"": b""}
+        # Known words, and their ids one after the other with the place where those of each word begin.
+        self._words = pa.array([], pa.large_binary())
+        self._flat, self._first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _encoded(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -82,11 +86,13 @@ class WordIds:
                 self._of_run[run] = raw[start:stop]
             at += 500
 
-    def _learn(self, words: set[str]) -> None:
+    def _learnt(self, words: list[str]) -> list[bytes]:
+        """Ids of new words."""
+        of_word: dict[str, bytes] = {}
         whole = [w for w in words if len(w) > 256 or not (w.isascii() or max(w) < "\u0250") or "<|" in w]
         for word in whole:
-            self._of_word[word] = self._encoded(word)
-        latin = list(words.difference(whole) if whole else words)
+            of_word[word] = self._encoded(word)
+        latin = [w for w in words if w not in of_word] if whole else words
         low = list(map(str.lower, latin))
         plain = list(map(str.isalpha, low))
         other = list(map(not_, plain))
@@ -100,26 +106,49 @@ class WordIds:
             fresh = list(runs)
         self._learn_runs(fresh)
         known = self._of_run.__getitem__
-        self._of_word.update(zip(compress(latin, plain), map(known, single), strict=True))
+        of_word.update(zip(compress(latin, plain), map(known, single), strict=True))
         joined = (b"".join(map(known, found)) for found in parts)
-        self._of_word.update(zip(compress(latin, other), joined, strict=True))
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [_SEPARATORS.sub(" ", text).split(" ") if text else [] for text in texts]
-        words: set[str] = set()
-        for found in split:
-            words.update(found)
-        missing = words.difference(self._of_word)
-        if missing:
-            if len(self._of_word) + len(missing) > CACHED_WORDS:
-                self._of_word = {"": b""}
-                missing = words
-            self._learn(missing.difference([""]))
-        known = self._of_word.__getitem__
-        return [b"".join(map(known, found)) for found in split]
-
-
-_SEPARATORS = re.compile(r"[\n\t\r]")
+        of_word.update(zip(compress(latin, other), joined, strict=True))
+        return list(map(of_word.__getitem__, words))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words among the known ones; new words become known."""
+        places = pc.index_in(words, value_set=self._words)
+        missing = places.is_null()
+        new = words.filter(missing)
+        if not len(new):
+            return places.to_numpy(zero_copy_only=False)
+        if len(self._words) + len(new) > CACHED_WORDS and len(self._words):
+            self._words, self._flat, self._first = self._words[:0], self._flat[:0], self._first[:1]
+            return self._places(words)
+        found = self._learnt(new.cast(pa.large_string()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
+        self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(found), "<u4")])
+        out = places.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[missing.to_numpy(zero_copy_only=False)] = len(self._words) + np.arange(len(new))
+        self._words = pa.concat_arrays([self._words, new])
+        return out
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; each distinct word of a slice of texts is looked up once."""
+        for begin, end, data, bounds in byte_words.slices(texts, _SLICE_BYTES):
+            found = byte_words.words(data, bounds, _WORD_BYTES, lower_case=False)
+            coded = found.array.dictionary_encode()
+            places = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            first = self._first[places]
+            sizes = self._first[places + 1] - first
+            after = np.concatenate([[0], np.cumsum(sizes)])
+            raw = self._flat[np.arange(after[-1]) + np.repeat(first - after[:-1], sizes)]
+            bounds = after[np.searchsorted(found.row, np.arange(end - begin + 1))].tolist()
+            for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+                yield raw[start:stop].tobytes()
+
+
+#: Texts whose words are looked up together.
+_SLICE_BYTES = 12 << 20
+#: Words end at these bytes; other white space stays in them and is left to the tokenizer.
+_WORD_BYTES = ~byte_words.byte_class((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x20))
 #: Tokenizer file -> what this worker has learnt; workers are used for many tasks.
 _LEARNT: dict[str, WordIds] = {}
 
@@ -142,34 +171,27 @@ def token_pieces(
     """Pieces of every document: place, length and checksum, with ``ids`` if ``keep_ids``."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(tokenizer)
         row = TaskContext.get().partitionId() << 40
-        for batch in (part for whole in batches for part in _bounded(whole)):
+        for batch in batches:
             rows = []
-            for doc, raw in zip(batch["doc_id"], known.ids(batch["text"].tolist()), strict=True):
+            for doc, raw in zip(batch.column(0).to_pylist(), known.ids(batch.column(1)), strict=True):
                 ids = raw + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     values = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), row)
                     rows.append((*values, np.frombuffer(part, "<u4").astype("i4")) if keep_ids else values)
                     row += 1
-            yield pd.DataFrame(rows, columns=_names(keep_ids))
+            kinds = [pa.string(), pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int32())] * keep_ids]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(keep_ids))
 
-    # Ids pass through Python as text: as numbers, nulls would turn them into floats.
-    chosen = docs.select(F.col(id_column).cast("string").alias("doc_id"), F.col(text_column).alias("text"))
-    cut_up = chosen.mapInPandas(cut, PIECES.replace("doc_id long", "doc_id string") + (", ids array<int>" if keep_ids else ""))
+    chosen = docs.select(F.col(id_column).cast("string").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
+    cut_up = chosen.mapInArrow(cut, PIECES.replace("doc_id long", "doc_id string") + (", ids array<int>" if keep_ids else ""))
     return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _bounded(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Slices of a batch with about ``BATCH_CHARS`` characters of text, one document at least."""
-    if len(batch):
-        slices = batch["text"].str.len().fillna(0).cumsum().to_numpy() // BATCH_CHARS
-        for start, stop in zip(starts := np.flatnonzero(np.diff(slices, prepend=-1)), [*starts[1:], len(batch)], strict=True):
-            yield batch.iloc[start:stop]
-
-
 def _names(keep_ids: bool) -> list[str]:
     return [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids
 
