@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -70,6 +71,76 @@ def test_weight_is_text_outside_of_links():
     assert [size for _, size, _, _ in html_text.lines(page)] == [len("five six"), 0]
 
 
+def test_unclosed_head_and_camel_case_marks():
+    assert html_text.main_text("<html><head><title>x</title><body><article><p>Hello</article>") == "Hello"
+    assert html_text.main_text("<html><head><meta charset=utf-8><title>x</title><p>Hello") == "Hello"
+    assert html_text.main_text("<head><title>x</title></head><title>y</title>plain") == "plain"
+    for mark in ("commentSection", "usercomments", "user-comment", "sideBar", "pageFooter"):
+        assert html_text.main_text(f"<div class='{mark}'><p>{LONG}</p></div><p>Text. {LONG}</p>") == f"Text. {LONG}"
+
+
+def test_teasers_do_not_bound_the_search():
+    paragraphs = [f"{i} {LONG}" for i in range(10)]
+    teaser = "<article><p>Read more about it.</p></article>"
+    page = "<div>" + "".join(f"<p>{x}</p>" for x in paragraphs) + f"</div>{teaser}"
+    assert html_text.main_text(page) == "\n\n".join([*paragraphs, "Read more about it."])
+    # An article that weighs most bounds the search: lines beside it are no part of the text.
+    page = f"<p>Beside it.</p><article><p>{LONG}</p><p><a>All linked</a></p><p>x</p></article><p>Beside it.</p>"
+    assert html_text.main_text(page) == f"{LONG}\n\nAll linked\n\nx"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 200_000, "<div>" * 90_000 + "</b>" * 120_000, "<b>" * 100_000 + "<p></p>" * 100_000, "<b><div>" + "<i>" * 150_000 + "</b>" * 120_000],
+)
+def test_deep_markup_takes_linear_time(page):
+    start = time.process_time()
+    assert html_text.main_text(page + f"<p>{LONG}") == LONG
+    assert time.process_time() - start < 10
+
+
+def _plain_text(parts):
+    """Main text by the rule itself: lines between dives around every window whose sum is a surge."""
+    inside = sum(len(text) for text, _, article in parts if article)
+    outside = sum(len(text) for text, linked, article in parts if not article and not linked)
+    shown = [p for p in parts if p[2]] if inside and inside >= outside else parts
+    weight = [0 if linked and not article else len(text) for text, linked, article in shown]
+
+    def total(i):
+        return sum(weight[j] for j in range(i, min(i + html_text.WINDOW, len(shown))) if all(shown[k][2] == shown[i][2] for k in range(i, j + 1)))
+
+    totals = [total(i) for i in range(len(shown))]
+    limit = min(html_text.SURGE, html_text.SHARE * max(totals, default=0))
+    kept = []
+    for i in range(len(shown)):
+        low = high = i
+        while low > 0 and totals[low - 1] and shown[low - 1][2] == shown[i][2]:
+            low -= 1
+        while high + 1 < len(shown) and totals[high + 1] and shown[high + 1][2] == shown[i][2]:
+            high += 1
+        if totals[i] and any(totals[j] > (0 if shown[i][2] else limit) for j in range(low, high + 1)):
+            kept.append(shown[i][0])
+    return "\n\n".join(kept)
+
+
+def test_random_pages_against_the_rule():
+    random_ = random.Random(7)
+    for _ in range(400):
+        parts, page = [], ""
+        for _ in range(random_.randint(1, 6)):
+            article = random_.random() < 0.4
+            rows = []
+            for _ in range(random_.randint(1, 7)):
+                text, linked = "w" * random_.choice((1, 4, 30, 400, 3000)), random_.random() < 0.5
+                rows.append((text, linked, article))
+            inner = "".join(f"<p><a href=x>{t}</a></p>" if linked else f"<p>{t}</p>" for t, linked, _ in rows)
+            page += f"<article>{inner}</article>" if article else f"<div>{inner}</div>"
+            parts += rows
+            if random_.random() < 0.3:
+                page += f"<aside><p>{LONG}</p></aside>"
+        assert html_text.main_text(page) == _plain_text(parts)
+
+
 def test_extract(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "t"), (None, None, None, "t"), (1, "u", f"<article><p>{LONG}</p></article>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -1,13 +1,16 @@
 """Main text of web pages by the distribution of text over lines.
 
 A page is cut into lines at block elements.  Lines of page furniture (by element, role or the words of class and id)
-are left out.  If the page names an article or main element, all lines inside of it are the text.  Otherwise each
-line weighs the length of its text outside of links, and weights are summed over a sliding window of lines.
-Between two dives, where the sum falls to zero, all lines are kept if the sum rises above a limit there, the
-surge.  The limit is a share of the largest sum, at most ``SURGE`` characters, so short pages have a surge too.
+are left out.  Each line weighs the length of its text outside of links, inside of an article or main element
+the length of all its text; weights are summed over a sliding window of lines.  Between two dives, where the sum falls
+to zero or an article begins or ends, all lines are kept if the sum rises above a limit there, the surge.  The limit is
+a share of the largest sum, at most ``SURGE`` characters, so short pages have a surge too; inside of an article any
+text is a surge.  If articles weigh as much as all other lines, they bound the search; an article that weighs less (a
+teaser) does not.
 
 Defined results: a null, empty or textless page gives the empty text; broken and unclosed markup is read as browsers
-do in simple cases (an unclosed paragraph ends at the next block, unclosed furniture at the end of its parent);
+do in simple cases (an unclosed paragraph ends at the next block, unclosed furniture at the end of its parent, an
+unclosed head at the first element or text that cannot be in it); time grows in proportion to the page, however deep;
 repeated rows are read alike; an empty table gives an empty table.  Runs of white space in a block become one
 space; blocks are joined by an empty line.
 """
@@ -16,7 +19,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,16 +39,21 @@ _BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr"
     " ul video audio".split()
 )
+#: Elements that may stand in a head.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end closes blocks inside of them.
+_CLOSING = _BLOCKS | _SILENT
 #: Words in class, id or role that mark furniture.
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adslot|banner|promo|promoted|sponsor|sponsored|cookie|cookies"
     r"|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|sidebar|side|aside|nav|navbar|navigation|menu|menus"
-    r"|breadcrumb|breadcrumbs|pagination|pager|header|masthead|topbar|footer|bottombar|comment|comments|commentlist|respond"
+    r"|breadcrumb|breadcrumbs|pagination|pager|header|masthead|topbar|footer|bottombar|(?:user|reader)?comments?|commentlist|respond"
     r"|replies|discussion|disqus|related|recommended|recommendations|share|sharing|social|newsletter|subscribe|signup|login"
     r"|search|form|widget|toolbar|skip|copyright|legal|contentinfo|complementary|search)(?:\d*)(?=$|[\s_-])",
     re.I,
 )
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
@@ -86,26 +97,64 @@ def _marked(attrs: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attrs):
         value = next(filter(None, values), "")
         name = name.lower()
-        if name in ("class", "id", "role") and _MARKS.search(value):
+        if name in ("class", "id", "role") and _MARKS.search(_CAMEL.sub("-", value)):
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
     return False
 
 
+class _Open:
+    """Open elements of a page, each with what holds for the text inside of it."""
+
+    def __init__(self) -> None:
+        self._stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, place of the nearest block
+        self._places: dict[str, list[int]] = defaultdict(list)
+
+    @property
+    def name(self) -> str:
+        return self._stack[-1][0] if self._stack else ""
+
+    @property
+    def block(self) -> str:
+        """The nearest open block."""
+        place = self._stack[-1][3] if self._stack else -1
+        return self._stack[place][0] if place >= 0 else ""
+
+    @property
+    def state(self) -> tuple[bool, bool]:
+        return self._stack[-1][1:3] if self._stack else (False, False)
+
+    def push(self, name: str, furniture: bool, article: bool) -> None:
+        place = len(self._stack) if name in _BLOCKS or not self._stack else self._stack[-1][3]
+        self._places[name].append(len(self._stack))
+        self._stack.append((name, furniture, article, place))
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of a name with all inside of it; an inline one does not close blocks."""
+        place = self._places[name][-1] if self._places[name] else -1
+        if place < 0 or name not in _CLOSING and place < self._stack[-1][3]:
+            return
+        for held, *_ in self._stack[place:]:
+            self._places[held].pop()
+        del self._stack[place:]
+
+
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """Lines of a page in order."""
     out = _Lines()
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture from here on, article from here on
-    furniture = article = False
+    open_ = _Open()
     links = 0
     at = 0
     while at < len(page):
         match = _TOKEN.search(page, at)
+        between = page[at : match.start()] if match else page[at:]
+        if open_.name == "head" and not between.isspace() and between:
+            open_.close("head")
+            out.end(True, False)
+        out.text(between, links > 0)
         if match is None:
-            out.text(page[at:], links > 0)
             break
-        out.text(page[at : match.start()], links > 0)
         at = match.end()
         if match["cdata"] is not None:
             out.text(match["cdata"], links > 0)
@@ -115,14 +164,13 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if match["close"]:
             if name == "a":
                 links = max(0, links - 1)
-            held = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in _BLOCKS or held is not None:
-                if name in _BLOCKS:
-                    out.end(furniture, article)
-                if held is not None:
-                    del stack[held:]
-                    furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            if name in _BLOCKS:
+                out.end(*open_.state)
+            open_.close(name)
             continue
+        if open_.name == "head" and name not in _HEAD:
+            out.end(*open_.state)
+            open_.close("head")
         if name in _RAW_END and not attrs.endswith("/"):
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
@@ -130,50 +178,53 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if name == "br":
             out.text(" ", False)
         if name in _BLOCKS:
-            out.end(furniture, article)
+            out.end(*open_.state)
             links = 0
         if name in _VOID or attrs.endswith("/"):
             continue
         if name in _FAMILY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _FAMILY[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCKS:
-                    break
-        elif name in _BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
-        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        inside_article = article or name in ("article", "main")
+            if open_.block in _FAMILY[name]:
+                open_.close(open_.block)
+        elif name in _BLOCKS and open_.name == "p":
+            open_.close("p")
+        furniture, article = open_.state
         own = name in _SILENT or _marked(attrs) and name not in ("html", "body", "article", "main")
         # A heading group at the top of an article belongs to it.
         own = own or name in _FURNITURE and not (name == "header" and article and not furniture)
-        furniture, article = furniture or own, inside_article
         if name == "a":
             links += 1
-        stack.append((name, furniture, article))
-    out.end(furniture, article)
+        open_.push(name, furniture or own, article or name in ("article", "main"))
+    out.end(*open_.state)
     return out.rows
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    rows = [(text, size, article) for text, size, furniture, article in lines(page or "") if not furniture]
-    if any(article for _, _, article in rows):  # linked words inside of an article are its text
-        return "\n\n".join(text for text, _, article in rows if article)
-    weights = [size for _, size, _ in rows]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    limit = min(SURGE, SHARE * max(sums, default=0))
-    kept, start, surge = [], 0, False
-    for i, total in enumerate([*sums, 0]):
-        surge = surge or total > limit
-        if total == 0:  # dive
-            if surge:
-                kept.extend(text for text, _, _ in rows[start:i])
-            start, surge = i + 1, False
+    rows = [(text, len(text) if article else size, article) for text, size, furniture, article in lines(page or "") if not furniture]
+    inside = sum(weight for _, weight, article in rows if article)
+    if inside and inside >= sum(weight for _, weight, article in rows if not article):
+        rows = [row for row in rows if row[2]]
+    runs = [list(run) for _, run in groupby(rows, key=itemgetter(2))]
+    sums = [window_sums([weight for _, weight, _ in run]) for run in runs]
+    largest = max(chain.from_iterable(sums), default=0)
+    kept: list[str] = []
+    for run, totals in zip(runs, sums, strict=True):
+        limit = 0 if run[0][2] else min(SURGE, SHARE * largest)
+        start, surge = 0, False
+        for i, total in enumerate([*totals, 0]):
+            surge = surge or total > limit
+            if total == 0:  # dive
+                if surge:
+                    kept.extend(text for text, _, _ in run[start:i])
+                start, surge = i + 1, False
     return "\n\n".join(kept)
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """Sums of the weights of each line and the lines after it in its window."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` with ``text``, the main text, and ``n_chars``."""
 
