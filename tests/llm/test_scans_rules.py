@@ -1,11 +1,13 @@
 """Secret scans and quality rules against plain Python."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import quality_rules, secret_scan
+from tidewire.llm import quality_rules, secret_scan, trigram_query
 
 NAMES = ("password", "passwd", "secret", "token", "api_?key")
 EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in NAMES)
@@ -53,13 +55,79 @@ def test_added_spans(texts):
     assert all(row.text[s.start : s.end].strip() for s in row.secret_spans)
 
 
-def test_queries_hold_for_every_match():
-    samples = {"assign": "my ApiKey: abc", "access": "AKIA0", "private_key": "-----BEGIN PRIVATE KEY-----", "bearer": "Bearer  " + "a" * 20}
+def satisfied(query, text):
+    return not query or any(all(t in text.lower() for t in part) for part in query)
+
+
+def test_queries_of_the_rules():
+    query = {rule.kind: set(rule.query()) for rule in secret_scan.RULES}
+    assert query["hex"] == set()
+    assert query["access"] == {frozenset({"aki", "kia"})}
+    assert frozenset({"tok", "oke", "ken"}) in query["assign"] and len(query["assign"]) == 6
+    assert query["jwt"] == {frozenset({"eyj", ".ey"})}
+    assert {"---", "vat", "key", "y--"} <= set.union(*map(set, query["private_key"])) and len(query["private_key"]) == 1
+    assert query["hub_token"] == {frozenset({f"gh{c}", f"h{c}_"}) for c in "pousr"}
+    assert query["url_login"] == {frozenset({"://"})}
     for rule in secret_scan.RULES:
-        if rule.kind in samples and rule.query():
-            text = samples[rule.kind].lower()
-            assert any(all(t in text for t in part) for part in rule.query())
-    assert not next(r for r in secret_scan.RULES if r.kind == "hex").query()
+        for text in filter(None, TEXTS):
+            for m in re.finditer(rule.pattern.replace(r"\z", r"\Z"), text):
+                assert satisfied(rule.query(), m[0])
+
+
+def random_pattern(random_, depth=0):
+    """A pattern and a function that draws one of its matches."""
+    kind = random_.choice("lllccarrsso" if depth < 4 else "llc")
+    if kind == "l":
+        word = "".join(random_.choices("abcXY_", k=random_.randint(1, 5)))
+        return word, lambda: word
+    if kind == "c":
+        chars = "".join(random_.sample("abcdXYZ_0123456789", random_.randint(1, 12)))
+        return f"[{chars}]", lambda: random_.choice(chars)
+    if kind == "a":
+        return random_.choice([(r"\b|", lambda: ""), (".", lambda: random_.choice("abX!")), ("[^x]", lambda: random_.choice("ab!Z"))])
+    parts = [random_pattern(random_, depth + 1) for _ in range(random_.randint(1, 4))]
+    if kind == "s":
+        return "".join(f"(?:{p})" for p, _ in parts), lambda: "".join(draw() for _, draw in parts)
+    if kind == "o":
+        return "|".join(p for p, _ in parts), lambda: random_.choice(parts)[1]()
+    least = random_.randint(0, 5)
+    most = random_.choice([least, least + 1, least + 3])
+    p, draw = parts[0]
+    return f"(?:{p}){{{least},{most}}}", lambda: "".join(draw() for _ in range(random_.randint(least, most)))
+
+
+def test_queries_of_random_patterns_lose_no_match():
+    random_ = random.Random(3)
+    demanding = 0
+    for _ in range(400):
+        pattern, draw = random_pattern(random_)
+        query = trigram_query.derived(pattern)
+        demanding += bool(query)
+        for _ in range(20):
+            text = draw()
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert satisfied(query, f"x{text}y"), (pattern, text, query)
+    assert demanding > 60
+    assert trigram_query.derived("abc|bcd") == (frozenset({"abc"}), frozenset({"bcd"}))
+    assert trigram_query.derived("ab[cd]+e") == (frozenset({"abc"}), frozenset({"abd"}))
+    assert trigram_query.derived("a.c") == trigram_query.derived("abc|x") == trigram_query.derived("(?:abc)*") == ()
+
+
+def test_prose_between_key_lines_stays(spark):
+    head, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    prose = "is the line that a key begins with and these are ordinary words without any stops " * 16
+    docs = spark.createDataFrame([(1, f"{head} {prose} {end}"), (2, f"{head}\nabc+/=\n{end}")], "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert masked == {1: f"[REDACTED] {prose} {end}", 2: "[REDACTED]"}
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "0123456789abcdef0 " * 100_000 + "token=short " * 100_000 + "a1b2c3 " * 200_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    spans = secret_scan.scan(docs).first().secret_spans
+    assert time.monotonic() - start < 60
+    assert [(s.start, s.end) for s in spans] == [(18 * i, 18 * i + 17) for i in range(100_000)]
 
 
 def test_redaction_leaves_no_span(texts):

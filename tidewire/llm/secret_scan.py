@@ -1,8 +1,8 @@
 """Secret scans by a trigram index.
 
 Every rule is a pattern with a Boolean query over trigrams (runs of three characters after lower-casing)
-that any match must satisfy: a disjunction of conjunctions, derived from the literal parts of the
-pattern.  An inverted index holds, for each trigram that some query names, the ids of the documents
+that any match must satisfy: a disjunction of conjunctions, derived from the pattern
+(``trigram_query``).  An inverted index holds, for each trigram that some query names, the ids of the documents
 that contain it.  Postings of the trigrams are intersected per document; only documents that satisfy a
 rule's query are searched with its pattern.  A rule without a mandatory trigram searches every document.
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.tables import text_of
+from tidewire.llm.trigram_query import derived
 from tidewire.session import written
 
 
@@ -31,24 +32,17 @@ class Rule:
     """A kind of secret.
 
     ``pattern`` is searched leftmost first without overlaps; matches whose group ``group`` is shorter than
-    ``least`` are dropped afterwards.  ``literals`` are alternatives of literal parts, in lower case, that
-    every match contains: ``(("api", "key"), ("token",))`` means api and key, or token.
+    ``least`` are dropped afterwards.
     """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    literals: tuple[tuple[str, ...], ...] = ()
 
     def query(self) -> tuple[frozenset[str], ...]:
-        """Disjunction of sets of trigrams; empty if some alternative has no trigram: then all texts are searched."""
-        parts = tuple(frozenset(itertools.chain(*map(trigrams, words))) for words in self.literals)
-        return parts if all(parts) else ()
-
-
-def trigrams(literal: str) -> list[str]:
-    return [literal[i : i + 3] for i in range(len(literal) - 2)]
+        """Disjunction of sets of trigrams; empty if the pattern demands none: then all texts are searched."""
+        return derived(self.pattern)
 
 
 def _either_case(word: str) -> str:
@@ -57,35 +51,32 @@ def _either_case(word: str) -> str:
 
 _NAMES = "password passwd secret token".split()
 _NAME = "|".join([*map(_either_case, _NAMES), f"{_either_case('api')}_?{_either_case('key')}"])
-#: The base rules, in the order of their names in results.
+#: The base rules, in the order of their names in results.  A run of hexadecimal digits, or of an access id, is matched
+#: whole, so its least length may stand in the pattern; a failing assignment takes part of the text and must be found.
 BASE = (
-    Rule(
-        "assign",
-        rf"""({_NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
-        12,
-        (*((n,) for n in _NAMES), ("api", "key")),
-    ),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 18, (("akia",),)),
-    Rule("hex", "[0-9a-f]+", 0, 16),
+    Rule("assign", rf"""({_NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    Rule("access", "AKIA[A-Z0-9]{14,}"),
+    Rule("hex", "[0-9a-f]{16,}"),
 )
+_BEGIN, _END = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"
 _GAP, _BASE64 = r"[\x09-\x0D\x20\\]", "[A-Za-z0-9+/=]"
-#: A header with all up to its END line; without one (a key that was cut), with the lines of base64 that follow.  Loops
-#: without bounds are over single characters, so that long texts do not recurse; five dashes are never passed over.
+_BODY = r"[A-Za-z0-9+/=\x09-\x0D\x20\\]"
+_HEADERS = rf"(?:{_GAP}*(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]*){{0,2}}{_GAP}*"
+#: A header with its body and END line; without an END line (a key that was cut), with the lines of base64 that follow.
+#: A body of more than one line begins with 24 characters of base64, so prose between two such lines is none.  Loops
+#: without bounds are over single characters, so that long texts do not recurse.
 _PRIVATE_KEY = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|(?:{_GAP}*(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]*){{0,2}}{_GAP}*{_BASE64}{{24}}{_BASE64}*"
-    rf"(?:[A-Za-z0-9+/=\x09-\x0D\x20\\]*{_BASE64}{{16}})?(?:{_GAP}+{_BASE64}*\z)?)?"
+    rf"{_BEGIN}(?:{_HEADERS}{_BASE64}{{24}}{_BODY}*{_END}|{_GAP}*{_BASE64}*{_GAP}*{_END}"
+    rf"|{_HEADERS}{_BASE64}{{24}}{_BASE64}*(?:{_BODY}*{_BASE64}{{16}})?(?:{_GAP}+{_BASE64}*\z)?)?"
 )
 #: Rules that add spans of other kinds.
 ADDED = (
-    Rule("private_key", _PRIVATE_KEY, literals=(("-----begin ", "private key-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", literals=(("eyj", ".eyj"),)),
-    Rule("hub_token", "gh[pousr]_[A-Za-z0-9]{36,}", literals=tuple((f"gh{c}_",) for c in "pousr")),
-    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", literals=tuple((f"xox{c}-",) for c in "abprs")),
-    Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{20,}", literals=(("bearer",),)),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@", literals=(("://",),)),
+    Rule("private_key", _PRIVATE_KEY),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("hub_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{20,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@"),
 )
 RULES = BASE + ADDED
 
@@ -161,8 +152,8 @@ def _matches(rule: Rule, text: str) -> Column:
     else:
         kept = lambda x: F.length(x) >= rule.least
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    if not rule.query() and rule.least > 1 and not rule.group:
-        search = F.exists(found, kept)
+    if not rule.query():
+        search = F.size(found) > 0
     return F.when(
         search,
         F.struct(
@@ -177,8 +168,8 @@ def _matches(rule: Rule, text: str) -> Column:
 
 RULE_RANK = {rule.kind: i for i, rule in enumerate(RULES)}
 
-#: Stages over the rules that matched: lengths of each match with the gap before it, their sums by blocks of 64 (so
-#: that very many matches stay cheap), the end of each match, and the spans that are kept.
+#: Stages over the rules that matched: lengths of each match with the gap before it, their sums by blocks of 64, what
+#: lies before each block (summed once, so that very many matches stay cheap), the end of each match, the spans kept.
 _STAGES = (
     "transform(_hits, e -> struct(e.rank AS rank, e.kind AS kind, e.kept AS kept,"
     " transform(e.found, x -> length(x)) AS lengths,"
@@ -188,8 +179,11 @@ _STAGES = (
     "transform(_hits, e -> struct(e.rank AS rank, e.kind AS kind, e.kept AS kept, e.lengths AS lengths, e.blocks AS blocks,"
     " transform(e.blocks, x -> aggregate(x, 0L, (n, y) -> n + y)) AS sums))",
     "transform(_hits, e -> struct(e.rank AS rank, e.kind AS kind, e.kept AS kept, e.lengths AS lengths,"
-    " flatten(transform(e.blocks, (x, b) -> transform(x, (y, j) -> aggregate(slice(e.sums, 1, b), 0L, (n, z) -> n + z)"
-    " + aggregate(slice(x, 1, j + 1), 0L, (n, z) -> n + z)))) AS ends))",
+    " e.blocks AS blocks, aggregate(e.sums, struct(0L AS total, cast(array() AS array<bigint>) AS firsts), (n, x) ->"
+    " struct(n.total + x AS total, concat(n.firsts, array(n.total)) AS firsts)).firsts AS firsts))",
+    "transform(_hits, e -> struct(e.rank AS rank, e.kind AS kind, e.kept AS kept, e.lengths AS lengths,"
+    " flatten(transform(e.blocks, (x, b) -> transform(x, (y, j) ->"
+    " e.firsts[b] + aggregate(slice(x, 1, j + 1), 0L, (n, z) -> n + z)))) AS ends))",
     "sort_array(flatten(transform(_hits, e -> filter(zip_with(e.ends, sequence(0, size(e.ends) - 1), (x, i) ->"
     " if(e.kept[i], struct(x - e.lengths[i] AS start, e.rank AS rank, x AS `end`, e.kind AS kind), null)),"
     " x -> x IS NOT NULL))))",
