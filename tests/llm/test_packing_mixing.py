@@ -184,3 +184,23 @@ def test_reruns_agree(docs):
         return Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(docs.repartition(parts)).collect())
 
     assert run(2) == run(7)
+
+
+def test_equal_ids_stand_in_the_order_of_their_texts(spark):
+    rows = [(1, f"w{i} x y", "a") for i in range(9)] + [(i, "w " * 20, "b") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def run(parts):
+        return Counter(tuple(r) for r in mixing.emitted(docs.repartition(parts)).collect())
+
+    assert run(1) == run(3) == run(8)
+
+
+def test_one_offset_per_source(spark):
+    """The chance of a document is its rate: over many sources each is taken as often as expected."""
+    rows = [(10 * s + i, "w " * (i + 1), f"s{s:03}") for s in range(120) for i in range(6)] + [(9999, "w " * 4000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    over = Counter()
+    for r in mixing.mix(docs).where(F.col("source") != "t").collect():
+        over[r.size] += r.copies - r.target / r.source_size
+    assert all(abs(over[size] / 120) < 0.2 for size in range(1, 7))

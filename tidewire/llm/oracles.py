@@ -20,22 +20,12 @@ m AS (SELECT max(CASE WHEN level * weight <= 3 * source_size THEN level END) AS
 t AS (SELECT source, source_size, least(m.level * weight, cast(3 * source_size AS DOUBLE)) AS target FROM l, m),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size * 1000000000000) AS HUGEINT) ELSE 0 END AS rate FROM t),
 z AS (SELECT source, size, count(*) AS m FROM d GROUP BY source, size),
-o AS (SELECT z.*, coalesce(sum(m) OVER up, 0) AS before_1, coalesce(sum(m) OVER mixed, 0) AS before_0 FROM z
-  WINDOW up AS (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-    mixed AS (PARTITION BY source ORDER BY md5('mix-1:' || cast(size AS VARCHAR)), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-n AS (SELECT o.*, draw, rate, target,
-    cast('0x' || substr(md5('mix-1:' || coalesce(o.source, '') || ':' || cast(draw AS VARCHAR)), 1, 12) AS BIGINT) % 1000000000000 AS start,
-    CASE WHEN draw % 2 = 1 THEN cast(before_0 AS HUGEINT) ELSE cast(before_1 AS HUGEINT) END AS x0
-  FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source, range(1, 65) r(draw)),
-e AS (SELECT source, draw, start, target,
-    sum(size * (((x0 + m) * rate + start) // 1000000000000 - (x0 * rate + start) // 1000000000000)) AS got
-  FROM n GROUP BY source, draw, start, target),
-b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(cast(got AS DOUBLE) - target), draw) = 1),
+o AS (SELECT z.*, coalesce(sum(m) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    cast('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 12) AS BIGINT) % 1000000000000 AS start FROM z),
 k AS (SELECT d.*, row_number() OVER (PARTITION BY d.source, d.size ORDER BY bucket, doc_id NULLS FIRST) AS i FROM d),
-p AS (SELECT k.doc_id, k.size, g.source_size, g.target, g.rate, b.start,
-    cast(CASE WHEN b.draw % 2 = 1 THEN o.before_0 ELSE o.before_1 END + k.i AS HUGEINT) AS x
+p AS (SELECT k.doc_id, k.size, g.source_size, g.target, g.rate, o.start, cast(o.before + k.i AS HUGEINT) AS x
   FROM k JOIN o ON o.source IS NOT DISTINCT FROM k.source AND o.size = k.size
-  JOIN g ON g.source IS NOT DISTINCT FROM k.source JOIN b ON b.source IS NOT DISTINCT FROM k.source)
+  JOIN g ON g.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size, source_size, target,
   cast(size * ((x * rate + start) // 1000000000000 - ((x - 1) * rate + start) // 1000000000000) AS BIGINT) AS taken FROM p
 """
