@@ -63,6 +63,41 @@ def test_ties_go_to_smaller_ids(spark, vectors):
     assert [r.vec_id for r in found] == [1000, 1001, 1002, 1003, 1004]
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e-310])
+def test_huge_and_tiny_numbers(spark, vectors, scale):
+    rows = [(i, v) for i, v, _ in vectors if i is not None and i < 600]
+    scaled = [(i, [x * scale for x in v]) for i, v in rows]
+    schema = "vec_id long, embedding array<double>"
+
+    def run(table):
+        found = ann.neighbours(spark.createDataFrame(table, schema), F.col("vec_id") % 50 == 0).collect()
+        return {(r.query_id, r["rank"]): (r.vec_id, pytest.approx(r.score, abs=1e-2 if scale == 1e-310 else 1e-12)) for r in found}
+
+    expected, got = run(rows), run(scaled)
+    assert len(got) == 60 and got.keys() == expected.keys()
+    if scale != 1e-310:  # components there have a few digits only
+        assert [got[k][0] for k in got] == [expected[k][0] for k in got]
+
+
+def test_many_lengths_and_blocks(spark, vectors, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "ASKED", 7)
+    rows = [(10_000 + 10 * d + i, [float((i * j) % 7 + 1) for j in range(d)]) for d in range(1, 81) for i in range(7)]
+    rows += [(i, v) for i, v, _ in vectors if i is not None and v and len(v) == 16]
+    rows += [(20_000 + i, [2.0, 1.0] * 8) for i in range(400)]  # queries that are one vector
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = (F.col("vec_id") % 50 == 0) | (F.col("vec_id") >= 20_000)
+    found = defaultdict(list)
+    for r in ann.neighbours(table, asked).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    for i in range(400):
+        least = [20_000 + j for j in range(6) if j != i][:5]
+        assert [v for _, v in sorted(found[20_000 + i])] == least
+    by_id = dict(rows)
+    for q in (10_050, 10_100, 10_800):
+        assert [n for n, _ in sorted(found[q])] == list(range(1, 1 + len(nearest(rows, (q, by_id[q])))))
+
+
 def test_no_vectors(spark):
     assert ann.neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
 

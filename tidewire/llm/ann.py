@@ -6,9 +6,11 @@ rotated coordinates (multiprobe); candidates are ranked by their exact cosine.
 is fitted: the least that finds ``RECALL`` of the exact neighbours of a bounded sample of queries in a
 bounded sample of vectors (``SAMPLE_QUERIES`` and ``SAMPLE_VECTORS``); every vector is indexed.
 
-Equal vectors are indexed once, with as many of their ids as a result can need, so a vector that is very
-common fills no bucket.  Buckets are dealt to blocks of bounded size by hash; the queries of a bucket visit each
-of its blocks, and each visit returns the best candidates only.
+Equal vectors are indexed once, with as many of their ids as a result can need, and searched once for all their
+queries, so a vector that is very common fills no bucket.  Members and queries of a bucket are dealt to blocks of
+bounded size by hash; each block of queries visits each block of members, and each visit returns the best candidates only.
+Vectors are scaled by powers of two before they are multiplied, so that no square overflows or vanishes; cosines
+do not change by it.
 
 Defined results: vectors that are null, empty, zero or hold a null or a number that is not finite take no part,
 neither as queries nor as candidates; vectors of different lengths are not compared (cosine is defined within
@@ -31,8 +33,8 @@ TABLES = 8
 SEED = 20240229
 RECALL = 0.96
 SAMPLE_QUERIES, SAMPLE_VECTORS = 256, 20_000
-#: Vectors in a block of a bucket, about.
-BLOCK = 4096
+#: Vectors, and queries, in a block of a bucket, about.
+BLOCK, ASKED = 4096, 16_384
 #: Scores this close are ranked by their exact values.
 MARGIN = 1e-9
 
@@ -78,7 +80,9 @@ def _usable(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def _stacked(values: pd.Series) -> np.ndarray:
-    return np.array(values.tolist(), dtype=np.float64)
+    """Vectors of one length as rows, each scaled by the power of two of its largest component."""
+    out = np.array(values.tolist(), dtype=np.float64)
+    return np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, keepdims=True))[1])
 
 
 def fitted_probes(vectors: np.ndarray, k: int, recall: float = RECALL) -> int:
@@ -117,38 +121,81 @@ def neighbours(
     few = salted.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
     distinct = few.groupBy("vector").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     distinct = written(distinct.withColumn("hash", F.xxhash64("vector")), "vectors")
-    asked = written(usable.where(queries).withColumnRenamed("vec_id", "query_id"), "queries")
+    asked = usable.where(queries).withColumnRenamed("vec_id", "query_id")
+    # The least id stands for all queries of one vector.
+    leaders = written(asked.groupBy("vector").agg(F.min("query_id").alias("leader")), "queries")
+    best = _searched(distinct, leaders, k + 1, _probes(distinct, k, recall))
+    members = asked.join(leaders, "vector").select("query_id", "leader")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (
+        members.join(best, "leader")
+        .where(F.col("vec_id") != F.col("query_id"))
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _probes(distinct: DataFrame, k: int, recall: float) -> DataFrame:
+    """(length, probes), fitted for every length of vectors on its sample."""
+    by_length = distinct.withColumn("length", F.size("vector"))
+    held = by_length.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    # A share of the hashes that holds the sample and some more, so that only a bounded part is ordered.
+    place = F.pmod("hash", F.lit(1 << 31)) / F.lit(float(1 << 31))
+    first = Window.partitionBy("length").orderBy("hash")
+    sample = (
+        by_length.join(held, "length")
+        .where(place * F.col("n") < 1.25 * SAMPLE_VECTORS)
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") <= SAMPLE_VECTORS)
+        .select("length", "vector")
+    )
 
-    sizes = [r["d"] for r in distinct.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count")).limit(64).collect()]
-    probes = {}
-    for d in sizes:
-        sample = distinct.where(F.size("vector") == d).orderBy("hash").limit(SAMPLE_VECTORS).select("vector").collect()
-        probes[d] = fitted_probes(np.array([r["vector"] for r in sample]), k, recall)
-    return _searched(distinct, asked, k, probes)
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"length": [key[0]], "probes": [fitted_probes(_stacked(group["vector"]), k, recall)]})
 
+    return written(sample.groupBy("length").applyInPandas(fit, "length int, probes int"), "probes")
 
-def _searched(distinct: DataFrame, asked: DataFrame, k: int, probes: dict[int, int]) -> DataFrame:
-    def homes(batches: Iterator[pd.DataFrame], many: bool) -> Iterator[pd.DataFrame]:
+
+def _searched(distinct: DataFrame, asked: DataFrame, k: int, fitted: DataFrame) -> DataFrame:
+    """(leader, vec_id, score): the ``k`` best candidates of each query vector, itself included."""
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            length = batch["vector"].map(len)
-            for d, part in batch.groupby(length):
+            for (d, wanted), part in batch.groupby([batch["vector"].map(len), "probes"]):
                 vectors = _stacked(part["vector"])
-                wanted = probes.get(d, 1 << 30) if many else 1
                 for table in range(TABLES):
                     found = buckets(vectors, table, wanted)
                     rows = np.repeat(np.arange(len(part)), found.shape[1])
-                    out = part.iloc[rows].assign(length=d, table=table, bucket=found.ravel())
-                    yield out
+                    out = part.drop(columns="probes").iloc[rows]
+                    yield out.assign(length=d, table=table, bucket=found.ravel())
 
     key = "length int, table int, bucket int"
-    indexed = distinct.mapInPandas(lambda b: homes(b, False), f"vector array<double>, ids array<long>, hash long, {key}")
-    probed = asked.mapInPandas(lambda b: homes(b, True), f"query_id long, vector array<double>, {key}")
     bucket = ["length", "table", "bucket"]
-    held = indexed.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = written(held, "buckets")
-    placed = indexed.join(held, bucket).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
-    again = held.select(*(F.col(c).alias(c) for c in held.columns))
-    visits = probed.join(again, bucket).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fitted = fitted.withColumnRenamed("length", "_length")
+    indexed = distinct.withColumn("probes", F.lit(1)).mapInPandas(homes, f"vector array<double>, ids array<long>, hash long, {key}")
+    probing = asked.join(fitted, F.size("vector") == F.col("_length")).select("vector", "leader", "probes")
+    probed = probing.mapInPandas(homes, f"vector array<double>, leader long, {key}")
+    # Per bucket the numbers of member blocks and query blocks; a bucket without either has no visit.
+    members = indexed.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    queries = probed.groupBy(*bucket).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns"))
+    held = written(members.join(queries, bucket), "buckets")
+    parts = [*bucket, "block", "turn"]
+
+    def dealt(rows: DataFrame, mine: str, mine_by: str, count: str, other: str, others: str) -> DataFrame:
+        """Each row in its own block, once for each block of the other side."""
+        known = held.select(*(F.col(c).alias(c) for c in held.columns))
+        return rows.join(known, bucket).withColumns(
+            {
+                mine: F.pmod(F.xxhash64(mine_by), F.col(count)).cast("int"),
+                other: F.explode(F.sequence(F.lit(0), F.col(others) - 1)),
+            }
+        )
+
+    placed = dealt(indexed, "block", "hash", "blocks", "turn", "turns")
+    visits = dealt(probed, "turn", "leader", "turns", "block", "blocks")
 
     def visit(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
@@ -160,33 +207,24 @@ def _searched(distinct: DataFrame, asked: DataFrame, k: int, probes: dict[int, i
                 part = queries.iloc[at : at + 512]
                 own = _stacked(part["vector"])
                 scores = (own / np.linalg.norm(own, axis=1, keepdims=True)) @ unit.T
-                # The query's own vector may be among them, so one more than k.
-                cut = min(k + 1, len(unit))
+                cut = min(k, len(unit))
                 least = -np.partition(-scores, cut - 1, axis=1)[:, cut - 1]
                 row, column = np.nonzero(scores >= least[:, None] - MARGIN)
                 exact = cosines(own[row], vectors[column])
                 found.append(
                     pd.DataFrame(
-                        {"query_id": part["query_id"].to_numpy()[row], "ids": [ids[c] for c in column], "score": exact}
+                        {"leader": part["leader"].to_numpy()[row], "ids": [ids[c] for c in column], "score": exact}
                     )
                 )
         if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"leader": [], "vec_id": [], "score": []}).astype({"leader": "int64", "vec_id": "int64"})
         out = pd.concat(found).explode("ids").rename(columns={"ids": "vec_id"})
-        out = out[out["vec_id"] != out["query_id"]].astype({"vec_id": "int64"})
-        out = out.sort_values(["score", "vec_id"], ascending=[False, True])
-        return out.groupby("query_id").head(k)[["query_id", "vec_id", "score"]]
+        out = out.astype({"vec_id": "int64"}).sort_values(["score", "vec_id"], ascending=[False, True])
+        return out.groupby("leader").head(k)[["leader", "vec_id", "score"]]
 
-    parts = [*bucket, "block"]
     best = (
-        placed.groupBy(*parts)
-        .cogroup(visits.groupBy(*parts))
-        .applyInPandas(visit, "query_id long, vec_id long, score double")
-    )
-    ranked = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        ranked.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        placed.groupBy(*parts).cogroup(visits.groupBy(*parts)).applyInPandas(visit, "leader long, vec_id long, score double")
     )
+    ranked = best.groupBy("leader", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("leader").orderBy(F.desc("score"), "vec_id")
+    return ranked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
