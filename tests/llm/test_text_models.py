@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,39 +196,169 @@ def test_lm_scores(spark):
 
 
 def test_lm_probabilities_sum_to_one():
-    """After any beginning, the probabilities of all known tokens and an unknown one of each cell are 1 at most."""
+    """After any beginning of a text, the probabilities of all cells sum to one."""
     random_ = np.random.default_rng(4)
-    hashes = random_.integers(0, 2**64, 400, dtype=np.uint64)
-    counts = random_.integers(1, 50, 400)
-    cell = (hashes >> np.uint64(64 - lm_scoring.CODE_BITS)).astype(int)
-    size = np.ones(lm_scoring.CELLS)
-    np.add.at(size, cell, counts + 1)
-    tables = (random_.integers(0, 9, lm_scoring._TABLE).astype("f4"), random_.integers(1, 90, lm_scoring._ROOT).astype("f4"))
-    weights, chart = lm_scoring._start()
-    start = random_.integers(0, 400, 63)
-
-    def path(token_hash):
-        known = np.append(hashes, token_hash)
-        tokens = np.append(start, 400)
-        before = lm_scoring._Decisions(start, np.array([63]), hashes)
-        whole = lm_scoring._Decisions(tokens, np.array([64]), known)
-        a, b = (lm_scoring.mixed(d, tables, weights, chart, False)[0][0] for d in (before, whole))
-        return b - a
-
-    by_cell = [path(np.uint64(c) << np.uint64(64 - lm_scoring.CODE_BITS)) for c in range(lm_scoring.CELLS)]
-    # No earlier token is followed by these, so the cells share all that the match leaves.
-    total = sum(10**p for p in by_cell)
-    match = 1 - total
-    assert -1e-5 < match < 1
+    tables = [lm_scoring.prefix_totals(random_.integers(0, most, lm_scoring.CELLS)) for most in (90, 9, 2)]
+    weights, chart, _ = lm_scoring._start()
+    start = random_.integers(0, lm_scoring.CELLS, 190)
+
+    def score(cells):
+        zeros = np.zeros(len(cells), dtype=np.int64)
+        totals = [t[cells] for t in tables[1:]]
+        return lm_scoring.mixed(cells, zeros, np.arange(len(cells)) // 64, totals, tables[0], zeros > 0, weights, chart)[0][0]
+
+    before = score(start)
+    total = sum(10 ** (score(np.append(start, cell)) - before) for cell in range(lm_scoring.CELLS))
+    assert abs(total - 1) < 1e-4
+
+
+def lm_blocks(spark, rows):
+    """Coded blocks, and the same with counts and totals, made in plain calls; with bits of the hash."""
+    docs = spark.createDataFrame(rows, "doc_id string, held boolean, text string")
+    blocks = docs.repartition(3).mapInPandas(lm_scoring._coded, lm_scoring._BLOCK).toPandas()
+    sent = pd.concat(lm_scoring._sent([blocks], 40, 4))
+    totals = pd.concat(lm_scoring._totals(group) for _, group in sent.groupby(["kind", "part"]))
+    seen = Counter()
+    for row in blocks.itertuples():
+        for h, n in zip(row.h1, row.n, strict=True):
+            seen[h] += n
+    prepared = []
+    for i, row in enumerate(blocks.itertuples()):
+        own = totals[totals["block"] == row.block].assign(idx=-1, c=0)
+        words = pd.DataFrame({"part": -1, "idx": range(len(row.h1)), "c": [seen[h] for h in row.h1]})
+        prepared.append(lm_scoring._joined(blocks.iloc[i : i + 1].drop(columns=["h2", "n"]), pd.concat([own, words])))
+    return blocks, pd.concat(prepared), seen
+
+
+def test_lm_counts_of_contexts(spark):
+    """Totals of every pair and prefix against counting, over several blocks."""
+    rows = [(str(i), i % 5 == 0, text) for i, (_, text) in enumerate(lm_rows()[:80])]
+    blocks, prepared, _ = lm_blocks(spark, rows)
+    opened = [lm_scoring._Block(row, 40) for row in prepared.itertuples()]
+    for kind, column in enumerate(("near", "far")):
+        counts = Counter()
+        for block in opened:
+            for pair, doc in zip(block.pairs[kind].tolist(), block.doc[block.coded], strict=True):
+                if not block.held[doc]:
+                    counts.update((bit, pair >> bit) for bit in range(7))
+        for block, packed in zip(opened, prepared[column], strict=True):
+            parts = np.stack([np.concatenate([lm_scoring._unpacked(x) for x in packed[i::7]]) for i in range(7)], axis=1)
+            expected = [[counts[bit, pair >> bit] for bit in range(7)] for pair in np.unique(block.pairs[kind]).tolist()]
+            assert np.cumsum(parts, axis=1).tolist() == expected
+
+
+def plain_cells(cells, totals, root, own, places, weights, chart):
+    """Log10 probability of the cells of one text, decision by decision; learning after every chunk."""
+    weights, chart = weights.astype(float).tolist(), chart.astype(float).tolist()
+    text, score = Counter(), 0.0
+    for chunk in sorted(set(places)):
+        gradient, came, later = defaultdict(float), defaultdict(list), []
+        for i in (i for i, c in enumerate(places) if c == chunk):
+            for place in range(6):
+                prefix = 1 << place | cells[i] >> (6 - place)
+                bit = cells[i] >> (5 - place) & 1
+                p, x, times = None, [], 0
+                for table, lean in ((root[cells[i]], None), (totals[0][i], 2), (totals[1][i], 2)):
+                    right, times = max(table[place + 1] - own, 0), max(table[place] - own, 0)
+                    p = (right + 0.4) / (times + 0.8) if lean is None else min(max((right + lean * p) / (times + lean), 1e-6), 1 - 1e-6)
+                    base = p if lean is None else base
+                    x.append(math.log(p / (1 - p)))
+                hits, misses = text[prefix, bit], text[prefix, 1 - bit]
+                local = min(max((hits + 4 * base) / (hits + misses + 4), 1e-6), 1 - 1e-6)
+                x.append(math.log(local / (1 - local)))
+                gate = place * 4 + (times > 0) + (times > 2) + (times > 15)
+                logit = min(max(sum(w * v for w, v in zip(weights[gate], x, strict=True)), -12), 12)
+                q = 1 / (1 + math.exp(-logit))
+                bucket = min(int(abs(logit) * 1.5), 15)
+                favoured = logit > 0 or (logit == 0 and bit == 1)
+                refined = chart[place][bucket] if favoured else 1 - chart[place][bucket]
+                score += math.log10(min(max((q + refined) / 2, 1e-6), 1 - 1e-6))
+                for k, v in enumerate(x):
+                    gradient[gate, k] += (1 - q) * v
+                came[place, bucket].append(favoured)
+                later.append((prefix, bit))
+        for (gate, k), v in gradient.items():
+            weights[gate][k] += min(max(0.004 * v, -0.2), 0.2)
+        for (place, bucket), seen in came.items():
+            mean = sum(seen) / len(seen)
+            chart[place][bucket] += (1 - 0.98 ** len(seen)) * (mean - chart[place][bucket])
+        text.update(later)
+    return score
+
+
+def plain_matches(tokens, prior):
+    """Log10 probability of the match decisions of one text, and which tokens were expected."""
+    last, trust, tally, score, matched, before = {}, {}, defaultdict(lambda: [0, 0]), 0.0, [], None
+    for token in tokens:
+        hit = False
+        if before in last:
+            kind = trust[before]
+            hits, times = tally[kind]
+            p = (hits + 4 * prior[kind]) / (times + 4)
+            hit = last[before] == token
+            score += math.log10(p if hit else 1 - p)
+            tally[kind] = [hits + hit, times + 1]
+            trust[before] = 1 + hit
+        else:
+            trust[before] = 0
+        last[before], before = token, token
+        matched.append(hit)
+    return score, matched
+
+
+@pytest.mark.parametrize("leave_out", [False, True])
+def test_lm_scores_against_plain_mixing(spark, leave_out):
+    rows = [(str(i), i % 5 == 0, text) for i, (_, text) in enumerate(lm_rows()[:60])]
+    rows.append(("again", False, "again and " * 300))
+    _, prepared, seen = lm_blocks(spark, rows)
+    held_cells = np.zeros(lm_scoring.CELLS)
+    for h, n in seen.items():
+        held_cells[int(h) % 2**64 >> 58] += n
+    root, model = lm_scoring.prefix_totals(held_cells), lm_scoring._start()
+    for row in prepared.itertuples():
+        block = lm_scoring._Block(row, 40)
+        got = lm_scoring._scores(block, row, root, model, leave_out)[0] + block.match_scores(model[2])
+        tables = []
+        for kind, packed in enumerate((row.near, row.far)):
+            parts = np.stack([np.concatenate([lm_scoring._unpacked(x) for x in packed[i::7]]) for i in range(7)], axis=1)
+            tables.append(np.cumsum(parts, axis=1)[:, ::-1][np.unique(block.pairs[kind], return_inverse=True)[1]])
+        for doc in range(len(block.lengths)):
+            tokens = block.tokens[block.ends[doc] : block.ends[doc + 1]].tolist()
+            score, matched = plain_matches(tokens, model[2])
+            coded = [i for i, hit in enumerate(matched) if not hit]
+            rows_of = np.flatnonzero(block.doc[block.coded] == doc)
+            assert (block.coded[rows_of] - block.ends[doc]).tolist() == coded
+            cells = block.cell[block.coded[rows_of]].tolist()
+            own = int(leave_out and not block.held[doc])
+            score += plain_cells(cells, [t[rows_of] for t in tables], root, own, [i // 64 for i in coded], *model[:2])
+            assert got[doc] == pytest.approx(score, rel=2e-3, abs=2e-3)
 
 
 def test_lm_fits_on_all_training_tokens(spark):
-    text = F.repeat(F.lit("alpha beta gamma "), 4000)
-    docs = spark.range(30).select(F.col("id").cast("string").alias("doc_id"), F.lit(False).alias("held"), text.alias("text"))
-    tables = spark.sparkContext.broadcast(lm_scoring._tables({}))
-    blocks = docs.coalesce(1).mapInPandas(lm_scoring._coded, lm_scoring._BLOCK)
-    rows = blocks.mapInPandas(lambda batches: lm_scoring._fitted(batches, tables), "place int, total double").collect()
-    assert max(rows, key=lambda r: r.place).total == 30 * 12_001  # more than 250,000
+    _, prepared, seen = lm_blocks(spark, [(str(i), i == 7, "alpha beta gamma " * 4000) for i in range(30)])
+    cells = np.full(lm_scoring.CELLS, 1.0 + sum(seen.values()))
+    rows = pd.concat(lm_scoring._fitted([prepared], 40, cells, cells - 1))
+    assert sum(row[-1] for row in rows["sums"]) == 29 * 12_001
+
+
+def test_lm_sets_copies_apart(spark):
+    """Texts that occur twice have fewer bits than texts that occur once, learnt from or held out."""
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(pick.choices(words, k=150)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:30])), "doc_id long, text string")
+    bits = {r.doc_id: r.bits_per_byte for r in lm_scoring.scored(docs).collect()}
+    held = {i for i in bits if zlib.crc32(str(i).encode()) % 7 == 2}
+    # A copy of a held-out text alone is not in the counts.
+    copies = [i for i in [*range(30), *range(300, 330)] if (i + 300 if i < 30 else i - 300) not in held]
+    assert max(bits[i] for i in copies) < min(bits[i] for i in range(30, 300))
+
+
+def test_lm_packs_numbers_of_any_size():
+    for most in (1, 200, 70_000, 2**24 + 9, 2**40):
+        numbers = np.random.default_rng(1).integers(0, most, 50)
+        assert lm_scoring._unpacked(lm_scoring._packed(numbers)).tolist() == numbers.tolist()
+    assert len(lm_scoring._unpacked(lm_scoring._packed(np.zeros(0, dtype=int)))) == 0
 
 
 def test_lm_of_nothing(spark):
