@@ -199,80 +199,88 @@ def test_lm_probabilities_sum_to_one():
     """After any beginning of a text, the probabilities of all cells sum to one."""
     random_ = np.random.default_rng(4)
     tables = [lm_scoring.prefix_totals(random_.integers(0, most, lm_scoring.CELLS)) for most in (90, 9, 2)]
-    weights, chart, _ = lm_scoring._start()
     start = random_.integers(0, lm_scoring.CELLS, 190)
 
     def score(cells):
         zeros = np.zeros(len(cells), dtype=np.int64)
         totals = [t[cells] for t in tables[1:]]
-        return lm_scoring.mixed(cells, zeros, np.arange(len(cells)) // 64, totals, tables[0], zeros > 0, weights, chart)[0][0]
+        return [x[0] for x in lm_scoring.mixed(cells, zeros, np.arange(len(cells)) // 64, totals, tables[0], zeros > 0)]
 
     before = score(start)
-    total = sum(10 ** (score(np.append(start, cell)) - before) for cell in range(lm_scoring.CELLS))
-    assert abs(total - 1) < 1e-4
+    after = [score(np.append(start, cell)) for cell in range(lm_scoring.CELLS)]
+    for i in range(2):
+        assert abs(sum(10 ** (x[i] - before[i]) for x in after) - 1) < 1e-4
 
 
 def lm_blocks(spark, rows):
-    """Coded blocks, and the same with counts and totals, made in plain calls; with bits of the hash."""
+    """Coded blocks and what they get back, made in plain calls with 40 bits of the hash and 16 ranges."""
     docs = spark.createDataFrame(rows, "doc_id string, held boolean, text string")
     blocks = docs.repartition(3).mapInPandas(lm_scoring._coded, lm_scoring._BLOCK).toPandas()
-    sent = pd.concat(lm_scoring._sent([blocks], 40, 4))
-    totals = pd.concat(lm_scoring._totals(group) for _, group in sent.groupby(["kind", "part"]))
-    seen = Counter()
-    for row in blocks.itertuples():
-        for h, n in zip(row.h1, row.n, strict=True):
-            seen[h] += n
-    prepared = []
-    for i, row in enumerate(blocks.itertuples()):
-        own = totals[totals["block"] == row.block].assign(idx=-1, c=0)
-        words = pd.DataFrame({"part": -1, "idx": range(len(row.h1)), "c": [seen[h] for h in row.h1]})
-        prepared.append(lm_scoring._joined(blocks.iloc[i : i + 1].drop(columns=["h2", "n"]), pd.concat([own, words])))
-    return blocks, pd.concat(prepared), seen
+    sent, words = pd.concat(lm_scoring._sent([blocks], 40, 4)), pd.concat(lm_scoring._sent_words([blocks], 4))
+    totals = [lm_scoring._totals(group) for _, group in sent.groupby(["kind", "part"])]
+    totals += [lm_scoring._word_totals(group) for _, group in words.groupby("part")]
+    return blocks, pd.concat(totals).sort_values("part")
+
+
+def lm_totals(block, extra, number, kind):
+    """Rows of counts that share 0, 1, .. bits, one per distinct pair of a block."""
+    packed = [x for row in extra["totals"][(extra["kind"] == kind) & (extra["block"] == number)] for x in row]
+    parts = [np.concatenate([lm_scoring._unpacked(x) for x in packed[i::7]]) for i in range(7)]
+    return np.cumsum(np.stack(parts, axis=1), axis=1)[:, ::-1]
 
 
 def test_lm_counts_of_contexts(spark):
-    """Totals of every pair and prefix against counting, over several blocks."""
+    """Totals of every pair, prefix and word against counting, over several blocks."""
     rows = [(str(i), i % 5 == 0, text) for i, (_, text) in enumerate(lm_rows()[:80])]
-    blocks, prepared, _ = lm_blocks(spark, rows)
-    opened = [lm_scoring._Block(row, 40) for row in prepared.itertuples()]
-    for kind, column in enumerate(("near", "far")):
+    blocks, extra = lm_blocks(spark, rows)
+    opened = {row.block: lm_scoring._Block(row, 40) for row in blocks.itertuples()}
+    for kind in range(2):
         counts = Counter()
-        for block in opened:
+        for block in opened.values():
             for pair, doc in zip(block.pairs[kind].tolist(), block.doc[block.coded], strict=True):
                 if not block.held[doc]:
                     counts.update((bit, pair >> bit) for bit in range(7))
-        for block, packed in zip(opened, prepared[column], strict=True):
-            parts = np.stack([np.concatenate([lm_scoring._unpacked(x) for x in packed[i::7]]) for i in range(7)], axis=1)
-            expected = [[counts[bit, pair >> bit] for bit in range(7)] for pair in np.unique(block.pairs[kind]).tolist()]
-            assert np.cumsum(parts, axis=1).tolist() == expected
-
-
-def plain_cells(cells, totals, root, own, places, weights, chart):
-    """Log10 probability of the cells of one text, decision by decision; learning after every chunk."""
-    weights, chart = weights.astype(float).tolist(), chart.astype(float).tolist()
-    text, score = Counter(), 0.0
+        for number, block in opened.items():
+            expected = [[counts[6 - i, pair >> 6 - i] for i in range(7)] for pair in np.unique(block.pairs[kind]).tolist()]
+            assert lm_totals(block, extra, number, kind).tolist() == expected
+    tokens, types = Counter(), set()
+    for row in blocks.itertuples():
+        for h1, h2, n in zip(row.h1, row.h2, row.n, strict=True):
+            tokens[int(h1) % 2**64 >> 58] += n
+            types |= {(h1, h2)} if n else set()
+    sums = np.sum([x for x in extra["sums"] if x is not None], axis=0).tolist()
+    by_cell = Counter(int(h1) % 2**64 >> 58 for h1, _ in types)
+    assert sums == [tokens[c] for c in range(64)] + [by_cell[c] for c in range(64)]
+
+
+def plain_cells(cells, totals, root, own, places):
+    """Log10 probability of the cells of one text, decision by decision, with and without own events."""
+    weights = [list(row) for _ in range(6) for row in lm_scoring.START]
+    chart = [[1 / (1 + math.exp(-(b + 0.5) / 1.5)) for b in range(16)] for _ in range(6)]
+    text, scores = Counter(), [0.0, 0.0]
     for chunk in sorted(set(places)):
         gradient, came, later = defaultdict(float), defaultdict(list), []
         for i in (i for i, c in enumerate(places) if c == chunk):
             for place in range(6):
                 prefix = 1 << place | cells[i] >> (6 - place)
                 bit = cells[i] >> (5 - place) & 1
-                p, x, times = None, [], 0
-                for table, lean in ((root[cells[i]], None), (totals[0][i], 2), (totals[1][i], 2)):
-                    right, times = max(table[place + 1] - own, 0), max(table[place] - own, 0)
-                    p = (right + 0.4) / (times + 0.8) if lean is None else min(max((right + lean * p) / (times + lean), 1e-6), 1 - 1e-6)
-                    base = p if lean is None else base
-                    x.append(math.log(p / (1 - p)))
+                base = (root[cells[i]][place + 1] + 0.4) / (root[cells[i]][place] + 0.8)
                 hits, misses = text[prefix, bit], text[prefix, 1 - bit]
-                local = min(max((hits + 4 * base) / (hits + misses + 4), 1e-6), 1 - 1e-6)
-                x.append(math.log(local / (1 - local)))
+                times = totals[1][i][place] - own
                 gate = place * 4 + (times > 0) + (times > 2) + (times > 15)
-                logit = min(max(sum(w * v for w, v in zip(weights[gate], x, strict=True)), -12), 12)
-                q = 1 / (1 + math.exp(-logit))
-                bucket = min(int(abs(logit) * 1.5), 15)
-                favoured = logit > 0 or (logit == 0 and bit == 1)
-                refined = chart[place][bucket] if favoured else 1 - chart[place][bucket]
-                score += math.log10(min(max((q + refined) / 2, 1e-6), 1 - 1e-6))
+                for which, less in ((0, 0), (1, own)):
+                    values = [base]
+                    for table in totals:
+                        p = (table[i][place + 1] - less + 2 * values[-1]) / (table[i][place] - less + 2)
+                        values.append(min(max(p, 1e-6), 1 - 1e-6))
+                    values.append(min(max((hits + 4 * base) / (hits + misses + 4), 1e-6), 1 - 1e-6))
+                    x = [math.log(p / (1 - p)) for p in values]
+                    logit = min(max(sum(w * v for w, v in zip(weights[gate], x, strict=True)), -12), 12)
+                    q = 1 / (1 + math.exp(-logit))
+                    bucket = min(int(abs(logit) * 1.5), 15)
+                    favoured = logit > 0 or (logit == 0 and bit == 1)
+                    refined = chart[place][bucket] if favoured else 1 - chart[place][bucket]
+                    scores[which] += math.log10(min(max((q + refined) / 2, 1e-6), 1 - 1e-6))
                 for k, v in enumerate(x):
                     gradient[gate, k] += (1 - q) * v
                 came[place, bucket].append(favoured)
@@ -283,18 +291,18 @@ def plain_cells(cells, totals, root, own, places, weights, chart):
             mean = sum(seen) / len(seen)
             chart[place][bucket] += (1 - 0.98 ** len(seen)) * (mean - chart[place][bucket])
         text.update(later)
-    return score
+    return scores
 
 
-def plain_matches(tokens, prior):
-    """Log10 probability of the match decisions of one text, and which tokens were expected."""
+def plain_matches(tokens):
+    """Log10 probability of the match decisions of one text, and which tokens came as expected."""
     last, trust, tally, score, matched, before = {}, {}, defaultdict(lambda: [0, 0]), 0.0, [], None
     for token in tokens:
         hit = False
         if before in last:
             kind = trust[before]
             hits, times = tally[kind]
-            p = (hits + 4 * prior[kind]) / (times + 4)
+            p = (hits + 4 * lm_scoring.MATCH_RATES[kind]) / (times + 4)
             hit = last[before] == token
             score += math.log10(p if hit else 1 - p)
             tally[kind] = [hits + hit, times + 1]
@@ -306,39 +314,35 @@ def plain_matches(tokens, prior):
     return score, matched
 
 
-@pytest.mark.parametrize("leave_out", [False, True])
-def test_lm_scores_against_plain_mixing(spark, leave_out):
+def test_lm_scores_against_plain_mixing(spark):
     rows = [(str(i), i % 5 == 0, text) for i, (_, text) in enumerate(lm_rows()[:60])]
     rows.append(("again", False, "again and " * 300))
-    _, prepared, seen = lm_blocks(spark, rows)
-    held_cells = np.zeros(lm_scoring.CELLS)
-    for h, n in seen.items():
-        held_cells[int(h) % 2**64 >> 58] += n
-    root, model = lm_scoring.prefix_totals(held_cells), lm_scoring._start()
-    for row in prepared.itertuples():
+    blocks, extra = lm_blocks(spark, rows)
+    cells, types = np.split(np.sum([x for x in extra["sums"] if x is not None], axis=0), 2)
+    root = lm_scoring.prefix_totals(cells)
+    for i, row in enumerate(blocks.itertuples()):
+        one = blocks.iloc[i : i + 1].drop(columns=["h2", "n"])
+        got = lm_scoring._scored(one, extra[extra["block"] == row.block], 40, cells, types)
         block = lm_scoring._Block(row, 40)
-        got = lm_scoring._scores(block, row, root, model, leave_out)[0] + block.match_scores(model[2])
-        tables = []
-        for kind, packed in enumerate((row.near, row.far)):
-            parts = np.stack([np.concatenate([lm_scoring._unpacked(x) for x in packed[i::7]]) for i in range(7)], axis=1)
-            tables.append(np.cumsum(parts, axis=1)[:, ::-1][np.unique(block.pairs[kind], return_inverse=True)[1]])
+        count = {h: 0 for h in row.h1}
+        for other in blocks.itertuples():
+            count.update({h: count[h] + n for h, n in zip(other.h1, other.n, strict=True) if h in count})
+        tables = [
+            lm_totals(block, extra, row.block, kind)[np.unique(block.pairs[kind], return_inverse=True)[1]] for kind in range(2)
+        ]
         for doc in range(len(block.lengths)):
             tokens = block.tokens[block.ends[doc] : block.ends[doc + 1]].tolist()
-            score, matched = plain_matches(tokens, model[2])
+            match, matched = plain_matches(tokens)
             coded = [i for i, hit in enumerate(matched) if not hit]
             rows_of = np.flatnonzero(block.doc[block.coded] == doc)
             assert (block.coded[rows_of] - block.ends[doc]).tolist() == coded
-            cells = block.cell[block.coded[rows_of]].tolist()
-            own = int(leave_out and not block.held[doc])
-            score += plain_cells(cells, [t[rows_of] for t in tables], root, own, [i // 64 for i in coded], *model[:2])
-            assert got[doc] == pytest.approx(score, rel=2e-3, abs=2e-3)
-
-
-def test_lm_fits_on_all_training_tokens(spark):
-    _, prepared, seen = lm_blocks(spark, [(str(i), i == 7, "alpha beta gamma " * 4000) for i in range(30)])
-    cells = np.full(lm_scoring.CELLS, 1.0 + sum(seen.values()))
-    rows = pd.concat(lm_scoring._fitted([prepared], 40, cells, cells - 1))
-    assert sum(row[-1] for row in rows["sums"]) == 29 * 12_001
+            cell = block.cell[block.coded[rows_of]].tolist()
+            own = int(not block.held[doc])
+            scores = plain_cells(cell, [t[rows_of] for t in tables], root, own, [i // 64 for i in coded])
+            for name, score, less in (("score", scores[0], 0), ("left", scores[1], own)):
+                for at, c in zip(coded, cell, strict=True):
+                    score += math.log10((count[row.h1[tokens[at]]] - less + 1) / (cells[c] + types[c] + 1 - less))
+                assert got[name].iloc[doc] == pytest.approx(score + match, rel=2e-3, abs=2e-3)
 
 
 def test_lm_sets_copies_apart(spark):
