@@ -1,12 +1,14 @@
 """Packing and mixing against plain Python."""
 
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,3 +206,33 @@ def test_one_offset_per_source(spark):
     for r in mixing.mix(docs).where(F.col("source") != "t").collect():
         over[r.size] += r.copies - r.target / r.source_size
     assert all(abs(over[size] / 120) < 0.2 for size in range(1, 7))
+
+
+def test_words_learnt_in_shares(monkeypatch):
+    """Ids of words are the tokenizer's, however few words and lines it gets at once and words are kept."""
+    monkeypatch.setattr(packing, "_NEW_WORDS", 700)
+    monkeypatch.setattr(packing, "_LINES", 1)
+    pick = random.Random(5)
+    letters = "abcdefghijXYZéñßİ中"
+    ends = ["", "", ".", ",", "!", "?!", "'s", "'", ":", "7", "́", "ª,"]
+    words = ["".join(pick.choices(letters, k=pick.randint(1, 9))) + pick.choice(ends) for _ in range(4000)]
+    texts = [" ".join(pick.choices([*words, ".", "don't", "<|endoftext|>", "x" * 300 + ","], k=120)) for _ in range(150)]
+    known = packing.WordIds(PATH)
+    lines = []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.encode, self._batch = tokenizer.encode, tokenizer.encode_batch_fast
+
+        def encode_batch_fast(self, batch, **options):
+            lines.append(len(batch))
+            return self._batch(batch, **options)
+
+    plain, known._tokenizer = known._tokenizer, Counting(known._tokenizer)
+    expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    array = pa.array([t.encode() for t in [*texts, ""]] + [None], pa.binary())
+    assert list(known.ids(array)) == [*expected, b"", b""]
+    assert max(lines) == 1 and len(lines) > 3
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    assert list(known.ids(array)) == [*expected, b"", b""]
+    assert list(packing.WordIds(PATH).ids(array)) == [*expected, b"", b""]

@@ -68,23 +68,24 @@ class WordIds:
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self._of_run: dict[str, bytes] = {}
-        # Known words, and their ids one after the other with the place where those of each word begin.
-        self._words = pa.array([], pa.large_binary())
-        self._flat, self._first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        # Known words and their ids.
+        self._words = self._ids = pa.array([], pa.large_binary())
 
     def _encoded(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_runs(self, runs: list[str]) -> None:
-        lines = [" ".join(runs[i : i + 500]) for i in range(0, len(runs), 500)]
         at = 0
-        for line in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False):
-            ids = np.array(line.ids, dtype="<u4")
-            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
-            raw = ids.tobytes()
-            for run, start, stop in zip(runs[at : at + 500], [0, *stops], stops, strict=False):
-                self._of_run[run] = raw[start:stop]
-            at += 500
+        # What the tokenizer tells of a token takes far more memory than its id, so it gets some lines at a time.
+        for begin in range(0, len(runs), 500 * _LINES):
+            end = min(len(runs), begin + 500 * _LINES)
+            lines = [" ".join(runs[i : i + 500]) for i in range(begin, end, 500)]
+            for line in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+                ids = np.array(line.ids, dtype="<u4")
+                stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
+                raw = ids.tobytes()
+                self._of_run.update(zip(runs[at : at + 500], map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+                at += 500
 
     def _learnt(self, words: list[str]) -> list[bytes]:
         """Ids of new words."""
@@ -97,7 +98,9 @@ class WordIds:
         plain = list(map(str.isalpha, low))
         other = list(map(not_, plain))
         single = list(compress(low, plain))
-        parts = list(map(self._split, compress(low, other)))
+        split = self._split
+        # Most of them are letters and one mark.
+        parts = [(w[:-1], w[-1]) if w[-1] in _MARKS and w[:-1].isalpha() else split(w) for w in compress(low, other)]
         runs = set(single)
         runs.update(chain.from_iterable(parts))
         fresh = list(runs.difference(self._of_run))
@@ -107,44 +110,48 @@ class WordIds:
         self._learn_runs(fresh)
         known = self._of_run.__getitem__
         of_word.update(zip(compress(latin, plain), map(known, single), strict=True))
-        joined = (b"".join(map(known, found)) for found in parts)
+        joined = (known(x[0]) + known(x[1]) if len(x) == 2 else b"".join(map(known, x)) for x in parts)
         of_word.update(zip(compress(latin, other), joined, strict=True))
         return list(map(of_word.__getitem__, words))
 
-    def _places(self, words: pa.Array) -> np.ndarray:
-        """Numbers of distinct words among the known ones; new words become known."""
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words; new words become known."""
         places = pc.index_in(words, value_set=self._words)
         missing = places.is_null()
         new = words.filter(missing)
         if not len(new):
-            return places.to_numpy(zero_copy_only=False)
+            return self._ids.take(places)
         if len(self._words) + len(new) > CACHED_WORDS and len(self._words):
-            self._words, self._flat, self._first = self._words[:0], self._flat[:0], self._first[:1]
-            return self._places(words)
-        found = self._learnt(new.cast(pa.large_string()).to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
-        self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(found), "<u4")])
+            self._words, self._ids = self._words[:0], self._ids[:0]
+            return self._ids_of(words)
+        shares = (new[i : i + _NEW_WORDS] for i in range(0, len(new), _NEW_WORDS))
+        found = [pa.array(self._learnt(x.cast(pa.large_string()).to_pylist()), pa.large_binary()) for x in shares]
         out = places.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         out[missing.to_numpy(zero_copy_only=False)] = len(self._words) + np.arange(len(new))
+        self._ids = pa.concat_arrays([self._ids, *found])
         self._words = pa.concat_arrays([self._words, new])
-        return out
+        return self._ids.take(pa.array(out))
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text; each distinct word of a slice of texts is looked up once."""
         for begin, end, data, bounds in byte_words.slices(texts, _SLICE_BYTES):
             found = byte_words.words(data, bounds, _WORD_BYTES, lower_case=False)
             coded = found.array.dictionary_encode()
-            places = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-            first = self._first[places]
-            sizes = self._first[places + 1] - first
-            after = np.concatenate([[0], np.cumsum(sizes)])
-            raw = self._flat[np.arange(after[-1]) + np.repeat(first - after[:-1], sizes)]
-            bounds = after[np.searchsorted(found.row, np.arange(end - begin + 1))].tolist()
+            at = np.searchsorted(found.row, np.arange(end - begin + 1))
+            del found
+            # The ids of all words, one after the other.
+            raw = self._ids_of(coded.dictionary).take(coded.indices)
+            _, after, ids = raw.buffers()
+            bounds = np.frombuffer(after, np.int64, len(raw) + 1, raw.offset * 8)[at].tolist()
+            ids = memoryview(ids) if ids is not None else b""
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                yield raw[start:stop].tobytes()
+                yield bytes(ids[start:stop])
 
 
+#: New words that are learnt together, and lines of runs that the tokenizer gets together.
+_NEW_WORDS, _LINES = 50_000, 40
+#: Marks that are runs of their own behind letters.
+_MARKS = frozenset(".,;:!?")
 #: Texts whose words are looked up together.
 _SLICE_BYTES = 12 << 20
 #: Words end at these bytes; other white space stays in them and is left to the tokenizer.
