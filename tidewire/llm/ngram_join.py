@@ -272,6 +272,20 @@ def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
     return texts.select("text").mapInPandas(run, "item long, node long")
 
 
+def _may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` and ``hash`` may be in ``wanted``: all that are, and few others.
+
+    ``wanted`` becomes a bitmap of fixed size, in rows of 32,768 bits each, so that only few texts are shuffled.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << FILTER_BITS)) + 1
+    bits = wanted.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    held = F.getbit(byte, (F.bitmap_bit_position(place) % 8).cast("int")) == 1
+    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return near.where(held).select(docs.columns)
+
+
 def _suspects(rows: DataFrame, order) -> DataFrame:
     """One document (doc_id, hash) for every set whose first items are not all known to be its own."""
 
@@ -503,7 +517,8 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     suspects = written(_suspects(sets.drop("part", "counts", "_task"), ranks), "suspects")
     one = suspects.select("sig", "sig2", "n", F.col("_one.doc_id").alias("_id"), F.col("_one.hash").alias("_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("hash").eqNullSafe(F.col("_hash"))
-    texts = chosen.join(one.hint("shuffle_hash"), same).select("sig", "sig2", "n", "text")
+    near = _may_be_in(chosen, one.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("hash")))
+    texts = near.join(one.hint("shuffle_hash"), same).select("sig", "sig2", "n", "text")
     texts = written(texts.dropDuplicates(["sig", "sig2"]), "texts")
     # Among these texts, all items are counted.
     order = spark.sparkContext.broadcast((known[0], _repeating(_all_items(texts))))
