@@ -324,3 +324,19 @@ def test_registry(spark):
         assert custom.count() == 6
     finally:
         REGISTRY.pop("custom")
+
+
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_a_card_is_parsed_once(spark):
+    """Attributes are read once, and four texts as URLs: page, target, link and, for issues, a target that was mended."""
+    settings = source("a", "https://a.example/l", "markdown_cards")
+    plan = _plan(entries(raw_docs(spark, ("a", "<Card")), source_table(spark, settings), "markdown_cards"))
+    assert plan.count(r"([A-Za-z_:][\w:.-]*)\s*=\s*") == 1
+    assert plan.count(r"(//[^/?#]*)?") == 7  # and three in the keys of items and issues

@@ -50,7 +50,8 @@ class Url:
 
 def url_parts(c: str) -> str:
     """The parts of a URL text as a struct for :class:`Url`."""
-    clean = f"translate(ltrim({lit(_CONTROL)}, {c}), {lit(chr(9) + chr(13) + chr(10))}, '')"
+    broken = " OR ".join(f"contains({c}, {lit(line)})" for line in "\t\r\n")
+    clean = f"ltrim({lit(_CONTROL)}, if({broken}, translate({c}, {lit(chr(9) + chr(13) + chr(10))}, ''), {c}))"
 
     def placed(p: str) -> str:
         def hosted(place: str) -> str:
@@ -243,9 +244,13 @@ def host_allowed(host: str, allowed: str) -> str:
     return f"exists({allowed}, {a} -> {host} = {a} OR endswith({host}, concat('.', {a})))"
 
 
-@sql_function
-def item_link(target: str, base: str, allowed: str) -> str:
-    """Check a link of a list page: ``struct<url, error>`` with one of them NULL."""
+def link_value(target: str) -> str:
+    """A link target as it is resolved: references replaced, without blanks and angle brackets around it."""
+    return strip_chars(unescape(strip(target)), "<>")
+
+
+def checked_link(value: str, url: str, allowed: str) -> str:
+    """Check a :func:`link_value` that was resolved to ``url``: ``struct<url, error>`` with one of them NULL."""
 
     def checked(value: str, url: str, u: Url) -> str:
         def error(host: str) -> str:
@@ -264,11 +269,15 @@ def item_link(target: str, base: str, allowed: str) -> str:
             lambda e: f"named_struct('url', if({e} IS NULL, {url}, NULL), 'error', {e})",
         )
 
+    return with_url(url, lambda u: checked(value, url, u))
+
+
+@sql_function
+def item_link(target: str, base: str, allowed: str) -> str:
+    """Check a link of a list page: ``struct<url, error>`` with one of them NULL."""
     return let(
-        strip_chars(unescape(strip(target)), "<>"),
-        lambda value: let(
-            resolve(base, value), lambda url: with_url(url, lambda u: checked(value, url, u))
-        ),
+        link_value(target),
+        lambda value: let(resolve(base, value), lambda url: checked_link(value, url, allowed)),
     )
 
 

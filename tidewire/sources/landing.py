@@ -110,14 +110,15 @@ def admit(
 
 
 def entry_rows(
-    df: DataFrame, *, error: str, issue_title: str, issue_url: str, **fields: str
+    df: DataFrame, *, error: str, issue_title: str, issue_url: str, canonical: str | None = None, **fields: str
 ) -> DataFrame:
     """Bring the rows of an extractor into the common shape.
 
     All arguments are SQL expressions over ``df``.  ``pos`` starts at 1 and is NULL
     for a document that failed as a whole; a row with an ``error`` is an issue, any
-    other one an item.
+    other one an item.  ``canonical``, the canonical form of ``url``, is the key of items if it is given.
     """
+    key = dedupe_key("dedupe_key", "url") if canonical is None else "canonical"
     values = {name: "''" for name in ITEM_TEXT} | fields
     shaped = df.selectExpr(
         *DOC,
@@ -127,6 +128,7 @@ def entry_rows(
         f"{error} AS error",
         f"{issue_title} AS issue_title",
         f"{issue_url} AS issue_url",
+        f"{canonical or 'NULL'} AS canonical",
         *[f"{values[name]} AS {name}" for name in ITEM_TEXT],
     )
     return shaped.selectExpr(
@@ -143,6 +145,5 @@ def entry_rows(
         f"CASE WHEN error IS NOT NULL THEN {issue_key('source', 'page_url', 'issue_title', 'issue_url', 'entry')}"
         " END AS item_key",
         *[name for name in ITEM_TEXT if name != "dedupe_key"],
-        f"CASE WHEN source_error IS NULL AND error IS NULL THEN {dedupe_key('dedupe_key', 'url')} END"
-        " AS dedupe_key",
+        f"CASE WHEN source_error IS NULL AND error IS NULL THEN {key} END AS dedupe_key",
     )

@@ -14,9 +14,9 @@ from tidewire.functions.dates import page_date, page_date_parts
 from tidewire.functions.identity import content_key
 from tidewire.functions.sql import case, each, keep, let, lit, sql_function
 from tidewire.functions.text import (
-    attribute,
     clean_html,
     group1,
+    html_attributes,
     markdown_body_text,
     markdown_text,
     matches,
@@ -24,7 +24,17 @@ from tidewire.functions.text import (
     strip,
     strip_chars,
 )
-from tidewire.functions.urls import before_fragment, canonical_url, issue_url, item_link, resolve
+from tidewire.functions.urls import (
+    Url,
+    before_fragment,
+    canonical_url,
+    checked_link,
+    item_link,
+    link_value,
+    resolve,
+    resolve_from,
+    url_parts,
+)
 from tidewire.sources.landing import DOC, entry_rows
 from tidewire.sources.scans import markdown_links
 
@@ -237,11 +247,17 @@ def card_entries(docs: DataFrame) -> DataFrame:
     attrs = f"if(token = 'open', {group1('piece', _CARD_OPEN)}, {group1('whole', r'(?id)^<Card([^\n]*)')})"
     rows = (
         _numbered(cards, "token IN ('open', 'broken')", "invalid Markdown cards: no Card elements found")
-        .withColumn("attrs", F.expr(attrs))
-        .withColumn("title", F.expr(clean_html(attribute("attrs", "title"))))
-        .withColumn("href", F.expr(attribute("attrs", "href")))
-        .withColumn("checked", F.expr(item_link("href", "page_url", "allowed_hosts")))
+        .withColumn("attrs", F.expr(html_attributes(attrs)))
+        .withColumn("title", F.expr(clean_html("coalesce(try_element_at(attrs, 'title'), '')")))
+        .withColumn("href", F.expr("coalesce(try_element_at(attrs, 'href'), '')"))
+        # The page is parsed once, the target as a rule resolved once and the link brought into its canonical form once.
+        .withColumn("page", F.expr(url_parts("page_url")))
+        .withColumn("target", F.expr(link_value("href")))
+        .withColumn("resolved", F.expr(resolve_from("page_url", Url("page"), "target")))
+        .withColumn("checked", F.expr(checked_link("target", "resolved", "allowed_hosts")))
+        .withColumn("canon", F.expr(canonical_url("checked.url")))
     )
+    as_written = resolve_from("page_url", Url("page"), "href")
     error = case(
         ("source_error IS NOT NULL", "NULL"),
         ("token = 'broken'", "'Card has a malformed opening tag'"),
@@ -255,8 +271,9 @@ def card_entries(docs: DataFrame) -> DataFrame:
         rows,
         error=error,
         issue_title="title",
-        issue_url=issue_url("page_url", "href"),
-        item_id=canonical_url("checked.url"),
+        issue_url=f"coalesce(if(target = href, resolved, {as_written}), href)",
+        canonical="canon",
+        item_id="canon",
         title="title",
         content=markdown_body_text(replaced("whole", _CARD_OPEN, "")),
         url="checked.url",
