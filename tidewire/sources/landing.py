@@ -57,24 +57,37 @@ EIGHT_BITS = (
 _LATIN_1 = ("iso-8859-1", "iso_8859-1", "latin1", "latin-1", "l1", "us-ascii", "ascii")
 
 
+def _tables() -> Column:
+    """Encoding -> the characters that are others than in Latin-1, what they are, and bytes that are none."""
+    entries = []
+    for name in EIGHT_BITS:
+        table = [bytes([b]).decode(name, "replace") for b in range(256)]
+        other = [b for b in range(256) if table[b] not in (chr(b), "\ufffd")]
+        gaps = "".join(chr(b) for b in range(256) if table[b] == "\ufffd")
+        parts = {"other": "".join(map(chr, other)), "by": "".join(table[b] for b in other), "gaps": gaps}
+        entries += [F.lit(name), F.struct(*(F.lit(v).alias(k) for k, v in parts.items()))]
+    return F.create_map(*entries)
+
+
+def with_encoding(docs: DataFrame, body: str) -> DataFrame:
+    """Add the declared encoding of an XML document, and its table if it is one of ``EIGHT_BITS``, once per row."""
+    start = F.substring_index(F.decode(F.col(body), "ISO-8859-1"), "?>", 1)
+    named = F.lower(F.regexp_extract(start, r"(?is)^(?:\xEF\xBB\xBF)?<\?xml\s[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", 1))
+    named = F.regexp_replace(F.regexp_replace(named, "^cp(125[0-8])$", "windows-$1"), "^iso_?8859-", "iso-8859-")
+    return docs.withColumn("_encoding", named).withColumn("_table", F.try_element_at(_tables(), F.col("_encoding")))
+
+
 def xml_text(body: str) -> tuple[Column, Column]:
     """Text of an XML document by its byte order mark or declared encoding, and whether it cannot be read so."""
-    raw = F.col(body).cast("string")
+    raw, named, table = F.col(body).cast("string"), F.col("_encoding"), F.col("_table")
     wide = F.hex(F.substring(body, 1, 2)).isin("FEFF", "FFFE")
     # As Latin-1 every byte is the character of its number.
     bytewise = F.decode(F.col(body), "ISO-8859-1")
-    start = F.substring_index(bytewise, "?>", 1)
-    named = F.lower(F.regexp_extract(start, r"(?is)^(?:\xEF\xBB\xBF)?<\?xml\s[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", 1))
-    named = F.regexp_replace(F.regexp_replace(named, "^cp(125[0-8])$", "windows-$1"), "^iso_?8859-", "iso-8859-")
     latin = named.isin(*_LATIN_1)
     text = F.when(wide, F.regexp_replace(F.decode(F.col(body), "UTF-16"), "^\ufeff", "")).when(latin, bytewise)
+    text = text.when(table.isNotNull(), F.call_function("translate", bytewise, table["other"], table["by"]))
     bad = F.when(wide | latin, F.lit(False))
-    for name in EIGHT_BITS:
-        table = [bytes([b]).decode(name, "replace") for b in range(256)]
-        other = [b for b in range(256) if table[b] not in (chr(b), "\ufffd")]
-        gaps = "".join(chr(b) for b in range(256) if table[b] == "\ufffd")
-        text = text.when(named == name, F.translate(bytewise, "".join(map(chr, other)), "".join(table[b] for b in other)))
-        bad = bad.when(named == name, F.translate(bytewise, gaps, "") != bytewise if gaps else F.lit(False))
+    bad = bad.when(table.isNotNull(), F.call_function("translate", bytewise, table["gaps"], F.lit("")) != bytewise)
     text = text.otherwise(F.regexp_replace(raw, "^\ufeff", ""))
     return text, bad.otherwise(~named.isin("", "utf-8", "utf8") | ~F.is_valid_utf8(raw))
 
@@ -97,6 +110,7 @@ def admit(
     raw = F.col("body").cast("string")
     too_big = F.octet_length("body") > max_bytes
     if collector == "rss":
+        joined = with_encoding(joined, "body")
         text, bad_text = xml_text("body")
         message = "invalid RSS XML: not well-formed"
     else:
