@@ -275,9 +275,11 @@ def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
 def _may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` and ``hash`` may be in ``wanted``: all that are, and few others.
 
-    ``wanted`` becomes a bitmap of fixed size, in rows of 32,768 bits each, so that only few texts are shuffled.
+    ``wanted``, a written table, becomes a bitmap with 16 bits or more for each of its rows, of at most
+    ``2 ** FILTER_BITS`` bits, in rows of 32,768 bits each, so that only few texts are shuffled.
     """
-    place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << FILTER_BITS)) + 1
+    bits = min(FILTER_BITS, max(15, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << bits)) + 1
     bits = wanted.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
     bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
