@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,53 @@ def test_few_texts_are_fetched(spark, monkeypatch):
         found = [tuple(r) for r in ngram_join._may_be_in(docs, wanted).select("doc_id", "hash").collect()]
         assert asked <= set(found) and len(found) == len(set(found)) and 401 <= len(found) <= most
     assert ngram_join._may_be_in(docs, wanted.limit(0)).count() == 0
+
+
+class _Task:
+    """Stands for a table of one batch; runs a step's task on it and keeps the most memory it takes."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *names):
+        return _Task(self.batch.select(names))
+
+    def mapInPandas(self, run, schema):  # noqa: N802
+        return self._run(run, self.batch.to_pandas())
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return self._run(run, self.batch)
+
+    @staticmethod
+    def _run(run, batch):
+        tracemalloc.start()
+        try:
+            rows = sum(len(x) for x in run(iter([batch])))
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+
+def test_tasks_hold_few_sets_at_once(monkeypatch):
+    """The sets of a batch of texts are not held together, nor the words of many texts."""
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 1 << 16, raising=False)
+    texts = [" ".join(f"w{i * 80 + j}" for j in range(300)) for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": [str(i) for i in range(2000)], "text": texts, "hash": list(range(2000))}
+    )
+    rows, most = ngram_join._all_items(_Task(batch))
+    assert rows == 2000 and most < 2_000_000
+    rows, most = ngram_join._signatures(_Task(batch))
+    counters = 1 << ngram_join.SKETCH_BITS
+    assert rows == 2000 + ngram_join._PARTS and most < 2_000_000 + 3 * counters
+
+
+def test_sets_do_not_depend_on_slices(monkeypatch):
+    texts = [t for _, t in corpus(6)] + ["É é\x0bÀ\x85b C\x1fd", "A b c D", "a b c d", "a b c d e", "x" * 300]
+    found = {}
+    for size in (1, 100, 1 << 21):
+        monkeypatch.setattr(ngram_join, "SLICE_BYTES", size)
+        found[size] = [s.tolist() for part in ngram_join.shingle_sets(pa.array(texts)) for s in part]
+    assert found[1] == found[100] == found[1 << 21]
+    assert [len(s) for s in found[1]] == [len(shingles(t)) for t in texts]
+    assert found[1][-4] == found[1][-3]

@@ -32,13 +32,16 @@ other); repeated rows link; an empty table gives an empty table; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.byte_words import byte_class, slices, words
 from tidewire.llm.components import components
 from tidewire.llm.tables import BLANKS
 from tidewire.session import written
@@ -53,17 +56,13 @@ SAMPLED, FILTER_BITS = 0.3, 26
 BLOCK_SHINGLES = 1_500_000
 #: Sets that meet at once when results of blocks are compared.
 BLOCK_SETS = 2000
-#: Words whose hashes a task keeps at hand.
-CACHED_WORDS = 400_000
+#: Bytes of text whose sets a task holds at once; one longer text is a slice of its own.
+SLICE_BYTES = 2 << 20
+#: Items of prefixes that a task gathers before it sends them.
+SENT_ITEMS = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Bytes of words: all but ASCII white space.
+_INSIDE = ~byte_class((9, 13), (32, 32))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,17 +70,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, hashes: _WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(WORDS, len(h))
-    out = h[: len(h) - width + 1] + np.uint64(width)
+def _hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, from the hashes of the words."""
+    n = max(0, len(h) - width + 1) if width else 0
+    out = h[:n] + np.uint64(width)
     for k in range(1, width):
-        out = out * _FACTOR + h[k : len(h) - width + 1 + k]
-    return np.unique(_mixed(out))
+        out = out * _FACTOR + h[k : n + k]
+    return _mixed(out)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, in order, by slices of ``SLICE_BYTES``."""
+    for begin, end, data, bounds in slices(texts, SLICE_BYTES):
+        found = words(data, bounds, _INSIDE)
+        coded = found.array.dictionary_encode()
+        digests = map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist())
+        h = np.fromiter(digests, np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
+        rows = np.searchsorted(found.row, np.arange(end - begin + 1)).tolist()
+        full = _hashes(h, WORDS)
+        yield [
+            np.unique(full[a : b - WORDS + 1]) if b - a >= WORDS else _hashes(h[a:b], b - a) for a, b in pairwise(rows)
+        ]
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
 
 
 def _signature(items: np.ndarray) -> tuple[int, int]:
@@ -119,26 +133,32 @@ def _places(items: np.ndarray) -> np.ndarray:
 def _signatures(docs: DataFrame) -> DataFrame:
     """One row per document with size and signature, and ``_PARTS`` rows per task with its sketch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHash()
+    names = [x.split()[0] for x in _ROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                items = shingle_set(text, hashes)
-                slots = (items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts[slots] += counts[slots] < 255
-                low = items[: np.searchsorted(items, _LOW)]
-                rows.append((len(items), *_signature(items), low.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "sig", "sig2", "items"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out.insert(1, "hash", batch["hash"].to_numpy())
-            yield out.assign(part=-1, counts=None)
-        blank = {"doc_id": None, "items": None, **dict.fromkeys(("hash", "n", "sig", "sig2"), 0)}
-        for part, piece in enumerate(np.split(counts, _PARTS)):
-            yield pd.DataFrame([{**blank, "part": part, "counts": piece.tobytes()}])
-
-    return docs.mapInPandas(run, _ROW)
+            ids, hashes, done = batch.column("doc_id"), batch.column("hash"), 0
+            for sets in shingle_sets(batch.column("text")):
+                rows, low = [], []
+                for items in sets:
+                    slots = (items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                    counts[slots] += counts[slots] < 255
+                    low.append(items[: np.searchsorted(items, _LOW)])
+                    rows.append((len(items), *_signature(items)))
+                size = len(sets)
+                numbers = map(pa.array, np.array(rows, dtype=np.int64).T)
+                parts = [pa.array(np.full(size, -1, dtype=np.int32)), pa.nulls(size, pa.binary())]
+                columns = [ids.slice(done, size), hashes.slice(done, size), *numbers, _lists(low), *parts]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                done += size
+        pieces = [piece.tobytes() for piece in np.split(counts, _PARTS)]
+        zeros = pa.array(np.zeros(_PARTS, dtype=np.int64))
+        columns = [pa.nulls(_PARTS, pa.string()), *[zeros] * 4, pa.nulls(_PARTS, pa.list_(pa.int64()))]
+        columns += [pa.array(np.arange(_PARTS, dtype=np.int32)), pa.array(pieces, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, _ROW)
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,13 +195,13 @@ def _repeating(rows: DataFrame) -> np.ndarray:
     width = (1 << FILTER_BITS) // pieces
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        bits = np.zeros((pieces, width // 8), dtype=np.uint8)
         for batch in batches:
-            bits[_places(batch["item"].to_numpy().view(np.uint64))] = True
-        for piece in range(pieces):
-            held = bits[piece * width : (piece + 1) * width]
+            places = _places(batch["item"].to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits.ravel(), places >> 3, (128 >> (places & 7)).astype(np.uint8))
+        for piece, held in enumerate(bits):
             if held.any():
-                yield pd.DataFrame({"piece": [piece], "bits": [np.packbits(held).tobytes()]})
+                yield pd.DataFrame({"piece": [piece], "bits": [held.tobytes()]})
 
     def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -222,18 +242,18 @@ def _ordered(items: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndar
 def _all_items(texts: DataFrame) -> DataFrame:
     """``items`` of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHash()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"items": [shingle_set(text, hashes).view(np.int64) for text in batch["text"]]})
+            for sets in shingle_sets(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([_lists(sets)], ["items"])
 
-    return texts.select("text").mapInPandas(run, "items array<long>")
+    return texts.select("text").mapInArrow(run, "items array<long>")
 
 
 def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
     """(item, node): for each prefix item one node per batch; nodes that share an item within a batch meet under a key of their own."""
 
-    def emit(items: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
+    def emit(items: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         item = np.concatenate(items)
         node = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in items])
         order = np.lexsort((node, item))
@@ -244,32 +264,29 @@ def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
         other = node != lead
         pairs = np.unique(np.stack([lead[other], node[other]]), axis=1)
         own = _mixed(pairs[0].view(np.uint64) ^ _FACTOR)
-        return pd.DataFrame(
-            {
-                "item": np.concatenate([item[first], own, own]).view(np.int64),
-                "node": np.concatenate([node[first], pairs[0], pairs[1]]),
-            }
-        )
+        keys = np.concatenate([item[first], own, own]).view(np.int64)
+        ends = np.concatenate([node[first], pairs[0], pairs[1]])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ends)], ["item", "node"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, known = _WordHash(), order.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = order.value
         items: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
-            for text in batch["text"]:
-                full = shingle_set(text, hashes)
+            for full in chain.from_iterable(shingle_sets(batch.column("text"))):
                 node = _signature(full)[0]
                 if len(full) and node not in items:
                     rest = _ordered(full, known)
-                    items[node] = rest[: max(0, _prefix(len(full)) - (len(full) - len(rest)))]
+                    # A copy: a view would hold the whole set.
+                    items[node] = rest[: max(0, _prefix(len(full)) - (len(full) - len(rest)))].copy()
                     held += len(items[node])
-                if held >= 1_000_000:
+                if held >= SENT_ITEMS:
                     yield emit(list(items.values()), list(items))
                     items, held = {}, 0
         if items:
             yield emit(list(items.values()), list(items))
 
-    return texts.select("text").mapInPandas(run, "item long, node long")
+    return texts.select("text").mapInArrow(run, "item long, node long")
 
 
 def _may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -401,9 +418,9 @@ def _joined(members: DataFrame, keys: list[str], ranks) -> DataFrame:
     """Join each group of ``members`` (with ``text``) by ``keys``; (coarse, block, sig, sig2, label), label a row's ``label`` or less."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, order = _WordHash(), ranks.value[0]
+        order = ranks.value[0]
         group = group.drop_duplicates(["sig", "sig2", "block"])
-        sets = [shingle_set(text, hashes) for text in group["text"]]
+        sets = list(chain.from_iterable(shingle_sets(pa.array(group["text"], pa.large_string()))))
         right = np.array([_signature(x) for x in sets]) == group[["sig", "sig2"]].to_numpy()
         keep = right.all(axis=1)
         group, sets = group[keep], [x for x, k in zip(sets, keep, strict=True) if k]
