@@ -253,3 +253,24 @@ def test_sets_do_not_depend_on_slices(monkeypatch):
     assert found[1] == found[100] == found[1 << 21]
     assert [len(s) for s in found[1]] == [len(shingles(t)) for t in texts]
     assert found[1][-4] == found[1][-3]
+
+
+def test_driver_holds_a_byte_of_each_counter(spark):
+    """The classes of the sketch's counters are made by tasks; the driver never holds the counts or numbers made of them."""
+    random_ = np.random.default_rng(5)
+    width = (1 << ngram_join.SKETCH_BITS) // ngram_join._PARTS
+    tasks = random_.integers(0, 4, (2, ngram_join._PARTS, width), dtype=np.uint8)
+    tasks[:, 3, :50] = 255
+    rows = [(p, tasks[t, p].tobytes(), t) for t in range(2) for p in range(ngram_join._PARTS)]
+    sketches = spark.createDataFrame(rows, "part int, counts binary, _task int").repartition(4)
+    sums = tasks.astype(np.float64).sum(axis=0).ravel()
+    expected = np.floor(np.log2(np.maximum(sums / (2 * sums.mean() + 8), 0.5)) + 1).astype(np.uint8)
+    tracemalloc.start()
+    try:
+        found = ngram_join._ranks(sketches)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.dtype == np.uint8 and (found == expected).all() and expected.max() > 0
+    assert most < 24 << 20
+    assert not ngram_join._ranks(sketches.limit(0)).any()

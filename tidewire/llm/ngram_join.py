@@ -173,19 +173,39 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"part": [part], "counts": [np.minimum(values, 2**32 - 1).astype("<u4").tobytes()]})
 
 
-def _ranks(sketches: DataFrame) -> np.ndarray:
+def _class(counts: np.ndarray, usual: float) -> np.ndarray:
     """Class of each counter: 0 for the usual fill, then by powers of two above it.  One byte per counter."""
+    return np.floor(np.log2(np.maximum(counts.astype(np.float64) / usual, 0.5)) + 1).astype(np.uint8)
+
+
+def _ranks(sketches: DataFrame) -> np.ndarray:
+    """Classes of all counters.  They are made where the counters are: the driver gets a byte of each, and no counts."""
     salted = sketches.select("part", "counts", (F.col("_task") % 64).alias("_salt"))
     near = salted.repartition(F.col("part"), F.col("_salt")).mapInPandas(
         lambda batches: _summed(batches), "part int, counts binary"
     )
-    total = near.repartition(F.col("part")).mapInPandas(_summed, "part int, counts binary")
-    rows = {r["part"]: r["counts"] for r in total.collect()}  # fixed size
-    if not rows:
-        return np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    counts = np.concatenate([np.frombuffer(rows[p], "<u4") for p in range(_PARTS)]).astype(np.float64)
-    usual = 2 * counts.mean() + 8
-    return np.floor(np.log2(np.maximum(counts / usual, 0.5)) + 1).astype(np.uint8)
+
+    def with_fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _summed(batches):
+            yield batch.assign(fill=[int(np.frombuffer(raw, "<u4").sum(dtype=np.int64)) for raw in batch["counts"]])
+
+    total = near.repartition(F.col("part")).mapInPandas(with_fill, "part int, counts binary, fill long")
+    total = written(total, "sketch")  # fixed size
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    fill = total.agg(F.sum("fill")).first()[0]
+    if fill is None:
+        return out
+    usual = 2 * (fill / len(out)) + 8
+
+    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, raw in zip(batch["part"], batch["counts"], strict=True):
+                yield pd.DataFrame({"part": [part], "ranks": [_class(np.frombuffer(raw, "<u4"), usual).tobytes()]})
+
+    parts = out.reshape(_PARTS, -1)
+    for row in total.select("part", "counts").mapInPandas(classes, "part int, ranks binary").collect():  # fixed size
+        parts[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
+    return out
 
 
 def _repeating(rows: DataFrame) -> np.ndarray:
