@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewire.llm import collocations, decontamination, whitening
@@ -118,6 +120,29 @@ def test_lookup_of_pairs():
 # Benchmark passages.
 
 
+def test_tasks_hold_few_arrays_of_pairs():
+    """Neither a block nor a merge holds many arrays of the length of its pairs at once; bytes are for each pair of a block."""
+
+    def peak(make):
+        tracemalloc.start()
+        try:
+            pairs = sum(int(counts.sum()) for _, _, _, counts in make())
+            return tracemalloc.get_traced_memory()[1], pairs
+        finally:
+            tracemalloc.stop()
+
+    random_ = np.random.default_rng(8)
+    n = 600_000
+    for ranks, of_block, of_merge in ((1 << 10, 95, 250), (1 << 20, 75, 250)):
+        left, right = random_.integers(0, ranks, n), random_.integers(0, ranks, n)
+        packed = [collocations._part("en", 1, 0, *collocations.summed(left, right))["packed"]] * 4
+        packed = pa.chunked_array([packed], pa.binary())
+        block, pairs = peak(lambda: collocations.tiled(left.copy(), right.copy(), None, 4))  # noqa: B023
+        assert pairs == n and block < of_block * n
+        merge, pairs = peak(lambda: collocations.tiled(*collocations._opened(packed), 4))  # noqa: B023
+        assert pairs == 4 * n and merge < of_merge * n
+
+
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
 

@@ -38,6 +38,8 @@ BLOCK_WORDS, MERGE_ENTRIES = 2_000_000, 2_000_000
 TILE_BITS, HEAD_BITS = 10, 13
 #: A tile is dense if it holds a pair for so many of its cells.
 _DENSE_CELLS = 16
+#: Pairs whose tiles, and whose cells in a tile, are worked out at once.
+_AT_ONCE, _CELLS_AT_ONCE = 1 << 17, 1 << 19
 #: Bits of the bucket of a tile: at first at most, and more with each round of merges.
 _FIRST_BITS, _MORE_BITS, _MOST_BITS = 12, 4, 40
 _PIECE_ENDS = byte_words.byte_class((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
@@ -151,6 +153,14 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
 
 def tile_of(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     """Key of the tile of each pair: below 0 a tile of the head, from 0 on a bucket of 2^``bits`` of other tiles."""
+    out = np.empty(len(left), np.int64)
+    for at in range(0, len(left), _AT_ONCE):
+        some = slice(at, at + _AT_ONCE)
+        out[some] = _tile_of(left[some], right[some], bits)
+    return out
+
+
+def _tile_of(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     across = HEAD_BITS - TILE_BITS
     rows, columns = left >> TILE_BITS, right >> TILE_BITS
     mixed = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ columns.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
@@ -163,28 +173,42 @@ def summed(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None = None
     if not len(left):
         return left, right, left
     wide = int(right.max()).bit_length()
-    if int(left.max()).bit_length() + wide < 63:
-        keys = (left << wide) | right
+    fits = int(left.max()).bit_length() + wide < 63
+    if fits:
+        keys = left << wide
+        keys |= right
     else:
+        lefts, keys = np.unique(left, return_inverse=True)
         ranks, place = np.unique(right, return_inverse=True)
-        keys = np.unique(left, return_inverse=True)[1] * len(ranks) + place
+        keys = keys * len(ranks) + place
+        del place
+    # The keys have all of the pairs: nothing else of their length is held longer than needed.
+    del left, right
     if counts is None:
         # Sorting alone is faster than sorting places.
         keys.sort()
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        if int(left.max()).bit_length() + wide < 63:
-            return keys[first] >> wide, keys[first] & ((1 << wide) - 1), np.diff(np.append(first, len(keys)))
-        found = keys[first]
-        return np.unique(left)[found // len(ranks)], ranks[found % len(ranks)], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-    return left[order[first]], right[order[first]], np.add.reduceat(counts[order], first)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        del order
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    found = keys[first]
+    times = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
+    if fits:
+        return found >> wide, found & ((1 << wide) - 1), times
+    return lefts[found // len(ranks)], ranks[found % len(ranks)], times
 
 
 def dense(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """The same for pairs of one tile, from a cell for each pair."""
     inside = (1 << TILE_BITS) - 1
-    cells = np.bincount(((left & inside) << TILE_BITS) | (right & inside), counts, 1 << 2 * TILE_BITS)
+    cells = np.zeros(1 << 2 * TILE_BITS, np.int64 if counts is None else np.float64)
+    for at in range(0, len(left), _CELLS_AT_ONCE):
+        some = slice(at, at + _CELLS_AT_ONCE)
+        cell = ((left[some] & inside) << TILE_BITS) | (right[some] & inside)
+        cells += np.bincount(cell, None if counts is None else counts[some], len(cells))
     used = np.flatnonzero(cells)
     return (left[0] & ~inside) | (used >> TILE_BITS), (right[0] & ~inside) | (used & inside), cells[used].astype(np.int64)
 
@@ -192,16 +216,31 @@ def dense(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None = None)
 def tiled(left: np.ndarray, right: np.ndarray, counts: np.ndarray | None, bits: int) -> Iterator[tuple[int, np.ndarray, ...]]:
     """Tile, distinct pairs and the sums of their counts."""
     across = HEAD_BITS - TILE_BITS
-    near = np.flatnonzero((left < 1 << HEAD_BITS) & (right < 1 << HEAD_BITS))
-    tile = ((left[near] >> TILE_BITS) << across) | (right[near] >> TILE_BITS)
-    held = np.bincount(tile, minlength=1 << 2 * across)
+    near = (left < 1 << HEAD_BITS) & (right < 1 << HEAD_BITS)
+    kind = np.min_scalar_type(1 << 2 * across)
+    # Tiles of the head, from 1 on, and 0 for all other pairs.
+    tile = np.zeros(len(left), kind)
+    for at in range(0, len(left), _AT_ONCE):
+        some = slice(at, at + _AT_ONCE)
+        tile[some] = np.where(near[some], (((left[some] >> TILE_BITS) << across) | (right[some] >> TILE_BITS)) + 1, 0)
+    del near
+    held = sum(
+        (np.bincount(tile[at : at + _AT_ONCE], minlength=(1 << 2 * across) + 1)[1:] for at in range(0, len(tile), _AT_ONCE)),
+        np.zeros(1 << 2 * across, np.int64),
+    )
     rest = np.ones(len(left), bool)
     for t in np.flatnonzero(held >= (1 << 2 * TILE_BITS) // _DENSE_CELLS):
-        mine = near[tile == t]
+        mine = np.flatnonzero(tile == t + 1)
         yield int(~t), *dense(left[mine], right[mine], None if counts is None else counts[mine])
         rest[mine] = False
-    del near, tile
-    a, b, c = summed(left[rest], right[rest], None if counts is None else counts[rest])
+        del mine
+    del tile
+    left, right, counts = left[rest], right[rest], None if counts is None else counts[rest]
+    del rest
+    wanted = [left, right]
+    del left, right
+    a, b, c = summed(wanted.pop(0), wanted.pop(), counts)
+    del counts
     of = tile_of(a, b, bits)
     order = np.argsort(of, kind="stable")
     cuts = np.flatnonzero(np.diff(of[order])) + 1
@@ -215,10 +254,16 @@ def _part(lang: str, block: int, tile: int, left: np.ndarray, right: np.ndarray,
 
 
 def _opened(packed: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    """Pairs and counts of all parts."""
-    parts = [unpack(p) for p in packed.to_pylist()]
-    left = [np.cumsum(p[0]) for p in parts]
-    return np.concatenate(left), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    """Pairs and counts of all parts, which are opened one after the other."""
+    sizes = [int(np.frombuffer(p.as_buffer(), np.int64, 1, 8)[0]) for p in packed]
+    out = tuple(np.empty(sum(sizes), np.int64) for _ in range(3))
+    end = 0
+    for size, p in zip(sizes, packed, strict=True):
+        begin, end = end, end + size
+        steps, right, counts = unpack(p.as_py())
+        np.cumsum(steps, out=out[0][begin:end])
+        out[1][begin:end], out[2][begin:end] = right, counts
+    return out
 
 
 def found_at(left: np.ndarray, right: np.ndarray, known: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -241,6 +286,11 @@ def found_at(left: np.ndarray, right: np.ndarray, known: tuple[np.ndarray, ...])
     return out
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in 32 bits if they, and one more than each, fit."""
+    return numbers.astype(np.int32) if numbers.max(initial=0) < 2**31 - 1 else numbers
+
+
 def _level(length: int, last: bool, bits: int):
     """Function of a block and what is known of it, ranks of its words or of its phrases: the parts of tiles that the
     phrases of ``length`` words make, and the symbols of the next level unless it is the last."""
@@ -248,23 +298,25 @@ def _level(length: int, last: bool, bits: int):
     def pairs(key: tuple, blocks: pa.Table, known: pa.Table) -> pa.Table:
         rows = []
         for block in blocks.to_pylist():
-            words = unpack(block["words"])[0] - 1
+            words = _narrow(unpack(block["words"])[0]) - 1
             if length == 2:
                 table = np.full(max(int(words.max(initial=0)), 0) + 2, -1, np.int64)
                 table[known.column("code").to_numpy()] = known.column("id").to_numpy()
                 table[-1] = -1
-                words = phrases = table[words]
+                words = phrases = _narrow(table)[words]
             else:
-                phrases = unpack(block["phrases"])[0] - 1
+                phrases = _narrow(unpack(block["phrases"])[0]) - 1
                 parts = [unpack(p) for p in known.column("packed").to_pylist()]
                 ranks = tuple(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
-                phrases = found_at(phrases[: len(words) - length + 2], words[length - 2 :], ranks)
+                phrases = _narrow(found_at(phrases[: len(words) - length + 2], words[length - 2 :], ranks))
+                del parts, ranks
             right = words[length - 1 :]
             left, rest = phrases[: len(right)], phrases[1 : len(right) + 1]
-            at = np.flatnonzero((left >= 0) & (right >= 0) & (rest >= 0))
-            if not len(at):
+            whole = (left >= 0) & (right >= 0) & (rest >= 0)
+            if not whole.any():
                 continue
-            rows += [_part(block["lang"], block["block"], *part) for part in tiled(left[at], right[at], None, bits)]
+            made = tiled(left[whole].astype(np.int64), right[whole].astype(np.int64), None, bits)
+            rows += [_part(block["lang"], block["block"], *part) for part in made]
             if not last:
                 rows.append(
                     {"block": block["block"], "lang": block["lang"], "words": pack(words + 1), "phrases": pack(phrases + 1)}
