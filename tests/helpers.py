@@ -1,6 +1,10 @@
 """Small documents and tables for the tests."""
 
 import itertools
+import re
+from pathlib import Path
+
+import pyarrow as pa
 
 from tidewire import schemas
 
@@ -40,3 +44,11 @@ def entry_list(spark, settings, body, max_bytes=5 * 1024 * 1024):
 
 def picked(rows, kind, *names):
     return [tuple(r[n] for n in names) if len(names) > 1 else r[names[0]] for r in rows if r["kind"] == kind]
+
+
+def kept_by_arrow():
+    """MB that Arrow holds of this process though nothing uses them."""
+    own = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    before = own()
+    pa.default_memory_pool().release_unused()
+    return before - own()

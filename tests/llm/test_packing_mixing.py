@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.helpers import kept_by_arrow
 from tidewire.llm import mixing, packing
 from tidewire.session import written
 
@@ -236,3 +237,13 @@ def test_words_learnt_in_shares(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 100)
     assert list(known.ids(array)) == [*expected, b"", b""]
     assert list(packing.WordIds(PATH).ids(array)) == [*expected, b"", b""]
+
+
+def test_workers_give_memory_back():
+    """A worker does other tasks after a packing one: what its slices took does not stay in it, and its caches are bounded."""
+    texts = pa.array([b"some text number %d of many, " % (i % 50) * 100 for i in range(16_000)], pa.binary())
+    known = packing.WordIds(PATH)
+    pa.default_memory_pool().release_unused()
+    assert sum(map(len, known.ids(texts))) > 40_000_000
+    assert kept_by_arrow() < 20
+    assert packing.CACHED_WORDS <= 2_000_000 and packing.CACHED_RUNS <= 600_000

@@ -274,3 +274,9 @@ def test_driver_holds_a_byte_of_each_counter(spark):
     assert found.dtype == np.uint8 and (found == expected).all() and expected.max() > 0
     assert most < 24 << 20
     assert not ngram_join._ranks(sketches.limit(0)).any()
+
+
+def test_places_of_a_block_are_small():
+    """Places in the order of a block take four bytes: blocks hold many."""
+    sets = ngram_join._in_order([np.array([1, 5, 9], np.uint64), np.array([5], np.uint64)], np.zeros(1 << 22, np.uint8))
+    assert [s.tolist() for s in sets] == [[0, 1, 2], [1]] and {s.dtype.itemsize for s in sets} == {4}

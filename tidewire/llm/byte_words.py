@@ -43,6 +43,11 @@ def _lower() -> np.ndarray:
 LOWER = _lower()
 
 
+def freed() -> None:
+    """Give memory back that Arrow keeps for later: a worker is used again, and by tasks that do other work."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows (from, to) with their bytes and the bytes' bounds by row; a null is an empty text."""
     if not len(texts):

@@ -360,8 +360,8 @@ def _in_order(sets: list[np.ndarray], ranks: np.ndarray) -> list[np.ndarray]:
     """Sets as ascending places of their items in the global order, among the items of the block."""
     known, place = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(ranks[(known >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-    renamed = np.empty(len(known), dtype=np.int64)
-    renamed[order] = np.arange(len(known))
+    renamed = np.empty(len(known), dtype=np.int32)
+    renamed[order] = np.arange(len(known), dtype=np.int32)
     ends = np.cumsum([len(x) for x in sets])[:-1]
     return [np.sort(x) for x in np.split(renamed[place], ends)]
 

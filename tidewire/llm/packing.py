@@ -42,7 +42,7 @@ GROUP_ROWS = 4096
 #: Rounds of exchange at most; later ones would only save bins.
 ROUNDS = 16
 #: Words and runs whose ids a worker keeps at hand.
-CACHED_WORDS, CACHED_RUNS = 4_000_000, 1_600_000
+CACHED_WORDS, CACHED_RUNS = 2_000_000, 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
 _PLACED = f"{PIECES.replace('doc_id long', 'doc_id string')}, _bin long, _fill long, _offset long, _bins long, _bound long"
@@ -141,11 +141,14 @@ class WordIds:
             del found
             # The ids of all words, one after the other.
             raw = self._ids_of(coded.dictionary).take(coded.indices)
+            del coded
             _, after, ids = raw.buffers()
             bounds = np.frombuffer(after, np.int64, len(raw) + 1, raw.offset * 8)[at].tolist()
             ids = memoryview(ids) if ids is not None else b""
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
                 yield bytes(ids[start:stop])
+            del raw, after, ids
+            byte_words.freed()
 
 
 #: New words that are learnt together, and lines of runs that the tokenizer gets together.
@@ -153,7 +156,7 @@ _NEW_WORDS, _LINES = 50_000, 40
 #: Marks that are runs of their own behind letters.
 _MARKS = frozenset(".,;:!?")
 #: Texts whose words are looked up together.
-_SLICE_BYTES = 12 << 20
+_SLICE_BYTES = 6 << 20
 #: Words end at these bytes; other white space stays in them and is left to the tokenizer.
 _WORD_BYTES = ~byte_words.byte_class((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x20))
 #: Tokenizer file -> what this worker has learnt; workers are used for many tasks.
