@@ -280,3 +280,33 @@ def test_places_of_a_block_are_small():
     """Places in the order of a block take four bytes: blocks hold many."""
     sets = ngram_join._in_order([np.array([1, 5, 9], np.uint64), np.array([5], np.uint64)], np.zeros(1 << 22, np.uint8))
     assert [s.tolist() for s in sets] == [[0, 1, 2], [1]] and {s.dtype.itemsize for s in sets} == {4}
+
+
+def test_items_that_no_other_row_holds(spark):
+    """Equal items of any two rows meet, over tasks, batches of rows and shares."""
+    random_ = np.random.default_rng(8)
+    sizes = [int(x) for x in random_.integers(0, 220, 2 * ngram_join.BATCH_ROWS)]
+    items = [np.unique(random_.integers(-(2**62), 2**62, n)).tolist() for n in sizes]
+    for i in range(0, len(items), 3):
+        items[i] += items[i - 40][: i % 7]
+    rows = [(i % 3 << 33 | i, x) for i, x in enumerate(items)]
+    held = Counter(item for x in items for item in x)
+    expected = {row: n for row, x in rows if (n := sum(held[item] == 1 for item in x))}
+    sets = spark.createDataFrame(rows, "row long, items array<long>").repartitionByRange(3, "row").sortWithinPartitions("row")
+    found = {r.row: r.alone for r in ngram_join._alone(sets).collect()}
+    # Of unlike items a few may be taken for equal, never the other way.
+    assert all(n <= expected[row] for row, n in found.items())
+    assert sum(expected.values()) - 20 <= sum(found.values())
+
+
+def test_sets_are_settled_among_many_that_repeat(spark, monkeypatch):
+    """What is known of repeated items does not blur as they become many: only sets that may link are read again."""
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 14)
+    monkeypatch.setattr(ngram_join, "_FILTER_SHIFT", np.uint64(64 - 14), raising=False)
+    kept, plain = {}, ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, *a: kept.setdefault(name, plain(df, name, *a)))
+    pick = random.Random(12)
+    texts = [" ".join(f"w{pick.randrange(10**6)}" for _ in range(200)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:300])), "doc_id long, text string")
+    assert ngram_join.near_duplicates(docs).select("component_id").distinct().count() == 600
+    assert 300 <= kept["suspects"].count() <= 315

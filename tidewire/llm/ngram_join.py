@@ -4,17 +4,17 @@ The set of a document holds the distinct five-word shingles of its words (ASCII
 64-bit hashes; a document with fewer words has its whole sequence as one shingle.  Documents link at a
 similarity of ``SIMILARITY`` percent or more, and components of links are returned.
 
-1. Signatures (128 bits of the whole set) collapse documents with equal sets.  A sketch of fixed size counts
-   shingles over all documents; it orders them globally, rare ones first, then by hash.  Shingles whose hash is in
-   the lowest ``SAMPLED`` part are also counted exactly; a Bloom filter of fixed size holds those that repeat, and
-   shingles known not to repeat come first of all.
+1. Signatures (128 bits of the whole set) collapse documents with equal sets.  Shingles whose hash is in the lowest
+   ``SAMPLED`` part are counted exactly: equal ones meet in one of up to ``SHARES`` shares of their hashes, to which a task
+   sends four bytes of each and its document's place.  Shingles known not to repeat come first in the global order.
 2. Two sets that link share one of their first ``n - least overlap + 1`` shingles in that order.  A set whose first
    shingles are all known not to repeat is alone, which settles most sets without reading them again.  Among the
-   other sets all shingles are counted, in the same way, so a set is settled too unless most of it repeats.  What
-   remains is grouped by first shingles: each batch of a task sends one representative per shingle, and sets that
+   other sets all shingles are counted, in the same way, and ordered by how many of these sets hold them, rare ones
+   first, then by hash; so a set is settled too unless most of it repeats.  What
+   remains is grouped by first shingles: each batch of sets sends one representative per shingle, and sets that
    share a shingle are joined to the least of them.  The components of these joins hold all links.
 3. The sets of a component are joined in blocks of bounded size, by a prefix tree: sets are paths of shingles
-   in the global order; walking a path keeps the partial overlaps with all sets met so far, paths with a common
+   in the order of a sketch of fixed size that counts shingles over all documents; walking a path keeps the partial overlaps with all sets met so far, paths with a common
    start share them, and a set is dropped as soon as what remains of both cannot reach the overlap needed.
    Overlaps that survive the prefix are counted in full.
 4. A component of many sets is dealt to several blocks by length.  Blocks are joined first within
@@ -50,15 +50,17 @@ WORDS = 5
 SIMILARITY = 80
 #: Counters of the sketch (one byte each): its size does not depend on the input.
 SKETCH_BITS = 22
-#: Part of all hashes whose shingles are counted exactly, and bits of the filter that holds those that repeat.
+#: Part of all hashes whose shingles are counted exactly, and most bits of the bitmap of wanted texts.
 SAMPLED, FILTER_BITS = 0.3, 26
+#: Most shares of all hashes in which equal shingles meet, and rows whose shingles a share hands back together.
+SHARES, BATCH_ROWS = 1 << 12, 1 << 12
 #: Shingles that one block holds, about.
 BLOCK_SHINGLES = 1_500_000
 #: Sets that meet at once when results of blocks are compared.
 BLOCK_SETS = 2000
 #: Bytes of text whose sets a task holds at once; one longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
-#: Items of prefixes that a task gathers before it sends them.
+#: Items that a task gathers before it sends them.
 SENT_ITEMS = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of words: all but ASCII white space.
@@ -121,14 +123,6 @@ def _prefix(n: int) -> int:
 _ROW = "doc_id string, hash long, n long, sig long, sig2 long, items array<long>, part int, counts binary"
 _PARTS = 32
 _LOW = np.uint64(SAMPLED * 2**64)
-#: Bits of a hash below the filter's place: sampled hashes are spread over the whole filter.
-_FILTER_SHIFT = np.uint64(64 - FILTER_BITS)
-
-
-def _places(items: np.ndarray) -> np.ndarray:
-    """Places of sampled items in the filter."""
-    return (_mixed(items * _FACTOR) >> _FILTER_SHIFT).astype(np.int64)
-
 
 def _signatures(docs: DataFrame) -> DataFrame:
     """One row per document with size and signature, and ``_PARTS`` rows per task with its sketch."""
@@ -208,109 +202,226 @@ def _ranks(sketches: DataFrame) -> np.ndarray:
     return out
 
 
-def _repeating(rows: DataFrame) -> np.ndarray:
-    """Filter of the sampled items that occur twice or more, as packed bits."""
-    again = rows.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1").select("item")
-    pieces = 256
-    width = (1 << FILTER_BITS) // pieces
+# --------------------------------------------------------------------------
+# Equal items meet in shares of their hashes
+# --------------------------------------------------------------------------
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros((pieces, width // 8), dtype=np.uint8)
-        for batch in batches:
-            places = _places(batch["item"].to_numpy().view(np.uint64))
-            np.bitwise_or.at(bits.ravel(), places >> 3, (128 >> (places & 7)).astype(np.uint8))
-        for piece, held in enumerate(bits):
-            if held.any():
-                yield pd.DataFrame({"piece": [piece], "bits": [held.tobytes()]})
-
-    def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, raw in zip(batch["piece"], batch["bits"], strict=True):
-                values = np.frombuffer(raw, np.uint8)
-                sums[piece] = sums[piece] | values if piece in sums else values
-        for piece, values in sums.items():
-            yield pd.DataFrame({"piece": [piece], "bits": [values.tobytes()]})
+_SENT = "share int, number long, keys binary, places binary"
+_KEY_BITS = 32
+_SHARE_BITS = SHARES.bit_length() - 1
 
-    fields = "piece int, bits binary"
-    parts = again.mapInPandas(place, fields).withColumn("_salt", F.spark_partition_id() % 64)
-    near = parts.repartition(F.col("piece"), F.col("_salt")).select("piece", "bits").mapInPandas(union, fields)
-    out = np.zeros((pieces, width // 8), dtype=np.uint8)
-    for row in near.repartition(F.col("piece")).mapInPandas(union, fields).collect():  # fixed size
-        out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.ravel()
 
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive ``values``, so many in a row."""
+    bounds = (np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(values))])
 
-def _alone(items: np.ndarray, repeating: np.ndarray) -> np.ndarray:
-    """Whether sampled items are known not to repeat."""
-    place = _places(items)
-    return (repeating[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 0
 
+def _values(parts: list[pa.RecordBatch], name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many there are in each row."""
+    values, sizes = [np.empty(0, kind)], [np.empty(0, np.int64)]
+    for part in parts:
+        array = part.column(name).cast(pa.large_binary())
+        _, bounds, data = array.buffers()
+        bounds = np.frombuffer(bounds, np.int64, len(array) + 1, array.offset * 8)
+        if data is not None:
+            values.append(np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(kind))
+        sizes.append(np.diff(bounds) // np.dtype(kind).itemsize)
+    return np.concatenate(values), np.concatenate(sizes)
 
-def _ordered(items: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Items (sorted by hash) in the global order without those known not to repeat, which come first and match nothing."""
-    ranks, repeating = order
-    kept = items[~_alone(items, repeating)]
-    return kept[np.argsort(ranks[(kept >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
 
+def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Values of a sorted column, with their rows."""
+    held, own = [], None
+    for batch in batches:
+        column = batch.column(name).to_numpy()
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]):
+            if a < b:
+                if held and column[a] != own:
+                    yield own, held
+                    held = []
+                own = int(column[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield own, held
 
-# --------------------------------------------------------------------------
-# Candidate components
-# --------------------------------------------------------------------------
 
+def _share_bits(spark: SparkSession) -> int:
+    """As many shares as Spark's shuffles have partitions, or up to twice as many, but not very few."""
+    return min(_SHARE_BITS, max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
-def _all_items(texts: DataFrame) -> DataFrame:
-    """``items`` of every text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sets in shingle_sets(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([_lists(sets)], ["items"])
+def _dealt(bits: int, rows: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
+    """One row for each share: keys of the items and places of their rows.  The sizes of the rows are a share of their own.
 
-    return texts.select("text").mapInArrow(run, "items array<long>")
+    A key and its share are up to 44 bits of a hash.  Unlike items with equal ones count as one item, which only makes
+    it repeat; every step takes them so.
+    """
+    share = (items & np.uint64((1 << bits) - 1)).astype(np.uint16)
+    order = np.argsort(share, kind="stable")
+    place = (rows - rows[0]).astype(np.uint16)
+    keys = np.concatenate([(items >> np.uint64(bits)).astype(np.uint32)[order], sizes.astype(np.uint32)])
+    places = np.concatenate([np.repeat(place, sizes)[order], place])
+    counts = np.bincount(share, minlength=1 << bits)
+    shares = np.flatnonzero(counts)
+    counts = np.append(counts[shares], len(rows))
+    shares = np.append(shares, SHARES).astype(np.int32)
+    columns = [pa.array(shares), pa.array(np.full(len(shares), rows[0])), _binary(keys, counts), _binary(places, counts)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SENT.split(", ")])
+
+
+def _sent(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """What tasks send of their rows (row, items) to ``2 ** bits`` shares."""
+    held: list[tuple[np.ndarray, ...]] = []
+    first, size = 0, 0
+    for batch in batches:
+        rows, lists = batch.column("row").to_numpy(), batch.column("items")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        items = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends, a = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while a < len(rows):
+            if held and (size >= SENT_ITEMS or not first <= rows[a] < first + BATCH_ROWS):
+                yield _dealt(bits, *map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+            first = first if held else rows[a]
+            far = np.flatnonzero((rows[a:] < first) | (rows[a:] >= first + BATCH_ROWS))
+            b = min(a + int(far[0]) if len(far) else len(rows), int(np.searchsorted(ends, ends[a] + SENT_ITEMS - size)))
+            b = max(a + 1, b)
+            held.append((rows[a:b].copy(), sizes[a:b], items[ends[a] : ends[b]].copy()))
+            size += int(ends[b] - ends[a])
+            a = b
+    if held:
+        yield _dealt(bits, *map(np.concatenate, zip(*held, strict=True)))
+
+
+def _times(keys: np.ndarray) -> np.ndarray:
+    """How often each key is there, 255 at most."""
+    packed = keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    key = packed >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    run = np.diff(np.append(first, len(key)))
+    out = np.empty(len(keys), np.uint8)
+    out[packed & np.uint64(2**32 - 1)] = np.repeat(np.minimum(run, 255), run)
+    return out
 
 
-def _shared_prefixes(texts: DataFrame, order) -> DataFrame:
-    """(item, node): for each prefix item one node per batch; nodes that share an item within a batch meet under a key of their own."""
+def _at_shares(sent: DataFrame, run, fields: str) -> DataFrame:
+    return sent.repartition(F.col("share")).sortWithinPartitions("share").mapInArrow(run, fields)
 
-    def emit(items: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-        item = np.concatenate(items)
-        node = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in items])
-        order = np.lexsort((node, item))
-        item, node = item[order], node[order]
-        first = np.ones(len(item), dtype=bool)
-        first[1:] = item[1:] != item[:-1]
-        lead = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        other = node != lead
-        pairs = np.unique(np.stack([lead[other], node[other]]), axis=1)
-        own = _mixed(pairs[0].view(np.uint64) ^ _FACTOR)
-        keys = np.concatenate([item[first], own, own]).view(np.int64)
-        ends = np.concatenate([node[first], pairs[0], pairs[1]])
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ends)], ["item", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = order.value
-        items: dict[int, np.ndarray] = {}
-        held = 0
-        for batch in batches:
-            for full in chain.from_iterable(shingle_sets(batch.column("text"))):
-                node = _signature(full)[0]
-                if len(full) and node not in items:
-                    rest = _ordered(full, known)
-                    # A copy: a view would hold the whole set.
-                    items[node] = rest[: max(0, _prefix(len(full)) - (len(full) - len(rest)))].copy()
-                    held += len(items[node])
-                if held >= SENT_ITEMS:
-                    yield emit(list(items.values()), list(items))
-                    items, held = {}, 0
-        if items:
-            yield emit(list(items.values()), list(items))
-
-    return texts.select("text").mapInArrow(run, "item long, node long")
+def _at_rows(met: DataFrame, run, fields: str) -> DataFrame:
+    return met.repartition(F.col("number")).sortWithinPartitions("number").mapInArrow(run, fields)
 
 
-def _may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` and ``hash`` may be in ``wanted``: all that are, and few others.
+def _alone(sets: DataFrame) -> DataFrame:
+    """(row, alone): how many items of each row (row, items) no other row holds; rows without any are left out."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, parts in _runs(batches, "share"):
+            if share < SHARES:
+                numbers = np.concatenate([part.column("number").to_numpy() for part in parts])
+                keys, sizes = _values(parts, "keys", np.uint32)
+                once = _times(keys) == 1
+                counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[once], minlength=len(sizes))
+                places = _values(parts, "places", np.uint16)[0][once]
+                some = counts > 0
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[some]), _binary(places, counts[some])], ["number", "places"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in _runs(batches, "number"):
+            counts = np.bincount(_values(parts, "places", np.uint16)[0])
+            place = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(number + place), pa.array(counts[place])], ["row", "alone"])
+
+    bits = _share_bits(sets.sparkSession)
+    sent = sets.select("row", "items").mapInArrow(lambda batches: _sent(batches, bits), _SENT)
+    met = _at_shares(sent, meet, "number long, places binary")
+    return _at_rows(met, gather, "row long, alone long")
+
+
+# --------------------------------------------------------------------------
+# Candidate components
+# --------------------------------------------------------------------------
+
+
+def _all_items(texts: DataFrame, *names: str, into=None, fields: str = "items array<long>") -> DataFrame:
+    """``items`` of every text with the columns of ``names``, or what ``into`` makes of them."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for sets in shingle_sets(batch.column("text")):
+                more = [batch.column(name).slice(done, len(sets)) for name in names]
+                yield pa.RecordBatch.from_arrays([_lists(sets), *more], ["items", *names])
+                done += len(sets)
+
+    return texts.select("text", *names).mapInArrow(lambda batches: into(made(batches)) if into else made(batches), fields)
+
+
+def _shared(item: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(item, node): for each item one node; other nodes that share it meet that one under a key of their own."""
+    order = np.lexsort((node, item))
+    item, node = item[order], node[order]
+    first = np.ones(len(item), dtype=bool)
+    first[1:] = item[1:] != item[:-1]
+    lead = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    other = node != lead
+    pairs = np.unique(np.stack([lead[other], node[other]]), axis=1)
+    # Keys of items have 44 bits at most.
+    own = _mixed(pairs[0].view(np.uint64) ^ _FACTOR).view(np.int64) | np.int64(-(2**63))
+    keys = np.concatenate([item[first], own, own])
+    ends = np.concatenate([node[first], pairs[0], pairs[1]])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ends)], ["item", "node"])
+
+
+def _shared_prefixes(texts: DataFrame) -> DataFrame:
+    """(item, node): for each prefix item one row of ``texts`` (row, text) per batch; rows that share an item within a batch meet under a key of their own."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, parts in _runs(batches, "share"):
+            numbers = np.concatenate([part.column("number").to_numpy() for part in parts])
+            keys, sizes = _values(parts, "keys", np.uint32)
+            places = _values(parts, "places", np.uint16)[0]
+            times = _times(keys) if share < SHARES else np.full(len(keys), 2, np.uint8)
+            again = times > 1
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[again], minlength=len(sizes))
+            some = counts > 0
+            values = [_binary(x[again], counts[some]) for x in (keys, places, times)]
+            columns = [pa.array(np.full(some.sum(), share, np.int32)), pa.array(numbers[some]), *values]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in _runs(batches, "number"):
+            keys, sizes = _values(parts, "keys", np.uint32)
+            places, times = (_values(parts, name, kind)[0] for name, kind in (("places", np.uint16), ("times", np.uint8)))
+            share = np.repeat(np.concatenate([part.column("share").to_numpy() for part in parts]), sizes)
+            own = share == SHARES
+            n = np.zeros(BATCH_ROWS, np.int64)
+            n[places[own]] = keys[own]
+            # By place, then in the global order: rare ones first, then by hash.
+            packed = places[~own].astype(np.uint64) << np.uint64(_KEY_BITS + _SHARE_BITS + 8)
+            packed |= times[~own].astype(np.uint64) << np.uint64(_KEY_BITS + _SHARE_BITS)
+            packed |= keys[~own].astype(np.uint64) << np.uint64(bits) | share[~own].astype(np.uint64)
+            packed.sort()
+            place = (packed >> np.uint64(_KEY_BITS + _SHARE_BITS + 8)).astype(np.int64)
+            rest = np.bincount(place, minlength=BATCH_ROWS)
+            # Items that do not repeat come before.
+            most = n - -(-SIMILARITY * n // 100) + 1 - (n - rest)
+            kept = np.arange(len(place)) - (np.cumsum(rest) - rest)[place] < most[place]
+            item = (packed[kept] & np.uint64(2 ** (_KEY_BITS + _SHARE_BITS) - 1)).astype(np.int64)
+            if len(item):
+                yield _shared(item, number + place[kept])
+
+    names = ["share", "number", "keys", "places", "times"]
+    bits = _share_bits(texts.sparkSession)
+    sent = _all_items(texts, "row", into=lambda batches: _sent(batches, bits), fields=_SENT)
+    met = _at_shares(sent, meet, f"{_SENT}, times binary")
+    return _at_rows(met, gather, "item long, node long")
+
+
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with ``_held``: whether ``doc_id`` and ``hash`` may be in ``wanted``.  It is set for all that are, and few others.
 
     ``wanted``, a written table, becomes a bitmap with 16 bits or more for each of its rows, of at most
     ``2 ** FILTER_BITS`` bits, in rows of 32,768 bits each, so that only few texts are shuffled.
@@ -321,33 +432,26 @@ def _may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     held = F.getbit(byte, (F.bitmap_bit_position(place) % 8).cast("int")) == 1
-    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
-    return near.where(held).select(docs.columns)
+    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+    return near.withColumn("_held", F.coalesce(held, F.lit(False))).select(*docs.columns, "_held")
 
 
-def _suspects(rows: DataFrame, order) -> DataFrame:
-    """One document (doc_id, hash) for every set whose first items are not all known to be its own."""
+def _may_be_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` and ``hash`` may be in ``wanted``: all that are, and few others."""
+    return _marked(docs, wanted).where("_held").drop("_held")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repeating = order.value[1]
-        for batch in batches:
-            lengths = batch["items"].map(len).to_numpy()
-            items = np.concatenate([np.empty(0, dtype=np.int64), *batch["items"]]).view(np.uint64)
-            doc = np.repeat(np.arange(len(batch)), lengths)
-            own = np.bincount(doc, _alone(items, repeating), len(batch))
-            yield batch.loc[own < batch["n"].map(_prefix).to_numpy(), names]
 
-    names = ["doc_id", "hash", "n", "sig", "sig2"]
-    found = rows.mapInPandas(run, "doc_id string, hash long, n long, sig long, sig2 long")
-    one = F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "hash")).alias("_one")
-    return found.groupBy("sig", "sig2", "n").agg(one)
+def _suspects(rows: DataFrame, alone: DataFrame) -> DataFrame:
+    """One document (doc_id, hash) for every set whose first items are not all known to be its own."""
+    prefix = F.expr(f"n - ({SIMILARITY} * n + 99) div 100 + 1")
+    found = rows.join(alone.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
+    found = found.where(F.coalesce("alone", F.lit(0)) < prefix)
+    return found.groupBy("sig", "sig2", "n").agg(F.min(F.struct("doc_id", "hash")).alias("_one"))
 
 
-def _candidate_edges(docs: DataFrame, ranks) -> DataFrame:
+def _candidate_edges(texts: DataFrame) -> DataFrame:
     shared = Window.partitionBy("item")
-    met = _shared_prefixes(docs, ranks).withColumns(
-        {"lead": F.min("node").over(shared), "last": F.max("node").over(shared)}
-    )
+    met = _shared_prefixes(texts).withColumns({"lead": F.min("node").over(shared), "last": F.max("node").over(shared)})
     return met.where("lead <> last AND node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
 
 
@@ -438,7 +542,7 @@ def _joined(members: DataFrame, keys: list[str], ranks) -> DataFrame:
     """Join each group of ``members`` (with ``text``) by ``keys``; (coarse, block, sig, sig2, label), label a row's ``label`` or less."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = ranks.value[0]
+        order = ranks.value
         group = group.drop_duplicates(["sig", "sig2", "block"])
         sets = list(chain.from_iterable(shingle_sets(pa.array(group["text"], pa.large_string()))))
         right = np.array([_signature(x) for x in sets]) == group[["sig", "sig2"]].to_numpy()
@@ -547,25 +651,28 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
     # Ids pass through Python as text: as numbers, nulls would turn them into floats.
     named = chosen.withColumn("doc_id", F.col("doc_id").cast("string"))
-    signed = written(_signatures(named).withColumn("_task", F.spark_partition_id()), "signatures")
+    numbered = {"_task": F.spark_partition_id(), "row": F.monotonically_increasing_id()}
+    signed = written(_signatures(named).withColumns(numbered), "signatures")
     sets = signed.where("part < 0 AND n > 0")
-    known = (_ranks(signed.where("part >= 0")), _repeating(sets))
-    ranks = spark.sparkContext.broadcast(known)  # fixed size
-    rows = signed.where("part < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "hash", "n", "sig", "sig2")
+    ranks = spark.sparkContext.broadcast(_ranks(signed.where("part >= 0")))  # fixed size
+    rows = signed.where("part < 0").select(F.col("doc_id").cast("long").alias("doc_id"), "hash", "n", "sig", "sig2", "row")
     # The texts of sets that may link, one document for each.
-    suspects = written(_suspects(sets.drop("part", "counts", "_task"), ranks), "suspects")
+    suspects = written(_suspects(rows.where("n > 0"), _alone(sets)), "suspects")
+    rows = rows.drop("row")
     one = suspects.select("sig", "sig2", "n", F.col("_one.doc_id").alias("_id"), F.col("_one.hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("hash").eqNullSafe(F.col("_hash"))
     near = _may_be_in(chosen, one.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("hash")))
-    texts = near.join(one.hint("shuffle_hash"), same).select("sig", "sig2", "n", "text")
-    texts = written(texts.dropDuplicates(["sig", "sig2"]), "texts")
+    # Joined by plain columns, so that texts are not shuffled again for repeated rows.
+    key = ["_at", "_none", "hash"]
+    near = near.withColumns({"_at": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
+    one = one.select("sig", "sig2", "n", F.coalesce("_id", F.lit(0)).alias("_at"), F.col("_id").isNull().alias("_none"), F.col("_hash").alias("hash"))
+    texts = near.join(one.hint("shuffle_hash"), key).dropDuplicates([*key, "sig", "sig2"]).select("sig", "sig2", "n", "text")
+    texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     # Among these texts, all items are counted.
-    order = spark.sparkContext.broadcast((known[0], _repeating(_all_items(texts))))
-    coarse = components(_candidate_edges(texts, order))
-    members = texts.select("sig", "sig2", "n").join(coarse, F.col("sig") == F.col("node"))
-    members = members.select(F.col("component").alias("coarse"), "sig", "sig2", "n", F.col("sig").alias("label"))
+    coarse = components(_candidate_edges(texts))
+    members = texts.select("sig", "sig2", "n", "row").join(coarse, F.col("row") == F.col("node"))
+    members = members.select(F.col("component").alias("coarse"), "sig", "sig2", "n", F.col("row").alias("label"))
     members = written(_blocks(members), "members")
-    texts = texts.drop("n")
+    texts = texts.drop("n", "row")
     columns = ["coarse", "block", "sig", "sig2", "label"]
     small = _joined(members.where("NOT large").select(columns).join(texts, ["sig", "sig2"]), ["coarse"], ranks)
     labels = small.select("sig", "sig2", "label")
