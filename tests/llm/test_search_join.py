@@ -310,3 +310,32 @@ def test_sets_are_settled_among_many_that_repeat(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts + texts[:300])), "doc_id long, text string")
     assert ngram_join.near_duplicates(docs).select("component_id").distinct().count() == 600
     assert 300 <= kept["suspects"].count() <= 315
+
+
+def _shuffled(plan):
+    """Bytes that the exchanges of a plan that has run have sent."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """One of each group: only texts that go, or come again, are looked up."""
+    pick = random.Random(13)
+    texts = [" ".join(f"w{pick.randrange(10**6)}" for _ in range(200)) for _ in range(400)]
+    rows = [*enumerate(texts), (1000, texts[5]), (1001, texts[6] + " more"), (7, texts[7]), (None, texts[8]), (1002, ""), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.deduplicated(docs)
+        found = Counter(tuple(r) for r in kept.collect())
+        sent = _shuffled(kept._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == Counter([*enumerate(texts), (1002, ""), (1002, "")])
+    assert sent < 0.2 * sum(map(len, texts))

@@ -705,16 +705,22 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``docs`` with one document of each component, that of the least id; documents with an empty set all stay."""
     found = written(linked(docs, id_column, text_column), "linked")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    one = found.where("n_shingles > 0").groupBy("root").agg(F.min(place).alias("_one"))
+    full = found.where("n_shingles > 0")
+    one = full.groupBy("root").agg(F.min(place).alias("_one"))
     one = one.select(F.col("_one.doc_id").alias("_id"), F.col("_one.hash").alias("_hash"))
-    rows = found.groupBy(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).agg(F.count("*").alias("_copies"))
-    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_hash").eqNullSafe(F.col("_h"))
-    one = written(one.join(rows, same).select("_id", "_hash", "_copies"), "kept")
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_column)))
-    wanted = F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
-    kept = hashed.join(one, wanted)
-    # Repeated rows are rare: only they are compared again.
-    single = kept.where("_copies = 1").select(docs.columns)
-    repeated = kept.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(docs.columns)
-    empty = F.btrim(F.coalesce(F.col(text_column), F.lit("")), F.lit(BLANKS)) == ""
-    return single.unionAll(repeated).unionAll(docs.where(empty))
+    rows = full.groupBy("doc_id", "hash").agg(F.count("*").alias("_copies"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_hash").eqNullSafe(F.col("hash"))
+    # Rows that go, and repeated rows of which one stays, are few: only they are looked up and shuffled with their texts.
+    rows = rows.join(one, same, "left").withColumn("_stays", F.col("_hash").isNotNull())
+    odd = written(rows.where("NOT _stays OR _copies > 1").select("doc_id", "hash", "_stays"), "odd")
+    text = F.col(text_column)
+    keys = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"),
+                       (F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)) == "").alias("_empty"))
+    marked = _marked(keys, odd.select("doc_id", "hash"))
+    key = ["_at", "_none", "hash"]
+    at = {"_at": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
+    near = marked.where("_held AND NOT _empty").withColumns(at).drop("doc_id")
+    near = near.join(odd.withColumns(at).drop("doc_id").hint("shuffle_hash"), key, "left")
+    usual = near.where("_stays IS NULL").select("_row.*")
+    repeated = near.where("_stays").dropDuplicates(key).select("_row.*")
+    return marked.where("NOT _held OR _empty").select("_row.*").unionAll(usual).unionAll(repeated)
